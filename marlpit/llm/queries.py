@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.llm import media, packing
-from marlpit.llm.common import table
+from marlpit.llm import media, packing, quality, tokens
+from marlpit.llm.common import cut, table
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = cut(quality.rule_stats(table(spark, sf_dir, "documents")))
+    model = quality.fit(quality.labelled_stats(stats, table(spark, sf_dir, "labels")))
+    return quality.judge(stats, model).drop("features")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
