@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.llm import media, packing, quality, tokens
+from marlpit.llm import langid, media, mixing, packing, quality, tokens, urls
 from marlpit.llm.common import cut, table
 
 
@@ -15,6 +15,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = mixing.training_order(mixing.mix(table(spark, sf_dir, "documents")))
+    return ordered.select("row.doc_id", "source", "size", "source_size", "target", "taken", "position")
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(~langid.held_out()))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_words")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cut(quality.rule_stats(table(spark, sf_dir, "documents")))
     model = quality.fit(quality.labelled_stats(stats, table(spark, sf_dir, "labels")))
