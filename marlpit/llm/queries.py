@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.llm import langid, licenses, media, mixing, packing, quality, simhash, tokens, urls
+from marlpit.llm import langid, licenses, lines, media, mixing, packing, quality, simhash, tokens, urls
 from marlpit.llm.common import cut, table
 
 
@@ -37,6 +37,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(stats, model).drop("features")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dropped_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components_of(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id"))
