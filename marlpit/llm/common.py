@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of anything but space, tab, LF, VT, FF and CR.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -24,14 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for all its machines; only a local session without one (tests) gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or _OWN.setdefault("folder", tempfile.mkdtemp(prefix="marlpit-checkpoint-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder that the cluster names; only where none is named (tests), in one of our own."""
+    """Checkpoint ``df`` in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlpit-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -57,8 +64,3 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, max_rows: int,
                 first, total = i, 0
             total += size
         yield batch.slice(first)
-
-
-def hot_safe_min(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Smallest ``value`` for each ``key``: partial sums first, so a hot key ships one row a task."""
-    return df.groupBy(key).agg(F.min(value).alias(value))
