@@ -1,24 +1,24 @@
 """Token counts without token ids.
 
-Documents are cut into blocks. A block ships each of its distinct pre-tokens once, with
-the places of the documents that hold it and how often. The rows meet by pre-token: all
-rows of one pre-token lie in one partition, so its pieces are counted once in the whole
-job and looked up for every block. Count times frequency is summed by document there,
-one block after the other, and a block's sums of all partitions are added up. A frequent
-pre-token costs one row a block, however many documents hold it.
+Documents are cut into blocks. A block writes down each of its distinct pre-tokens once,
+with the places of the documents that hold it and how often, and deals them by hash into
+parts. The parts of all blocks meet by hash: all that concerns one pre-token lies in one
+partition, so its pieces are counted once in the whole job and looked up for every block.
+Count times frequency is summed by document there, and a block's sums of all parts are
+added up. A frequent pre-token costs one entry a block and two numbers a document.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,21 +44,18 @@ class WordBpe:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.byte = _byte_letters()
 
-    def frequencies(self, text: str) -> Counter:
-        """How often each pre-token (normal form) occurs; special strings stay whole and start with NUL here."""
-        if _FAST.fullmatch(text) and "<|" not in text:
-            # Latin letters are composed already, and lower() of one letter stays one letter but for U+0130.
-            if "İ" not in text:
-                return Counter(_PIECE.findall(text.lower()))
-        found: Counter = Counter()
-        parts, at = [], 0
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens in normal form, repeats included, in no order; special strings stay whole and start with NUL here."""
+        if "<|" not in text and "İ" not in text and _FAST.fullmatch(text):
+            return _PIECE.findall(text.lower())  # such letters are composed already and stay one letter each
+        found, parts, at = [], [], 0
         for m in self.special.finditer(text) if self.special else ():
             parts.append(text[at : m.start()])
-            found["\0" + m[0]] += 1
+            found.append("\0" + m[0])
             at = m.end()
         for part in [*parts, text[at:]]:
             normal = self.model.normalizer.normalize_str(part)
-            found.update(normal[a:b] for _, (a, b) in self.model.pre_tokenizer.pre_tokenize_str(normal))
+            found.extend(normal[a:b] for _, (a, b) in self.model.pre_tokenizer.pre_tokenize_str(normal))
         return found
 
     def count(self, piece: str) -> int:
@@ -88,84 +85,81 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     columns are read. An empty table gives no rows.
     """
     path, kind = tokenizer_path(tokenizer), docs.schema[id_column].dataType.simpleString()
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    names = ["block", "piece", "places", "times", "ids", "sizes"]
-    arrow = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(_arrow_type(docs, id_column)), pa.list_(pa.int64())]
+    whole, of = pa.list_(_arrow_type(docs, id_column)), pa.list_(pa.int64())
+    kinds = {"block": pa.int64(), "part": pa.int32(), "pieces": pa.string(), "holders": pa.binary(), "places": pa.binary(), "times": pa.binary(), "ids": whole, "sizes": of}
+    met_kinds = {"block": pa.int64(), "places": pa.binary(), "sums": pa.binary(), "ids": whole, "sizes": of}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, block = shared(path), TaskContext.get().partitionId() << 32
-        for part in arrow_slices(batches, "text", BLOCK_ROWS, BLOCK_BYTES):
-            places: dict[str, list[int]] = {}
-            times: dict[str, list[int]] = {}
-            sizes = []
-            for row, text in enumerate(part.column("text").to_pylist()):
+        for rows in arrow_slices(batches, "text", BLOCK_ROWS, BLOCK_BYTES):
+            index: defaultdict[str, int] = defaultdict()
+            index.default_factory = index.__len__
+            keys, sizes = [], []
+            for row, text in enumerate(rows.column("text").to_pylist()):
                 text = text or ""
                 sizes.append(len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")))
-                for piece, n in bpe.frequencies(text).items():
-                    if piece in places:
-                        places[piece].append(row)
-                        times[piece].append(n)
-                    else:
-                        places[piece], times[piece] = [row], [n]
-            # the block's own row, then one for each pre-token; places take two bytes, counts one where they fit
-            own = ([block], [None], [None], [None], [part.column("id").to_pylist()], [sizes])
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(own, arrow, strict=True)], names=names)
-            pieces = list(places)
-            for i in range(0, len(pieces), 20_000):
-                some = pieces[i : i + 20_000]
-                values = ([block] * len(some), some, [np.array(places[p], "<u2").tobytes() for p in some], [_narrow(times[p]) for p in some])
-                yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(values, arrow, strict=False)), *(pa.nulls(len(some), t) for t in arrow[4:])], names=names)
+                keys.append(np.array([index[x] for x in bpe.pieces(text)], np.int64) * BLOCK_ROWS + row)
+            yield _batch(kinds, block=[block], part=[parts], ids=[rows.column("id").to_pylist()], sizes=[sizes])
+            if index:
+                # entries (part, pre-token, place) in order, with how often each occurs
+                names = list(index)
+                dealt = np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % parts for x in names), np.int64, len(names))
+                keys, times = np.unique(np.concatenate(keys), return_counts=True)
+                piece = keys // BLOCK_ROWS
+                order = np.argsort(dealt[piece], kind="stable")
+                piece, place, times = piece[order], (keys % BLOCK_ROWS)[order], times[order]
+                ends = np.cumsum(np.bincount(dealt[piece], minlength=parts))
+                for part in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+                    at = slice(int(ends[part - 1]) if part else 0, int(ends[part]))
+                    own, holders = np.unique(piece[at], return_counts=True)
+                    times_kind = "<u1" if times[at].max() < 256 else "<u4"
+                    yield _batch(
+                        kinds, block=[block], part=[part], pieces=[" ".join([names[i] for i in own.tolist()])], holders=[holders.astype("<u2").tobytes()],
+                        places=[place[at].astype("<u2").tobytes()], times=[times[at].astype(times_kind).tobytes()],
+                    )
             block += 1
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, counts = shared(path), {}
-        current, total = None, np.zeros(BLOCK_ROWS, np.int64)
-
-        def sums() -> pa.RecordBatch:
-            at = np.flatnonzero(total)
-            out = [[current], [at.astype("<u2").tobytes()], [total[at].astype("<i8").tobytes()], [None], [None]]
-            total[:] = 0
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (arrow[0], arrow[2], arrow[3], *arrow[4:]), strict=True)], names=["block", "places", "sums", "ids", "sizes"])
-
         for batch in batches:
-            own = batch.filter(pc.is_valid(batch.column("ids")))
-            if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column(c) for c in ("block", "places", "times", "ids", "sizes")], names=["block", "places", "sums", "ids", "sizes"])
-            for block, piece, places, times in zip(*(batch.column(c).to_pylist() for c in names[:4]), strict=True):
-                if piece is None:
+            for row in batch.to_pylist():
+                if row["ids"] is not None:
+                    yield _batch(met_kinds, block=[row["block"]], ids=[row["ids"]], sizes=[row["sizes"]])
                     continue
-                if block != current:
-                    if current is not None:
-                        yield sums()
-                    current = block
-                if (n := counts.get(piece)) is None:
-                    n = counts[piece] = bpe.count(piece)
-                at = np.frombuffer(places, "<u2")
-                total[at] += np.frombuffer(times, "<u1" if len(times) == len(at) else "<u4") * np.int64(n)
-        if current is not None:
-            yield sums()
+                names = row["pieces"].split(" ")
+                for name in names:
+                    if name not in counts:
+                        counts[name] = bpe.count(name)
+                place = np.frombuffer(row["places"], "<u2")
+                times = np.frombuffer(row["times"], "<u1" if len(row["times"]) == len(place) else "<u4")
+                each = np.repeat(np.fromiter(map(counts.__getitem__, names), np.int64, len(names)), np.frombuffer(row["holders"], "<u2")) * times
+                total = np.zeros(BLOCK_ROWS, np.int64)
+                np.add.at(total, place, each)
+                at = np.flatnonzero(total)
+                yield _batch(met_kinds, block=[row["block"]], places=[at.astype("<u2").tobytes()], sums=[total[at].astype("<u4").tobytes()])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         own = part[part["ids"].notna()].iloc[0]
         total = np.zeros(len(own["sizes"]), np.int64)
         for places, sums in zip(part["places"], part["sums"], strict=True):
             if places is not None:
-                total[np.frombuffer(places, "<u2")] += np.frombuffer(sums, "<i8")
+                total[np.frombuffer(places, "<u2")] += np.frombuffer(sums, "<u4")
         return pd.DataFrame({"id": own["ids"], "n_bytes": own["sizes"], "n_tokens": total})
 
-    ids = f"array<{kind}>"
-    rows = held.mapInArrow(split, f"block long, piece string, places binary, times binary, ids {ids}, sizes array<long>")
-    met = rows.repartition(F.coalesce("piece", F.col("block").cast("string"))).sortWithinPartitions("block")
-    parts = met.mapInArrow(weigh, f"block long, places binary, sums binary, ids {ids}, sizes array<long>")
-    out = parts.groupBy("block").applyInPandas(add, f"id {kind}, n_bytes long, n_tokens long")
+    own = f"ids array<{kind}>, sizes array<long>"
+    rows = held.mapInArrow(split, f"block long, part int, pieces string, holders binary, places binary, times binary, {own}")
+    met = rows.repartition("part").mapInArrow(weigh, f"block long, places binary, sums binary, {own}")
+    out = met.groupBy("block").applyInPandas(add, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def _batch(kinds: dict[str, pa.DataType], **values: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values.get(k, [None]), kind) for k, kind in kinds.items()], names=list(kinds))
+
+
 def _arrow_type(docs: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(docs.schema[column].dataType)
-
-
-def _narrow(times: list[int]) -> bytes:
-    return bytes(times) if max(times) < 256 else np.array(times, "<u4").tobytes()
