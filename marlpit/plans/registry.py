@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("dataset",)
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -36,4 +38,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    pass
+    """Import the modules that register queries."""
+    for name in MODULES:
+        import_module(f"marlpit.plans.{name}")
