@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.sources.adapter import SPLITS
+from marlpit.sources.durable import cut
 
 #: Event type and the name of its columns.
 KINDS = {"impression": "impression", "view": "view", "favorite": "favorite", "add_to_cart": "cart", "purchase": "purchase"}
@@ -143,7 +144,7 @@ def id_index(dimension: DataFrame, key: str) -> DataFrame:
     """Dense numbers from 0 in id order, without a global sort in one task: ranges are numbered and offset."""
     from pyspark.sql import Window
 
-    rows = dimension.select(key).distinct().repartitionByRange(key).withColumn("part", F.spark_partition_id())
+    rows = cut(dimension.select(key).distinct().repartitionByRange(key).withColumn("part", F.spark_partition_id()))
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
     ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(key))
