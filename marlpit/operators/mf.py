@@ -109,6 +109,13 @@ def _train_block(samples: pd.DataFrame, state: pd.DataFrame, c: Config, round_no
     return out.assign(loss=loss / max(1, count), weight=float(count))[["kind", "id", "vec", "bias", "loss", "weight"]]
 
 
+def _block_trainer(c: Config, round_no: int):
+    def run(samples: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        return _train_block(samples, state, c, round_no)
+
+    return run
+
+
 def train(samples: DataFrame, users: DataFrame, items: DataFrame, validate, c: Config = Config()) -> tuple[DataFrame, list[tuple[int, float, float]]]:
     """Best state (kind, id, vec, bias) by ``validate(state)``, larger being better, and the history (round, loss, figure).
 
@@ -130,7 +137,7 @@ def train(samples: DataFrame, users: DataFrame, items: DataFrame, validate, c: C
         home = state.where("kind = 'u'").withColumn("block", deal("id"))
         copies = state.where("kind = 'i'").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         held = home.unionByName(copies)
-        run = lambda a, b, n=n: _train_block(a, b, c, n)
+        run = _block_trainer(c, n)
         out = cut(dealt.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(run, "kind string, id long, vec array<double>, bias double, loss double, weight double"))
         mean = F.array(*(F.avg(F.col("vec")[i]) for i in range(c.dim)))
         state = cut(out.groupBy("kind", "id").agg(mean.alias("vec"), F.avg("bias").alias("bias")))
