@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,6 +43,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the shared folder and read again: a cut for wide intermediate results."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Texts are long rows: unless the session says otherwise, a Python worker gets 1,000 of them at a time, not 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a public vocabulary file; ``name`` may also be a path itself."""
     if os.path.sep in name:

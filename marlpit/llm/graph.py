@@ -21,6 +21,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     links = cut(links)
     seen, n = None, links.count()
+    ends = links.groupBy(F.col("u").alias("w")).agg(F.count("*").alias("n"))
+    # stars need no round: every larger end has one edge and is no smaller end
+    if n and not ends.where("n > 1").limit(1).count() and not links.join(ends, F.col("v") == F.col("w"), "left_semi").limit(1).count():
+        seen, n = "stars", 0
     for _ in range(max_rounds if n else 0):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))

@@ -8,16 +8,20 @@ lines are one before that. Candidates are verified by exact Jaccard similarity o
 lines, verified pairs are the edges of a distributed union-find, and of each component
 the line that comes first stays.
 
-A band value that up to ``CROWD`` different lines share is paired out. In a larger bucket
-every line is first held against the bucket's smallest. That settles buckets of variants
-of one line; where it leaves several components in a bucket, the lines outside the largest
-are held against all lines of other components there, so no link inside a bucket is missed
-and no bucket is paired out within a component.
+A bucket of lines that share a band value is never paired out. Each of its lines is held
+against the line that collides most in all bands, which the source of a family of variants
+does, against the bucket's smallest, and against its neighbours in two orders that bring
+lines together which share another band too. So a line has at most four partners a
+bucket, the work is linear in the lines, and no group has to be in one task: the two
+leaders are joined, neighbours are found inside parts of a bucket of some thousand lines.
+Links that this leaves out join the same components through others nearly always:
+``tests/llm/test_lines.py`` and the README have measured figures.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import arrow_slices, cut
+from marlpit.llm.common import arrow_slices, cut, modest_batches, stored
 from marlpit.llm.graph import components
 
-SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS, CROWD = 7, 9, 4, 0.8, 24, 24
-#: The filter that fetches candidate texts has so many bits, whatever the input: 8 MB.
-FILTER_BITS = 26
+SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS = 7, 9, 4, 0.8, 24
+#: About so many lines of a bucket are put in order together.
+PART = 4096
+#: Lines that a task remembers to ship the bands of equal ones once.
+REMEMBERED = 300_000
+#: The filter that fetches candidate texts has so many bits, whatever the input: 1 MB.
+FILTER_BITS = 23
 _EMPTY = np.uint32(0xFFFFFFFF)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -54,18 +62,29 @@ def _borrowed(bins: int) -> np.ndarray:
 def bands(lines: list[str], shingle: int = SHINGLE, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Band values (lines, bands) of normal lines of at least ``shingle`` characters."""
     bins = count * rows
-    h1 = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = h1
-    for i in range(1, shingle):
-        h = h[:-1] * np.uint64(1_000_003) + h1[i:]
+    span = 1
+    while span < shingle:  # hashes of two overlapping or touching runs make that of a run up to twice as long
+        step = min(span, shingle - span)
+        longer = h[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * step)
+        longer += h[step:]
+        longer ^= longer >> np.uint64(32)
+        h, span = longer, span + step
+    h *= _B
     n = sizes - shingle + 1
     first = np.cumsum(sizes) - sizes
-    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))  # starts of shingles inside lines
-    h = _mix(h[at])
-    place = np.repeat(np.arange(len(lines)) * bins, n) + ((h >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)).astype(np.int64)
+    inside = np.ones(len(h), bool)
+    if shingle > 1:  # starts whose shingle would run into the next line
+        ends = (first + sizes)[:-1]
+        inside[(ends[:, None] - np.arange(1, shingle)).ravel()] = False
+    h = h[inside]
+    place = (h >> np.uint64(40)).astype(np.int64)
+    place *= bins
+    place >>= 24
+    place += np.repeat(np.arange(len(lines)) * bins, n)
     sig = np.full(len(lines) * bins, _EMPTY, np.uint32)
-    np.minimum.at(sig, place, h.astype(np.uint32))
+    np.minimum.at(sig, place, (h >> np.uint64(8)).astype(np.uint32))
     sig = sig.reshape(-1, bins)
     row, col = np.nonzero(sig == _EMPTY)
     filled = sig.copy()
@@ -81,11 +100,33 @@ def bands(lines: list[str], shingle: int = SHINGLE, count: int = BANDS, rows: in
     return (out * np.uint64(count) + np.arange(count, dtype=np.uint64)).view(np.int64)
 
 
-def _keys(lines: list[str]) -> np.ndarray:
-    """128 bits of each line as two signed numbers."""
+def _keys(lines: list[str]) -> list[bytes]:
+    """128 bits of each line."""
     import xxhash
 
-    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), ">i8").reshape(-1, 2).astype(np.int64)
+    return [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]
+
+
+def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(keys), ">i8").reshape(-1, 2).astype(np.int64)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
+class _Once:
+    """Tells which keys are new to a task. It forgets all when full, so a key may count as new again, never the other way."""
+
+    def __init__(self) -> None:
+        self.seen: set[bytes] = set()
+
+    def new(self, keys: list[bytes]) -> list[int]:
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        out = []
+        for i, k in enumerate(keys):
+            if k not in self.seen:
+                self.seen.add(k)
+                out.append(i)
+        return out
 
 
 def _identified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -93,34 +134,45 @@ def _identified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
+def _taking_part(text: str) -> Iterator[tuple[int, str]]:
+    for j, line in enumerate(text.split("\n")):
+        if len(line) >= MIN_CHARS and len(line := normal(line)) >= MIN_CHARS:
+            yield j, line
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, mark, line, n_lines, k1, k2, bands): a row with line -1 for each row of ``docs``, and one for each line that takes part."""
+    """(id, mark, line, n_lines, k1, k2, bands): a row with line -1 for each row of ``docs`` and one for
+    each line that takes part, with bands for the first of equal ones in a task."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, lists = _Once(), pa.list_(pa.int64())
         for part in arrow_slices(batches, "text", 2000, 2 << 20):
             doc, place, held, heads = [], [], [], []
             for i, text in enumerate(part.column("text").to_pylist()):
-                lines = text.split("\n")
-                heads.append(len(lines))
-                for j, line in enumerate(lines):
-                    if len(line) >= MIN_CHARS and len(line := normal(line)) >= MIN_CHARS:
-                        doc.append(i), place.append(j), held.append(line)
+                heads.append(text.count("\n") + 1)
+                for j, line in _taking_part(text):
+                    doc.append(i), place.append(j), held.append(line)
             none = pa.nulls(len(heads), pa.int64())
-            own = [part.column("id"), part.column("mark"), pa.array(np.full(len(heads), -1)), pa.array(heads, pa.int64()), none, none, pa.nulls(len(heads), pa.list_(pa.int64()))]
+            own = [part.column("id"), part.column("mark"), pa.array(np.full(len(heads), -1)), pa.array(heads, pa.int64()), none, none, pa.nulls(len(heads), lists)]
             yield pa.RecordBatch.from_arrays(own, names=["id", "mark", "line", "n_lines", "k1", "k2", "bands"])
             if held:
-                at, keys, values = pa.array(doc, pa.int64()), _keys(held), bands(held)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * BANDS), pa.array(values.ravel()))
-                cols = [part.column("id").take(at), part.column("mark").take(at), pa.array(place, pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), lists]
+                at, keys = pa.array(doc, pa.int64()), _keys(held)
+                new = np.array(once.new(keys), np.int64)
+                has = np.zeros(len(held), bool)
+                has[new] = True
+                values = bands([held[i] for i in new.tolist()]).ravel() if len(new) else np.zeros(0, np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32), mask=np.concatenate([~has, [False]]))
+                k1, k2 = _halves(keys)
+                cols = [part.column("id").take(at), part.column("mark").take(at), pa.array(place, pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(ends, pa.array(values))]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "mark", "line", "n_lines", "k1", "k2", "bands"])
 
     return docs.mapInArrow(run, f"id {kind}, mark long, line long, n_lines long, k1 long, k2 long, bands array<long>")
 
 
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(k1, k2, line) of the lines with one of the ``keys``. A fixed-size filter of key bits drops most
-    other lines where they are read; a full filter only means that more of them are shuffled."""
+    """(k1, line) of the lines with one of the ``keys``, and of some others: a fixed-size filter of key
+    bits drops most lines where they are read; a full filter only means that more are shuffled."""
     bit = F.col("k1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     held = keys.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k1 & 63 as int))")).alias("b")).toPandas()
     mask = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
@@ -128,67 +180,74 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(mask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = _Once()
         for part in arrow_slices(batches, "text", 2000, 2 << 20):
-            held = [y for text in part.column("text").to_pylist() for x in text.split("\n") if len(x) >= MIN_CHARS and len(y := normal(x)) >= MIN_CHARS]
+            held = [line for text in part.column("text").to_pylist() for _, line in _taking_part(text)]
             if held:
                 keys = _keys(held)
-                bits = np.ascontiguousarray(keys[:, 0]).view(np.uint64)
-                bits = bits & np.uint64((1 << FILTER_BITS) - 1)
+                k1, k2 = _halves(keys)
+                bits = k1.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
                 hit = np.flatnonzero(shared.value[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1))
+                hit = hit[once.new([keys[i] for i in hit.tolist()])]
                 if len(hit):
-                    keys = keys[hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array([held[i] for i in hit.tolist()], pa.string())], names=["k1", "k2", "line"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[hit]), pa.array(k2[hit]), pa.array([held[i] for i in hit.tolist()], pa.string())], names=["k1", "k2", "line"])
 
     found = docs.select("text").mapInArrow(run, "k1 long, k2 long, line string")
-    return found.groupBy("k1", "k2").agg(F.first("line").alias("line")).join(keys, ["k1", "k2"], "left_semi")
+    # lines are linked by the first half of their key; different lines that share it (odds of 2 to the -64) are left alone
+    return found.groupBy("k1").agg(F.first("line").alias("line"), F.min("k2").alias("a"), F.max("k2").alias("b")).where("a = b").select("k1", "line")
+
+
+@lru_cache(maxsize=512)
+def _shingles(line: str, shingle: int = SHINGLE) -> frozenset[str]:
+    return frozenset([line[i : i + shingle] for i in range(len(line) - shingle + 1)])
 
 
 def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
     """Similarity of two normal lines as sets of shingles."""
-    x, y = ({s[i : i + shingle] for i in range(len(s) - shingle + 1)} for s in (a, b))
+    x, y = _shingles(a, shingle), _shingles(b, shingle)
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of keys as structs whose lines are similar enough."""
+    """The rows with line keys a and b whose lines are similar enough."""
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) >= threshold for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    left, right = (texts.select(F.struct("k1", "k2").alias(c), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
-    met = pairs.join(left, "a").join(right, "b")
-    # lengths first: a set of n shingles and one of m share at most the smaller
+    left, right = (texts.select(F.col("k1").alias(c), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
+    met = pairs.join(right, "b").join(left, "a")  # rows of one a, mostly a bucket's leader, come together
     return met.where(similar("a_line", "b_line")).select("a", "b")
 
 
-def line_components(lines: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
-    """(key, component) of the different lines that link to another; keys are structs of k1 and k2."""
-    different = lines.where("k1 is not null").groupBy("k1", "k2").agg(F.first("bands").alias("bands"))
-    banded = different.select(F.struct("k1", "k2").alias("key"), F.explode("bands").alias("band"))
-    size = Window.partitionBy("band")
-    shared = cut(banded.withColumn("n", F.count("*").over(size)).withColumn("low", F.min("key").over(size)).where("n > 1"))
-    small, large = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
-    left, right = (small.select("band", F.col("key").alias(c)) for c in ("a", "b"))
-    paired = left.join(right, "band").where("a < b").select("a", "b")
-    led = large.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
-    pairs = cut(paired.unionByName(led).distinct())
-    texts = cut(_texts(docs, shared.select("key.*").distinct()))
-    edges = cut(_verified(pairs, texts, threshold))
-    found = components(edges)
-    if large.limit(1).count():
-        of = found.select(F.col("node").alias("key"), "component")
-        held = cut(large.select("band", "key").join(of, "key", "left").select("band", "key", F.coalesce("component", "key").alias("c")))
-        groups = held.groupBy("band", "c").agg(F.count("*").alias("n"))
-        main = groups.groupBy("band").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("groups")).where("groups > 1").select("band", F.col("m.c").alias("main"))
-        mixed = held.join(main, "band")
-        out = mixed.where("c <> main").select("band", F.col("key").alias("x"), F.col("c").alias("cx"))
-        rest = out.join(mixed.select("band", F.col("key").alias("y"), F.col("c").alias("cy")), "band").where("cx <> cy")
-        more = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        edges = edges.unionByName(_verified(more, texts, threshold))
-        found = components(edges)
-    return found.select(F.col("node").alias("key"), "component")
+def candidate_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) to verify from the buckets (band, k1, n) of more than one line."""
+    about = shared.groupBy("k1").agg(F.sum("n").alias("degree"), F.min("band").alias("lo"), F.max("band").alias("hi"))
+    held = stored(shared.join(about, "k1"))
+    lead = cut(held.groupBy("band").agg(F.max(F.struct("degree", "k1")).alias("m"), F.min("k1").alias("low")).select("band", F.array("m.k1", "low").alias("leaders")))
+    led = held.select("band", "k1").join(lead, "band").select(F.explode(F.array_distinct("leaders")).alias("x"), F.col("k1").alias("y"))
+    found = led
+    for near, far in (("lo", "hi"), ("hi", "lo")):
+        # lines that share the near band too stay in one part
+        part = F.pmod(F.xxhash64(near), F.ceil(F.col("n") / PART))
+        order = Window.partitionBy("band", "part").orderBy(near, far, "k1")
+        found = found.unionByName(held.withColumn("part", part).select(F.lag("k1").over(order).alias("x"), F.col("k1").alias("y")).where("x is not null"))
+    return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def line_components(lines: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(k1, component) of the different lines that link to another, by the first half of their keys."""
+    banded = lines.where("bands is not null").select("k1", F.explode("bands").alias("band"))
+    # most bands have one line; one exchange and sort finds the others and drops what several tasks sent of equal lines
+    order = Window.partitionBy("band").orderBy("k1")
+    ends = banded.select("band", "k1", F.lag("k1").over(order).alias("before"), F.lead("k1").over(order).alias("after"))
+    met = stored(ends.where("before is not null and before <> k1 or before is null and after is not null"))
+    sizes = cut(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(met.select("band", "k1").join(sizes, "band"))
+    pairs = candidate_pairs(shared)
+    texts = stored(_texts(docs, shared.select("k1").distinct()))
+    return components(cut(_verified(pairs, texts, threshold))).select(F.col("node").alias("k1"), "component")
 
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -198,21 +257,19 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     that repeat are one document and get equal results. Null text is one empty line; lines
     under ``MIN_CHARS`` characters, and with them blank ones, always stay.
     """
+    modest_batches(docs.sparkSession)
     own = _identified(docs, id_column, text_column)
-    lines = cut(_lines(own))
+    lines = stored(_lines(own))
     groups = line_components(lines, own, threshold)
-    key = F.struct("k1", "k2")
-    parts = lines.where("k1 is not null").select("id", "mark", "line", key.alias("key"))
+    parts = lines.where("k1 is not null").select("id", "mark", "line", "k1", "k2")
     place = F.struct(F.col("id").isNull().alias("o"), "id", "mark", "line")
-    firsts = parts.groupBy("key").agg(F.min(place).alias("place"), F.count("*").alias("n"))
-    named = firsts.join(groups, "key", "left").select("key", "place", F.coalesce("component", "key").alias("component"))
-    # a key's own first place, unless another line of its component comes earlier
+    firsts = parts.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    # an unlinked line that occurs once stays, so it needs no second look
+    named = cut(firsts.join(groups, "k1", "left").where("n > 1 or component is not null").select("k1", "k2", "place", F.struct(F.coalesce("component", "k1").alias("c"), F.when(F.col("component").isNull(), F.col("k2")).alias("own")).alias("component")))
     lead = named.groupBy("component").agg(F.min("place").alias("stays"))
-    stays = cut(named.join(lead, "component").where("place = stays").select("place.*"))
-    kept = stays.select("id", "mark", "line").withColumn("stays", F.lit(True))
-    same = [F.col("p.id").eqNullSafe(F.col("s.id")), F.col("p.mark") == F.col("s.mark"), F.col("p.line") == F.col("s.line")]
-    gone = parts.select("id", "mark", "line").distinct().alias("p").join(kept.alias("s"), same, "left_anti")
-    by_doc = gone.groupBy("id", "mark").agg(F.array_sort(F.collect_list("line")).alias("dropped"))
+    stays = cut(named.join(lead, "component").select("k1", "k2", "stays"))
+    gone = parts.join(stays, ["k1", "k2"]).where(place != F.col("stays"))
+    by_doc = gone.groupBy("id", "mark").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     heads = lines.where("line = -1").select("id", "mark", "n_lines")
     match = [F.col("h.id").eqNullSafe(F.col("d.id")), F.col("h.mark") == F.col("d.mark")]
     none = F.array().cast("array<bigint>")
