@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlpit.llm.common import modest_batches
+
 #: A word is a run of letters; Latin texts (but for digits that count as letters here) need no Unicode tables.
 _LATIN = re.compile(r"[\x00-ɏ]*")
 _LATIN_WORD = re.compile(r"[^\W\d_²³¹¼½¾]+")
@@ -283,6 +285,7 @@ def predict(docs: DataFrame, model: Crf | None, id_column: str = "doc_id", text_
     """
     if model is None:
         return docs.select(id_column, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("word_langs"))
+    modest_batches(docs.sparkSession)
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
 
     @F.pandas_udf(PREDICTED)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import arrow_slices
+from marlpit.llm.common import arrow_slices, modest_batches
 
 # Fixed values: (format, offset of the magic in the file, magic bytes).
 MAGIC: list[tuple[str, int, bytes]] = [
@@ -289,6 +289,7 @@ def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     signature alone, and a stored form that fails its validator raises. Equal texts
     give equal rows; only the two named columns are read.
     """
+    modest_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

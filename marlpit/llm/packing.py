@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import arrow_slices, tokenizer_path
+from marlpit.llm.common import arrow_slices, modest_batches, tokenizer_path
 
 #: Pre-token pattern of byte-level BPE, for texts that FAST accepts.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -83,6 +83,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", max_length: int
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
+    modest_batches(docs.sparkSession)
     path, kind = tokenizer_path(tokenizer), docs.schema[id_column].dataType.simpleString()
     end = np.asarray([end_id], "<u4").tobytes()
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import WORD
+from marlpit.llm.common import WORD, cut, modest_batches
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -83,6 +83,7 @@ def stats_of(text: Column) -> Column:
 
 def rule_stats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Id, statistics and ``base_failed`` of each row; a null text has no words and fails, rows that repeat count each."""
+    modest_batches(docs.sparkSession)
     return docs.select(F.col(id_column), stats_of(F.col(text_column)).alias("s")).select(id_column, "s.*", _failed("s").alias("base_failed"))
 
 
@@ -195,7 +196,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_
     """The rows of ``docs`` that are kept, with the same columns; labels are looked up by id."""
     known = labels.select(F.col("doc_id").alias("l")).dropDuplicates()
     stats = rule_stats(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(known, F.col("doc_id") == F.col("l"), "left_semi"))
-    model = fit(labelled_stats(stats, labels))
+    model = fit(cut(labelled_stats(stats, labels)))
     s = "__rule_stats"
     held = docs.withColumn(s, stats_of(F.col(text_column))).withColumn("__anomaly", score_with(model)(F.col(f"{s}.features")))
     return held.where(~_failed(s) & (F.col("__anomaly") < F.lit(model.threshold))).select(*(F.col(f"`{c}`") for c in docs.columns))

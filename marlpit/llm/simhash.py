@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import cut
+from marlpit.llm.common import cut, modest_batches
 from marlpit.llm.graph import components
 
 RADIUS, SEGMENTS, SHINGLE, SEED = 2, 5, 3, 42
@@ -139,6 +139,7 @@ def components_of(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     A null text counts as empty; texts without a word all have fingerprint 0 and link like
     others. Rows that repeat share a fingerprint. Only the two named columns are read.
     """
+    modest_batches(docs.sparkSession)
     rows = cut(docs.select(F.col(id_column).alias("id"), fingerprint(F.col(text_column)).alias("fp")))
     found = rows.join(near_duplicates(rows).select("fp", "component"), "fp")
     return found.select(F.col("id").alias(id_column), "fp", "component")
@@ -149,6 +150,7 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     Texts are shuffled once, to meet the row that stays; the rows before know them by hash.
     """
+    modest_batches(docs.sparkSession)
     mark = F.xxhash64(F.col(text_column)).alias("mark")
     rows = cut(docs.select(F.col(id_column).alias("id"), mark, fingerprint(F.col(text_column)).alias("fp")))
     groups = near_duplicates(rows)

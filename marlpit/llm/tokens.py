@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import arrow_slices, tokenizer_path
+from marlpit.llm.common import arrow_slices, modest_batches, tokenizer_path
 
 BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
 #: Texts of white space, printable ASCII and Latin letters, for which Python's expressions and the library's agree.
@@ -84,6 +84,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     itself, null ids too: inside, a row is known by its block and place. Only the two named
     columns are read. An empty table gives no rows.
     """
+    modest_batches(docs.sparkSession)
     path, kind = tokenizer_path(tokenizer), docs.schema[id_column].dataType.simpleString()
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
