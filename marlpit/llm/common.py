@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 from uuid import uuid4
 
 import pyarrow as pa
@@ -24,6 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+T = TypeVar("T")
 _OWN: dict[str, str] = {}
 
 
@@ -57,6 +60,24 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "1000")
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def worker_state(make: Callable[..., T], *key) -> T:
+    """What ``make(*key)`` returns, kept for later tasks of this Python worker. Workers outlive stages and
+    each operator's memory would add up, so only the last operator's is kept."""
+    name = (make.__module__, make.__qualname__, *key)
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[name] = make(*key)
+    return _HELD[name]
+
+
+def nothing(operator: str) -> None:
+    """The state of an operator without any: taking it lets go of the one before."""
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a public vocabulary file; ``name`` may also be a path itself."""
     if os.path.sep in name:
@@ -66,6 +87,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level BPE uses for each byte: printable ones stand for themselves, the others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
+
+
 def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, max_rows: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice has at most ``max_rows`` rows and, unless a single text is longer, ``max_bytes`` of text."""
     for batch in batches:

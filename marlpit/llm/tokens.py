@@ -14,7 +14,6 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import arrow_slices, modest_batches, tokenizer_path
+from marlpit.llm.common import arrow_slices, byte_letters, modest_batches, tokenizer_path, worker_state
 
 BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
 #: Texts of white space, printable ASCII and Latin letters, for which Python's expressions and the library's agree.
@@ -42,7 +41,7 @@ class WordBpe:
         #: String and whether a match takes the place of ordinary text, longest first.
         special = sorted((x.content for x in self.model.get_added_tokens_decoder().values()), key=lambda s: (-len(s), s))
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.byte = _byte_letters()
+        self.byte = byte_letters()
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens in normal form, repeats included, in no order; special strings stay whole and start with NUL here."""
@@ -65,18 +64,6 @@ class WordBpe:
         return len(self.model.model.tokenize("".join(map(self.byte.__getitem__, piece.encode("utf-8", "surrogatepass")))))
 
 
-def _byte_letters() -> list[str]:
-    """The letter that byte-level BPE uses for each byte: printable ones stand for themselves, the others follow from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
-
-
-@lru_cache(maxsize=2)
-def shared(path: str) -> WordBpe:
-    return WordBpe(path)
-
-
 def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``).
 
@@ -93,7 +80,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     met_kinds = {"block": pa.int64(), "places": pa.binary(), "sums": pa.binary(), "ids": whole, "sizes": of}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, block = shared(path), TaskContext.get().partitionId() << 32
+        bpe, block = worker_state(WordBpe, path), TaskContext.get().partitionId() << 32
         for rows in arrow_slices(batches, "text", BLOCK_ROWS, BLOCK_BYTES):
             index: defaultdict[str, int] = defaultdict()
             index.default_factory = index.__len__
@@ -123,7 +110,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
             block += 1
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, counts = shared(path), {}
+        bpe, counts = worker_state(WordBpe, path), {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["ids"] is not None:
