@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import modest_batches
+from marlpit.llm.common import modest_batches, worker_state
 
 #: A word is a run of letters; Latin texts (but for digits that count as letters here) need no Unicode tables.
 _LATIN = re.compile(r"[\x00-ɏ]*")
@@ -273,7 +273,6 @@ def learn(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 PREDICTED = "lang_pred string, score double, n_words long, word_langs array<long>"
-_TAGGERS: dict[str, Tagger] = {}
 
 
 def predict(docs: DataFrame, model: Crf | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -290,10 +289,7 @@ def predict(docs: DataFrame, model: Crf | None, id_column: str = "doc_id", text_
 
     @F.pandas_udf(PREDICTED)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _TAGGERS:
-            _TAGGERS.clear()
-            _TAGGERS[key] = Tagger(shared.value)
-        tagger = _TAGGERS[key]
+        tagger = worker_state(lambda k: Tagger(shared.value), key)
         names = tagger.model.languages
         for texts in parts:
             out: list[tuple] = [(UNKNOWN, 0.0, 0, [])] * len(texts)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import arrow_slices, modest_batches
+from marlpit.llm.common import arrow_slices, modest_batches, worker_state
 
 # Fixed values: (format, offset of the magic in the file, magic bytes).
 MAGIC: list[tuple[str, int, bytes]] = [
@@ -259,7 +259,7 @@ def sniff(blobs: DataFrame, id_column: str, blob_column: str, declared_column: s
     declared = F.col(declared_column) if declared_column else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sniffer = Sniffer()
+        sniffer = worker_state(Sniffer)
         for part in arrow_slices(batches, "blob", 512, 4 << 20):
             detected, corrected, media, carved = [], [], [], []
             for blob, said in zip(part.column("blob").to_pylist(), part.column("declared").to_pylist(), strict=True):
@@ -293,7 +293,7 @@ def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sniffer = Sniffer()
+        sniffer = worker_state(Sniffer)
         for part in arrow_slices(batches, "text", 512, 4 << 20):
             cols: list[list] = [[] for _ in range(7)]
             for text in part.column("text").to_pylist():

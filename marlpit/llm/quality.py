@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import WORD, cut, modest_batches
+from marlpit.llm.common import WORD, cut, modest_batches, nothing, worker_state
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -75,6 +75,7 @@ def text_stats(text: str | None) -> tuple:
 def stats_of(text: Column) -> Column:
     @F.pandas_udf(STATS)
     def stats(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        worker_state(nothing, "quality")
         for part in texts:
             yield pd.DataFrame([text_stats(t) for t in part], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "features"])
 
@@ -147,11 +148,27 @@ def grow(good: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = 128,
 def score_with(model: Forest):
     @F.pandas_udf("double")
     def score(features: pd.Series) -> pd.Series:
+        worker_state(nothing, "quality")
         return pd.Series(model.score(np.stack(features)) if len(features) else [], dtype=float)
 
     return score
 
 
+def kept_by(model: Forest):
+    """Statistics, fixed rules and score of a text in one call, for rows that go on with their text."""
+
+    @F.pandas_udf("boolean")
+    def kept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_state(nothing, "quality")
+        for part in texts:
+            stats = [text_stats(t) for t in part]
+            n, repeated = (np.array([s[i] for s in stats], np.int64) for i in (0, 4))
+            anomaly = model.score(np.array([s[5] for s in stats]).reshape(-1, len(FEATURES)))
+            yield pd.Series((n >= MIN_WORDS) & (100 * repeated <= MAX_REPEAT_PERCENT * n) & (anomaly < model.threshold))
+
+    return kept
+
+
 def fit(labelled: DataFrame, max_fit_rows: int = 4096, max_false_reject: float = 0.001, bins: int = 2000) -> Forest:
     """A calibrated forest from rows (doc_id, quality, features, base_failed).
 
@@ -197,6 +214,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_
     known = labels.select(F.col("doc_id").alias("l")).dropDuplicates()
     stats = rule_stats(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(known, F.col("doc_id") == F.col("l"), "left_semi"))
     model = fit(cut(labelled_stats(stats, labels)))
-    s = "__rule_stats"
-    held = docs.withColumn(s, stats_of(F.col(text_column))).withColumn("__anomaly", score_with(model)(F.col(f"{s}.features")))
-    return held.where(~_failed(s) & (F.col("__anomaly") < F.lit(model.threshold))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.where(kept_by(model)(F.col(text_column)))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import cut, modest_batches
+from marlpit.llm.common import cut, modest_batches, nothing, worker_state
 from marlpit.llm.graph import components
 
 RADIUS, SEGMENTS, SHINGLE, SEED = 2, 5, 3, 42
@@ -62,11 +62,12 @@ def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Colum
 
     @F.pandas_udf("long")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_state(nothing, "simhash")
         for part in parts:
             texts, found, at = part.tolist(), [np.zeros(0, np.uint64)], 0
-            while at < len(texts):  # some million bytes at a time
+            while at < len(texts):  # a million characters at a time
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") < 2_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end] or "") < 1_000_000):
                     size += len(texts[end] or "")
                     end += 1
                 found.append(fingerprints(texts[at:end], shingle, seed))
