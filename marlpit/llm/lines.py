@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import arrow_slices, cut, modest_batches, stored
+from marlpit.llm.common import arrow_slices, cut, modest_batches, nothing, stored, worker_state
 from marlpit.llm.graph import components
 
 SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS = 7, 9, 4, 0.8, 24
@@ -146,6 +146,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(nothing, "lines")
         once, lists = _Once(), pa.list_(pa.int64())
         for part in arrow_slices(batches, "text", 2000, 2 << 20):
             doc, place, held, heads = [], [], [], []
@@ -214,6 +215,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        worker_state(nothing, "lines")
         return pd.Series([jaccard(x, y) >= threshold for x, y in zip(a, b, strict=True)], dtype=bool)
 
     left, right = (texts.select(F.col("k1").alias(c), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
@@ -225,15 +227,16 @@ def candidate_pairs(shared: DataFrame) -> DataFrame:
     """Pairs (a, b) to verify from the buckets (band, k1, n) of more than one line."""
     about = shared.groupBy("k1").agg(F.sum("n").alias("degree"), F.min("band").alias("lo"), F.max("band").alias("hi"))
     held = stored(shared.join(about, "k1"))
-    lead = cut(held.groupBy("band").agg(F.max(F.struct("degree", "k1")).alias("m"), F.min("k1").alias("low")).select("band", F.array("m.k1", "low").alias("leaders")))
-    led = held.select("band", "k1").join(lead, "band").select(F.explode(F.array_distinct("leaders")).alias("x"), F.col("k1").alias("y"))
-    found = led
+    one = F.struct("degree", "k1")
+    lead = cut(held.groupBy("band").agg(F.array(F.max(one), F.min_by(one, "k1")).alias("leaders")))
+    found = held.select("band", one.alias("y")).join(lead, "band").select(F.explode("leaders").alias("x"), "y")
     for near, far in (("lo", "hi"), ("hi", "lo")):
         # lines that share the near band too stay in one part
         part = F.pmod(F.xxhash64(near), F.ceil(F.col("n") / PART))
         order = Window.partitionBy("band", "part").orderBy(near, far, "k1")
-        found = found.unionByName(held.withColumn("part", part).select(F.lag("k1").over(order).alias("x"), F.col("k1").alias("y")).where("x is not null"))
-    return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found = found.unionByName(held.withColumn("part", part).select(F.lag(one).over(order).alias("x"), one.alias("y")).where("x is not null"))
+    # the end with more collisions goes first, so that a leader's pairs are verified one after the other
+    return found.where("x.k1 <> y.k1").select(F.greatest("x", "y")["k1"].alias("a"), F.least("x", "y")["k1"].alias("b")).distinct()
 
 
 def line_components(lines: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
