@@ -39,7 +39,11 @@ PART = 4096
 REMEMBERED = 300_000
 #: The filter that fetches candidate texts has so many bits, whatever the input: 1 MB.
 FILTER_BITS = 23
+#: Characters whose signatures are made at once.
+RUN = 1 << 16
 _EMPTY = np.uint32(0xFFFFFFFF)
+#: White space besides the blank and the end of line.
+_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -59,32 +63,57 @@ def _borrowed(bins: int) -> np.ndarray:
     return (_mix(t * np.uint64(1009) + b + np.uint64(1)) % np.uint64(bins)).astype(np.int64)
 
 
+def _runs(lines: list[str]) -> Iterator[list[str]]:
+    """``lines`` in order, in lists of about RUN characters: so much work stays in a processor's cache."""
+    first = total = 0
+    for i, line in enumerate(lines):
+        total += len(line)
+        if total >= RUN:
+            yield lines[first : i + 1]
+            first, total = i + 1, 0
+    if first < len(lines):
+        yield lines[first:]
+
+
 def bands(lines: list[str], shingle: int = SHINGLE, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Band values (lines, bands) of normal lines of at least ``shingle`` characters."""
-    bins = count * rows
-    h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    parts = [_bands(part, shingle, count, rows) for part in _runs(lines)]
+    return np.concatenate(parts) if parts else np.zeros((0, count), np.int64)
+
+
+def _shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the shingles of all lines in order, and how many each line has."""
+    h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     span = 1
     while span < shingle:  # hashes of two overlapping or touching runs make that of a run up to twice as long
         step = min(span, shingle - span)
-        longer = h[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * step)
+        longer = h[:-step] * np.uint32(0x9E3779B1 + 2 * step)
+        longer ^= longer >> np.uint32(15)
         longer += h[step:]
-        longer ^= longer >> np.uint64(32)
+        longer *= np.uint32(0x85EBCA6B)
+        longer ^= longer >> np.uint32(13)
         h, span = longer, span + step
-    h *= _B
-    n = sizes - shingle + 1
     first = np.cumsum(sizes) - sizes
     inside = np.ones(len(h), bool)
     if shingle > 1:  # starts whose shingle would run into the next line
         ends = (first + sizes)[:-1]
         inside[(ends[:, None] - np.arange(1, shingle)).ravel()] = False
-    h = h[inside]
-    place = (h >> np.uint64(40)).astype(np.int64)
-    place *= bins
-    place >>= 24
-    place += np.repeat(np.arange(len(lines)) * bins, n)
+    return h[inside], sizes - shingle + 1
+
+
+def _bands(lines: list[str], shingle: int, count: int, rows: int) -> np.ndarray:
+    bins = count * rows
+    h, n = _shingle_hashes(lines, shingle)
+    place = h * np.uint32(0xC2B2AE35)
+    place >>= np.uint32(16)
+    place *= np.uint32(bins)
+    place >>= np.uint32(16)
+    place += np.repeat((np.arange(len(lines)) * bins).astype(np.uint32), n)
+    h = h * np.uint32(0x27D4EB2F)
+    h ^= h >> np.uint32(15)
     sig = np.full(len(lines) * bins, _EMPTY, np.uint32)
-    np.minimum.at(sig, place, (h >> np.uint64(8)).astype(np.uint32))
+    np.minimum.at(sig, place.astype(np.int64), h)
     sig = sig.reshape(-1, bins)
     row, col = np.nonzero(sig == _EMPTY)
     filled = sig.copy()
@@ -135,8 +164,10 @@ def _identified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _taking_part(text: str) -> Iterator[tuple[int, str]]:
-    for j, line in enumerate(text.split("\n")):
-        if len(line) >= MIN_CHARS and len(line := normal(line)) >= MIN_CHARS:
+    plain = "  " not in text and not any(c in text for c in _BLANKS)  # its lines are normal but for blanks at the ends
+    for j, line in enumerate(text.lower().split("\n")):
+        line = line.strip(" ") if plain else " ".join(line.split())
+        if len(line) >= MIN_CHARS:
             yield j, line
 
 
