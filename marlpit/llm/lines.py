@@ -8,14 +8,15 @@ lines are one before that. Candidates are verified by exact Jaccard similarity o
 lines, verified pairs are the edges of a distributed union-find, and of each component
 the line that comes first stays.
 
-A bucket of lines that share a band value is never paired out. Each of its lines is held
-against the line that collides most in all bands, which the source of a family of variants
-does, against the bucket's smallest, and against its neighbours in two orders that bring
-lines together which share another band too. So a line has at most four partners a
-bucket, the work is linear in the lines, and no group has to be in one task: the two
-leaders are joined, neighbours are found inside parts of a bucket of some thousand lines.
-Links that this leaves out join the same components through others nearly always:
-``tests/llm/test_lines.py`` and the README have measured figures.
+A bucket of lines that share a band value is not paired out. Links are found in two steps.
+First each of its lines is held against the line that collides most in all bands, which
+the source of a family of variants does, against the bucket's smallest, and against its
+neighbours in two orders that bring lines together which share another band too. That is
+linear in the lines and links nearly all that belongs together. Then every bucket that
+still has several components is settled exactly: its lines outside its largest component
+meet all its others, in blocks of some hundred lines by some hundred lines dealt to tasks
+of their own, and a block counts common shingles by an index instead of pair by pair. So
+components are those of all candidate pairs, whatever a bucket's size.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from marlpit.llm.graph import components
 SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS = 7, 9, 4, 0.8, 24
 #: About so many lines of a bucket are put in order together.
 PART = 4096
+#: A side of a block that is compared at once has about so many lines, or so many characters if that is fewer lines.
+BLOCK, BLOCK_CHARS = 512, 1 << 20
 #: Lines that a task remembers to ship the bands of equal ones once.
 REMEMBERED = 300_000
 #: The filter that fetches candidate texts has so many bits, whatever the input: 1 MB.
@@ -226,7 +229,8 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
     found = docs.select("text").mapInArrow(run, "k1 long, k2 long, line string")
     # lines are linked by the first half of their key; different lines that share it (odds of 2 to the -64) are left alone
-    return found.groupBy("k1").agg(F.first("line").alias("line"), F.min("k2").alias("a"), F.max("k2").alias("b")).where("a = b").select("k1", "line")
+    one = found.groupBy("k1").agg(F.first("line").alias("line"), F.min("k2").alias("a"), F.max("k2").alias("b")).where("a = b")
+    return one.select("k1", "line", F.length("line").alias("size"))
 
 
 @lru_cache(maxsize=512)
@@ -255,7 +259,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 
 def candidate_pairs(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) to verify from the buckets (band, k1, n) of more than one line."""
+    """Pairs (a, b) to verify first, from the buckets (band, k1, n) of more than one line."""
     about = shared.groupBy("k1").agg(F.sum("n").alias("degree"), F.min("band").alias("lo"), F.max("band").alias("hi"))
     held = stored(shared.join(about, "k1"))
     one = F.struct("degree", "k1")
@@ -270,6 +274,89 @@ def candidate_pairs(shared: DataFrame) -> DataFrame:
     return found.where("x.k1 <> y.k1").select(F.greatest("x", "y")["k1"].alias("a"), F.least("x", "y")["k1"].alias("b")).distinct()
 
 
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (band, i, j) of sorted batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")], axis=1)
+        at = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(at, at[1:], strict=False):
+            if held and (key[a] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_links(left: list[str], right: list[str], left_groups: list[int], right_groups: list[int], threshold: float) -> list[tuple[int, int]]:
+    """Links between groups of lines: for all similar pairs of a left and a right line they connect the two lines' groups.
+
+    An index of the right lines' shingles gives a left line's common ones with all of them at
+    once, by hash; what is near the threshold or above it is compared exactly.
+    """
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            c = up
+        return c
+
+    h, n = _shingle_hashes(right, SHINGLE)
+    own = np.unique(np.repeat(np.arange(len(right), dtype=np.uint64), n) << np.uint64(32) | h)
+    owner, h = (own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    sizes, order = np.bincount(owner, minlength=len(right)), np.argsort(h, kind="stable")
+    owner, h = owner[order], h[order]
+    found, kinds = [], set(right_groups)
+    for line, c in zip(left, left_groups, strict=True):
+        if len({root(x) for x in kinds} - {root(c)}) == 0:
+            continue
+        mine = np.unique(_shingle_hashes([line], SHINGLE)[0])
+        first, n = np.searchsorted(h, mine), np.searchsorted(h, mine, "right")
+        n -= first
+        places = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[places], minlength=len(right))
+        for y in np.flatnonzero(both >= (threshold - 0.02) * (len(mine) + sizes - both)).tolist():
+            a, b = root(c), root(right_groups[y])
+            if a != b and jaccard(line, right[y]) >= threshold:
+                parent[max(a, b)] = min(a, b)
+                found.append((c, right_groups[y]))
+    return found
+
+
+def remaining_links(shared: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) between components, from all pairs of lines that share a bucket and are in different ones.
+
+    ``groups`` (node, component) is what links found so far make of the lines; a line
+    without a row is a component by itself. A bucket of two lines is settled already.
+    """
+    named = shared.where("n > 2").join(groups, F.col("k1") == F.col("node"), "left").select("band", "k1", F.coalesce("component", "k1").alias("c"))
+    named = stored(named.join(texts.select("k1", "size"), "k1"))
+    held = named.groupBy("band", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    buckets = held.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("n", "c", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("groups > 1")
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_CHARS), F.lit(1)).cast("int")
+    buckets = cut(buckets.select("band", F.col("top.c").alias("main"), parts(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("rows"), parts(F.col("n"), F.col("size")).alias("columns")))
+    at = lambda n: F.pmod(F.xxhash64("k1"), F.col(n)).cast("int")
+    right = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), at("columns").alias("j"), F.lit(False).alias("left")))
+    left = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(at("rows").alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    dealt = named.join(buckets, "band").select("band", "k1", "c", F.when(F.col("c") == F.col("main"), right).otherwise(F.concat(right, left)).alias("to"))
+    rows = dealt.join(texts.select("k1", "line"), "k1").select("band", F.explode("to").alias("to"), "c", "line").select("band", "to.*", "c", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(nothing, "lines")
+        for block in _whole_blocks(batches):
+            isleft, lines, c = (block.column(x).to_pylist() for x in ("left", "line", "c"))
+            pick = lambda values, side: [v for v, s in zip(values, isleft, strict=True) if s is side]  # noqa: B023, E731
+            if found := block_links(pick(lines, True), pick(lines, False), pick(c, True), pick(c, False), threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    met = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return met.mapInArrow(run, "a long, b long")
+
+
 def line_components(lines: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(k1, component) of the different lines that link to another, by the first half of their keys."""
     banded = lines.where("bands is not null").select("k1", F.explode("bands").alias("band"))
@@ -281,7 +368,10 @@ def line_components(lines: DataFrame, docs: DataFrame, threshold: float = THRESH
     shared = cut(met.select("band", "k1").join(sizes, "band"))
     pairs = candidate_pairs(shared)
     texts = stored(_texts(docs, shared.select("k1").distinct()))
-    return components(cut(_verified(pairs, texts, threshold))).select(F.col("node").alias("k1"), "component")
+    groups = cut(components(cut(_verified(pairs, texts, threshold))))
+    merged = cut(components(remaining_links(shared, groups, texts, threshold)).select(F.col("node").alias("of"), F.col("component").alias("into")))
+    known = groups.join(merged, F.col("component") == F.col("of"), "left").select(F.col("node").alias("k1"), F.coalesce("into", "component").alias("component"))
+    return known.unionByName(merged.join(groups, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("k1"), F.col("into").alias("component")))
 
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -124,21 +124,40 @@ def test_lines_of_documents_equal_all_pairs(spark):
     assert edges and got == want
 
 
-def test_variants_of_a_line(spark):
-    """A family with a common source and pairs on both sides of the threshold: nine in ten of the repeats that all pairs find are found at least."""
-    rng = random.Random(4)
+def family(rng, n):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     source = [word() for _ in range(40)]
     texts = []
-    for _ in range(300):
+    for _ in range(n):
         own = list(source)
         for _ in range(rng.randrange(1, 4)):
             own[rng.randrange(40)] = word()
         texts.append(" ".join(own))
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, line string")
-    want, _ = plain_dropped([(i, t) for i, t in enumerate(texts)])
-    got = {(r["doc_id"], j) for r in lines.dropped_lines(df).collect() for j in r["dropped"]}
-    assert got <= want and len(got) >= 0.9 * len(want)
+    return texts
+
+
+@pytest.mark.parametrize("block", [512, 37])
+def test_variants_of_a_line(spark, monkeypatch, block):
+    """A family without its source, with pairs on both sides of the threshold: all repeats by candidate pairs are found, in one block or many."""
+    monkeypatch.setattr(lines, "BLOCK", block)
+    texts = sorted(set(family(random.Random(4), 300)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    values = lines.bands(texts)
+    near = lambda i, j: (values[i] == values[j]).any() and lines.jaccard(texts[i], texts[j]) >= 0.8
+    root = union([(i, j) for i in range(len(texts)) for j in range(i) if near(i, j)], range(len(texts)))
+    got = {r["doc_id"] for r in lines.dropped_lines(df).collect() if r["dropped"]}
+    assert got == {i for i, top in root.items() if top != i}
+    every, _ = plain_dropped(list(enumerate(texts)))
+    assert {(i, 0) for i in got} <= every and len(got) >= 0.98 * len(every)
+
+
+def test_links_of_blocks():
+    texts = family(random.Random(6), 120)
+    left, right = texts[:50], texts[50:]
+    found = lines.block_links(left, right, list(range(50)), list(range(50, 120)), 0.8)
+    every = [(i, 50 + j) for i, x in enumerate(left) for j, y in enumerate(right) if lines.jaccard(x, y) >= 0.8]
+    assert set(found) <= set(every) and len(found) < len(every)
+    assert union(found, range(120)) == union(every, range(120))
 
 
 def test_similarity_of_bands():
