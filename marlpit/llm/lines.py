@@ -37,7 +37,9 @@ SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS = 7, 9, 4, 0.8, 24
 #: About so many lines of a bucket are put in order together.
 PART = 4096
 #: A side of a block that is compared at once has about so many lines, or so many characters if that is fewer lines.
-BLOCK, BLOCK_CHARS = 512, 1 << 20
+BLOCK, BLOCK_CHARS = 256, 1 << 19
+#: Edges that a task of the union-find takes at least.
+EDGES = 50_000
 #: Lines that a task remembers to ship the bands of equal ones once.
 REMEMBERED = 300_000
 #: The filter that fetches candidate texts has so many bits, whatever the input: 1 MB.
@@ -368,8 +370,8 @@ def line_components(lines: DataFrame, docs: DataFrame, threshold: float = THRESH
     shared = cut(met.select("band", "k1").join(sizes, "band"))
     pairs = candidate_pairs(shared)
     texts = stored(_texts(docs, shared.select("k1").distinct()))
-    groups = cut(components(cut(_verified(pairs, texts, threshold))))
-    merged = cut(components(remaining_links(shared, groups, texts, threshold)).select(F.col("node").alias("of"), F.col("component").alias("into")))
+    groups = cut(components(cut(_verified(pairs, texts, threshold)), rows_per_task=EDGES))
+    merged = cut(components(cut(remaining_links(shared, groups, texts, threshold)), rows_per_task=EDGES).select(F.col("node").alias("of"), F.col("component").alias("into")))
     known = groups.join(merged, F.col("component") == F.col("of"), "left").select(F.col("node").alias("k1"), F.coalesce("into", "component").alias("component"))
     return known.unionByName(merged.join(groups, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("k1"), F.col("into").alias("component")))
 

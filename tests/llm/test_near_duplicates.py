@@ -28,12 +28,13 @@ def union(edges, nodes=()):
     return {x: find(x) for x in list(parent)}
 
 
+@pytest.mark.parametrize("share", [None, 100])
 @pytest.mark.parametrize("kind", ["random", "path", "star", "empty"])
-def test_components(spark, kind):
+def test_components(spark, kind, share):
     rng = random.Random(1)
     edges = {"random": [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], "path": [(i, i + 1) for i in range(100)], "star": [(0, i) for i in range(1, 50)] + [(70, 71)], "empty": []}[kind]
     df = spark.createDataFrame([*edges, (5, 5), (None, 3)], "a long, b long")
-    got = {r["node"]: r["component"] for r in graph.components(df).collect()}
+    got = {r["node"]: r["component"] for r in graph.components(df, rows_per_task=share).collect()}
     assert got == {k: v for k, v in union([e for e in edges if e[0] != e[1]]).items()}
 
 
@@ -136,7 +137,7 @@ def family(rng, n):
     return texts
 
 
-@pytest.mark.parametrize("block", [512, 37])
+@pytest.mark.parametrize("block", [256, 37])
 def test_variants_of_a_line(spark, monkeypatch, block):
     """A family without its source, with pairs on both sides of the threshold: all repeats by candidate pairs are found, in one block or many."""
     monkeypatch.setattr(lines, "BLOCK", block)
