@@ -21,7 +21,7 @@ components are those of all candidate pairs, whatever a bucket's size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -207,14 +207,25 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, mark long, line long, n_lines long, k1 long, k2 long, bands array<long>")
 
 
+def key_filter(keys: DataFrame, name: str = "k1"):
+    """A broadcast filter of fixed size over the keys in column ``name``, for ``may_hold``."""
+    bit = F.col(name).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    held = keys.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("b")).toPandas()
+    mask = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    mask[held["w"].to_numpy(np.int64)] = held["b"].to_numpy(np.int64).view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(mask)
+
+
+def may_hold(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys that the filter lets pass: all that it was made of, and some others."""
+    bits = keys.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    return np.flatnonzero(mask[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1))
+
+
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(k1, line) of the lines with one of the ``keys``, and of some others: a fixed-size filter of key
     bits drops most lines where they are read; a full filter only means that more are shuffled."""
-    bit = F.col("k1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    held = keys.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k1 & 63 as int))")).alias("b")).toPandas()
-    mask = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    mask[held["w"].to_numpy(np.int64)] = held["b"].to_numpy(np.int64).view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(mask)
+    shared = key_filter(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
@@ -223,8 +234,7 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
             if held:
                 keys = _keys(held)
                 k1, k2 = _halves(keys)
-                bits = k1.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-                hit = np.flatnonzero(shared.value[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1))
+                hit = may_hold(shared.value, k1)
                 hit = hit[once.new([keys[i] for i in hit.tolist()])]
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(k1[hit]), pa.array(k2[hit]), pa.array([held[i] for i in hit.tolist()], pa.string())], names=["k1", "k2", "line"])
@@ -247,13 +257,22 @@ def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return _shingle_hashes(lines, SHINGLE)
+
+
+#: How texts are compared: 32-bit hashes of their shingles with the number of each, and the exact similarity of two.
+Measure = tuple[Callable[[list[str]], tuple[np.ndarray, np.ndarray]], Callable[[str, str], float]]
+OF_LINES: Measure = (_line_hashes, jaccard)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, measure: Measure = OF_LINES) -> DataFrame:
     """The rows with line keys a and b whose lines are similar enough."""
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         worker_state(nothing, "lines")
-        return pd.Series([jaccard(x, y) >= threshold for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([measure[1](x, y) >= threshold for x, y in zip(a, b, strict=True)], dtype=bool)
 
     left, right = (texts.select(F.col("k1").alias(c), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
     met = pairs.join(right, "b").join(left, "a")  # rows of one a, mostly a bucket's leader, come together
@@ -294,12 +313,13 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def block_links(left: list[str], right: list[str], left_groups: list[int], right_groups: list[int], threshold: float) -> list[tuple[int, int]]:
+def block_links(left: list[str], right: list[str], left_groups: list[int], right_groups: list[int], threshold: float, measure: Measure = OF_LINES) -> list[tuple[int, int]]:
     """Links between groups of lines: for all similar pairs of a left and a right line they connect the two lines' groups.
 
     An index of the right lines' shingles gives a left line's common ones with all of them at
     once, by hash; what is near the threshold or above it is compared exactly.
     """
+    hashes, similarity = measure
     parent: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -307,7 +327,7 @@ def block_links(left: list[str], right: list[str], left_groups: list[int], right
             c = up
         return c
 
-    h, n = _shingle_hashes(right, SHINGLE)
+    h, n = hashes(right)
     own = np.unique(np.repeat(np.arange(len(right), dtype=np.uint64), n) << np.uint64(32) | h)
     owner, h = (own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     sizes, order = np.bincount(owner, minlength=len(right)), np.argsort(h, kind="stable")
@@ -316,20 +336,20 @@ def block_links(left: list[str], right: list[str], left_groups: list[int], right
     for line, c in zip(left, left_groups, strict=True):
         if len({root(x) for x in kinds} - {root(c)}) == 0:
             continue
-        mine = np.unique(_shingle_hashes([line], SHINGLE)[0])
+        mine = np.unique(hashes([line])[0])
         first, n = np.searchsorted(h, mine), np.searchsorted(h, mine, "right")
         n -= first
         places = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
         both = np.bincount(owner[places], minlength=len(right))
         for y in np.flatnonzero(both >= (threshold - 0.02) * (len(mine) + sizes - both)).tolist():
             a, b = root(c), root(right_groups[y])
-            if a != b and jaccard(line, right[y]) >= threshold:
+            if a != b and similarity(line, right[y]) >= threshold:
                 parent[max(a, b)] = min(a, b)
                 found.append((c, right_groups[y]))
     return found
 
 
-def remaining_links(shared: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def remaining_links(shared: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, measure: Measure = OF_LINES) -> DataFrame:
     """Links (a, b) between components, from all pairs of lines that share a bucket and are in different ones.
 
     ``groups`` (node, component) is what links found so far make of the lines; a line
@@ -352,7 +372,7 @@ def remaining_links(shared: DataFrame, groups: DataFrame, texts: DataFrame, thre
         for block in _whole_blocks(batches):
             isleft, lines, c = (block.column(x).to_pylist() for x in ("left", "line", "c"))
             pick = lambda values, side: [v for v, s in zip(values, isleft, strict=True) if s is side]  # noqa: B023, E731
-            if found := block_links(pick(lines, True), pick(lines, False), pick(c, True), pick(c, False), threshold):
+            if found := block_links(pick(lines, True), pick(lines, False), pick(c, True), pick(c, False), threshold, measure):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     met = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
@@ -361,6 +381,11 @@ def remaining_links(shared: DataFrame, groups: DataFrame, texts: DataFrame, thre
 
 def line_components(lines: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(k1, component) of the different lines that link to another, by the first half of their keys."""
+    return linked(lines, lambda keys: _texts(docs, keys), threshold)
+
+
+def linked(lines: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, measure: Measure = OF_LINES) -> DataFrame:
+    """The same for any texts with (k1, bands); ``texts_of`` gives (k1, line, size) of at least the keys it is handed."""
     banded = lines.where("bands is not null").select("k1", F.explode("bands").alias("band"))
     # most bands have one line; one exchange and sort finds the others and drops what several tasks sent of equal lines
     order = Window.partitionBy("band").orderBy("k1")
@@ -369,9 +394,9 @@ def line_components(lines: DataFrame, docs: DataFrame, threshold: float = THRESH
     sizes = cut(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     shared = cut(met.select("band", "k1").join(sizes, "band"))
     pairs = candidate_pairs(shared)
-    texts = stored(_texts(docs, shared.select("k1").distinct()))
-    groups = cut(components(cut(_verified(pairs, texts, threshold)), rows_per_task=EDGES))
-    merged = cut(components(cut(remaining_links(shared, groups, texts, threshold)), rows_per_task=EDGES).select(F.col("node").alias("of"), F.col("component").alias("into")))
+    texts = stored(texts_of(shared.select("k1").distinct()))
+    groups = cut(components(cut(_verified(pairs, texts, threshold, measure)), rows_per_task=EDGES))
+    merged = cut(components(cut(remaining_links(shared, groups, texts, threshold, measure)), rows_per_task=EDGES).select(F.col("node").alias("of"), F.col("component").alias("into")))
     known = groups.join(merged, F.col("component") == F.col("of"), "left").select(F.col("node").alias("k1"), F.coalesce("into", "component").alias("component"))
     return known.unionByName(merged.join(groups, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("k1"), F.col("into").alias("component")))
 

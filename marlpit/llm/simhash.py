@@ -13,27 +13,47 @@ out. Its fingerprints meet at the points half-way: two fingerprints within 2 bit
 both within 1 bit of some 64-bit value, and all that are within 1 bit of one value are
 within 2 of each other. A value has at most 65 such neighbours, each fingerprint names 65
 values, and those at one value link to the smallest. That is exact, whatever the group's size.
+
+``keep_first`` does not use fingerprints: documents are near-duplicates there by the exact
+Jaccard similarity of their word shingles, for which 2 bits of 64 are far too few.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import cut, modest_batches, nothing, worker_state
+from marlpit.llm import lines
+from marlpit.llm.common import arrow_slices, cut, modest_batches, nothing, stored, worker_state
 from marlpit.llm.graph import components
 
 RADIUS, SEGMENTS, SHINGLE, SEED = 2, 5, 3, 42
+#: ``keep_first``: words of a shingle, least Jaccard similarity, MinHash bands and their rows. Bands miss 3 of 100,000 pairs at the threshold.
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: A key of more fingerprints than this goes the way of half-way points; below it pairs are fewer.
 CROWD = 128
 
 
 def fingerprints(texts: list[str | None], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """Fingerprint of each text as unsigned 64-bit: a bit is set if over half the shingles' hashes have it."""
+    parts, size = _hashed(texts, shingle, seed)
+    out = np.zeros(len(size), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        bits = np.unpackbits(np.frombuffer(parts, np.uint8).reshape(-1, 8), axis=1)
+        votes = np.add.reduceat(bits, (np.cumsum(size) - size)[full], axis=0, dtype=np.int64)
+        out[full] = np.packbits(2 * votes > size[full, None], axis=1).view(">u8").ravel()
+    return out
+
+
+def _hashed(texts: list[str | None], shingle: int, seed: int) -> tuple[bytes, np.ndarray]:
+    """64-bit hashes of the shingles of all texts in order, and how many each text has."""
     import xxhash
 
     digest, parts, sizes = xxhash.xxh64_digest, [], []
@@ -48,13 +68,7 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE, seed: int = SE
             hashes = [digest(line[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
         sizes.append(len(hashes))
         parts += hashes
-    out, size = np.zeros(len(sizes), np.uint64), np.array(sizes, np.int64)
-    full = np.flatnonzero(size)
-    if len(full):
-        bits = np.unpackbits(np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits, (np.cumsum(size) - size)[full], axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * votes > size[full, None], axis=1).view(">u8").ravel()
-    return out
+    return b"".join(parts), np.array(sizes, np.int64)
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
@@ -122,12 +136,13 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, crowd:
     return pairs.unionByName(stars)
 
 
-def near_duplicates(rows: DataFrame) -> DataFrame:
+def near_duplicates(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(fp, id, component) of each distinct fingerprint of a materialised table (id, fp): ``id`` is the
     smallest id with that fingerprint, ``component`` the smallest that links reach. Null ids never
-    win against others; a fingerprint that only null ids have stays null until a link gives it one."""
+    win against others; a fingerprint that only null ids have stays null until a link gives it one.
+    ``groups`` (node, component) are the linked fingerprints; by default those within RADIUS bits."""
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    groups = components(links(classes.select("fp")))
+    groups = components(links(classes.select("fp"))) if groups is None else groups
     named = cut(groups.join(classes, groups.node == classes.fp).select("fp", "id", "component"))
     least = named.groupBy("component").agg(F.min("id").alias("least"))
     reached = named.join(least, "component").select("fp", "least")
@@ -146,15 +161,89 @@ def components_of(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return found.select(F.col("id").alias(id_column), "fp", "component")
 
 
-def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def word_sets(texts: list[str | None], shingle: int = WORDS) -> list[np.ndarray]:
+    """The different shingles of each text as sorted 64-bit hashes; a text of fewer words is one shingle."""
+    parts, sizes = _hashed(texts, shingle, SEED)
+    ends = np.cumsum(sizes)
+    return [np.unique(x) for x in np.split(np.frombuffer(parts, ">u8").astype(np.uint64), ends[:-1])] if len(texts) else []
+
+
+@lru_cache(maxsize=64)
+def _word_set(text: str) -> np.ndarray:
+    return word_sets([text])[0]
+
+
+def word_jaccard(a: str, b: str) -> float:
+    """Similarity of two texts as sets of word shingles; two texts without a word are equal."""
+    x, y = _word_set(a), _word_set(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    held = word_sets(texts)
+    return (np.concatenate(held) >> np.uint64(32)).astype(np.uint32), np.array([len(x) for x in held], np.int64)
+
+
+def word_bands(hashes: np.ndarray) -> np.ndarray:
+    """Band values of a set of shingles: BANDS x ROWS permutations, each band mixes ROWS of their minima."""
+    draw = np.random.default_rng(SEED)
+    xor, odd = draw.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+    least = np.array([((hashes ^ x) * (a | np.uint64(1))).min() for x, a in zip(xor, odd, strict=True)]).reshape(BANDS, ROWS)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        out = lines._mix(out * np.uint64(31) + least[:, r])
+    return out.view(np.int64)
+
+
+def _banded(docs: DataFrame) -> DataFrame:
+    """(id, mark, fp, bands) of the rows (id, mark, text); ``fp`` is the hash of a text's set of shingles."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        worker_state(nothing, "simhash")
+        for part in arrow_slices(batches, "text", 1000, 1 << 20):
+            sets = word_sets(part.column("text").to_pylist())
+            fps = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            own = pa.array([word_bands(x) if len(x) else None for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), pa.array(fps), own], names=["id", "mark", "fp", "bands"])
+
+    return docs.mapInArrow(run, f"id {kind}, mark long, fp long, bands array<long>")
+
+
+def similar_sets(rows: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the sets ``fp`` in ``rows`` that are similar enough to another; ``docs`` has (mark, text).
+
+    Links and their buckets are handled as those of lines are, and only texts with a candidate are read again."""
+    classes = cut(rows.where("bands is not null").groupBy(F.col("fp").alias("k1")).agg(F.min_by("bands", "mark").alias("bands"), F.min("mark").alias("mark")))
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        wanted = cut(classes.join(keys, "k1", "left_semi").select("k1", "mark"))
+        shared = lines.key_filter(wanted, "mark")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                yield part.take(pa.array(lines.may_hold(shared.value, part.column("mark").to_numpy())))
+
+        found = docs.mapInArrow(run, "mark long, text string").join(wanted, "mark")
+        return found.groupBy("k1").agg(F.min("text").alias("line")).select("k1", "line", F.length("line").alias("size"))
+
+    groups = lines.linked(classes.select("k1", "bands"), texts_of, threshold, (_word_hashes, word_jaccard))
+    return groups.select(F.col("k1").alias("node"), "component")
+
+
+def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row of each group of near-duplicates, that of the smallest id (null ids last), with the columns of ``docs``.
 
+    Two texts link if their sets of WORDS-word shingles have a Jaccard similarity of ``threshold`` or more.
     Texts are shuffled once, to meet the row that stays; the rows before know them by hash.
     """
     modest_batches(docs.sparkSession)
     mark = F.xxhash64(F.col(text_column)).alias("mark")
-    rows = cut(docs.select(F.col(id_column).alias("id"), mark, fingerprint(F.col(text_column)).alias("fp")))
-    groups = near_duplicates(rows)
+    rows = stored(_banded(docs.select(F.col(id_column).alias("id"), mark, F.col(text_column).alias("text"))))
+    groups = near_duplicates(rows, cut(similar_sets(rows, docs.select(mark, F.col(text_column).alias("text")), threshold)))
     # a fingerprint's group is named by a fingerprint here, so that groups of null ids stay apart
     first = groups.groupBy(F.coalesce("component", "fp").alias("c"), F.col("component").isNull().alias("nameless")).agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "fp")).alias("m")).select("m.id", "m.fp")
     own = rows.join(first.withColumnRenamed("id", "kept"), "fp").where(F.col("id").eqNullSafe(F.col("kept")))
