@@ -1,7 +1,8 @@
 """Fuzzy line dedup by MinHash.
 
 Lines of at least ``MIN_CHARS`` characters, in lower case and with runs of blanks as one
-space, are sets of character shingles. One permutation hash fills a signature of BANDS x
+space, take part. Those under ``SHINGLE`` characters repeat only as equal lines; the others
+are sets of character shingles. One permutation hash fills a signature of BANDS x
 ROWS bins, empty bins borrow from others by a fixed draw (optimal densification), and lines
 that agree in a whole band are candidates: at the threshold 99 of 100 pairs are. Equal
 lines are one before that. Candidates are verified by exact Jaccard similarity over whole
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from marlpit.llm.common import arrow_slices, cut, modest_batches, nothing, stored, worker_state
 from marlpit.llm.graph import components
 
-SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS = 7, 9, 4, 0.8, 24
+SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS = 7, 9, 4, 0.8, 6
 #: About so many lines of a bucket are put in order together.
 PART = 4096
 #: A side of a block that is compared at once has about so many lines, or so many characters if that is fewer lines.
@@ -195,7 +196,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(own, names=["id", "mark", "line", "n_lines", "k1", "k2", "bands"])
             if held:
                 at, keys = pa.array(doc, pa.int64()), _keys(held)
-                new = np.array(once.new(keys), np.int64)
+                new = np.array([i for i in once.new(keys) if len(held[i]) >= SHINGLE], np.int64)
                 has = np.zeros(len(held), bool)
                 has[new] = True
                 values = bands([held[i] for i in new.tolist()]).ravel() if len(new) else np.zeros(0, np.int64)
@@ -230,7 +231,7 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
         for part in arrow_slices(batches, "text", 2000, 2 << 20):
-            held = [line for text in part.column("text").to_pylist() for _, line in _taking_part(text)]
+            held = [line for text in part.column("text").to_pylist() for _, line in _taking_part(text) if len(line) >= SHINGLE]
             if held:
                 keys = _keys(held)
                 k1, k2 = _halves(keys)
