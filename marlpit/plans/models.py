@@ -83,15 +83,15 @@ def trained(s, d, config):
 
 @query("mf_train")
 def mf_train(s, d):
-    """History of a short BPR training with item biases: loss and validation NDCG@10 of each round."""
-    _, history = trained(s, d, MF.Config(dim=8, rate=0.01, rounds=3, loss="bpr"))
+    """History of a BPR training with item biases: loss and validation NDCG@10 of each round."""
+    _, history = trained(s, d, MF.Config(dim=8, rate=0.01, loss="bpr"))
     return s.createDataFrame(history, "round int, loss double, validation_ndcg double")
 
 
 @query("eval_mf")
 def eval_mf(s, d):
     """Test metrics of a BCE model with cart popularity for cold users."""
-    state, _ = trained(s, d, MF.Config(dim=8, rate=0.01, rounds=2))
+    state, _ = trained(s, d, MF.Config(dim=8, rate=0.01))
     rel = D.relevance(A.events(s, d), "purchase")
     seen = rel.where("split = 'train'").select("user_id", "item_id")
     lists = MF.top_lists(state, D.candidates(A.items(s, d), "purchase"), seen, max(KS))

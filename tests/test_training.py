@@ -1,0 +1,20 @@
+"""Training runs as long as its operator says, and blocks do not thin out rare items."""
+
+import pytest
+
+from marlpit.operators import mf as MF
+from marlpit.plans import models
+
+
+@pytest.mark.parametrize("run", [models.mf_train, models.eval_mf])
+def test_queries_train_until_patience_ends_it(monkeypatch, run):
+    class Held(Exception):
+        pass
+
+    def held(s, d, config):
+        assert config.rounds == MF.Config.rounds > config.patience == MF.Config.patience
+        raise Held
+
+    monkeypatch.setattr(models, "trained", held)
+    with pytest.raises(Held):
+        run(None, None)
