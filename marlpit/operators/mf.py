@@ -1,9 +1,9 @@
 """Matrix factorization with BCE or BPR loss, biases, confidences and early stopping.
 
 Users are dealt into blocks by hash. In a round every block trains its users' vectors and
-its own copy of the items' with Adam on NumPy arrays; then the copies are averaged. A small
-job is one block and so plain mini-batch training; a large one never gathers more than a
-block's samples in a task. The driver sees one validation figure a round.
+its own copy of the items' with Adam on NumPy arrays; then the copies are averaged, each
+weighted by the item's samples in its block, so that blocks without any do not thin out an
+item's step. The number of blocks is fixed, whatever the input. The driver sees one validation figure a round.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ class Config:
     item_bias: bool = True
     user_bias: bool = False
     seed: int = 42
-    block_rows: int = 2_000_000
+    blocks: int = 64
 
 
 def bce(score: Column, label: Column) -> Column:
@@ -74,11 +74,12 @@ def _train_block(samples: pd.DataFrame, state: pd.DataFrame, c: Config, round_no
     of = {k: {v: n for n, v in enumerate(side[k]["id"].tolist())} for k in side}
     p, q = (np.array(side[k]["vec"].tolist(), float).reshape(-1, c.dim) for k in ("u", "i"))
     bu, bi = (side[k]["bias"].to_numpy(float).copy() for k in ("u", "i"))
-    loss, count = 0.0, 0
+    loss, count, drawn = 0.0, 0, np.zeros(len(q))
     if len(samples):
         rows = samples.sort_values(["user_id", "item_id", "sampled"])
         u, pos, neg = (np.array([of[k][x] for x in rows[n].tolist()]) for k, n in (("u", "user_id"), ("i", "item_id"), ("i", "sampled")))
         weight = rows["confidence"].to_numpy(float)
+        np.add.at(drawn, pos, 1.0), np.add.at(drawn, neg, 1.0)
         if c.loss == "bce":  # a positive once, its samples with confidence 1
             first = ~rows.duplicated(["user_id", "item_id"]).to_numpy()
             u, item = np.r_[u[first], u], np.r_[pos[first], neg]
@@ -105,8 +106,8 @@ def _train_block(samples: pd.DataFrame, state: pd.DataFrame, c: Config, round_no
                     np.add.at(gi, y, g), np.add.at(gi, z, -g)
                 count += len(b)
                 adam.step([gp, gq, gu * c.user_bias, gi * c.item_bias], c.rate, c.decay)
-    out = pd.concat([side["u"].assign(vec=list(p), bias=bu), side["i"].assign(vec=list(q), bias=bi)])
-    return out.assign(loss=loss / max(1, count), weight=float(count))[["kind", "id", "vec", "bias", "loss", "weight"]]
+    out = pd.concat([side["u"].assign(vec=list(p), bias=bu, drawn=1.0), side["i"].assign(vec=list(q), bias=bi, drawn=drawn)])
+    return out.assign(loss=loss / max(1, count), weight=float(count))[["kind", "id", "vec", "bias", "loss", "weight", "drawn"]]
 
 
 def _block_trainer(c: Config, round_no: int):
@@ -121,7 +122,7 @@ def train(samples: DataFrame, users: DataFrame, items: DataFrame, validate, c: C
 
     A round counts as better only beyond a margin of 1e-12; ``patience`` rounds without end the training.
     """
-    blocks = max(1, -(-samples.count() // c.block_rows))
+    blocks = c.blocks
     deal = lambda key: F.pmod(F.xxhash64(key), F.lit(blocks))
     dealt = cut(samples.select("user_id", "item_id", "sampled", "confidence", deal("user_id").alias("block")))
 
@@ -138,9 +139,10 @@ def train(samples: DataFrame, users: DataFrame, items: DataFrame, validate, c: C
         copies = state.where("kind = 'i'").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         held = home.unionByName(copies)
         run = _block_trainer(c, n)
-        out = cut(dealt.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(run, "kind string, id long, vec array<double>, bias double, loss double, weight double"))
-        mean = F.array(*(F.avg(F.col("vec")[i]) for i in range(c.dim)))
-        state = cut(out.groupBy("kind", "id").agg(mean.alias("vec"), F.avg("bias").alias("bias")))
+        out = cut(dealt.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(run, "kind string, id long, vec array<double>, bias double, loss double, weight double, drawn double"))
+        # an item that no block samples only decays, alike in all of them
+        mean = lambda x: F.when(F.sum("drawn") > 0, F.sum(x * F.col("drawn")) / F.sum("drawn")).otherwise(F.avg(x))
+        state = cut(out.groupBy("kind", "id").agg(F.array(*(mean(F.col("vec")[i]) for i in range(c.dim))).alias("vec"), mean(F.col("bias")).alias("bias")))
         loss = out.agg(F.sum(F.col("loss") * F.col("weight")) / F.sum("weight")).first()[0]
         figure = float(validate(state))
         history.append((n, float(loss or 0.0), figure))

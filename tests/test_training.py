@@ -18,3 +18,14 @@ def test_queries_train_until_patience_ends_it(monkeypatch, run):
     monkeypatch.setattr(models, "trained", held)
     with pytest.raises(Held):
         run(None, None)
+
+
+def test_item_sampled_in_one_block_keeps_its_step(spark):
+    samples = spark.createDataFrame([(1, i, 10 + i, 1.0) for i in range(5)], "user_id long, item_id long, sampled long, confidence double")
+    users, items = spark.range(1, 9).withColumnRenamed("id", "user_id"), spark.range(20).withColumnRenamed("id", "item_id")
+    state = {}
+    for blocks in (1, 7):
+        best, _ = MF.train(samples, users, items, lambda _: 1.0, MF.Config(dim=4, rate=0.05, rounds=1, blocks=blocks))
+        state[blocks] = {r["id"]: r["vec"] for r in best.where("kind = 'i'").collect()}
+    for i in [*range(5), *range(10, 15)]:
+        assert state[7][i] == pytest.approx(state[1][i])
