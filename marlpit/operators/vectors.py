@@ -19,8 +19,8 @@ def _blocks(rows: DataFrame, id: str, vector: str, size: int, name: str) -> Data
     return rows.groupBy(part.alias(f"{name}_block")).agg(F.collect_list(F.struct(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias(name))
 
 
-def score_blocks(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, vector: str = "vec", metric: str = "dot", block: int = 2048, skip_same: bool = False) -> DataFrame:
-    """(left_id, right_id, score): the k best of the right side for each left row, ties to the smaller id.
+def score_blocks(left: DataFrame, right: DataFrame, k: int | None, left_id: str, right_id: str, vector: str = "vec", metric: str = "dot", block: int = 2048, skip_same: bool = False) -> DataFrame:
+    """(left_id, right_id, score): the k best of the right side for each left row, ties to the smaller id. Without k it is all, unranked.
 
     Blocks of both sides meet in pairs and each pair is one matrix product that keeps k rows
     of the right for each left row, so at most k candidates a block go on to the last ranking.
@@ -44,6 +44,8 @@ def score_blocks(left: DataFrame, right: DataFrame, k: int, left_id: str, right_
                 yield pd.DataFrame(rows, columns=["l", "r", "score"])
 
     found = a.crossJoin(b).select("l", "r").mapInPandas(run, f"l {kinds[0]}, r {kinds[1]}, score double")
+    if k is None:
+        return found.select(F.col("l").alias(left_id), F.col("r").alias(right_id), "score")
     place = F.row_number().over(Window.partitionBy("l").orderBy(F.col("score").desc(), "r"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("l").alias(left_id), F.col("r").alias(right_id), "score", "rank")
 

@@ -52,11 +52,21 @@ _LINES = "SELECT l_partkey, count(*) AS lines, round(avg(l_discount), 6) AS mean
 @query("catalog_detail", f"SELECT p_partkey AS product_id, p_name AS name, p_brand AS brand, lines, mean_discount, mean_tax, flags FROM part LEFT JOIN ({_LINES}) ON l_partkey = p_partkey WHERE p_partkey BETWEEN 1 AND 50")
 def catalog_detail(s, d):
     """A product with its public attributes and tags gathered from the N side; key filter and columns reach both scans."""
-    lines = A.read(s, d, "lineitem").where("l_partkey between 1 and 50").groupBy("l_partkey").agg(
+    return details(A.catalog(s, d).where("product_id between 1 and 50"), A.read(s, d, "lineitem").where("l_partkey between 1 and 50"))
+
+
+@query("catalog_detail_all")
+def catalog_detail_all(s, d):
+    """The same for all products."""
+    return details(A.catalog(s, d), A.read(s, d, "lineitem"))
+
+
+def details(products, lineitem):
+    lines = lineitem.groupBy("l_partkey").agg(
         F.count("*").alias("lines"), F.map_from_arrays(F.array(F.lit("mean_discount"), F.lit("mean_tax")), F.array(F.round(F.avg("l_discount"), 6), F.round(F.avg("l_tax"), 6))).alias("attributes"),
         F.array_join(F.array_sort(F.collect_set("l_returnflag")), "|").alias("flags"),
     )
-    held = A.catalog(s, d).where("product_id between 1 and 50").join(lines, F.col("product_id") == F.col("l_partkey"), "left")
+    held = products.join(lines, F.col("product_id") == F.col("l_partkey"), "left")
     public = F.map_filter("attributes", lambda k, v: k.isin("mean_discount", "mean_tax"))
     return held.select("product_id", "name", "brand", "lines", public["mean_discount"].alias("mean_discount"), public["mean_tax"].alias("mean_tax"), "flags")
 
@@ -153,7 +163,16 @@ _VEC = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embe
 @query("nearest_neighbors", f"WITH {_VEC}, p AS (SELECT a.vec_id, b.vec_id AS neighbor, round(list_inner_product(a.vec, b.vec) / sqrt(list_inner_product(a.vec, a.vec)) / sqrt(list_inner_product(b.vec, b.vec)), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id < 300 AND b.vec_id < 300) SELECT vec_id, neighbor, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor) AS INT) AS rank FROM p QUALIFY rank <= 5")
 def nearest_neighbors(s, d):
     """Five nearest by cosine over a catalog of the first 300 vectors, the size of the domain's item table."""
-    held = vectors(s, d).where("vec_id < 300")
+    return neighbors(vectors(s, d).where("vec_id < 300"))
+
+
+@query("nearest_neighbors_all")
+def nearest_neighbors_all(s, d):
+    """The same over all vectors."""
+    return neighbors(vectors(s, d))
+
+
+def neighbors(held):
     return rounded(V.score_blocks(held, held.withColumnRenamed("vec_id", "neighbor"), 5, "vec_id", "neighbor", metric="cosine", skip_same=True), "score", places=6)
 
 
@@ -190,14 +209,14 @@ def model(s, d):
 @query("score_all_items", _SCORED + " SELECT user_id, item_id, round(mf, 6) AS score FROM sx")
 def score_all_items(s, d):
     u, i = model(s, d)
-    held = V.score_blocks(u, i.where("status = 'available'").select("item_id", "vec"), 1_000_000, "user_id", "item_id")
+    held = V.score_blocks(u, i.where("status = 'available'").select("item_id", "vec"), None, "user_id", "item_id")
     return held.select("user_id", "item_id", F.round("score", 6).alias("score"))
 
 
 @query("topk_scored", _SCORED + " SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY mf DESC, item_id) AS INT) AS position FROM sx WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM seen WHERE task = 'purchase') QUALIFY position <= 10")
 def topk_scored(s, d):
     u, i = model(s, d)
-    scores = V.score_blocks(u, i.where("status = 'available'").select("item_id", "vec"), 1_000_000, "user_id", "item_id").select("user_id", "item_id", "score")
+    scores = V.score_blocks(u, i.where("status = 'available'").select("item_id", "vec"), None, "user_id", "item_id").select("user_id", "item_id", "score")
     return R.top_k_scored(scores.join(D.train_seen(train(s, d), "purchase"), ["user_id", "item_id"], "left_anti"), 10).select("user_id", "item_id", "position")
 
 
@@ -211,7 +230,7 @@ _HYBRID = _SCORED + """, z AS (SELECT user_id, item_id, coalesce((mf - avg(mf) O
 
 def pair_scores(s, d):
     u, i = model(s, d)
-    scores = V.score_blocks(u, i.where("status = 'available'").select("item_id", "vec"), 1_000_000, "user_id", "item_id")
+    scores = V.score_blocks(u, i.where("status = 'available'").select("item_id", "vec"), None, "user_id", "item_id")
     cart = R.popularity_scores(train(s, d), A.items(s, d)).select("item_id", "cart")
     return scores.join(cart, "item_id").select("user_id", "item_id", F.col("score").alias("mf"), "cart")
 
@@ -302,16 +321,40 @@ def date_functions(s, d):
 def preference_match(s, d):
     """Preferences of 20 profiles against 100 products, attributes standardised over the whole catalog."""
     held = vectors(s, d).where("vec_id < 120")
+    return matches(held, F.col("vec_id") < 20, F.col("vec_id") >= 20)
+
+
+@query("preference_match_all")
+def preference_match_all(s, d):
+    """Preferences of every vector against all others, attributes standardised over all vectors."""
+    return matches(vectors(s, d), F.lit(True), F.lit(True)).where("user_vec <> item_vec")
+
+
+def matches(held, profile, product):
     long = held.select("vec_id", F.posexplode("vec").alias("i", "x"))
     stats = long.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
     z = long.join(F.broadcast(stats), "i").groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("i", ((F.col("x") - F.col("m")) / F.col("sd")).alias("z"), S.logistic(F.col("x")).alias("p")))).alias("a"))
-    users = z.where("vec_id < 20").select(F.col("vec_id").alias("user_vec"), F.transform("a", lambda x: x["p"]).alias("p"))
-    items = z.where("vec_id >= 20").select(F.col("vec_id").alias("item_vec"), F.transform("a", lambda x: x["z"]).alias("z"))
-    return users.crossJoin(F.broadcast(items)).select("user_vec", "item_vec", F.round(S.preference_match(F.col("p"), F.col("z")), 6).alias("match"))
+    users = z.where(profile).select(F.col("vec_id").alias("user_vec"), F.transform("a", lambda x: x["p"]).alias("p"))
+    items = z.where(product).select(F.col("vec_id").alias("item_vec"), F.transform("a", lambda x: x["z"]).alias("z"))
+    return users.crossJoin(items).select("user_vec", "item_vec", F.round(S.preference_match(F.col("p"), F.col("z")), 6).alias("match"))
 
 
 @query("continuity_score", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(0.65 * CAST(a.p_type = b.p_type AS INT) + 0.35 * (1 - (abs(a.p_size - b.p_size) / CAST(50 AS DOUBLE) + abs(a.p_retailprice - b.p_retailprice) / CAST(5000 AS DOUBLE)) / 2), 9) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE a.p_partkey <= 200 AND b.p_partkey <= 200")
 def continuity_score(s, d):
-    held = A.catalog(s, d).where("product_id <= 200").select("product_id", "brand", "category", F.array(F.col("size") / 50.0, F.col("retail") / 5000.0).alias("v"))
-    both = held.alias("a").join(held.alias("b"), (F.col("a.brand") == F.col("b.brand")) & (F.col("a.product_id") < F.col("b.product_id")))
+    return continuity_pairs(A.catalog(s, d).where("product_id <= 200"))
+
+
+@query("continuity_score_all")
+def continuity_score_all(s, d):
+    """The same for all pairs of a brand's products. Each brand is dealt into groups whose pairs meet in tasks of their own."""
+    return continuity_pairs(A.catalog(s, d), 16)
+
+
+def continuity_pairs(products, groups=1):
+    held = products.select("product_id", "brand", "category", F.array(F.col("size") / 50.0, F.col("retail") / 5000.0).alias("v"))
+    own, every = F.pmod(F.xxhash64("product_id"), F.lit(groups)), F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))
+    a = held.withColumn("i", own).withColumn("j", F.explode(every)).alias("a")
+    b = held.withColumn("j", own).withColumn("i", F.explode(every)).alias("b")
+    met = (F.col("a.brand") == F.col("b.brand")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    both = a.join(b, met & (F.col("a.product_id") < F.col("b.product_id")))
     return both.select(F.col("a.product_id").alias("a"), F.col("b.product_id").alias("b"), F.round(S.continuity(F.col("a.category") == F.col("b.category"), F.col("a.v"), F.col("b.v")), 9).alias("score"))
