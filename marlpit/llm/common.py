@@ -12,7 +12,8 @@ from uuid import uuid4
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of anything but space, tab, LF, VT, FF and CR.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -26,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`").alias(c) for c in df.columns))
+
+
 T = TypeVar("T")
 _OWN: dict[str, str] = {}
 
@@ -33,7 +39,7 @@ _OWN: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for all its machines; only a local session without one (tests) gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return named or _OWN.setdefault("folder", tempfile.mkdtemp(prefix="marlpit-checkpoint-"))
 

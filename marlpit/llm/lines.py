@@ -10,41 +10,49 @@ lines, verified pairs are the edges of a distributed union-find, and of each com
 the line that comes first stays.
 
 A bucket of lines that share a band value is not paired out. Links are found in two steps.
-First each of its lines is held against the line that collides most in all bands, which
-the source of a family of variants does, against the bucket's smallest, and against its
-neighbours in two orders that bring lines together which share another band too. That is
+First each of its lines is held against four leaders: the line that collides most in all
+bands, which the source of a family of variants does, the bucket's smallest, and the ones
+that collide most among those that share its lowest or its highest band too. That is
 linear in the lines and links nearly all that belongs together. Then every bucket that
 still has several components is settled exactly: its lines outside its largest component
 meet all its others, in blocks of some hundred lines by some hundred lines dealt to tasks
-of their own, and a block counts common shingles by an index instead of pair by pair. So
-components are those of all candidate pairs, whatever a bucket's size.
+of their own, and a block counts common shingles by an index instead of pair by pair. A
+bucket with thousands of lines outside, as lines of one template that are no variants of
+each other make, is first parted by an exact prefix filter: its shingles are ordered by
+their frequency in it, and two lines can only be similar if they share one of the rarest
+fifth of their shingles. So components are those of all candidate pairs, whatever a bucket's size.
+
+No step takes a bucket into one task: shared bands are found in a range-partitioned order
+of (band, line), in which only neighbours are compared, and what is summed up by bucket
+meets its lines in joins that adaptive execution splits. Lines are known by 128 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import arrow_slices, cut, modest_batches, nothing, stored, worker_state
+from marlpit.llm.common import arrow_slices, cut, modest_batches, nothing, row_of, stored, worker_state
 from marlpit.llm.graph import components
 
 SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS = 7, 9, 4, 0.8, 6
-#: About so many lines of a bucket are put in order together.
-PART = 4096
 #: A side of a block that is compared at once has about so many lines, or so many characters if that is fewer lines.
 BLOCK, BLOCK_CHARS = 256, 1 << 19
+#: A bucket with more lines outside its largest component than so many blocks hold is parted by rare shingles.
+OUTSIDE = 16
 #: Edges that a task of the union-find takes at least.
 EDGES = 50_000
 #: Lines that a task remembers to ship the bands of equal ones once.
 REMEMBERED = 300_000
-#: The filter that fetches candidate texts has so many bits, whatever the input: 1 MB.
-FILTER_BITS = 23
+#: The filter that fetches candidate texts has eight bits for each key, and 2 to the power of these at least and at most: 1 to 16 MB.
+FILTER_BITS = (23, 27)
+#: Shingles that a worker remembers, and characters from which a text's are not sets of strings and a pair is compared by itself.
+HELD_SHINGLES, LONG = 1 << 20, 1 << 16
 #: Characters whose signatures are made at once.
 RUN = 1 << 16
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -209,24 +217,30 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def key_filter(keys: DataFrame, name: str = "k1"):
-    """A broadcast filter of fixed size over the keys in column ``name``, for ``may_hold``."""
-    bit = F.col(name).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    """A broadcast filter over the long keys in column ``name``, for ``may_hold``; it has at most 2 ** FILTER_BITS[1] bits."""
+    bits = min(max((8 * keys.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    bit = F.col(name).bitwiseAND(F.lit((1 << bits) - 1))
     held = keys.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("b")).toPandas()
-    mask = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    mask = np.zeros(1 << (bits - 6), np.uint64)
     mask[held["w"].to_numpy(np.int64)] = held["b"].to_numpy(np.int64).view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(mask)
 
 
 def may_hold(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of the keys that the filter lets pass: all that it was made of, and some others."""
-    bits = keys.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    bits = keys.view(np.uint64) & np.uint64(64 * len(mask) - 1)
     return np.flatnonzero(mask[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1))
 
 
+def half(key: str, which: int):
+    """The first or second half of a 128-bit key as a long."""
+    return F.conv(F.hex(F.substring(key, 1 + 8 * which, 8)), 16, -10).cast("long")
+
+
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(k1, line) of the lines with one of the ``keys``, and of some others: a fixed-size filter of key
-    bits drops most lines where they are read; a full filter only means that more are shuffled."""
-    shared = key_filter(keys)
+    """(k, line, size) of the lines with one of the ``keys``, and of some others: a filter of key bits drops
+    most lines where they are read. It has room for 16 million keys; beyond that more lines are shuffled."""
+    shared = key_filter(keys.select(half("k", 0).alias("k1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
@@ -234,27 +248,54 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
             held = [line for text in part.column("text").to_pylist() for _, line in _taking_part(text) if len(line) >= SHINGLE]
             if held:
                 keys = _keys(held)
-                k1, k2 = _halves(keys)
-                hit = may_hold(shared.value, k1)
-                hit = hit[once.new([keys[i] for i in hit.tolist()])]
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(k1[hit]), pa.array(k2[hit]), pa.array([held[i] for i in hit.tolist()], pa.string())], names=["k1", "k2", "line"])
+                hit = may_hold(shared.value, _halves(keys)[0])
+                hit = hit[once.new([keys[i] for i in hit.tolist()])].tolist()
+                if hit:
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), pa.array([held[i] for i in hit], pa.string())], names=["k", "line"])
+
+    found = docs.select("text").mapInArrow(run, "k binary, line string")
+    return found.groupBy("k").agg(F.first("line").alias("line")).select("k", "line", F.length("line").alias("size"))
+
+
+class Remembered:
+    """What ``make`` gives for texts, as long as it has no more than ``limit`` parts in all."""
+
+    def __init__(self, make: Callable[[str], frozenset | np.ndarray], limit: int):
+        self.make, self.limit, self.held, self.total = make, limit, {}, 0
+
+    def __call__(self, text: str):
+        if (found := self.held.get(text)) is None:
+            found = self.make(text)
+            if self.total + len(found) > self.limit:
+                self.held, self.total = {}, 0
+            if len(found) <= self.limit // 4:
+                self.held[text] = found
+                self.total += len(found)
+        return found
+
 
-    found = docs.select("text").mapInArrow(run, "k1 long, k2 long, line string")
-    # lines are linked by the first half of their key; different lines that share it (odds of 2 to the -64) are left alone
-    one = found.groupBy("k1").agg(F.first("line").alias("line"), F.min("k2").alias("a"), F.max("k2").alias("b")).where("a = b")
-    return one.select("k1", "line", F.length("line").alias("size"))
+def shingles(line: str) -> frozenset[str]:
+    return frozenset([line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)])
 
 
-@lru_cache(maxsize=512)
-def _shingles(line: str, shingle: int = SHINGLE) -> frozenset[str]:
-    return frozenset([line[i : i + shingle] for i in range(len(line) - shingle + 1)])
+_shingles = Remembered(shingles, HELD_SHINGLES)
 
 
-def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
+def _long_shingles(line: str) -> np.ndarray:
+    """The shingles of a long line as sorted rows of code points: a fifth of the memory of a set."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    runs = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, SHINGLE))
+    return np.unique(runs.view(f"V{4 * SHINGLE}").ravel())
+
+
+def jaccard(a: str, b: str) -> float:
     """Similarity of two normal lines as sets of shingles."""
-    x, y = _shingles(a, shingle), _shingles(b, shingle)
-    both = len(x & y)
+    if len(a) > LONG or len(b) > LONG:
+        x, y = _long_shingles(a), _long_shingles(b)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+    else:
+        x, y = _shingles(a), _shingles(b)
+        both = len(x & y)
     return both / (len(x) + len(y) - both)
 
 
@@ -268,32 +309,40 @@ OF_LINES: Measure = (_line_hashes, jaccard)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, measure: Measure = OF_LINES) -> DataFrame:
-    """The rows with line keys a and b whose lines are similar enough."""
+    """The rows with line keys a and b whose lines are similar enough. Pairs with a long text are handed to Python one by one."""
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         worker_state(nothing, "lines")
         return pd.Series([measure[1](x, y) >= threshold for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    left, right = (texts.select(F.col("k1").alias(c), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
-    met = pairs.join(right, "b").join(left, "a")  # rows of one a, mostly a bucket's leader, come together
-    return met.where(similar("a_line", "b_line")).select("a", "b")
+    def one(pair: pd.DataFrame) -> pd.DataFrame:
+        first = pair.iloc[:1]
+        return first[["a", "b"]] if measure[1](first["a_line"].iloc[0], first["b_line"].iloc[0]) >= threshold else first[["a", "b"]].iloc[:0]
+
+    left, right = (texts.select(F.col("k").alias(c), F.col("line").alias(f"{c}_line"), F.col("size").alias(f"{c}_size")) for c in ("a", "b"))
+    sized = stored(pairs.join(right.select("b", "b_size"), "b").join(left.select("a", "a_size"), "a")) if texts.where(F.col("size") > LONG).limit(1).count() else None
+    short = pairs if sized is None else sized.where(F.greatest("a_size", "b_size") <= LONG).select("a", "b")
+    met = short.join(right, "b").join(left, "a")  # rows of one a, mostly a bucket's leader, come together
+    found = met.where(similar("a_line", "b_line")).select("a", "b")
+    if sized is None:
+        return found
+    large = sized.where(F.greatest("a_size", "b_size") > LONG).select("a", "b").join(right, "b").join(left, "a")
+    return found.unionByName(large.groupBy("a", "b").applyInPandas(one, "a binary, b binary"))
 
 
 def candidate_pairs(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) to verify first, from the buckets (band, k1, n) of more than one line."""
-    about = shared.groupBy("k1").agg(F.sum("n").alias("degree"), F.min("band").alias("lo"), F.max("band").alias("hi"))
-    held = stored(shared.join(about, "k1"))
-    one = F.struct("degree", "k1")
-    lead = cut(held.groupBy("band").agg(F.array(F.max(one), F.min_by(one, "k1")).alias("leaders")))
+    """Pairs (a, b) to verify first, from the buckets (band, k, n) of more than one line."""
+    about = shared.groupBy("k").agg(F.sum("n").alias("degree"), F.min("band").alias("lo"), F.max("band").alias("hi"))
+    held = stored(shared.join(about, "k"))
+    one = F.struct("degree", "k")
+    lead = cut(held.groupBy("band").agg(F.array(F.max(one), F.min_by(one, "k")).alias("leaders")))
     found = held.select("band", one.alias("y")).join(lead, "band").select(F.explode("leaders").alias("x"), "y")
-    for near, far in (("lo", "hi"), ("hi", "lo")):
-        # lines that share the near band too stay in one part
-        part = F.pmod(F.xxhash64(near), F.ceil(F.col("n") / PART))
-        order = Window.partitionBy("band", "part").orderBy(near, far, "k1")
-        found = found.unionByName(held.withColumn("part", part).select(F.lag(one).over(order).alias("x"), one.alias("y")).where("x is not null"))
+    for near in ("lo", "hi"):
+        lead = held.groupBy("band", near).agg(F.max(one).alias("x"), F.count("*").alias("of")).where("of > 1").drop("of")
+        found = found.unionByName(held.select("band", near, one.alias("y")).join(lead, ["band", near]).select("x", "y"))
     # the end with more collisions goes first, so that a leader's pairs are verified one after the other
-    return found.where("x.k1 <> y.k1").select(F.greatest("x", "y")["k1"].alias("a"), F.least("x", "y")["k1"].alias("b")).distinct()
+    return found.where("x.k <> y.k").select(F.greatest("x", "y")["k"].alias("a"), F.least("x", "y")["k"].alias("b")).distinct()
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -314,16 +363,16 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def block_links(left: list[str], right: list[str], left_groups: list[int], right_groups: list[int], threshold: float, measure: Measure = OF_LINES) -> list[tuple[int, int]]:
+def block_links(left: list[str], right: list[str], left_groups: list, right_groups: list, threshold: float, measure: Measure = OF_LINES) -> list[tuple]:
     """Links between groups of lines: for all similar pairs of a left and a right line they connect the two lines' groups.
 
     An index of the right lines' shingles gives a left line's common ones with all of them at
     once, by hash; what is near the threshold or above it is compared exactly.
     """
     hashes, similarity = measure
-    parent: dict[int, int] = {}
+    parent: dict = {}
 
-    def root(c: int) -> int:
+    def root(c):
         while (up := parent.get(c, c)) != c:
             c = up
         return c
@@ -350,23 +399,59 @@ def block_links(left: list[str], right: list[str], left_groups: list[int], right
     return found
 
 
+def _unsettled(named: DataFrame) -> DataFrame:
+    """(band, main, rows, columns) of the buckets with several components: the largest, and the blocks that its
+    other lines and all its lines make."""
+    held = named.groupBy("band", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    buckets = held.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("n", "c", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("groups > 1")
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_CHARS), F.lit(1)).cast("int")
+    return cut(buckets.select("band", F.col("top.c").alias("main"), parts(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("rows"), parts(F.col("n"), F.col("size")).alias("columns")))
+
+
+def _by_rare_shingles(named: DataFrame, texts: DataFrame, threshold: float, measure: Measure) -> DataFrame:
+    """The rows (band, k, c, size) dealt anew: a bucket's lines that share one of their rarest shingles, by its
+    frequency in the bucket, make a bucket. Two sets with a Jaccard similarity of t share t of the larger
+    one, so they meet in the rarest of what is left; hashes count as shingles, hence a margin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(nothing, "lines")
+        for part in arrow_slices(batches, "line", 1000, 1 << 20):
+            h, n = measure[0](part.column("line").to_pylist())
+            owner = np.repeat(np.arange(part.num_rows, dtype=np.uint64), n)
+            own = np.unique(owner << np.uint64(32) | h)
+            ends = np.searchsorted(own, np.arange(part.num_rows + 1, dtype=np.uint64) << np.uint64(32))
+            values = pa.array((own & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("band", "k", "c", "size")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], names=["band", "k", "c", "size", "hashes"])
+
+    held = stored(named.join(texts.select("k", "line"), "k").select("band", "k", "c", "size", "line").mapInArrow(run, "band long, k binary, c binary, size long, hashes array<int>"))
+    each = held.select("band", "k", F.explode("hashes").alias("h"))
+    often = each.groupBy("band", "h").agg(F.count("*").alias("n"))
+    placed = stored(each.join(often, ["band", "h"]).groupBy("band", "k").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("order")))
+    size = F.size("order")
+    rare = F.filter(F.slice("order", 1, size - F.ceil((threshold - 0.02) * size).cast("int") + 1), lambda x: x["n"] > 1)
+    fine = placed.select("band", "k", F.explode(rare).alias("x")).join(held.select("band", "k", "c", "size"), ["band", "k"])
+    return fine.select(F.xxhash64("band", "x.h").alias("band"), "k", "c", "size")
+
+
 def remaining_links(shared: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, measure: Measure = OF_LINES) -> DataFrame:
     """Links (a, b) between components, from all pairs of lines that share a bucket and are in different ones.
 
     ``groups`` (node, component) is what links found so far make of the lines; a line
     without a row is a component by itself. A bucket of two lines is settled already.
     """
-    named = shared.where("n > 2").join(groups, F.col("k1") == F.col("node"), "left").select("band", "k1", F.coalesce("component", "k1").alias("c"))
-    named = stored(named.join(texts.select("k1", "size"), "k1"))
-    held = named.groupBy("band", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    buckets = held.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("n", "c", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("groups > 1")
-    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_CHARS), F.lit(1)).cast("int")
-    buckets = cut(buckets.select("band", F.col("top.c").alias("main"), parts(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("rows"), parts(F.col("n"), F.col("size")).alias("columns")))
-    at = lambda n: F.pmod(F.xxhash64("k1"), F.col(n)).cast("int")
+    named = shared.where("n > 2").join(groups, F.col("k") == F.col("node"), "left").select("band", "k", F.coalesce("component", "k").alias("c"))
+    named = stored(named.join(texts.select("k", F.col("size").cast("long")), "k"))
+    buckets = _unsettled(named)
+    crowded = buckets.where(F.col("rows") > OUTSIDE).select("band")
+    if crowded.limit(1).count():
+        fine = _by_rare_shingles(named.join(crowded, "band", "left_semi"), texts, threshold, measure)
+        named = stored(named.join(crowded, "band", "left_anti").unionByName(fine, allowMissingColumns=False).select("band", "k", "c", "size"))
+        buckets = _unsettled(named)
+    at = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
     right = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), at("columns").alias("j"), F.lit(False).alias("left")))
     left = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(at("rows").alias("i"), j.alias("j"), F.lit(True).alias("left")))
-    dealt = named.join(buckets, "band").select("band", "k1", "c", F.when(F.col("c") == F.col("main"), right).otherwise(F.concat(right, left)).alias("to"))
-    rows = dealt.join(texts.select("k1", "line"), "k1").select("band", F.explode("to").alias("to"), "c", "line").select("band", "to.*", "c", "line")
+    dealt = named.join(buckets, "band").select("band", "k", "c", F.when(F.col("c") == F.col("main"), right).otherwise(F.concat(right, left)).alias("to"))
+    rows = dealt.join(texts.select("k", "line"), "k").select("band", F.explode("to").alias("to"), "c", "line").select("band", "to.*", "c", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(nothing, "lines")
@@ -374,32 +459,64 @@ def remaining_links(shared: DataFrame, groups: DataFrame, texts: DataFrame, thre
             isleft, lines, c = (block.column(x).to_pylist() for x in ("left", "line", "c"))
             pick = lambda values, side: [v for v, s in zip(values, isleft, strict=True) if s is side]  # noqa: B023, E731
             if found := block_links(pick(lines, True), pick(lines, False), pick(c, True), pick(c, False), threshold, measure):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     met = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a binary, b binary")
+
+
+def _shared_bands(banded: DataFrame) -> DataFrame:
+    """(band, k) of the bands with several keys, each once, from (band, k1, k2); and of some others with one.
+
+    Rows are range-partitioned by band and key, so a band of many keys lies in many partitions
+    and equal rows in one. A band that a partition begins or ends with may go on in another.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row so far and whether its band has had another key here
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(c).to_numpy() for c in ("band", "k1", "k2")], axis=1)
+            first = held is None
+            if not first:
+                rows = np.concatenate([held[0], rows])
+            rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
+            same = rows[1:, 0] == rows[:-1, 0]
+            met = np.r_[first or held[1], same] | np.r_[same, False]
+            held = rows[-1:], bool(met[-1])
+            if out := np.flatnonzero(met[:-1]).tolist():
+                yield _keyed(rows[out])
+        if held is not None:
+            yield _keyed(held[0])
+
+    order = banded.repartitionByRange("band", "k1").sortWithinPartitions("band", "k1", "k2")
+    return order.mapInArrow(run, "band long, k binary")
+
+
+def _keyed(rows: np.ndarray) -> pa.RecordBatch:
+    keys = np.ascontiguousarray(rows[:, 1:]).astype(">i8").tobytes()
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array([keys[i : i + 16] for i in range(0, len(keys), 16)], pa.binary())], names=["band", "k"])
 
 
 def line_components(lines: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(k1, component) of the different lines that link to another, by the first half of their keys."""
+    """(k, component) of the different lines that link to another."""
     return linked(lines, lambda keys: _texts(docs, keys), threshold)
 
 
 def linked(lines: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, measure: Measure = OF_LINES) -> DataFrame:
-    """The same for any texts with (k1, bands); ``texts_of`` gives (k1, line, size) of at least the keys it is handed."""
-    banded = lines.where("bands is not null").select("k1", F.explode("bands").alias("band"))
-    # most bands have one line; one exchange and sort finds the others and drops what several tasks sent of equal lines
-    order = Window.partitionBy("band").orderBy("k1")
-    ends = banded.select("band", "k1", F.lag("k1").over(order).alias("before"), F.lead("k1").over(order).alias("after"))
-    met = stored(ends.where("before is not null and before <> k1 or before is null and after is not null"))
+    """(k, component) for any texts with a 128-bit key (k1, k2) and bands; ``texts_of`` gives (k, line, size) of
+    at least the keys k it is handed."""
+    banded = lines.where("bands is not null").select(F.explode("bands").alias("band"), "k1", "k2")
+    met = stored(_shared_bands(banded))
     sizes = cut(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(met.select("band", "k1").join(sizes, "band"))
+    shared = cut(met.join(sizes, "band"))
     pairs = candidate_pairs(shared)
-    texts = stored(texts_of(shared.select("k1").distinct()))
+    texts = stored(texts_of(cut(shared.select("k").distinct())))
     groups = cut(components(cut(_verified(pairs, texts, threshold, measure)), rows_per_task=EDGES))
     merged = cut(components(cut(remaining_links(shared, groups, texts, threshold, measure)), rows_per_task=EDGES).select(F.col("node").alias("of"), F.col("component").alias("into")))
-    known = groups.join(merged, F.col("component") == F.col("of"), "left").select(F.col("node").alias("k1"), F.coalesce("into", "component").alias("component"))
-    return known.unionByName(merged.join(groups, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("k1"), F.col("into").alias("component")))
+    known = groups.join(merged, F.col("component") == F.col("of"), "left").select(F.col("node").alias("k"), F.coalesce("into", "component").alias("component"))
+    return known.unionByName(merged.join(groups, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("k"), F.col("into").alias("component")))
 
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -407,19 +524,21 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Earlier is by id (null last), then by line. A document is known by id and text, so rows
     that repeat are one document and get equal results. Null text is one empty line; lines
-    under ``MIN_CHARS`` characters, and with them blank ones, always stay.
+    under ``MIN_CHARS`` characters, and with them blank ones, always stay. Lines of any length
+    take part whole. Only the two named columns are read, so others may have any names; an
+    empty table gives no rows.
     """
     modest_batches(docs.sparkSession)
     own = _identified(docs, id_column, text_column)
     lines = stored(_lines(own))
-    groups = line_components(lines, own, threshold)
+    groups = line_components(lines, own, threshold).select(half("k", 0).alias("k1"), half("k", 1).alias("k2"), "component")
     parts = lines.where("k1 is not null").select("id", "mark", "line", "k1", "k2")
     place = F.struct(F.col("id").isNull().alias("o"), "id", "mark", "line")
     firsts = parts.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.count("*").alias("n"))
     # an unlinked line that occurs once stays, so it needs no second look
-    named = cut(firsts.join(groups, "k1", "left").where("n > 1 or component is not null").select("k1", "k2", "place", F.struct(F.coalesce("component", "k1").alias("c"), F.when(F.col("component").isNull(), F.col("k2")).alias("own")).alias("component")))
-    lead = named.groupBy("component").agg(F.min("place").alias("stays"))
-    stays = cut(named.join(lead, "component").select("k1", "k2", "stays"))
+    named = cut(firsts.join(groups, ["k1", "k2"], "left").where("n > 1 or component is not null").select("k1", "k2", "place", "component"))
+    lead = named.where("component is not null").groupBy("component").agg(F.min("place").alias("first"))
+    stays = cut(named.join(lead, "component", "left").select("k1", "k2", F.coalesce("first", "place").alias("stays")))
     gone = parts.join(stays, ["k1", "k2"]).where(place != F.col("stays"))
     by_doc = gone.groupBy("id", "mark").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     heads = lines.where("line = -1").select("id", "mark", "n_lines")
@@ -429,11 +548,15 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the repeating lines taken out of the text; a document all of whose lines repeat goes. Other columns stay as they are."""
-    gone = dropped_lines(docs, id_column, text_column, threshold).where("size(dropped) > 0").select(F.col(id_column).alias("__id"), F.col("mark").alias("__mark"), "n_lines", F.col("dropped").alias("__gone")).dropDuplicates(["__id", "__mark"])
-    held = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
-    met = held.join(gone, F.col(f"`{id_column}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
-    rest = F.array_join(F.filter(F.split(text_column, "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("long"))), "\n")
-    whole = met.where("__gone is null or size(__gone) < n_lines")
-    text = F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(rest)
-    return whole.select(*((text.alias(c) if c == text_column else F.col(f"`{c}`")) for c in docs.columns))
+    """``docs`` with the repeating lines taken out of the text; a document all of whose lines repeat goes.
+
+    Other columns stay as they are, whatever their names. Rows that repeat (same id and text)
+    are one document: each comes back, alike. A null text stays null; an empty table stays empty.
+    """
+    gone = dropped_lines(docs, id_column, text_column, threshold).where("size(dropped) > 0").select(F.col(id_column).alias("of"), F.col("mark").alias("of_mark"), "n_lines", "dropped").dropDuplicates(["of", "of_mark"])
+    held = docs.select(row_of(docs).alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("mark"))
+    met = held.join(gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i.cast("long"))), "\n")
+    whole = met.where("dropped is null or size(dropped) < n_lines")
+    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(rest)
+    return whole.select(*((text.alias(c) if c == text_column else F.col("row")[c].alias(c)) for c in docs.columns))

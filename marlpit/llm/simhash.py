@@ -8,8 +8,12 @@ the chains of one and two segments must be equal, those of three and four may di
 one bit. Equal chains are join keys, the longer chains prune a pair before its full
 distance is taken.
 
-A key that many different fingerprints share, as variants of one text do, is not paired
-out. Its fingerprints meet at the points half-way: two fingerprints within 2 bits are
+A key that many different fingerprints share is split by a further chain: over a longer
+chain a pair differs in at most one bit, so of the segments that it adds to the equal ones
+at least one is equal too. With five segments that makes keys of 38 bits instead of 26,
+enough for 10^10 unrelated fingerprints. What is still crowded then are variants of one text, as thousands of
+copies with a small change are; pairs would grow with their square, so here the method
+differs from pigeonring filtering: fingerprints meet at the points half-way. Two fingerprints within 2 bits are
 both within 1 bit of some 64-bit value, and all that are within 1 bit of one value are
 within 2 of each other. A value has at most 65 such neighbours, each fingerprint names 65
 values, and those at one value link to the smallest. That is exact, whatever the group's size.
@@ -21,7 +25,6 @@ Jaccard similarity of their word shingles, for which 2 bits of 64 are far too fe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,13 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.llm import lines
-from marlpit.llm.common import arrow_slices, cut, modest_batches, nothing, stored, worker_state
+from marlpit.llm.common import arrow_slices, cut, modest_batches, nothing, row_of, stored, worker_state
 from marlpit.llm.graph import components
 
 RADIUS, SEGMENTS, SHINGLE, SEED = 2, 5, 3, 42
 #: ``keep_first``: words of a shingle, least Jaccard similarity, MinHash bands and their rows. Bands miss 3 of 100,000 pairs at the threshold.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
-#: A key of more fingerprints than this goes the way of half-way points; below it pairs are fewer.
+#: A key of more fingerprints than this is split, and goes the way of half-way points if that does not help.
 CROWD = 128
 
 
@@ -112,19 +115,18 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, crowd:
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2")
     masks, budget = chain_masks(segments), [n * radius // segments for n in range(1, segments + 1)]
-    equal = max(n for n in range(1, segments + 1) if budget[n - 1] == 0)
-    key = F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m[equal - 1]))).alias("bits")) for i, m in enumerate(masks)))
-    keyed = fps.select("fp", F.explode(key).alias("key")).select("fp", "key.i", "key.bits")
-    counts = cut(keyed.groupBy("i", "bits").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = keyed.join(counts, ["i", "bits"])
-    small = shared.where(F.col("n") <= crowd)
-    left, right = (small.select("i", "bits", F.col("fp").alias(c)) for c in ("a", "b"))
+    equal, single = (max((n for n in range(1, segments + 1) if budget[n - 1] == b), default=0) for b in (0, 1))
+    key = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(-1).alias("j"), F.col("fp").bitwiseAND(F.lit(_signed(m[equal - 1]))).alias("bits")) for i, m in enumerate(masks)))
     diff = F.col("a").bitwiseXOR(F.col("b"))
     within = F.lit(True)
     for n in range(equal + 1, segments):
         within &= F.bit_count(diff.bitwiseAND(F.element_at(F.array(*(F.lit(_signed(m[n - 1])) for m in masks)), F.col("i") + 1))) <= budget[n - 1]
-    pairs = left.join(right, ["i", "bits"]).where("a < b").where(within).where(F.bit_count(diff) <= radius).select("a", "b")
-    crowded = shared.where(F.col("n") > crowd).select("fp").distinct()
+    pairs, crowded = _met(fps.select("fp", F.explode(key).alias("key")), within & (F.bit_count(diff) <= radius), crowd)
+    if single - equal > 1:  # with one differing bit in the segments added, another of them is equal
+        longer = [F.struct("i", F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.element_at(F.array(*(F.lit(_signed(m[equal - 1] | masks[(i + j) % segments][0])) for i, m in enumerate(masks))), F.col("i") + 1)).alias("bits")) for j in range(equal, single)]
+        more, crowded = _met(crowded.select("fp", F.explode(F.array(*longer)).alias("key")), within & (F.bit_count(diff) <= radius), crowd)
+        pairs = pairs.unionByName(more)
+    crowded = crowded.select("fp").distinct()
     one = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)) for i in range(64)))
     if radius == 1:  # half-way points of one bit: the value with that bit cleared, told apart by the bit
         point = F.transform(one, lambda m, i: F.struct(F.col("fp").bitwiseAND(F.bitwise_not(m)).alias("value"), i.alias("bit")))
@@ -136,13 +138,22 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, crowd:
     return pairs.unionByName(stars)
 
 
-def near_duplicates(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def _met(keyed: DataFrame, linked: Column, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of fingerprints with a key in common that are ``linked``, and (fp, i) of the keys of more than ``crowd``."""
+    keyed = keyed.select("fp", "key.i", "key.j", "key.bits")
+    counts = cut(keyed.groupBy("i", "j", "bits").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = keyed.join(counts, ["i", "j", "bits"])
+    small = shared.where(F.col("n") <= crowd)
+    left, right = (small.select("i", "j", "bits", F.col("fp").alias(c)) for c in ("a", "b"))
+    return left.join(right, ["i", "j", "bits"]).where("a < b").where(linked).select("a", "b"), shared.where(F.col("n") > crowd).select("fp", "i")
+
+
+def near_duplicates(rows: DataFrame) -> DataFrame:
     """(fp, id, component) of each distinct fingerprint of a materialised table (id, fp): ``id`` is the
     smallest id with that fingerprint, ``component`` the smallest that links reach. Null ids never
-    win against others; a fingerprint that only null ids have stays null until a link gives it one.
-    ``groups`` (node, component) are the linked fingerprints; by default those within RADIUS bits."""
+    win against others; a fingerprint that only null ids have stays null until a link gives it one."""
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    groups = components(links(classes.select("fp"))) if groups is None else groups
+    groups = components(links(classes.select("fp")))
     named = cut(groups.join(classes, groups.node == classes.fp).select("fp", "id", "component"))
     least = named.groupBy("component").agg(F.min("id").alias("least"))
     reached = named.join(least, "component").select("fp", "least")
@@ -168,9 +179,7 @@ def word_sets(texts: list[str | None], shingle: int = WORDS) -> list[np.ndarray]
     return [np.unique(x) for x in np.split(np.frombuffer(parts, ">u8").astype(np.uint64), ends[:-1])] if len(texts) else []
 
 
-@lru_cache(maxsize=64)
-def _word_set(text: str) -> np.ndarray:
-    return word_sets([text])[0]
+_word_set = lines.Remembered(lambda text: word_sets([text])[0], lines.HELD_SHINGLES)
 
 
 def word_jaccard(a: str, b: str) -> float:
@@ -197,7 +206,7 @@ def word_bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """(id, mark, fp, bands) of the rows (id, mark, text); ``fp`` is the hash of a text's set of shingles."""
+    """(id, mark, k, k1, k2, bands) of the rows (id, mark, text); ``k`` is a 128-bit hash of a text's set of shingles, k1 and k2 its halves."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,49 +215,50 @@ def _banded(docs: DataFrame) -> DataFrame:
         worker_state(nothing, "simhash")
         for part in arrow_slices(batches, "text", 1000, 1 << 20):
             sets = word_sets(part.column("text").to_pylist())
-            fps = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             own = pa.array([word_bands(x) if len(x) else None for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), pa.array(fps), own], names=["id", "mark", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), pa.array(keys, pa.binary()), *map(pa.array, lines._halves(keys)), own], names=["id", "mark", "k", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(run, f"id {kind}, mark long, fp long, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, mark binary, k binary, k1 long, k2 long, bands array<long>")
 
 
 def similar_sets(rows: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(node, component) of the sets ``fp`` in ``rows`` that are similar enough to another; ``docs`` has (mark, text).
+    """(k, component) of the sets ``k`` in ``rows`` that are similar enough to another; ``docs`` has (mark, text).
 
     Links and their buckets are handled as those of lines are, and only texts with a candidate are read again."""
-    classes = cut(rows.where("bands is not null").groupBy(F.col("fp").alias("k1")).agg(F.min_by("bands", "mark").alias("bands"), F.min("mark").alias("mark")))
+    classes = cut(rows.where("bands is not null").groupBy("k").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("bands").alias("bands"), F.min("mark").alias("mark")))
 
     def texts_of(keys: DataFrame) -> DataFrame:
-        wanted = cut(classes.join(keys, "k1", "left_semi").select("k1", "mark"))
-        shared = lines.key_filter(wanted, "mark")
+        wanted = cut(classes.join(keys, "k", "left_semi").select("k", "mark"))
+        shared = lines.key_filter(wanted.select(lines.half("mark", 0).alias("k1")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
-                yield part.take(pa.array(lines.may_hold(shared.value, part.column("mark").to_numpy())))
+                if part.num_rows:
+                    yield part.take(pa.array(lines.may_hold(shared.value, lines._halves(part.column("mark").to_pylist())[0])))
 
-        found = docs.mapInArrow(run, "mark long, text string").join(wanted, "mark")
-        return found.groupBy("k1").agg(F.min("text").alias("line")).select("k1", "line", F.length("line").alias("size"))
+        found = docs.mapInArrow(run, "mark binary, text string").join(wanted, "mark")
+        return found.groupBy("k").agg(F.min("text").alias("line")).select("k", "line", F.length("line").alias("size"))
 
-    groups = lines.linked(classes.select("k1", "bands"), texts_of, threshold, (_word_hashes, word_jaccard))
-    return groups.select(F.col("k1").alias("node"), "component")
+    return lines.linked(classes.select("k1", "k2", "bands"), texts_of, threshold, (_word_hashes, word_jaccard))
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row of each group of near-duplicates, that of the smallest id (null ids last), with the columns of ``docs``.
 
-    Two texts link if their sets of WORDS-word shingles have a Jaccard similarity of ``threshold`` or more.
-    Texts are shuffled once, to meet the row that stays; the rows before know them by hash.
+    Two texts link if their sets of WORDS-word shingles have a Jaccard similarity of ``threshold`` or more;
+    null and wordless texts link to each other. Whole texts count, whatever their length. Other columns
+    stay as they are, whatever their names; of rows that repeat an id and text one stays. An empty table
+    stays empty. Texts are shuffled once, to meet the row that stays; the rows before know them by hash.
     """
     modest_batches(docs.sparkSession)
-    mark = F.xxhash64(F.col(text_column)).alias("mark")
-    rows = stored(_banded(docs.select(F.col(id_column).alias("id"), mark, F.col(text_column).alias("text"))))
-    groups = near_duplicates(rows, cut(similar_sets(rows, docs.select(mark, F.col(text_column).alias("text")), threshold)))
-    # a fingerprint's group is named by a fingerprint here, so that groups of null ids stay apart
-    first = groups.groupBy(F.coalesce("component", "fp").alias("c"), F.col("component").isNull().alias("nameless")).agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "fp")).alias("m")).select("m.id", "m.fp")
-    own = rows.join(first.withColumnRenamed("id", "kept"), "fp").where(F.col("id").eqNullSafe(F.col("kept")))
-    stay = own.groupBy("id", "fp").agg(F.min("mark").alias("mark")).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
-    held = docs.withColumn("__own", F.xxhash64(F.col(text_column)))
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark"))
-    met = held.join(stay, same, "left_semi")
-    return met.dropDuplicates([id_column, "__own"]).drop("__own")
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    held = docs.select(row_of(docs).alias("row"), F.col(id_column).alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("mark"))
+    rows = stored(_banded(held.select("id", "mark", "text")))
+    groups = similar_sets(rows, held.select("mark", "text"), threshold)
+    place = F.struct(F.col("id").isNull().alias("o"), "id", "mark")
+    classes = rows.groupBy("k").agg(F.min(place).alias("place"))
+    first = classes.join(groups, "k", "left").groupBy(F.coalesce("component", "k")).agg(F.min("place").alias("place"))
+    stay = cut(first.select(F.col("place.id").alias("of"), F.col("place.mark").alias("of_mark")))
+    met = held.join(stay, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left_semi")
+    return met.groupBy("id", "mark").agg(F.first("row").alias("row")).select("row.*")

@@ -99,7 +99,7 @@ def plain_dropped(rows, threshold=0.8):
             if len(y := lines.normal(line)) >= lines.MIN_CHARS:
                 places[y].append((i, j))
     different = list(places)
-    sets = [lines._shingles.__wrapped__(y) for y in different]
+    sets = [lines.shingles(y) for y in different]
     holders = defaultdict(list)
     for i, s in enumerate(sets):
         for g in s:
