@@ -147,7 +147,7 @@ def _keys(lines: list[str]) -> list[bytes]:
     """128 bits of each line."""
     import xxhash
 
-    return [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]
+    return list(map(xxhash.xxh3_128_digest, lines))
 
 
 def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,15 +232,10 @@ def may_hold(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mask[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1))
 
 
-def half(key: str, which: int):
-    """The first or second half of a 128-bit key as a long."""
-    return F.conv(F.hex(F.substring(key, 1 + 8 * which, 8)), 16, -10).cast("long")
-
-
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(k, line, size) of the lines with one of the ``keys``, and of some others: a filter of key bits drops
+    """(k1, k2, line) of the lines with one of the ``keys``, and of some others: a filter of key bits drops
     most lines where they are read. It has room for 16 million keys; beyond that more lines are shuffled."""
-    shared = key_filter(keys.select(half("k", 0).alias("k1")))
+    shared = key_filter(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
@@ -248,13 +243,13 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
             held = [line for text in part.column("text").to_pylist() for _, line in _taking_part(text) if len(line) >= SHINGLE]
             if held:
                 keys = _keys(held)
-                hit = may_hold(shared.value, _halves(keys)[0])
-                hit = hit[once.new([keys[i] for i in hit.tolist()])].tolist()
-                if hit:
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), pa.array([held[i] for i in hit], pa.string())], names=["k", "line"])
+                k1, k2 = _halves(keys)
+                hit = may_hold(shared.value, k1)
+                hit = hit[once.new([keys[i] for i in hit.tolist()])]
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[hit]), pa.array(k2[hit]), pa.array([held[i] for i in hit.tolist()], pa.string())], names=["k1", "k2", "line"])
 
-    found = docs.select("text").mapInArrow(run, "k binary, line string")
-    return found.groupBy("k").agg(F.first("line").alias("line")).select("k", "line", F.length("line").alias("size"))
+    return docs.select("text").mapInArrow(run, "k1 long, k2 long, line string")
 
 
 class Remembered:
@@ -303,32 +298,49 @@ def _line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _shingle_hashes(lines, SHINGLE)
 
 
-#: How texts are compared: 32-bit hashes of their shingles with the number of each, and the exact similarity of two.
-Measure = tuple[Callable[[list[str]], tuple[np.ndarray, np.ndarray]], Callable[[str, str], float]]
-OF_LINES: Measure = (_line_hashes, jaccard)
+def similar(a: str, b: str, threshold: float) -> bool:
+    """Whether the similarity of two normal lines reaches the threshold, often without the second one's set: it
+    has as many shingles as common ones at least and as places for them at most."""
+    if len(a) > LONG or len(b) > LONG:
+        return jaccard(a, b) >= threshold
+    x, places = _shingles(a), len(b) - SHINGLE + 1
+    if places < threshold * len(x):
+        return False
+    own = [b[i : i + SHINGLE] for i in range(places)]
+    both = len(x.intersection(own))
+    if both < threshold * len(x):
+        return False
+    if both >= threshold * (len(x) + places - both):
+        return True
+    return both / (len(x) + len(set(own)) - both) >= threshold
+
+
+#: How texts are compared: 32-bit hashes of their shingles with the number of each, and whether two are similar, exactly.
+Measure = tuple[Callable[[list[str]], tuple[np.ndarray, np.ndarray]], Callable[[str, str, float], bool]]
+OF_LINES: Measure = (_line_hashes, similar)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, measure: Measure = OF_LINES) -> DataFrame:
     """The rows with line keys a and b whose lines are similar enough. Pairs with a long text are handed to Python one by one."""
 
     @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
         worker_state(nothing, "lines")
-        return pd.Series([measure[1](x, y) >= threshold for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([measure[1](x, y, threshold) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     def one(pair: pd.DataFrame) -> pd.DataFrame:
         first = pair.iloc[:1]
-        return first[["a", "b"]] if measure[1](first["a_line"].iloc[0], first["b_line"].iloc[0]) >= threshold else first[["a", "b"]].iloc[:0]
+        return first[["a", "b"]] if measure[1](first["a_line"].iloc[0], first["b_line"].iloc[0], threshold) else first[["a", "b"]].iloc[:0]
 
     left, right = (texts.select(F.col("k").alias(c), F.col("line").alias(f"{c}_line"), F.col("size").alias(f"{c}_size")) for c in ("a", "b"))
     sized = stored(pairs.join(right.select("b", "b_size"), "b").join(left.select("a", "a_size"), "a")) if texts.where(F.col("size") > LONG).limit(1).count() else None
     short = pairs if sized is None else sized.where(F.greatest("a_size", "b_size") <= LONG).select("a", "b")
     met = short.join(right, "b").join(left, "a")  # rows of one a, mostly a bucket's leader, come together
-    found = met.where(similar("a_line", "b_line")).select("a", "b")
+    found = met.where(verified("a_line", "b_line")).select("a", "b")
     if sized is None:
         return found
     large = sized.where(F.greatest("a_size", "b_size") > LONG).select("a", "b").join(right, "b").join(left, "a")
-    return found.unionByName(large.groupBy("a", "b").applyInPandas(one, "a binary, b binary"))
+    return found.unionByName(large.groupBy("a", "b").applyInPandas(one, "a long, b long"))
 
 
 def candidate_pairs(shared: DataFrame) -> DataFrame:
@@ -369,7 +381,7 @@ def block_links(left: list[str], right: list[str], left_groups: list, right_grou
     An index of the right lines' shingles gives a left line's common ones with all of them at
     once, by hash; what is near the threshold or above it is compared exactly.
     """
-    hashes, similarity = measure
+    hashes, alike = measure
     parent: dict = {}
 
     def root(c):
@@ -383,17 +395,20 @@ def block_links(left: list[str], right: list[str], left_groups: list, right_grou
     sizes, order = np.bincount(owner, minlength=len(right)), np.argsort(h, kind="stable")
     owner, h = owner[order], h[order]
     found, kinds = [], set(right_groups)
-    for line, c in zip(left, left_groups, strict=True):
-        if len({root(x) for x in kinds} - {root(c)}) == 0:
+    every, n = hashes(left)
+    ends = np.cumsum(n)
+    for line, c, a, b in zip(left, left_groups, (ends - n).tolist(), ends.tolist(), strict=True):
+        kinds = {root(x) for x in kinds}
+        if kinds == {root(c)}:
             continue
-        mine = np.unique(hashes([line])[0])
+        mine = np.unique(every[a:b])
         first, n = np.searchsorted(h, mine), np.searchsorted(h, mine, "right")
         n -= first
         places = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
         both = np.bincount(owner[places], minlength=len(right))
         for y in np.flatnonzero(both >= (threshold - 0.02) * (len(mine) + sizes - both)).tolist():
             a, b = root(c), root(right_groups[y])
-            if a != b and similarity(line, right[y]) >= threshold:
+            if a != b and alike(line, right[y], threshold):
                 parent[max(a, b)] = min(a, b)
                 found.append((c, right_groups[y]))
     return found
@@ -423,7 +438,7 @@ def _by_rare_shingles(named: DataFrame, texts: DataFrame, threshold: float, meas
             values = pa.array((own & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("band", "k", "c", "size")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], names=["band", "k", "c", "size", "hashes"])
 
-    held = stored(named.join(texts.select("k", "line"), "k").select("band", "k", "c", "size", "line").mapInArrow(run, "band long, k binary, c binary, size long, hashes array<int>"))
+    held = stored(named.join(texts.select("k", "line"), "k").select("band", "k", "c", "size", "line").mapInArrow(run, "band long, k long, c long, size long, hashes array<int>"))
     each = held.select("band", "k", F.explode("hashes").alias("h"))
     often = each.groupBy("band", "h").agg(F.count("*").alias("n"))
     placed = stored(each.join(often, ["band", "h"]).groupBy("band", "k").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("order")))
@@ -459,25 +474,26 @@ def remaining_links(shared: DataFrame, groups: DataFrame, texts: DataFrame, thre
             isleft, lines, c = (block.column(x).to_pylist() for x in ("left", "line", "c"))
             pick = lambda values, side: [v for v, s in zip(values, isleft, strict=True) if s is side]  # noqa: B023, E731
             if found := block_links(pick(lines, True), pick(lines, False), pick(c, True), pick(c, False), threshold, measure):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     met = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return met.mapInArrow(run, "a binary, b binary")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def _shared_bands(banded: DataFrame) -> DataFrame:
-    """(band, k) of the bands with several keys, each once, from (band, k1, k2); and of some others with one.
+    """The rows (band, k1, k2) of the bands with several keys, each once; and of some others with one.
 
     Rows are range-partitioned by band and key, so a band of many keys lies in many partitions
     and equal rows in one. A band that a partition begins or ends with may go on in another.
     """
+    names = ["band", "k1", "k2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row so far and whether its band has had another key here
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(c).to_numpy() for c in ("band", "k1", "k2")], axis=1)
+            rows = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
             first = held is None
             if not first:
                 rows = np.concatenate([held[0], rows])
@@ -485,38 +501,46 @@ def _shared_bands(banded: DataFrame) -> DataFrame:
             same = rows[1:, 0] == rows[:-1, 0]
             met = np.r_[first or held[1], same] | np.r_[same, False]
             held = rows[-1:], bool(met[-1])
-            if out := np.flatnonzero(met[:-1]).tolist():
-                yield _keyed(rows[out])
+            if met[:-1].any():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(rows[:-1][met[:-1]].T)], names=names)
         if held is not None:
-            yield _keyed(held[0])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(held[0].T)], names=names)
 
     order = banded.repartitionByRange("band", "k1").sortWithinPartitions("band", "k1", "k2")
-    return order.mapInArrow(run, "band long, k binary")
-
-
-def _keyed(rows: np.ndarray) -> pa.RecordBatch:
-    keys = np.ascontiguousarray(rows[:, 1:]).astype(">i8").tobytes()
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array([keys[i : i + 16] for i in range(0, len(keys), 16)], pa.binary())], names=["band", "k"])
+    return order.mapInArrow(run, "band long, k1 long, k2 long")
 
 
-def line_components(lines: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(k, component) of the different lines that link to another."""
-    return linked(lines, lambda keys: _texts(docs, keys), threshold)
+def _one_named(rows: DataFrame, double: DataFrame | None) -> DataFrame:
+    """``rows`` with ``k`` for (k1, k2): the first half, or a hash of both where different keys share it."""
+    if double is None:
+        return rows.withColumn("k", F.col("k1")).drop("k1", "k2")
+    met = rows.join(double.select("k1", F.lit(True).alias("twice")), "k1", "left")
+    return met.withColumn("k", F.when(F.col("twice"), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("k1", "k2", "twice")
 
 
 def linked(lines: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, measure: Measure = OF_LINES) -> DataFrame:
-    """(k, component) for any texts with a 128-bit key (k1, k2) and bands; ``texts_of`` gives (k, line, size) of
-    at least the keys k it is handed."""
+    """(k1, k2, component) of the texts that link to another, for any texts with a 128-bit key (k1, k2) and bands;
+    ``texts_of`` gives (k1, k2, line) of at least the keys (k1, k2) it is handed.
+
+    Inside, a key goes by one long, which is unique among the keys that share a band.
+    """
     banded = lines.where("bands is not null").select(F.explode("bands").alias("band"), "k1", "k2")
     met = stored(_shared_bands(banded))
     sizes = cut(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(met.join(sizes, "band"))
+    met = stored(met.join(sizes, "band"))
+    keys = cut(met.select("k1", "k2").distinct())
+    double = cut(keys.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1"))
+    double = double if double.limit(1).count() else None
+    shared = _one_named(met, double)
+    if double is not None:
+        shared = stored(shared)
     pairs = candidate_pairs(shared)
-    texts = stored(texts_of(cut(shared.select("k").distinct())))
+    texts = stored(_one_named(texts_of(keys), double).groupBy("k").agg(F.first("line").alias("line")).select("k", "line", F.length("line").alias("size")))
     groups = cut(components(cut(_verified(pairs, texts, threshold, measure)), rows_per_task=EDGES))
     merged = cut(components(cut(remaining_links(shared, groups, texts, threshold, measure)), rows_per_task=EDGES).select(F.col("node").alias("of"), F.col("component").alias("into")))
     known = groups.join(merged, F.col("component") == F.col("of"), "left").select(F.col("node").alias("k"), F.coalesce("into", "component").alias("component"))
-    return known.unionByName(merged.join(groups, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("k"), F.col("into").alias("component")))
+    found = known.unionByName(merged.join(groups, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("k"), F.col("into").alias("component")))
+    return _one_named(keys.withColumns({"x1": F.col("k1"), "x2": F.col("k2")}), double).join(found, "k").select(F.col("x1").alias("k1"), F.col("x2").alias("k2"), "component")
 
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -531,13 +555,14 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     modest_batches(docs.sparkSession)
     own = _identified(docs, id_column, text_column)
     lines = stored(_lines(own))
-    groups = line_components(lines, own, threshold).select(half("k", 0).alias("k1"), half("k", 1).alias("k2"), "component")
+    groups = linked(lines, lambda keys: _texts(own, keys), threshold)
     parts = lines.where("k1 is not null").select("id", "mark", "line", "k1", "k2")
     place = F.struct(F.col("id").isNull().alias("o"), "id", "mark", "line")
     firsts = parts.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.count("*").alias("n"))
     # an unlinked line that occurs once stays, so it needs no second look
     named = cut(firsts.join(groups, ["k1", "k2"], "left").where("n > 1 or component is not null").select("k1", "k2", "place", "component"))
-    lead = named.where("component is not null").groupBy("component").agg(F.min("place").alias("first"))
+    # cut, so that adaptive execution may split the lines of a large component in the join
+    lead = cut(named.where("component is not null").groupBy("component").agg(F.min("place").alias("first")))
     stays = cut(named.join(lead, "component", "left").select("k1", "k2", F.coalesce("first", "place").alias("stays")))
     gone = parts.join(stays, ["k1", "k2"]).where(place != F.col("stays"))
     by_doc = gone.groupBy("id", "mark").agg(F.array_sort(F.collect_set("line")).alias("dropped"))

@@ -189,6 +189,10 @@ def word_jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
+def word_similar(a: str, b: str, threshold: float) -> bool:
+    return word_jaccard(a, b) >= threshold
+
+
 def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     held = word_sets(texts)
     return (np.concatenate(held) >> np.uint64(32)).astype(np.uint32), np.array([len(x) for x in held], np.int64)
@@ -206,7 +210,7 @@ def word_bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """(id, mark, k, k1, k2, bands) of the rows (id, mark, text); ``k`` is a 128-bit hash of a text's set of shingles, k1 and k2 its halves."""
+    """(id, mark, k1, k2, bands) of the rows (id, mark, text); k1 and k2 are the halves of a 128-bit hash of a text's set of shingles."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,30 +221,30 @@ def _banded(docs: DataFrame) -> DataFrame:
             sets = word_sets(part.column("text").to_pylist())
             keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             own = pa.array([word_bands(x) if len(x) else None for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), pa.array(keys, pa.binary()), *map(pa.array, lines._halves(keys)), own], names=["id", "mark", "k", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *map(pa.array, lines._halves(keys)), own], names=["id", "mark", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(run, f"id {kind}, mark binary, k binary, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, mark binary, k1 long, k2 long, bands array<long>")
 
 
 def similar_sets(rows: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(k, component) of the sets ``k`` in ``rows`` that are similar enough to another; ``docs`` has (mark, text).
+    """(k1, k2, component) of the sets in ``rows`` that are similar enough to another; ``docs`` has (mark, text).
 
     Links and their buckets are handled as those of lines are, and only texts with a candidate are read again."""
-    classes = cut(rows.where("bands is not null").groupBy("k").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("bands").alias("bands"), F.min("mark").alias("mark")))
+    classes = cut(rows.where("bands is not null").groupBy("k1", "k2").agg(F.first("bands").alias("bands"), F.min("mark").alias("mark")))
 
     def texts_of(keys: DataFrame) -> DataFrame:
-        wanted = cut(classes.join(keys, "k", "left_semi").select("k", "mark"))
-        shared = lines.key_filter(wanted.select(lines.half("mark", 0).alias("k1")))
+        wanted = cut(classes.join(keys, ["k1", "k2"], "left_semi").select("k1", "k2", "mark"))
+        first = F.conv(F.hex(F.substring("mark", 1, 8)), 16, -10).cast("long")
+        shared = lines.key_filter(wanted.select(first.alias("k1")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
                 if part.num_rows:
                     yield part.take(pa.array(lines.may_hold(shared.value, lines._halves(part.column("mark").to_pylist())[0])))
 
-        found = docs.mapInArrow(run, "mark binary, text string").join(wanted, "mark")
-        return found.groupBy("k").agg(F.min("text").alias("line")).select("k", "line", F.length("line").alias("size"))
+        return docs.mapInArrow(run, "mark binary, text string").join(wanted, "mark").select("k1", "k2", F.col("text").alias("line"))
 
-    return lines.linked(classes.select("k1", "k2", "bands"), texts_of, threshold, (_word_hashes, word_jaccard))
+    return lines.linked(classes.select("k1", "k2", "bands"), texts_of, threshold, (_word_hashes, word_similar))
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -257,8 +261,9 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     rows = stored(_banded(held.select("id", "mark", "text")))
     groups = similar_sets(rows, held.select("mark", "text"), threshold)
     place = F.struct(F.col("id").isNull().alias("o"), "id", "mark")
-    classes = rows.groupBy("k").agg(F.min(place).alias("place"))
-    first = classes.join(groups, "k", "left").groupBy(F.coalesce("component", "k")).agg(F.min("place").alias("place"))
+    classes = rows.groupBy("k1", "k2").agg(F.min(place).alias("place")).join(groups, ["k1", "k2"], "left")
+    # a set without a link is a group by itself
+    first = classes.groupBy("component", F.when(F.col("component").isNull(), F.struct("k1", "k2")).alias("own")).agg(F.min("place").alias("place"))
     stay = cut(first.select(F.col("place.id").alias("of"), F.col("place.mark").alias("of_mark")))
     met = held.join(stay, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left_semi")
     return met.groupBy("id", "mark").agg(F.first("row").alias("row")).select("row.*")

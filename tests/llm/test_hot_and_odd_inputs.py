@@ -62,9 +62,8 @@ def test_bucket_of_unlike_lines(spark, monkeypatch, outside):
 def test_rare_shingles_part_a_bucket(spark):
     """Of 3,000 unlike lines in one bucket hardly any two meet again: the work is no square."""
     texts = templates(random.Random(5), 3000, variants=1)
-    size = {"size": 100}
-    named = spark.createDataFrame([(7, f"{i:016d}".encode(), f"{i:016d}".encode(), size["size"]) for i in range(len(texts))], "band long, k binary, c binary, size long")
-    held = spark.createDataFrame([(f"{i:016d}".encode(), t, len(t)) for i, t in enumerate(texts)], "k binary, line string, size int")
+    named = spark.createDataFrame([(7, i, i, 100) for i in range(len(texts))], "band long, k long, c long, size long")
+    held = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "k long, line string, size int")
     fine = lines._by_rare_shingles(named, held, 0.8, lines.OF_LINES)
     sizes = [r["count"] for r in fine.groupBy("band").count().collect()]
     assert sum(n * n for n in sizes) < 0.05 * len(texts) ** 2
@@ -79,7 +78,7 @@ def test_shared_bands_across_partitions(spark):
         keys.setdefault(band, set()).add((a, b))
     got = {}
     for r in lines._shared_bands(df).collect():
-        key = tuple(int.from_bytes(r["k"][i : i + 8], "big") for i in (0, 8))
+        key = r["k1"], r["k2"]
         assert key not in got.setdefault(r["band"], set())
         got[r["band"]].add(key)
     assert all(got.get(band) == held for band, held in keys.items() if len(held) > 1)
@@ -109,6 +108,16 @@ def test_long_lines(spark):
     assert lines.jaccard(a, b) == pytest.approx(len(x & y) / len(x | y))
 
 
+def test_similar_is_exact():
+    rng = random.Random(11)
+    held = ["".join(rng.choice("ab") for _ in range(rng.randrange(7, 40))) for _ in range(60)]
+    held += [x[:-1] + "c" for x in held] + [x * 3 for x in held[:20]]
+    for a in held:
+        for b in held:
+            x, y = lines.shingles(a), lines.shingles(b)
+            assert lines.similar(a, b, 0.8) == (len(x & y) / len(x | y) >= 0.8)
+
+
 def test_crowded_keys_are_split(spark):
     """Keys of unrelated fingerprints that share 26 bits are split by a longer chain; no link is lost."""
     rng = random.Random(9)
