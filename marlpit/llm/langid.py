@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import modest_batches, worker_state
+from marlpit.llm.common import cut, modest_batches, worker_state
 
 #: A word is a run of letters; Latin texts (but for digits that count as letters here) need no Unicode tables.
 _LATIN = re.compile(r"[\x00-ɏ]*")
@@ -100,8 +100,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(sequences: list[tuple[list[str], list[str]]], steps: int = 60, rate: float = 0.15, l2: float = 1e-6, min_lexicon: int = 4) -> Crf:
-    """Fit by Adam on equally long (words, languages) sequences; the bounded sample lies in the driver's memory."""
+def train(sequences: list[tuple[list[str], list[str]]], steps: int = 60, rate: float = 0.15, l2: float = 1e-6, min_lexicon: int = 4, settled: float = 0.002) -> Crf:
+    """Fit by Adam on equally long (words, languages) sequences; the bounded sample lies in the driver's memory.
+
+    Training ends after ``steps``, or when the sample's negative log-likelihood a word is below ``settled``.
+    """
     languages = sorted({x for _, tags in sequences for x in tags})
     k, of = len(languages), {x: i for i, x in enumerate(languages)}
     flat = [w for words, _ in sequences for w in words]
@@ -123,21 +126,9 @@ def train(sequences: list[tuple[list[str], list[str]]], steps: int = 60, rate: f
     hit = np.eye(k)[gold]
     for step in range(1, steps + 1):
         e = np.add.reduceat(w[found] * value[:, None], starts, axis=0)[ids]
-        b, a = np.exp(e - e.max(-1, keepdims=True)), np.exp(t - t.max())
-        alpha, beta = np.empty_like(b), np.ones_like(b)
-        alpha[:, 0] = b[:, 0] / b[:, 0].sum(-1, keepdims=True)
-        for i in range(1, length):
-            x = alpha[:, i - 1] @ a * b[:, i]
-            alpha[:, i] = x / x.sum(-1, keepdims=True)
-        pairs = np.zeros((k, k))
-        for i in range(length - 2, -1, -1):
-            nxt = b[:, i + 1] * beta[:, i + 1]
-            x = nxt @ a.T
-            beta[:, i] = x / x.sum(-1, keepdims=True)
-            joint = alpha[:, i, :, None] * a * nxt[:, None, :]
-            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-        post = alpha * beta
-        post /= post.sum(-1, keepdims=True)
+        loss, pairs, post = expectations(e, t, gold)
+        if loss / ids.size < settled:
+            break
         miss = np.stack([np.bincount(ids.ravel(), (hit - post)[..., j].ravel(), len(vocabulary)) for j in range(k)], 1)
         grad_w = np.stack([np.bincount(found, miss[owner, j] * value, len(used)) for j in range(k)], 1) / size - l2 * w
         for x, g, m in ((w, grad_w, moments[0]), (t, (gold_pairs - pairs) / size, moments[1])):
@@ -148,6 +139,34 @@ def train(sequences: list[tuple[list[str], list[str]]], steps: int = 60, rate: f
     return model
 
 
+def expectations(e: np.ndarray, transition: np.ndarray, gold: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """By forward-backward over equally long sequences (n, length, k): the negative log-likelihood of the ``gold``
+    tags, the expected number of each transition and each word's posterior."""
+    n, length, k = e.shape
+    top, high = e.max(-1, keepdims=True), transition.max()
+    b, a = np.exp(e - top), np.exp(transition - high)
+    alpha, beta = np.empty_like(b), np.ones_like(b)
+    norm = b[:, 0].sum(-1, keepdims=True)
+    alpha[:, 0] = b[:, 0] / norm
+    partition = np.log(norm).sum() + top.sum() + high * n * (length - 1)
+    for i in range(1, length):
+        x = alpha[:, i - 1] @ a * b[:, i]
+        norm = x.sum(-1, keepdims=True)
+        alpha[:, i] = x / norm
+        partition += np.log(norm).sum()
+    pairs = np.zeros((k, k))
+    for i in range(length - 2, -1, -1):
+        nxt = b[:, i + 1] * beta[:, i + 1]
+        x = nxt @ a.T
+        beta[:, i] = x / x.sum(-1, keepdims=True)
+        joint = alpha[:, i, :, None] * a * nxt[:, None, :]
+        pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+    post = alpha * beta
+    post /= post.sum(-1, keepdims=True)
+    score = np.take_along_axis(e, gold[:, :, None], 2).sum() + transition[gold[:, :-1], gold[:, 1:]].sum()
+    return float(partition - score), pairs, post
+
+
 def posteriors(e: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """Posterior of each word: ``e`` holds the emissions of texts of ``sizes`` words (each at least one), one after the other."""
     k, chunks = e.shape[1], -(-sizes // CHUNK)
@@ -232,32 +251,37 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 
 def learn(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs_per_language: int = 500, windows_per_doc: int = 6, seed: int = 11) -> Crf | None:
-    """Fit on labelled rows: at most ``docs_per_language`` documents of each language, those of the
-    smallest id hashes, and ``windows_per_doc`` windows of ``CHUNK`` words spread over each whole text.
-    None if no labelled row has a word.
+    """Fit on labelled rows: at most ``docs_per_language`` different documents (id and text) of each
+    language, those of the smallest hashes, and ``windows_per_doc`` windows of ``CHUNK`` words spread over
+    each whole text; so the driver gets at most that many windows a language. None if no labelled row has a word.
+
+    A threshold on the hash, from the language's approximate number of different documents, leaves some
+    thousand rows before any are ordered, and rows that repeat are one before that: no language and no
+    repeated id gathers in one task. Only the three named columns are read.
     """
-    rows = labelled.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang")).where("id is not null and lang is not null")
-    best = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= docs_per_language).select("id")
-    ids = [r[0] for r in chosen.distinct().collect()]
-    if not ids:
-        return None
+    h = F.xxhash64(F.col(id_column), F.col(text_column))
+    rows = labelled.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), h.alias("h")).where("id is not null and lang is not null")
+    counts = cut(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")))
+    share = F.col("h") / F.lit(2.0**64) + 0.5  # of all hashes, so many are smaller
+    near = rows.join(counts, "lang").where(share * F.col("n") <= 3.0 * docs_per_language)
+    once = near.groupBy("lang", "h").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    best = Window.partitionBy("lang").orderBy("h")
+    chosen = once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= docs_per_language)
 
     def cuts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for i, lang, text in zip(part["id"], part["lang"], part["text"], strict=True):
+            for h, lang, text in zip(part["h"], part["lang"], part["text"], strict=True):
                 words = letters(text or "")
                 if words:
                     n = min(windows_per_doc, -(-len(words) // CHUNK))
                     for j in range(n):
                         a = (len(words) - CHUNK) * j // max(1, n - 1) if len(words) > CHUNK else 0
-                        out.append((i, lang, j, (words * -(-CHUNK // len(words)))[a : a + CHUNK]))
-            yield pd.DataFrame(out, columns=["id", "lang", "j", "words"])
+                        out.append((h, lang, j, (words * -(-CHUNK // len(words)))[a : a + CHUNK]))
+            yield pd.DataFrame(out, columns=["h", "lang", "j", "words"])
 
-    kind = labelled.schema[id_column].dataType.simpleString()
-    held = labelled.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).where(F.col("id").isin(ids) & F.col("lang").isNotNull())
-    windows = [(r["lang"], list(r["words"])) for r in held.mapInPandas(cuts, f"id {kind}, lang string, j int, words array<string>").orderBy("id", "lang", "j", F.hash("words")).collect()]
+    found = chosen.select("h", "lang", "text").mapInPandas(cuts, "h long, lang string, j int, words array<string>").collect()
+    windows = [(r["lang"], list(r["words"])) for r in sorted(found, key=lambda r: (r["h"], r["lang"], r["j"]))]
     if not windows:
         return None
     rng, half = np.random.default_rng(seed), CHUNK // 2
@@ -280,7 +304,9 @@ def predict(docs: DataFrame, model: Crf | None, id_column: str = "doc_id", text_
 
     The prediction is the language with the largest mean posterior over the whole text's
     words, the smaller name on a tie; ``score`` is that mean. Text that is null or has no
-    letter, or a model that never saw a label, gives ``und`` with score 0.
+    letter, or a model that never saw a label, gives ``und`` with score 0. Texts of any length are
+    tagged whole; rows that repeat are each predicted, alike; an empty table gives no rows. Only the
+    two named columns are read.
     """
     if model is None:
         return docs.select(id_column, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("word_langs"))

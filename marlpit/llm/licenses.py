@@ -1,7 +1,9 @@
 """License scans by an exact set-similarity join with templates.
 
-A text block is a window of ``BLOCK`` words, every ``STRIDE`` words: any run of up to
-STRIDE + 1 words lies in some block whole. A block meets a template if it holds at
+A text block is a window of 2 * s words, every s words: any run of up to s + 1 words lies in
+some block whole. The stride s is ``STRIDE`` or, for longer templates, the power of two from
+which on a template lies in a block whole; so short notices have short blocks and whole
+license texts long ones. A block meets a template if it holds at
 least ``threshold`` of the template's different words. The join is exact and filters
 pairs by
 
@@ -27,8 +29,8 @@ from marlpit.llm.common import LOWER, UPPER
 
 #: What separates words once letters are in lower case.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_PLACES, _BLOCKS = "array<struct<at:bigint,label:string>>", "array<struct<at:bigint,tokens:array<string>>>"
-BLOCK, STRIDE, THRESHOLD = 64, 32, 0.8
+_PLACES, _BLOCKS = "array<struct<at:bigint,label:string>>", "array<struct<at:bigint,stride:int,tokens:array<string>>>"
+STRIDE, THRESHOLD = 32, 0.8
 
 #: Phrases that count wherever their words stand consecutively.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -58,6 +60,11 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
 
 
+def stride_of(template: str) -> int:
+    """Words from block to block for a template."""
+    return max(STRIDE, 1 << (len(template.split()) - 2).bit_length())
+
+
 def frequency_order(rows: DataFrame, vocabulary: Sequence[str]) -> list[str]:
     """The vocabulary by the number of rows whose ``words`` hold it, rarest first, then by name."""
     held = rows.select(F.explode(F.array_intersect(_strings(vocabulary), F.col("words"))).alias("word")).groupBy("word").count()
@@ -68,44 +75,50 @@ def frequency_order(rows: DataFrame, vocabulary: Sequence[str]) -> list[str]:
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row: id, n_words, n_base, first_word, last_word, base_labels, found and score.
 
-    ``found`` holds the matches (label, block, containment) of the join; n_base counts the
+    ``found`` holds the matches (label, block, containment) of the join, block being its first word; n_base counts the
     places of ``phrases``, first_word and last_word are their smallest and largest start.
     ``score`` is 1 with a phrase, else the largest containment found, else 0. A null text
-    counts as empty. Rows that repeat are scanned each by itself; only the two named
+    counts as empty. Texts of any length are scanned whole. Rows that repeat are scanned each by
+    itself; of equally good matches all count; an empty table gives no rows. Only the two named
     columns are read.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     # lower() may turn a letter beyond ASCII into an ASCII one, never the other way, so it only finds more candidates
     rows = rows.select("id", "text", words(F.lower("text")).alias("words"))
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    rank = {w: i for i, w in enumerate(frequency_order(rows, sorted({w for _, ws in sets for w in ws} | {w for p, _ in phrases for w in p.split()})))}
-    order = [w for w in rank if any(w in ws for _, ws in sets)]
+    sets = [(label, sorted(set(text.split())), stride_of(text)) for label, text in templates]
+    rank = {w: i for i, w in enumerate(frequency_order(rows, sorted({w for _, ws, _ in sets for w in ws} | {w for p, _ in phrases for w in p.split()})))}
+    order = [w for w in rank if any(w in ws for _, ws, _ in sets)]
     index, rare = [], set()
-    for label, own in sets:
+    for label, own, stride in sets:
         own = sorted(own, key=rank.__getitem__)
         need = math.ceil(threshold * len(own) - 1e-9)
         for i, word in enumerate(own[: len(own) - need + 1]):
-            index.append((word, label, i, need, own))
+            index.append((word, label, i, need, own, stride))
             rare.add(word)
-    least = min((x[3] for x in index), default=0)
+    least = {stride: min(x[3] for x in index if x[5] == stride) for _, _, stride in sets}
 
     exact = words(F.translate("text", UPPER, LOWER))
     marks = sorted({min(p.split(), key=rank.__getitem__) for p, _ in phrases})
     sized = F.size("words")
-    tokens = lambda at: F.array_intersect(_strings(order), F.slice("words", at + 1, BLOCK))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((sized - STRIDE - 1) / STRIDE).cast("int")) * STRIDE, F.lit(STRIDE))
-    blocks = F.transform(starts, lambda at: F.struct(at, tokens(at))).cast(_BLOCKS)
+
+    def blocks_of(stride: int) -> Column:
+        known = [w for w in order if any(w in ws for _, ws, s in sets if s == stride)]
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((sized - stride - 1) / stride).cast("int")) * stride, F.lit(stride))
+        held = F.transform(starts, lambda at: F.struct(at, F.lit(stride), F.array_intersect(_strings(known), F.slice("words", at + 1, 2 * stride)))).cast(_BLOCKS)
+        return F.filter(held, lambda b: F.size(b["tokens"]) >= least[stride])
+
+    blocks = F.concat(*(blocks_of(stride) for stride in sorted(least))) if least else F.array().cast(_BLOCKS)
     held = rows.select(
         F.monotonically_increasing_id().alias("row"), "id", sized.cast("long").alias("n_words"),
         F.when(F.arrays_overlap("words", _strings(marks)), exact).alias("exact"),
-        F.when(F.arrays_overlap("words", _strings(sorted(rare))), F.filter(blocks, lambda b: F.size(b["tokens"]) >= least)).alias("blocks"),
+        F.when(F.arrays_overlap("words", _strings(sorted(rare))), blocks).alias("blocks"),
     )
     places = [_places(phrase.split(), label) for phrase, label in phrases]
     none = F.array().cast(_PLACES)
     held = held.select("row", "id", "n_words", F.concat(*(F.coalesce(p, none) for p in places)).alias("base") if places else none.alias("base"), F.explode_outer("blocks").alias("b"))
-    shared = held.select("row", "id", "n_words", "base", "b.at", "b.tokens", F.explode_outer(F.array_intersect("b.tokens", _strings(sorted(rare)))).alias("word"))
-    table = docs.sparkSession.createDataFrame(index, "word string, label string, i int, need int, own array<string>")
-    met = shared.join(F.broadcast(table), "word", "left")
+    shared = held.select("row", "id", "n_words", "base", "b.at", "b.stride", "b.tokens", F.explode_outer(F.array_intersect("b.tokens", _strings(sorted(rare)))).alias("word"))
+    table = docs.sparkSession.createDataFrame(index, "word string, label string, i int, need int, own array<string>, stride int")
+    met = shared.join(F.broadcast(table), ["word", "stride"], "left")
     j = F.array_position("tokens", F.col("word")) - 1
     possible = (F.size("tokens") >= F.col("need")) & (F.col("i") + F.least(F.size("own") - F.col("i"), F.size("tokens") - j) >= F.col("need"))
     both = F.size(F.array_intersect("tokens", "own"))

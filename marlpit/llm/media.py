@@ -13,6 +13,7 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -161,19 +162,45 @@ def _gzip(b: bytes, at: int) -> int | None:
     return None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+class Blob(bytes):
+    """Bytes that remember where a mark occurs, so that many hits in one blob don't search it again and again."""
+
+    def __init__(self, *_: object):
+        self.found: dict[bytes, list[int]] = {}
+        self.archives: dict[int, int] | None = None
+
+    def where(self, mark: bytes) -> list[int]:
+        if mark not in self.found:
+            self.found[mark] = [m.start() for m in re.finditer(re.escape(mark), self)]
+        return self.found[mark]
+
+    def last(self, mark: bytes, start: int, end: int) -> int:
+        """The last place of the mark between two places, -1 without one."""
+        at = bisect_left(self.where(mark), end) - 1
+        return self.where(mark)[at] if at >= 0 and self.where(mark)[at] > start else -1
+
+
+def _pdf(b: Blob, at: int) -> int | None:
+    """Up to the last end mark before the next header: files may have been saved in several sections, each with a mark."""
     if not re.compile(rb"%PDF-\d\.\d").match(b, at):
         return None
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end > 0 and b.rfind(b"startxref", at, end) > 0 else None
+    heads = b.where(b"%PDF-")
+    after = bisect_right(heads, at)
+    end = b.last(b"%%EOF", at, heads[after] if after < len(heads) else len(b))
+    return end + 5 if end > 0 and b.last(b"startxref", at, end) > 0 else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or len(b) < end + 22:
-        return None
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + note if at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b) else None
+def _zip(b: Blob, at: int) -> int | None:
+    """Each end record says where its directory and so its archive begins; the last one that begins here counts."""
+    if b.archives is None:
+        b.archives = {}
+        for end in b.where(b"PK\x05\x06"):
+            if len(b) >= end + 22:
+                size, start, note = struct.unpack_from("<IIH", b, end + 12)
+                first = end - size - start
+                if first >= 0 and b[first + start : first + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+                    b.archives[first] = end + 22 + note
+    return b.archives.get(at)
 
 
 def _ogg(b: bytes, at: int) -> int | None:
@@ -213,7 +240,7 @@ def _mp4(b: bytes, at: int) -> int | None:
     return pos if b"ftyp" in seen and b"moov" in seen else None
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int | None]] = {
+VALIDATORS: dict[str, Callable[[Blob, int], int | None]] = {
     "audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "image/x-portable-graymap": _pgm,
     "application/gzip": _gzip, "application/pdf": _pdf, "application/zip": _zip, "audio/ogg": _ogg, "audio/flac": _flac, "video/mp4": _mp4,
 }
@@ -235,7 +262,7 @@ class Sniffer:
 
     def media(self, blob: bytes) -> list[tuple[str, int, int]]:
         """(type, start, end) of the outermost valid media, by start; a hit inside an earlier valid one is part of it."""
-        found, until = [], 0
+        found, until, blob = [], 0, Blob(blob)
         hits = sorted((end + 1 - size - offset, kind) for end, (size, kinds) in self.find.iter(blob.decode("latin-1")) for kind, offset in kinds)
         for at, kind in hits:
             if at >= until and (end := VALIDATORS[kind](blob, at)) is not None:
@@ -280,14 +307,15 @@ def sniff(blobs: DataFrame, id_column: str, blob_column: str, declared_column: s
     return out.withColumnRenamed("id", id_column)
 
 
-def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block: int = 64) -> DataFrame:
+def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block: int = 64, declared: str = "text/plain") -> DataFrame:
     """Store each text as 8-bit samples, find it again by sniffing the stored bytes and describe what was read back.
 
     The payload is the text's UTF-8, filled with bytes 0 up to a positive multiple of
-    ``block``; a null text counts as empty. The declared type is deliberately vague
-    (``application/octet-stream``): the type in ``feature`` comes from the validated
-    signature alone, and a stored form that fails its validator raises. Equal texts
-    give equal rows; only the two named columns are read.
+    ``block``; a null text counts as empty. The column's ``declared`` type is what a table of texts
+    would say of the stored form; the validated signature corrects it, and a stored form that fails
+    its validator raises. Media embedded in the payload are carved: ``carved`` lists type, length and
+    SHA-256 of each. Equal texts give equal rows; only the two named columns are read, and an empty
+    table gives no rows. A text of any length is one blob.
     """
     modest_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
@@ -295,7 +323,7 @@ def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sniffer = worker_state(Sniffer)
         for part in arrow_slices(batches, "text", 512, 4 << 20):
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(10)]
             for text in part.column("text").to_pylist():
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 stored = wav_8bit(raw + b"\0" * (max(block, -(-len(raw) // block) * block) - len(raw)))
@@ -306,13 +334,14 @@ def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 inner = sniffer.media(back)
                 counts = ",".join(f"{k}@{s}+{e - s}" for k, s, e in inner)
                 feature = f"audio/wav;8bit;mono;{RATE}Hz;samples={len(back)};rms={_rms(back):.3f};zero={back.count(0)};embedded={counts or 'none'}"
-                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-block:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
+                cut = [f"{k};{e - s};{hashlib.sha256(back[s:e]).hexdigest()}" for k, s, e in inner]
+                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-block:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, found[0][0], found[0][0] != declared, cut)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "detected", "corrected", "carved"])
 
-    out = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, detected string, corrected boolean, carved array<string>")
     return out.withColumnRenamed("id", id_column)
 
 

@@ -50,6 +50,10 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        # another pattern or normalizer: the library encodes all texts
+        self.known = file.get("normalizer") is None and {k: (file.get("pre_tokenizer") or {}).get(k) for k in ("type", "add_prefix_space", "use_regex")} == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.special = sorted(x.content for x in self.model.get_added_tokens_decoder().values())
         self.merge = _merger(path)
         self.cache: dict[str, bytes] = {}
@@ -67,7 +71,7 @@ class ByteBpe:
         return ids
 
     def ids(self, text: str) -> bytes:
-        if not _fast(text) or any(s in text for s in self.special):
+        if not self.known or not _fast(text) or any(s in text for s in self.special):
             return self._encode(text)
         if len(self.cache) > CACHE // 2:
             self.older, self.cache = self.cache, {}

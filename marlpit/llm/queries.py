@@ -12,19 +12,23 @@ from marlpit.llm.common import cut, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text; a null text has none, repeated rows count each, other columns are not read."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, in training order; equal rows share what falls to them."""
     ordered = mixing.training_order(mixing.mix(table(spark, sf_dir, "documents")))
     return ordered.select("row.doc_id", "source", "size", "source_size", "target", "taken", "position")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page; pages without a usable url are allowed, repeated pages get equal verdicts."""
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; null or wordless texts are ``und``, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.learn(docs.where(~langid.held_out()))
     found = langid.predict(docs, model)
@@ -32,31 +36,37 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document; a null text has no words and fails, repeated rows are judged each."""
     stats = cut(quality.rule_stats(table(spark, sf_dir, "documents")))
     model = quality.fit(quality.labelled_stats(stats, table(spark, sf_dir, "labels")))
     return quality.judge(stats, model).drop("features")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier one; the first by id (null last) and line stays, rows that repeat are one document."""
     found = lines.dropped_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and wordless texts have fingerprint zero and link like others."""
     found = simhash.components_of(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches in every whole text; a null text has no words."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every whole text's tokens; a null text is its end id alone, repeated rows are packed each."""
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored form of every whole text, read back; equal texts give equal values, a null text counts as empty."""
     return media.text_media(table(spark, sf_dir, "documents"))
 
 

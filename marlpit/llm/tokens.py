@@ -10,6 +10,7 @@ added up. A frequent pre-token costs one entry a block and two numbers a documen
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -25,12 +26,19 @@ from pyspark.sql import functions as F
 from marlpit.llm.common import arrow_slices, byte_letters, modest_batches, tokenizer_path, worker_state
 
 BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
+#: Pre-tokens whose count a task remembers at least, and half of those at most; beyond that one may be counted again.
+REMEMBERED = 1_000_000
 #: Texts of white space, printable ASCII and Latin letters, for which Python's expressions and the library's agree.
 _FAST = re.compile(r"[\t-\r\x20-\x7eÀ-ɏß¡¿«»]*")
 #: The vocabulary's pre-token pattern for those texts, after lower-casing.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+# The normalizer and pre-tokenizer of the files that _PIECE stands for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class WordBpe:
     """Pre-tokens and piece counts of a word-end BPE file: lower case, white space dropped."""
 
@@ -38,6 +46,14 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        byte_level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        if file["model"].get("type") != "BPE" or not byte_level or steps[0].get("type") != "Split" or steps[0].get("behavior") != "Removed" or not steps[0].get("invert"):
+            raise ValueError("the file is no byte-level BPE over the matches of a split pattern, for which pieces can be counted by pre-token")
+        #: Whether the file splits as _PIECE does; if not, the library splits all texts.
+        self.known = file.get("normalizer") == _NORMALIZER and steps[0].get("pattern") == {"Regex": _SPLIT}
         #: String and whether a match takes the place of ordinary text, longest first.
         special = sorted((x.content for x in self.model.get_added_tokens_decoder().values()), key=lambda s: (-len(s), s))
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -45,7 +61,7 @@ class WordBpe:
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens in normal form, repeats included, in no order; special strings stay whole and start with NUL here."""
-        if "<|" not in text and "İ" not in text and _FAST.fullmatch(text):
+        if self.known and "<|" not in text and "İ" not in text and _FAST.fullmatch(text):
             return _PIECE.findall(text.lower())  # such letters are composed already and stay one letter each
         found, parts, at = [], [], 0
         for m in self.special.finditer(text) if self.special else ():
@@ -53,7 +69,7 @@ class WordBpe:
             found.append("\0" + m[0])
             at = m.end()
         for part in [*parts, text[at:]]:
-            normal = self.model.normalizer.normalize_str(part)
+            normal = self.model.normalizer.normalize_str(part) if self.model.normalizer else part
             found.extend(normal[a:b] for _, (a, b) in self.model.pre_tokenizer.pre_tokenize_str(normal))
         return found
 
@@ -110,16 +126,18 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
             block += 1
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, counts = worker_state(WordBpe, path), {}
+        bpe, counts, older = worker_state(WordBpe, path), {}, {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["ids"] is not None:
                     yield _batch(met_kinds, block=[row["block"]], ids=[row["ids"]], sizes=[row["sizes"]])
                     continue
                 names = row["pieces"].split(" ")
+                if len(counts) > REMEMBERED:
+                    counts, older = {}, counts
                 for name in names:
                     if name not in counts:
-                        counts[name] = bpe.count(name)
+                        counts[name] = older[name] if name in older else bpe.count(name)
                 place = np.frombuffer(row["places"], "<u2")
                 times = np.frombuffer(row["times"], "<u1" if len(row["times"]) == len(place) else "<u4")
                 each = np.repeat(np.fromiter(map(counts.__getitem__, names), np.int64, len(names)), np.frombuffer(row["holders"], "<u2")) * times
@@ -138,7 +156,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
 
     own = f"ids array<{kind}>, sizes array<long>"
     rows = held.mapInArrow(split, f"block long, part int, pieces string, holders binary, places binary, times binary, {own}")
-    met = rows.repartition("part").mapInArrow(weigh, f"block long, places binary, sums binary, {own}")
+    # entries of one part come one after the other, so what a task remembers is of use however many there are
+    met = rows.repartition("part").sortWithinPartitions("part").mapInArrow(weigh, f"block long, places binary, sums binary, {own}")
     out = met.groupBy("block").applyInPandas(add, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

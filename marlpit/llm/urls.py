@@ -59,22 +59,23 @@ _HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _CONTENT = r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 
-def _quoted(text: str, pattern: str, groups: int) -> Column:
+def _quoted(text: Column, pattern: str, groups: int) -> Column:
     """The group that matched, of several ways to quote a value."""
-    return F.concat(*(F.regexp_extract(F.col(text), pattern, g) for g in range(1, groups + 1)))
+    return F.concat(*(F.regexp_extract(text, pattern, g) for g in range(1, groups + 1)))
 
 
 def page_links(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """Edges (a, b) between addresses that pages declare: their canonical link and their refresh target, outside comments."""
+    """Edges (a, b) between addresses that pages declare: all their canonical links and refresh targets, outside comments."""
     html = F.col("html")
     rows = pages.select(F.col(url_column).alias("base"), F.col(html_column).alias("html")).where(html.rlike("(?i)canonical|http-equiv"))
     tags = rows.select("base", F.regexp_extract_all(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)).alias("tags"))
-    one = lambda holds: F.get(F.filter("tags", lambda t: t.rlike(holds)), F.lit(0))
-    canonical = one(r"""(?i)^<link\b.*\brel\s*=\s*["']?[^"'>]*\bcanonical\b""").alias("canonical")
-    refresh = one(r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b""").alias("refresh")
+    of = lambda holds: F.filter("tags", lambda t: t.rlike(holds))
+    canonical = of(r"""(?i)^<link\b.*\brel\s*=\s*["']?[^"'>]*\bcanonical\b""").alias("canonical")
+    refresh = of(r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b""").alias("refresh")
     found = tags.select("base", canonical, refresh)
-    target = F.regexp_extract(_quoted("refresh", _CONTENT, 2), r"(?i)^\s*[\d.]*\s*[;,]\s*url\s*=\s*['\"]?([^'\"]*)", 1)
-    links = found.select("base", F.explode(F.array(_quoted("canonical", _HREF, 3), target)).alias("link")).where("trim(link) <> ''")
+    target = lambda t: F.regexp_extract(_quoted(t, _CONTENT, 2), r"(?i)^\s*[\d.]*\s*[;,]\s*url\s*=\s*['\"]?([^'\"]*)", 1)
+    every = F.concat(F.transform("canonical", lambda t: _quoted(t, _HREF, 3)), F.transform("refresh", target))
+    links = found.select("base", F.explode(F.array_distinct(every)).alias("link")).where("trim(link) <> ''")
     parts = links.select(
         F.replace(F.trim("link"), F.lit("&amp;"), F.lit("&")).alias("link"), F.col("base"),
         F.regexp_extract("base", r"^[^:]*", 0).alias("scheme"), F.regexp_extract("base", r"^[^:]*://[^/?#]*", 0).alias("site"),
