@@ -10,6 +10,11 @@ from marlpit.session import get_session
 from marlpit.sources import sinks
 
 DATASET = ("master_interactions", "task_states_viewplus", "task_states_favoriteplus", "task_states_purchase", "candidates", "impressed_candidates")
+#: Export packages: tables and documents of one experiment.
+PACKAGES = {
+    "popularity": (("eval_multi_k", "eval_popularity", "representation_stats", "signal_richness", "stability"), ("heavy_user", "signal_overlap", "best_baseline")),
+    "hybrid": (("eval_hybrid", "select_alpha", "score_decomposition", "fallback_groups", "backfill_groups", "history_groups", "popularity_groups", "comparison_table"), ("personalization",)),
+}
 REPORTS = {
     "dataset": ("split_summary", "state_distribution", "sparsity_user", "sparsity_item", "leakage_audit"),
     "popularity": ("eval_multi_k", "best_baseline", "stability", "signal_richness", "representation_stats", "signal_overlap", "activity_deciles"),
@@ -27,6 +32,8 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("query"), run.add_argument("tables"), run.add_argument("--out"), run.add_argument("--format", default="parquet", choices=("parquet", "csv", "json"))
     build = sub.add_parser("build-dataset")
     build.add_argument("tables"), build.add_argument("out")
+    package = sub.add_parser("export")
+    package.add_argument("name", choices=sorted(PACKAGES)), package.add_argument("tables"), package.add_argument("out")
     report = sub.add_parser("report")
     report.add_argument("name", choices=sorted(REPORTS)), report.add_argument("tables")
     args = p.parse_args(argv)
@@ -48,6 +55,10 @@ def main(argv: list[str] | None = None) -> int:
             df.write.mode("overwrite").format(args.format).save(args.out)
     elif args.command == "build-dataset":
         print(sinks.write_dataset({n: queries[n](spark, args.tables) for n in DATASET}, args.out))
+    elif args.command == "export":
+        names, small = PACKAGES[args.name]
+        documents = {n: {"rows": [r.asDict() for r in queries[n](spark, args.tables).limit(100).collect()]} for n in small}
+        print(sinks.write_package({n: queries[n](spark, args.tables) for n in names}, documents, args.out))
     else:
         print("\n".join(sinks.markdown(queries[n](spark, args.tables), n) for n in REPORTS[args.name]))
     return 0

@@ -26,6 +26,13 @@ def axis_stats(rows: DataFrame, axes: Sequence[str], *by: str) -> DataFrame:
     return describe(held, "value", *by, "axis")
 
 
+def boundary_shares(rows: DataFrame, ranges: dict[str, tuple[float, float]], margin: float) -> DataFrame:
+    """(axis, low_share, high_share): rows within ``margin`` of the range from either end, in one pass."""
+    near = lambda c, lo, hi: (F.avg((F.col(c) <= lo + (hi - lo) * margin).cast("int")), F.avg((F.col(c) >= hi - (hi - lo) * margin).cast("int")))
+    one = rows.agg(F.array(*(F.struct(F.lit(c).alias("axis"), *(x.alias(n) for x, n in zip(near(c, *ends), ("low_share", "high_share"), strict=True))) for c, ends in ranges.items())).alias("x"))
+    return one.select(F.inline("x"))
+
+
 def correlations(rows: DataFrame, axes: Sequence[str]) -> DataFrame:
     """(a, b, r) of all pairs of columns in one pass; 0 where a column is constant."""
     pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i + 1 :]]
@@ -77,7 +84,14 @@ def guarded_replace(spark, incoming: DataFrame, path: str, key: str, protected:
             raise ValueError(f"{held} rows to delete are still in use")
     counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
     if not dry_run:
-        fresh = f"{path.rstrip('/')}.next"
-        incoming.write.mode("overwrite").parquet(fresh)  # the old files are read until here
-        spark.read.parquet(fresh).write.mode("overwrite").parquet(path)
+        fresh, old = (f"{path.rstrip('/')}.{x}" for x in ("next", "old"))
+        incoming.write.mode("overwrite").parquet(fresh)
+        # two renames: whatever fails, the table or its whole copy under .next or .old is there
+        to = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+        store = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        if store.exists(to(path)):
+            store.delete(to(old), True)
+            store.rename(to(path), to(old))
+        store.rename(to(fresh), to(path))
+        store.delete(to(old), True)
     return counts

@@ -141,11 +141,20 @@ def leakage_audit(facts: DataFrame) -> DataFrame:
 
 
 def id_index(dimension: DataFrame, key: str) -> DataFrame:
-    """Dense numbers from 0 in id order, without a global sort in one task: ranges are numbered and offset."""
+    """Dense numbers from 0 in id order."""
+    held, _ = placed(dimension.select(key).distinct(), key)
+    return held.select(key, F.col("place").alias("idx"))
+
+
+def placed(rows: DataFrame, *order) -> tuple[DataFrame, int]:
+    """``rows`` with their ``place`` from 0 in a total order, and their number. No task sorts all: rows are
+    range-partitioned, numbered inside each range, and ranges are offset by the sizes of those before."""
     from pyspark.sql import Window
 
-    rows = cut(dimension.select(key).distinct().repartitionByRange(key).withColumn("part", F.spark_partition_id()))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(key))
-    return rows.withColumn("r", inside).join(ahead, "part").select(key, (F.col("r") - 1 + F.col("ahead")).cast("long").alias("idx"))
+    held = cut(rows.repartitionByRange(*order).withColumn("range_part", F.spark_partition_id()))
+    sizes = held.groupBy("range_part").agg(F.count("*").alias("range_n"))  # a row a partition
+    ahead = cut(sizes.select("range_part", "range_n", (F.sum("range_n").over(Window.orderBy("range_part")) - F.col("range_n")).alias("range_ahead")))
+    inside = F.row_number().over(Window.partitionBy("range_part").orderBy(*order))
+    out = held.withColumn("range_row", inside).join(ahead.drop("range_n"), "range_part")
+    total = ahead.agg(F.sum("range_n")).first()[0] or 0
+    return out.withColumn("place", (F.col("range_row") - 1 + F.col("range_ahead")).cast("long")).drop("range_part", "range_row", "range_ahead"), total

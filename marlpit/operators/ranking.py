@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.operators.dataset import favoriteplus
+from marlpit.operators.dataset import favoriteplus, placed
 
 SIGNALS = ("total_view", "unique_view_users", "log_view", "favoriteplus", "cart", "purchase", "weighted")
 
@@ -67,11 +67,11 @@ def positions(ranking: DataFrame, relevance: DataFrame, seen: DataFrame | None,
     return held.withColumn("position", F.when(~out, F.col("rank") - F.when(F.col("gone").isNull(), 0).otherwise(ahead))).drop("gone", "rank")
 
 
-def user_metrics(placed: DataFrame, ks: Sequence[int], *by: str) -> DataFrame:
+def user_metrics(found: DataFrame, ks: Sequence[int], *by: str) -> DataFrame:
     """Recall, NDCG, hit rate and precision of each eligible user and k, from (``by``, user_id, item_id, position)."""
     k = F.explode(F.array(*map(F.lit, ks)))
     hit = F.col("position") <= F.col("k")
-    per = placed.withColumn("k", k).groupBy(*by, "user_id", "k").agg(
+    per = found.withColumn("k", k).groupBy(*by, "user_id", "k").agg(
         F.count("*").alias("relevant"), F.count_if(hit).alias("hits"), F.coalesce(F.sum(F.when(hit, 1 / F.log2(F.col("position") + 1))), F.lit(0.0)).alias("dcg")
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("k", F.col("relevant").cast("int"))), F.lit(0.0), lambda x, i: x + 1 / F.log2(i + 1))
@@ -91,14 +91,22 @@ def macro(per_user: DataFrame, *by: str) -> DataFrame:
 def top_k(ranking: DataFrame, users: DataFrame, seen: DataFrame | None, k: int) -> DataFrame:
     """(user_id, item_id, position) of each user's first k items of one shared ranking, without seen items.
 
-    Only the first k + (most seen items of a user) ranks can appear, so that many are paired with users.
+    Only a user's first k + (own seen items) ranks can appear, so the work is k a user and one row a seen pair.
     """
+    held = users.select("user_id").withColumn("n_seen", F.lit(0).cast("long")) if seen is None else with_seen_count(users.select("user_id"), seen)
+    ranks = held.select("user_id", F.explode(F.sequence(F.lit(1), (F.col("n_seen") + k).cast("int"))).alias("rank"))
+    pairs = ranks.join(ranking.select("item_id", "rank"), "rank")
     if seen is None:
-        return users.crossJoin(F.broadcast(ranking.where(F.col("rank") <= k).select("item_id", F.col("rank").alias("position"))))
-    most = seen.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-    pairs = users.crossJoin(F.broadcast(ranking.where(F.col("rank") <= k + most).select("item_id", "rank"))).join(seen, ["user_id", "item_id"], "left_anti")
+        return pairs.select("user_id", "item_id", F.col("rank").alias("position"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("rank"))
-    return pairs.withColumn("position", place).where(F.col("position") <= k).select("user_id", "item_id", "position")
+    left = pairs.join(seen, ["user_id", "item_id"], "left_anti")
+    return left.withColumn("position", place).where(F.col("position") <= k).select("user_id", "item_id", "position")
+
+
+def with_seen_count(users: DataFrame, seen: DataFrame) -> DataFrame:
+    """``users`` with ``n_seen``, the number of different items each has seen."""
+    counts = seen.groupBy("user_id").agg(F.countDistinct("item_id").alias("n_seen"))
+    return users.join(counts, "user_id", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0).cast("long")))
 
 
 def top_k_scored(scores: DataFrame, k: int, *by: str) -> DataFrame:
@@ -115,10 +123,8 @@ def listed_positions(lists: DataFrame, relevance: DataFrame, *by: str) -> DataFr
 
 def group_by_position(rows: DataFrame, order: Sequence, parts: int, name: str) -> DataFrame:
     """Bucket b of n rows holds places floor(b*n/parts) up to floor((b+1)*n/parts), which is not what ntile deals."""
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy())
-    bucket = F.floor((parts * (place + 1) - 1) / n)
-    return rows.withColumn(name, bucket.cast("int"))
+    held, n = placed(rows, *order)
+    return held.withColumn(name, F.floor((parts * (F.col("place") + 1) - 1) / n).cast("int")).drop("place")
 
 
 class TestOnce:
@@ -129,8 +135,8 @@ class TestOnce:
     def __init__(self) -> None:
         self.used = False
 
-    def __call__(self, placed: DataFrame, ks: Sequence[int], *by: str) -> DataFrame:
+    def __call__(self, found: DataFrame, ks: Sequence[int], *by: str) -> DataFrame:
         if self.used:
             raise RuntimeError("the test split has been evaluated already")
         self.used = True
-        return macro(user_metrics(placed, ks, *by), *by)
+        return macro(user_metrics(found, ks, *by), *by)

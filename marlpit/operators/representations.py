@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.operators.dataset import favoriteplus
+from marlpit.operators.dataset import favoriteplus, placed
 from marlpit.operators.ranking import Weights
 
 REPRESENTATIONS = ("binary_viewplus", "view_count", "log_view", "favoriteplus", "binary_purchase", "weighted")
@@ -79,9 +79,8 @@ def activity(facts: DataFrame, users: DataFrame) -> DataFrame:
 
 def heavy_users(active: DataFrame) -> DataFrame:
     """Shares of the top 1 percent of users, at least one, by raw views."""
-    top = Window.orderBy(F.col("raw").desc(), "user_id")
-    held = active.withColumn("place", F.row_number().over(top)).withColumn("n", F.count("*").over(Window.partitionBy()))
-    keep = F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.01))
+    held, n = placed(active, F.col("raw").desc(), F.col("user_id"))
+    keep = F.col("place") < max(1, -(-n // 100))
     share = lambda c: F.sum(F.when(keep, F.col(c))) / F.sum(c)
     return held.agg(F.count("*").alias("users"), F.count_if(keep).alias("top_users"), share("raw").alias("raw_share"), share("log").alias("log_share"), F.max("raw").alias("max_raw"), F.max("log").alias("max_log"))
 

@@ -1,47 +1,89 @@
-"""Reproducible non-positive sampling: candidates are drawn by a hash of seed, user, positive and candidate.
-
-The draw of a positive doesn't depend on any other row, so it is the same in any engine and
-partitioning. A sampled pair is a contrast, never a true negative.
+"""Reproducible non-positive sampling by drawn indices.
+
+A pool that exists as rows (exposed pairs) is numbered by user in a hash order, and a
+positive takes as many consecutive places as it wants, from a hashed start on. The pool of
+unknown pairs is the rest of the universe and never built: item numbers are drawn by hashes
+of seed, user, positive and attempt, and drawn items that are known are rejected. Users for
+whom ``ATTEMPTS`` draws are too few know nearly all items, so the rest of theirs is small
+enough to be numbered like an exposed pool. Work grows with positives and facts, not with
+positives times items. A draw depends on no other positive, so it is the same in any engine
+and partitioning. A sampled pair is a contrast, never a true negative.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RATIO = 4
-
-
-def draw_order(seed: int):
-    return F.md5(F.concat_ws(":", F.lit(seed), "user_id", "item_id", "sampled"))
+from marlpit.operators.dataset import id_index
+from marlpit.sources.durable import cut
 
-
-def _ranked(positives: DataFrame, pool: DataFrame, seed: int, n: int) -> DataFrame:
-    """The first n of each positive's hash order of the user's pool; a partial limit runs before the shuffle."""
-    held = positives.join(pool.select("user_id", F.col("item_id").alias("sampled")), "user_id")
-    place = F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy(draw_order(seed), "sampled"))
-    return held.withColumn("r", place).where(F.col("r") <= n)
-
-
-def sample(positives: DataFrame, unknown: DataFrame, exposed: DataFrame, strategy: str, seed: int = 42, ratio: int = RATIO, strict: bool = True) -> DataFrame:
+RATIO = 4
+#: Draws from the universe for each positive.
+ATTEMPTS = 16
+
+
+def hashed(*parts) -> Column:
+    """60 bits of a hash of the parts as a number; any engine with MD5 gives the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
+
+
+def _places(positives: DataFrame, pool: DataFrame, seed: int, n: int) -> DataFrame:
+    """(user_id, item_id, sampled, t): ``n`` consecutive places of the user's pool in its hash order, round its end, or the whole pool if that is less."""
+    order = Window.partitionBy("user_id").orderBy(hashed(F.lit(seed), "user_id", "sampled"), "sampled")
+    numbered = pool.select("user_id", F.col("item_id").alias("sampled")).withColumn("slot", (F.row_number().over(order) - 1).cast("long"))
+    numbered = cut(numbered)
+    sizes = numbered.groupBy("user_id").agg(F.count("*").alias("m"))
+    t = F.explode(F.sequence(F.lit(0), (F.least(F.lit(n), "m") - 1).cast("int")))
+    wanted = positives.join(sizes, "user_id").select("user_id", "item_id", "m", t.alias("t"))
+    wanted = wanted.withColumn("slot", F.pmod(hashed(F.lit(seed), "user_id", "item_id") + F.col("t"), F.col("m")))
+    return wanted.join(numbered, ["user_id", "slot"]).select("user_id", "item_id", "sampled", "t")
+
+
+def _unknown(positives: DataFrame, known: DataFrame, items: DataFrame, seed: int, n: int) -> DataFrame:
+    """(user_id, item_id, sampled, r): the first ``n`` different unknown items of each positive, in the order of draws."""
+    numbered = cut(id_index(items, "item_id").select("idx", F.col("item_id").alias("sampled")))
+    total = numbered.count()
+    known = known.select("user_id", F.col("item_id").alias("sampled")).distinct()
+    if not total:
+        return positives.select("user_id", "item_id", F.col("item_id").alias("sampled"), F.lit(0).alias("r")).limit(0)
+    tries = positives.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))))
+    drawn = tries.withColumn("idx", F.pmod(hashed(F.lit(seed), "user_id", "item_id", "t"), F.lit(total))).join(numbered, "idx")
+    first = drawn.join(known, ["user_id", "sampled"], "left_anti").groupBy("user_id", "item_id", "sampled").agg(F.min("t").alias("t"))
+    place = F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy("t"))
+    got = cut(first.withColumn("r", place).where(F.col("r") <= n))
+    counts = got.groupBy("user_id", "item_id").agg(F.count("*").alias("got"))
+    short = cut(positives.join(counts, ["user_id", "item_id"], "left").withColumn("got", F.coalesce("got", F.lit(0))).where(F.col("got") < n))
+    if not short.limit(1).count():
+        return got.select("user_id", "item_id", "sampled", "r")
+    rest = short.select("user_id").distinct().crossJoin(items.select("item_id")).join(known.withColumnRenamed("sampled", "item_id"), ["user_id", "item_id"], "left_anti")
+    more = _places(short.select("user_id", "item_id"), rest, seed, 2 * n).join(got.select("user_id", "item_id", "sampled"), ["user_id", "item_id", "sampled"], "left_anti")
+    placed = more.withColumn("r", F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy("t"))).join(short, ["user_id", "item_id"])
+    filled = placed.withColumn("r", F.col("r") + F.col("got")).where(F.col("r") <= n)
+    return got.select("user_id", "item_id", "sampled", "r").unionByName(filled.select("user_id", "item_id", "sampled", F.col("r").cast("int").alias("r")))
+
+
+def sample(positives: DataFrame, exposed: DataFrame, items: DataFrame, strategy: str, seed: int = 42, ratio: int = RATIO, strict: bool = True) -> DataFrame:
     """(user_id, item_id, sampled, source, is_backfill): ``ratio`` different pairs for each positive.
 
-    ``unknown`` takes all from unknown pairs. ``exposed`` prefers exposed non-conversions,
-    ``mixed`` wants half of each; what the exposed pool lacks comes from unknown pairs as
-    backfill. With ``strict`` a pool too small for a positive raises.
+    ``unknown`` takes all from pairs that are neither positive nor exposed. ``exposed`` prefers
+    exposed non-conversions, ``mixed`` wants half of each; what the exposed pool lacks comes
+    from unknown pairs as backfill. With ``strict`` a pool too small for a positive raises.
     """
     wanted = {"unknown": 0, "exposed": ratio, "mixed": ratio // 2}[strategy]
-    shown = _ranked(positives, exposed, seed, wanted) if wanted else None
-    rest = _ranked(positives, unknown, seed, ratio)
-    if shown is None:
+    positives = cut(positives.select("user_id", "item_id"))
+    rest = _unknown(positives, positives.unionByName(exposed.select("user_id", "item_id")), items, seed, ratio)
+    if not wanted:
         out = rest.select("user_id", "item_id", "sampled", F.lit("random_unknown").alias("source"), F.lit(False).alias("is_backfill"))
     else:
+        shown = cut(_places(positives, exposed, seed, wanted))
         got = shown.groupBy("user_id", "item_id").agg(F.count("*").alias("got"))
         held = rest.join(got, ["user_id", "item_id"], "left").fillna(0, ["got"]).where(F.col("r") <= ratio - F.col("got"))
         backfill = F.col("r") > ratio - wanted
         out = shown.select("user_id", "item_id", "sampled", F.lit("exposed_non_conversion").alias("source"), F.lit(False).alias("is_backfill")).unionByName(
             held.select("user_id", "item_id", "sampled", F.lit("random_unknown").alias("source"), backfill.alias("is_backfill"))
         )
+    out = cut(out)
     if strict:
         short = positives.join(out.groupBy("user_id", "item_id").count(), ["user_id", "item_id"], "left").where(F.coalesce("count", F.lit(0)) < ratio)
         if short.limit(1).count():

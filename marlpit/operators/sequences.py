@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlpit.operators.dataset import placed
+
 ENGAGEMENTS = ("favorite", "add_to_cart", "purchase")
 
 
@@ -60,10 +62,14 @@ def continuity(events: DataFrame, category: str = "category") -> DataFrame:
 
 
 def future_sessions(views: DataFrame, starts: DataFrame, days: int = 7) -> DataFrame:
-    """Each view's later sessions of the same user within ``days``: an equi-join on the user with a range on time."""
-    held = views.alias("v").join(starts.alias("s"), F.col("v.user_id") == F.col("s.user_id"))
+    """Each view's later sessions of the same user within ``days``. Both sides are cut into spans of that length: a
+    session is in its view's span or the next one, so a user's views don't meet all of the user's sessions."""
+    span = lambda t: F.floor(F.unix_seconds(F.col(t).cast("timestamp")) / (86400 * days))
+    held = views.withColumn("span", F.explode(F.array(span("ts"), span("ts") + 1))).alias("v")
+    later = starts.withColumn("span", span("started_at")).alias("s")
+    met = held.join(later, (F.col("v.user_id") == F.col("s.user_id")) & (F.col("v.span") == F.col("s.span")))
     near = (F.col("s.started_at") > F.col("v.ts")) & (F.col("s.started_at") <= F.col("v.ts") + F.expr(f"INTERVAL {days} DAYS"))
-    return held.where(near).groupBy("v.event_id").agg(F.count("*").alias("future_sessions"), F.min("s.session").alias("next_session"))
+    return met.where(near).groupBy("v.event_id").agg(F.count("*").alias("future_sessions"), F.min("s.session").alias("next_session"))
 
 
 def source_views(events: DataFrame) -> DataFrame:
@@ -125,7 +131,10 @@ def mid_rank(value: str, *by: str) -> Column:
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Probability that a positive scores above a negative, ties half; 0.5 if a class is empty."""
-    held = rows.withColumn("r", mid_rank(score)).agg(F.sum(F.when(F.col(label), F.col("r"))).alias("s"), F.count_if(label).cast("double").alias("p"), F.count_if(~F.col(label)).cast("double").alias("n"))
+    per = rows.groupBy(score).agg(F.count_if(label).cast("double").alias("p"), F.count("*").cast("double").alias("all"))  # a row a different score
+    upto = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.sum("all").over(upto) - (F.col("all") - 1) / 2
+    held = per.withColumn("s", F.col("p") * rank).agg(F.sum("s").alias("s"), F.sum("p").alias("p"), F.sum(F.col("all") - F.col("p")).alias("n"))
     p, n = F.col("p"), F.col("n")
     return held.select(F.when((p == 0) | (n == 0), 0.5).otherwise((F.col("s") - p * (p + 1) / 2) / (p * n)).alias("auc"))
 
@@ -142,6 +151,6 @@ def best_threshold(rows: DataFrame, score: str, label: str) -> DataFrame:
 
 def quartile_thresholds(rows: DataFrame, value: str) -> DataFrame:
     """Order statistics at n // 4 and 3n // 4 of the sorted values, not interpolated."""
-    held = rows.select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(value)) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    at = lambda k: F.max(F.when(F.col("i") == F.floor(k * F.col("n") / 4), F.col("v")))
+    held, n = placed(rows.select(F.col(value).alias("v")), "v")
+    at = lambda k: F.max(F.when(F.col("place") == k * n // 4, F.col("v")))
     return held.agg(at(1).alias("low"), at(3).alias("high"))

@@ -5,62 +5,116 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions import scalar as S
 
 
-def _blocks(rows: DataFrame, id: str, vector: str, size: int, name: str) -> DataFrame:
-    """Rows gathered by hash into about count / size blocks of (ids, vectors)."""
+def _blocks(rows: DataFrame, id: str, vector: str, size: int, name: str, *more: str) -> DataFrame:
+    """Rows gathered by hash into about count / size blocks: ids, all vectors in one flat array, and more numbers a row."""
     n = max(1, -(-rows.count() // size))
     part = F.pmod(F.xxhash64(id), F.lit(n))
-    return rows.groupBy(part.alias(f"{name}_block")).agg(F.collect_list(F.struct(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias(name))
+    row = F.struct(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), *(F.col(c).cast("double").alias(c) for c in more))
+    held = rows.groupBy(part.alias(f"{name}_block")).agg(F.collect_list(row).alias("x"))
+    take = lambda c: F.transform("x", lambda r: r[c])
+    return held.select(take("id").alias(f"{name}_id"), F.flatten(take("v")).alias(f"{name}_vec"), *(take(c).alias(f"{name}_{c}") for c in more))
 
 
-def score_blocks(left: DataFrame, right: DataFrame, k: int | None, left_id: str, right_id: str, vector: str = "vec", metric: str = "dot", block: int = 2048, skip_same: bool = False) -> DataFrame:
+def _products(batches: Iterator[pa.RecordBatch], metric: str) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array, np.ndarray]]:
+    """Of each pair of blocks: the row, ids of both sides (right ones in order) and their scores."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            ls, rs = (row.column(f"{c}_id").flatten() for c in "lr")
+            x, y = (row.column(f"{c}_vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) for c, ids in (("l", ls), ("r", rs)))
+            order = pc.sort_indices(rs)
+            rs, y = rs.take(order), y[order.to_numpy()]
+            if metric == "cosine":
+                x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+            yield row, ls, rs, np.round(x @ y.T, 9)
+
+
+def _numbers(row: pa.RecordBatch, column: str) -> np.ndarray:
+    return row.column(column).flatten().to_numpy(zero_copy_only=False)
+
+
+def _best(s: np.ndarray, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of each row's ``keep`` largest scores, the first of equal ones first; all without it."""
+    if keep is None:
+        return tuple(x.ravel() for x in np.indices(s.shape))
+    order = np.argsort(-s, axis=1, kind="stable")[:, : max(1, int(keep.max(initial=1)))]
+    i, j = np.nonzero(np.arange(order.shape[1])[None, :] < keep[:, None])
+    return i, order[i, j]
+
+
+def score_blocks(left: DataFrame, right: DataFrame, k: int | None, left_id: str, right_id: str, vector: str = "vec", metric: str = "dot", block: int = 2048, skip_same: bool = False, more: str | None = None) -> DataFrame:
     """(left_id, right_id, score): the k best of the right side for each left row, ties to the smaller id. Without k it is all, unranked.
 
     Blocks of both sides meet in pairs and each pair is one matrix product that keeps k rows
     of the right for each left row, so at most k candidates a block go on to the last ranking.
+    ``more`` names a column of the left side with a number of further rows to keep, as many as a later filter may take away.
     """
-    a, b = _blocks(left, left_id, vector, block, "l"), _blocks(right, right_id, vector, block, "r")
+    extra = [more] if more else []
+    a, b = _blocks(left, left_id, vector, block, "l", *extra), _blocks(right, right_id, vector, block, "r")
     kinds = left.schema[left_id].dataType.simpleString(), right.schema[right_id].dataType.simpleString()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for ls, rs in zip(part["l"], part["r"], strict=True):
-                rs = sorted(rs, key=lambda x: x["id"])
-                x, y = (np.array([np.asarray(v["v"], float) for v in side]) for side in (ls, rs))
-                if metric == "cosine":
-                    x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-                s = np.round(x @ y.T, 9)
-                if skip_same:
-                    ids = np.array([v["id"] for v in rs])
-                    s[np.array([v["id"] for v in ls])[:, None] == ids[None, :]] = -np.inf
-                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                rows = [(ls[i]["id"], rs[j]["id"], float(s[i, j])) for i in range(len(ls)) for j in order[i] if np.isfinite(s[i, j])]
-                yield pd.DataFrame(rows, columns=["l", "r", "score"])
-
-    found = a.crossJoin(b).select("l", "r").mapInPandas(run, f"l {kinds[0]}, r {kinds[1]}, score double")
-    if k is None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, ls, rs, s in _products(batches, metric):
+            if skip_same:
+                s[np.array(ls.to_pylist(), object)[:, None] == np.array(rs.to_pylist(), object)[None, :]] = -np.inf
+            keep = None if k is None else k + (_numbers(row, f"l_{more}").astype(np.int64) if more else np.zeros(len(ls), np.int64))
+            i, j = _best(s, keep)
+            score = s[i, j]
+            real = np.flatnonzero(np.isfinite(score))
+            yield pa.RecordBatch.from_arrays([ls.take(pa.array(i[real])), rs.take(pa.array(j[real])), pa.array(score[real])], names=["l", "r", "score"])
+
+    found = a.crossJoin(b).mapInArrow(run, f"l {kinds[0]}, r {kinds[1]}, score double")
+    if k is None or more:
         return found.select(F.col("l").alias(left_id), F.col("r").alias(right_id), "score")
     place = F.row_number().over(Window.partitionBy("l").orderBy(F.col("score").desc(), "r"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("l").alias(left_id), F.col("r").alias(right_id), "score", "rank")
 
 
+def score_moments(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str = "vec", block: int = 2048) -> DataFrame:
+    """(left_id, n, mean, m2): number, mean and sum of squared deviations of each left row's scores of all right rows; no pair leaves its block."""
+    a, b = _blocks(left, left_id, vector, block, "l"), _blocks(right, right_id, vector, block, "r")
+    kind = left.schema[left_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ls, rs, s in _products(batches, "dot"):
+            mean = s.mean(axis=1)
+            yield pa.RecordBatch.from_arrays([ls, pa.array(np.full(len(ls), len(rs))), pa.array(mean), pa.array(((s - mean[:, None]) ** 2).sum(axis=1))], names=["l", "n", "mean", "m2"])
+
+    parts = a.crossJoin(b).mapInArrow(run, f"l {kind}, n long, mean double, m2 double")
+    return merged_moments(parts.withColumnRenamed("l", left_id), left_id)
+
+
+def merged_moments(parts: DataFrame, *by: str) -> DataFrame:
+    """Moments (n, mean, m2) of groups from those of their parts."""
+    held = parts.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.collect_list(F.struct("n", "mean", "m2")).alias("parts"))
+    m2 = F.aggregate("parts", F.lit(0.0), lambda x, p: x + p["m2"] + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
+    return held.select(*by, "n", "mean", m2.alias("m2"))
+
+
 def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
     """Mean vector of each label."""
     held = rows.select(label, F.posexplode(vector).alias("i", "x")).groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return held.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
+def few(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """A small side to broadcast; its number of rows is checked."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError("too many rows to broadcast; use score_blocks")
+    return F.broadcast(rows)
+
+
 def nearest_prototype(rows: DataFrame, prototypes: DataFrame, id: str, vector: str, name: str, max_prototypes: int = 10_000) -> DataFrame:
     """The nearest prototype of each row, the smaller name on a tie. Prototypes are few: their number is checked before they are broadcast."""
-    if prototypes.limit(max_prototypes + 1).count() > max_prototypes:
-        raise ValueError("too many prototypes to broadcast; use score_blocks")
-    held = rows.crossJoin(F.broadcast(prototypes.select(F.col(name).alias("p"), F.col("centroid"))))
+    held = rows.crossJoin(few(prototypes.select(F.col(name).alias("p"), F.col("centroid")), max_prototypes))
     dist = F.round(S.euclidean(F.col(vector), F.col("centroid")), 9)
     return held.groupBy(id).agg(F.min_by("p", F.struct(dist.alias("d"), F.col("p"))).alias("nearest"), F.min(dist).alias("distance"))
 
@@ -82,11 +136,36 @@ def affordability(users: DataFrame, prices: DataFrame, budget: str, price: str)
     return held.select("u.*", count.cast("long").alias("affordable"), (count / total).alias("share"))
 
 
-def hybrid(scores: DataFrame, alphas: Sequence[float]) -> DataFrame:
-    """(alpha, user_id, item_id, score): z-scores over each user's whole candidate set, blended; seen items must still be in."""
-    held = scores.withColumns({"m": S.zscore(F.col("mf"), "user_id"), "c": S.zscore(F.col("cart"), "user_id")})
-    alpha = F.explode(F.array(*(F.lit(float(a)) for a in alphas))).alias("alpha")
-    return held.select(alpha, "user_id", "item_id", "m", "c").select("alpha", "user_id", "item_id", F.round(S.blend(F.col("alpha"), F.col("m"), F.col("c")), 9).alias("score"))
+def hybrid(users: DataFrame, items: DataFrame, alphas: Sequence[float], k: int | None = None, more: str | None = None, block: int = 2048) -> DataFrame:
+    """(alpha, user_id, item_id, score): a user's z-scores over all ``items`` (item_id, vec, cart), blended with those of ``cart``.
+
+    A first pass over the pairs of blocks gives each user's mean and deviation, a second one
+    blends inside the matrix product. With k only that many of a user and alpha, and as many
+    more as the users' column ``more`` says, leave their block; seen items must still be in.
+    """
+    for alpha in alphas:
+        if not 0 <= alpha <= 1:
+            raise ValueError("alpha must be between 0 and 1")
+    kinds = users.schema["user_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    sd = F.sqrt(F.col("m2") / F.col("n"))
+    moments = score_moments(users, items, "user_id", "item_id", block=block).select("user_id", F.col("mean"), sd.alias("sd"))
+    ends = items.agg(F.avg("cart").alias("cart_mean"), F.stddev_pop("cart").alias("cart_sd"))  # one row
+    z = F.when(F.col("cart_sd") > 0, (F.col("cart") - F.col("cart_mean")) / F.col("cart_sd")).otherwise(0.0)
+    left = _blocks(users.join(moments, "user_id"), "user_id", "vec", block, "l", "mean", "sd", *([more] if more else []))
+    right = _blocks(items.crossJoin(ends).withColumn("z", z), "item_id", "vec", block, "r", "z")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, ls, rs, s in _products(batches, "dot"):
+            mean, sd = _numbers(row, "l_mean")[:, None], _numbers(row, "l_sd")[:, None]
+            m = np.divide(s - mean, sd, out=np.zeros_like(s), where=sd > 0)
+            c = _numbers(row, "r_z")[pc.sort_indices(row.column("r_id").flatten()).to_numpy()][None, :]
+            keep = None if k is None else k + (_numbers(row, f"l_{more}").astype(np.int64) if more else np.zeros(len(ls), np.int64))
+            for alpha in alphas:
+                blend = np.round(alpha * m + (1 - alpha) * c, 9)
+                i, j = _best(blend, keep)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), alpha)), ls.take(pa.array(i)), rs.take(pa.array(j)), pa.array(blend[i, j])], names=["alpha", "user_id", "item_id", "score"])
+
+    return left.crossJoin(right).mapInArrow(run, f"alpha double, user_id {kinds[0]}, item_id {kinds[1]}, score double")
 
 
 def select_alpha(metrics: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over losses, training, simulation and streams."""
+"""Queries over losses, training and streams."""
 
 from __future__ import annotations
 
@@ -10,12 +10,12 @@ from marlpit.operators import dataset as D
 from marlpit.operators import mf as MF
 from marlpit.operators import ranking as R
 from marlpit.operators import sequences as Q
-from marlpit.operators import simulate as G
+from marlpit.operators.ranking import Weights
 from marlpit.plans.catalog import _MODEL, model
 from marlpit.plans.dataset import train
 from marlpit.plans.ranking import KS, _topk, evaluated
 from marlpit.plans.registry import query
-from marlpit.plans.sequences import SESS, samples, sessionized
+from marlpit.plans.sequences import SESS, sessionized
 from marlpit.sources import adapter as A
 from marlpit.sources.adapter import SQL_WORLD as W
 from marlpit.streaming import incremental as T
@@ -67,77 +67,46 @@ def assign_ts(s, d):
     return sessionized(s, d).select("event_id", F.round(3600 * F.sum(w).over(upto) / (F.sum(w).over(whole) + 1), 6).alias("offset_seconds"))
 
 
-def trained(s, d, config):
-    items, users = A.items(s, d), A.users(s, d)
-    cand, rel = D.candidates(items, "purchase"), D.relevance(A.events(s, d), "purchase")
-    seen = rel.where("split = 'train'").select("user_id", "item_id")
-    want = rel.where("split = 'validation'").select("user_id", "item_id")
+DIMS = (8, 16, 32)
+
+
+def positives(s, d):
+    """Train pairs with a view, weighted by the combined signal."""
+    return train(s, d).where("view_count > 0").select("user_id", "item_id", Weights().strength().alias("strength"))
 
-    def validate(state):
-        lists = MF.top_lists(state, cand, seen, 10)
-        return R.macro(R.user_metrics(R.listed_positions(lists, want), (10,))).first()["ndcg"] or 0.0
 
-    rows = samples(s, d, "exposed").withColumn("confidence", F.lit(1.0))
-    return MF.train(rows, users, items, validate, config)
+def evaluated_mf(s, d, state, split):
+    """Metrics of a state's lists for purchases, with cart popularity for cold users."""
+    rel = D.relevance(A.events(s, d), "purchase")
+    seen = rel.where("split = 'train'").select("user_id", "item_id")
+    lists = MF.top_lists(state, D.candidates(A.items(s, d), "purchase"), seen, max(KS))
+    every = MF.with_fallback(lists, state.where("kind = 'u'").select(F.col("id").alias("user_id")), _topk(s, d, True))
+    return R.listed_positions(every, rel.where(F.col("split") == split).select("user_id", "item_id"))
 
 
 @query("mf_train")
 def mf_train(s, d):
-    """History of a BPR training with item biases: loss and validation NDCG@10 of each round."""
-    _, history = trained(s, d, MF.Config(dim=8, rate=0.01, loss="bpr"))
-    return s.createDataFrame(history, "round int, loss double, validation_ndcg double")
+    """Validation metrics at 10, parameters and normalised norms of each dimension."""
+    out = None
+    for dim in DIMS:
+        state = MF.train(positives(s, d), MF.Config(dim=dim))
+        row = R.macro(R.user_metrics(evaluated_mf(s, d, state, "validation"), (10,))).crossJoin(MF.capacity(state)).select(F.lit(dim).alias("dim"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("eval_mf")
 def eval_mf(s, d):
-    """Test metrics of a BCE model with cart popularity for cold users."""
-    state, _ = trained(s, d, MF.Config(dim=8, rate=0.01))
-    rel = D.relevance(A.events(s, d), "purchase")
-    seen = rel.where("split = 'train'").select("user_id", "item_id")
-    lists = MF.top_lists(state, D.candidates(A.items(s, d), "purchase"), seen, max(KS))
-    known = train(s, d).where("view_count > 0").select("user_id").distinct()
-    every = MF.with_fallback(lists, known, _topk(s, d, True))
-    placed = R.listed_positions(every, rel.where("split = 'test'").select("user_id", "item_id"))
-    return R.TestOnce()(placed, KS)
+    """Test metrics of a model of eight factors."""
+    state = MF.train(positives(s, d), MF.Config(dim=8))
+    return R.TestOnce()(evaluated_mf(s, d, state, "test"), KS)
 
 
 @query("comparison_table")
 def comparison_table(s, d):
     """The cart-popularity control next to the trained model, by k."""
     control = evaluated(s, d).where("split = 'test' and task = 'purchase' and signal = 'cart'").drop("split", "task", "signal").withColumn("model", F.lit("cart_popularity"))
-    return control.unionByName(eval_mf(s, d).withColumn("model", F.lit("mf_bce_8")))
-
-
-def world(s, d):
-    items, users = G.catalog(s, 60), G.users(s, 40)
-    return items, users, G.sessions(users)
-
-
-@query("gen_catalog")
-def gen_catalog(s, d):
-    return G.catalog(s, 200)
-
-
-@query("gen_users")
-def gen_users(s, d):
-    return G.users(s, 1000)
-
-
-@query("gen_sessions")
-def gen_sessions(s, d):
-    return G.sessions(G.users(s, 1000))
-
-
-@query("gen_events")
-def gen_events(s, d):
-    items, users, sessions = world(s, d)
-    return G.events(sessions, users, items)
-
-
-@query("gen_engagement")
-def gen_engagement(s, d):
-    items, users, sessions = world(s, d)
-    return G.engagements(G.events(sessions, users, items), sessions, items, users)
+    return control.unionByName(eval_mf(s, d).withColumn("model", F.lit("mf_als_8")))
 
 
 # Streams: each query drains the file and must equal the batch statement.

@@ -284,6 +284,14 @@ def fallback_groups(s, d):
     return grouped(held, F.coalesce("g", F.lit("fallback")).alias("grp"))
 
 
+@query("backfill_groups", _UM10 + f", sx AS (SELECT user_id, count(*) AS n FROM train WHERE view_count = 0 AND impression_count > 0 GROUP BY 1) SELECT CASE WHEN coalesce(n, 0) < 4 THEN 'backfilled' ELSE 'exposed_only' END AS grp, {_GROUP} FROM u10 LEFT JOIN sx USING (user_id) GROUP BY 1")
+def backfill_groups(s, d):
+    """Users whose exposed pool is too small for a sampled positive against the others."""
+    pool = train(s, d).where("view_count = 0 and impression_count > 0").groupBy("user_id").agg(F.count("*").alias("n"))
+    held = R.user_metrics(cart_places(s, d), (10,)).join(pool, "user_id", "left")
+    return grouped(held, F.when(F.coalesce("n", F.lit(0)) < 4, "backfilled").otherwise("exposed_only").alias("grp"))
+
+
 @query("history_groups", _UM10 + f""", h AS (SELECT user_id, count(*) AS n FROM train WHERE view_count > 0 GROUP BY 1), o AS (SELECT u10.*, coalesce(n, 0) AS n, row_number() OVER (ORDER BY coalesce(n, 0), user_id) - 1 AS p, count(*) OVER () AS c FROM u10 LEFT JOIN h USING (user_id))
  SELECT CASE WHEN p < c // 3 THEN 'low' WHEN p < 2 * c // 3 THEN 'medium' ELSE 'high' END AS grp, min(n) AS min_pairs, max(n) AS max_pairs, round(avg(n), 8) AS mean_pairs, {_GROUP} FROM o GROUP BY 1""")
 def history_groups(s, d):

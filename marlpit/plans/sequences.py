@@ -8,6 +8,7 @@ from marlpit.operators import dataset as D
 from marlpit.operators import representations as P
 from marlpit.operators import sampling as M
 from marlpit.operators import sequences as Q
+from marlpit.operators import validation as V
 from marlpit.plans.dataset import train
 from marlpit.plans.ranking import rounded
 from marlpit.plans.registry import query
@@ -17,28 +18,37 @@ from marlpit.sources.adapter import SQL_WORLD as W
 SEED = 42
 # Pools of the viewplus task: exposed is impressed without a view, unknown is the rest of the universe.
 _POOLS = W + """, pos AS (SELECT user_id, item_id FROM train WHERE view_count > 0), ex AS (SELECT user_id, item_id FROM train WHERE view_count = 0 AND impression_count > 0),
- un AS (SELECT user_id, item_id FROM us CROSS JOIN it EXCEPT (SELECT * FROM pos UNION ALL SELECT * FROM ex))"""
+ kn AS (SELECT * FROM pos UNION ALL SELECT * FROM ex), ix AS MATERIALIZED (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS n FROM it),
+ tr AS (SELECT user_id, item_id, t, """ + f"CAST('0x' || substr(md5('{SEED}:' || user_id || ':' || item_id || ':' || t), 1, 15) AS BIGINT) AS h FROM pos, range({M.ATTEMPTS}) r(t))" + """,
+ dr AS (SELECT user_id, tr.item_id, ix.item_id AS sampled, min(t) AS t FROM tr JOIN ix ON ix.idx = h % ix.n WHERE (user_id, ix.item_id) NOT IN (SELECT (user_id, item_id) FROM kn) GROUP BY 1, 2, 3),
+ gt AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY t) AS r FROM dr QUALIFY r <= 4),
+ sr AS MATERIALIZED (SELECT pos.user_id, pos.item_id, count(gt.sampled) AS got FROM pos LEFT JOIN gt ON gt.user_id = pos.user_id AND gt.item_id = pos.item_id GROUP BY 1, 2 HAVING count(gt.sampled) < 4),
+ un AS (SELECT user_id, item_id FROM (SELECT DISTINCT user_id FROM sr) CROSS JOIN it WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM kn))"""
 
 
-def _draw(pool: str, n: str) -> str:
-    return f"(SELECT p.user_id, p.item_id, q.item_id AS sampled, row_number() OVER (PARTITION BY p.user_id, p.item_id ORDER BY md5('{SEED}:' || p.user_id || ':' || p.item_id || ':' || q.item_id), q.item_id) AS r FROM pos p JOIN {pool} q USING (user_id) QUALIFY r <= {n})"
+def _places(pool: str, wanting: str, n: int) -> str:
+    """Consecutive places of a user's pool in its hash order, from a hashed start on."""
+    order = f"CAST('0x' || substr(md5('{SEED}:' || user_id || ':' || item_id), 1, 15) AS BIGINT)"
+    held = f"(SELECT user_id, item_id AS sampled, row_number() OVER (PARTITION BY user_id ORDER BY {order}, item_id) - 1 AS slot, count(*) OVER (PARTITION BY user_id) AS m FROM {pool})"
+    return f"(SELECT p.user_id, p.item_id, q.sampled, t FROM (SELECT user_id, item_id, {order} AS h FROM {wanting}) p CROSS JOIN range({n}) r(t) JOIN {held} q ON q.user_id = p.user_id AND t < q.m AND q.slot = (p.h + t) % q.m)"
+
+
+_REST = f"""rs AS MATERIALIZED (SELECT user_id, item_id, sampled, r FROM gt UNION ALL SELECT user_id, item_id, sampled, r FROM (SELECT m.user_id, m.item_id, m.sampled, got + row_number() OVER (PARTITION BY m.user_id, m.item_id ORDER BY m.t) AS r
+ FROM {_places("un", "sr", 8)} m JOIN sr USING (user_id, item_id) WHERE (m.user_id, m.item_id, m.sampled) NOT IN (SELECT (user_id, item_id, sampled) FROM gt)) WHERE r <= 4)"""
 
 
 def _sampled(wanted: int) -> str:
     if not wanted:
-        return _POOLS + f", sm AS (SELECT user_id, item_id, sampled, 'random_unknown' AS source, false AS is_backfill FROM {_draw('un', '4')})"
-    return _POOLS + f""", sh AS {_draw('ex', str(wanted))}, rs AS {_draw('un', '4')}, got AS (SELECT user_id, item_id, count(*) AS got FROM sh GROUP BY ALL),
+        return _POOLS + f", {_REST}, sm AS (SELECT user_id, item_id, sampled, 'random_unknown' AS source, false AS is_backfill FROM rs)"
+    return _POOLS + f""", {_REST}, sh AS MATERIALIZED {_places("ex", "pos", wanted)}, got AS (SELECT user_id, item_id, count(*) AS got FROM sh GROUP BY ALL),
  sm AS (SELECT user_id, item_id, sampled, 'exposed_non_conversion' AS source, false AS is_backfill FROM sh UNION ALL
   SELECT user_id, item_id, sampled, 'random_unknown', r > {4 - wanted} FROM rs LEFT JOIN got USING (user_id, item_id) WHERE r <= 4 - coalesce(got, 0))"""
 
 
 def pools(s, d):
+    """(positives, exposed pairs, items) of the viewplus task in train."""
     facts = train(s, d)
-    positives = facts.where("view_count > 0").select("user_id", "item_id")
-    exposed = facts.where("view_count = 0 and impression_count > 0").select("user_id", "item_id")
-    known = facts.where("view_count > 0 or impression_count > 0")
-    unknown = D.pair_universe(A.users(s, d), A.items(s, d).select("item_id")).join(known, ["user_id", "item_id"], "left_anti")
-    return positives, unknown, exposed
+    return facts.where("view_count > 0").select("user_id", "item_id"), facts.where("view_count = 0 and impression_count > 0").select("user_id", "item_id"), A.items(s, d).select("item_id")
 
 
 def samples(s, d, strategy):
@@ -283,3 +293,25 @@ def population_diff(s, d):
     a, b = A.users(s, d), A.read(s, d, "customer").select("c_custkey").distinct()
     held = a.join(b, a.user_id == b.c_custkey, "full_outer").agg(F.count_if(F.col("c_custkey").isNull()).alias("only_events"), F.count_if(F.col("user_id").isNull()).alias("only_customers"))
     return held.unpivot([], ["only_events", "only_customers"], "side", "n")
+
+
+_RULES = """ SELECT 'event id repeats' AS rule, CAST(event_id AS VARCHAR) AS key FROM se GROUP BY event_id HAVING count(*) > 1 UNION ALL SELECT 'unknown user', CAST(event_id AS VARCHAR) FROM se WHERE user_id NOT IN (SELECT c_custkey FROM customer)
+ UNION ALL SELECT 'unknown item', CAST(event_id AS VARCHAR) FROM se WHERE item_id NOT IN (SELECT item_id FROM it) UNION ALL SELECT 'unknown event type', CAST(event_id AS VARCHAR) FROM se WHERE coalesce(event_type NOT IN ('impression','view','favorite','add_to_cart','purchase'), true) UNION ALL SELECT 'no time', CAST(event_id AS VARCHAR) FROM se WHERE ts IS NULL
+ UNION ALL SELECT 'time does not increase', CAST(event_id AS VARCHAR) FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS b FROM se) WHERE ts <= b
+ UNION ALL SELECT 'impression repeats', user_id || ':' || session || ':' || item_id FROM se WHERE event_type = 'impression' GROUP BY user_id, session, item_id HAVING count(*) > 1
+ UNION ALL SELECT 'view without earlier impression', CAST(event_id AS VARCHAR) FROM (SELECT event_id, event_type, max(CAST(event_type = 'impression' AS INT)) OVER (PARTITION BY user_id, session, item_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS shown FROM se) WHERE event_type = 'view' AND shown = 0
+ UNION ALL SELECT 'engagement repeats', user_id || ':' || item_id || ':' || event_type FROM se WHERE event_type IN ('favorite','add_to_cart','purchase') GROUP BY user_id, item_id, event_type HAVING count(*) > 1
+ UNION ALL SELECT 'engagement without earlier view', CAST(event_id AS VARCHAR) FROM sc WHERE source_view IS NULL"""
+
+
+@query("interaction_violations", SESS + _SRC[len(W):] + _RULES)
+def interaction_violations(s, d):
+    """Every broken rule of the event log with the key that breaks it."""
+    held = sessionized(s, d)
+    users = A.read(s, d, "customer").select("c_custkey")
+    return V.together([V.event_violations(held, users, A.items(s, d).select("item_id"), list(A.EVENT_TYPES.values())), V.session_violations(held), V.engagement_violations(held)])
+
+
+@query("violation_counts", SESS + _SRC[len(W):] + f", vi AS ({_RULES}) SELECT rule, count(*) AS n FROM vi GROUP BY 1")
+def violation_counts(s, d):
+    return V.counts(interaction_violations(s, d))

@@ -40,6 +40,32 @@ def write_json(spark: SparkSession, value: dict, path: str) -> None:
         out.close()
 
 
+def write_package(tables: dict[str, DataFrame], documents: dict[str, dict], folder: str, source_manifest: str | None = None) -> dict:
+    """An experiment's package: CSV tables, JSON documents and a manifest of all of them, which names the data set it rests on by digest."""
+    spark = next(iter(tables.values())).sparkSession
+    ready = {name: csv_ready(df) for name, df in tables.items()}
+    manifest = write_dataset(ready, folder, "csv", {"source": read_json(spark, source_manifest)["artifacts"] if source_manifest else None})
+    for name, value in documents.items():
+        write_json(spark, value, f"{folder}/{name}.json")
+        manifest["artifacts"][f"{name}.json"] = {"bytes": folder_bytes(spark, f"{folder}/{name}.json")}
+    write_json(spark, manifest, f"{folder}/manifest.json")
+    return manifest
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """A small JSON document of any store that Spark reads."""
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def read_package(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a package, as a control for a later experiment; it must have the rows that its manifest says."""
+    df = spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/{name}")
+    wanted = read_json(spark, f"{folder}/manifest.json")["artifacts"][name]["rows"]
+    if (found := df.count()) != wanted:
+        raise ValueError(f"{name} has {found} rows, its manifest says {wanted}")
+    return df
+
+
 def write_experiment(df: DataFrame, folder: str, experiment: str, model: str) -> None:
     """One partition an experiment and model; rewriting one leaves the others."""
     held = df.withColumns({"experiment": F.lit(experiment), "model": F.lit(model)})

@@ -17,9 +17,9 @@ from marlpit.sources.durable import folder
 RAW = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, directory: str, name: str = "events.parquet", watermark: str = "1 day") -> DataFrame:
-    """Events as they arrive. Event time must be a timestamp with a zone for watermarks, so wall-clock UTC is cast."""
-    raw = spark.readStream.schema(RAW).option("pathGlobFilter", name).parquet(directory)
+def read_events(spark: SparkSession, directory: str, name: str = "events.parquet", watermark: str = "1 day", files: int = 1000) -> DataFrame:
+    """Events as they arrive, of at most ``files`` files a batch. Event time must be a timestamp with a zone for watermarks, so wall-clock UTC is cast."""
+    raw = spark.readStream.schema(RAW).option("pathGlobFilter", name).option("maxFilesPerTrigger", files).parquet(directory)
     kind = F.create_map(*(F.lit(x) for pair in EVENT_TYPES.items() for x in pair))[F.col("event_type")]
     held = raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.get_json_object("props", "$.k").cast("int").alias("item_id"), kind.alias("event_type"), "value")
     return held.withWatermark("ts", watermark)
@@ -66,20 +66,30 @@ def funnel_state(events: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
-    """Process what is there and return the sink's table. Update mode keeps the last row of each ``key``."""
+    """Process what is there and return the sink's table. Update mode keeps the last row of each ``key``.
+
+    A batch overwrites the folder of its own number, so one that is retried is not there twice."""
     spark, path = stream.sparkSession, f"{folder(stream.sparkSession)}/stream-{uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("__batch", F.lit(number).cast("long")).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     rows = spark.read.parquet(f"{path}/rows")
     if mode == "update":
-        others = [c for c in rows.columns if c not in (*(key or []), "__batch")]
-        last = rows.groupBy(*(key or [])).agg(F.max_by(F.struct(*others), "__batch").alias("x"))
+        others = [c for c in rows.columns if c not in (*(key or []), "batch")]
+        last = rows.groupBy(*(key or [])).agg(F.max_by(F.struct(*others), "batch").alias("x"))
         return last.select(*(key or []), "x.*")
-    return rows.drop("__batch")
+    return rows.drop("batch")
+
+
+def late_rows(stream: DataFrame, mode: str = "append") -> int:
+    """Rows that a stream's state operators dropped because they came after the watermark, as its progress reports count them."""
+    spark, path = stream.sparkSession, f"{folder(stream.sparkSession)}/stream-{uuid4().hex}"
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("noop").start()
+    query.awaitTermination()
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
 
 
 def with_session_zone(spark: SparkSession, fn: Callable[[], DataFrame]) -> DataFrame:

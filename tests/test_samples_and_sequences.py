@@ -3,7 +3,6 @@
 from datetime import datetime, timedelta
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +11,6 @@ from marlpit.operators import catalog as C
 from marlpit.operators import mf as MF
 from marlpit.operators import sampling as M
 from marlpit.operators import sequences as Q
-from marlpit.operators import simulate as G
 from marlpit.operators import vectors as V
 
 PAIR = "user_id long, item_id int"
@@ -22,8 +20,8 @@ PAIR = "user_id long, item_id int"
 def pools(spark):
     positive = spark.createDataFrame([(0, 0), (1, 0)], PAIR)
     exposed = spark.createDataFrame([(0, i) for i in (1, 2, 3, 4)] + [(1, 1)], PAIR)
-    unknown = spark.createDataFrame([(0, i) for i in range(5, 9)] + [(1, i) for i in range(2, 9)], PAIR)
-    return positive, unknown, exposed
+    items = spark.createDataFrame([(i,) for i in range(9)], "item_id int")
+    return positive, exposed, items
 
 
 def drawn(pools, strategy):
@@ -47,9 +45,9 @@ def test_mixed_sampler(pools):
 
 
 def test_small_pool_raises(spark, pools):
-    positive, unknown, exposed = pools
+    positive, exposed, items = pools
     with pytest.raises(ValueError):
-        M.sample(positive, unknown.where("item_id < 7"), exposed, "unknown")
+        M.sample(positive, exposed, items.where("item_id < 7"), "unknown")
     assert drawn(pools, "unknown") == drawn(pools, "unknown")
 
 
@@ -125,29 +123,72 @@ def test_alpha_ties_choose_the_larger(spark):
     assert V.select_alpha(df).first()["alpha"] == 1.0
 
 
-@pytest.mark.parametrize("loss", ["bce", "bpr"])
-def test_training_lowers_the_loss(loss):
-    c = MF.Config(dim=4, rate=0.05, epochs_per_round=1, loss=loss, batch=8)
-    samples = pd.DataFrame({"user_id": [1, 1, 2, 2] * 4, "item_id": [1, 1, 2, 2] * 4, "sampled": [3, 4, 3, 4] * 4, "confidence": 1.0})
-    ids = [("u", 1), ("u", 2), *(("i", i) for i in (1, 2, 3, 4))]
-    state = pd.DataFrame([(k, i, MF._start([i], 1, k, 4)[0], 0.0) for k, i in ids], columns=["kind", "id", "vec", "bias"])
-    losses = []
-    for n in range(12):
-        out = MF._train_block(samples, state, c, n)
-        losses.append(out["loss"].iloc[0])
-        state = out[["kind", "id", "vec", "bias"]]
-    assert losses[-1] < losses[0] and np.isfinite(np.array(state["vec"].tolist())).all()
-
-
-def test_simulated_world_is_reproducible_and_valid(spark):
-    items, users = G.catalog(spark, 30), G.users(spark, 8)
-    sessions = G.sessions(users)
-    events = G.events(sessions, users, items).cache()
-    again = G.events(sessions, users, items)
-    assert events.exceptAll(again).count() == 0
-    assert Q.views_without_impression(events.withColumn("event_id", F.monotonically_increasing_id()).withColumn("session", F.col("session_id"))).count() == 0
-    assert events.where("event_type = 'impression'").groupBy("session_id", "item_id").count().where("count > 1").count() == 0
-    done = G.engagements(events, sessions, items, users).cache()
-    assert done.groupBy("user_id", "item_id", "event_type").count().where("count > 1").count() == 0
-    sold = done.where("event_type <> 'favorite'").join(items.where("status <> 'available'"), "item_id", "left_semi")
-    assert sold.count() == 0
+def test_als_solves_its_equations(spark):
+    """The last half step gives each user the weighted least-squares solution for the items' vectors."""
+    rng = np.random.default_rng(4)
+    rows = [(10**12 + u, int(i), float(rng.integers(1, 5))) for u in range(12) for i in rng.choice(20, 6, replace=False)]
+    c = MF.Config(dim=4, iterations=6, reg=0.1, confidence=2.0)
+    state = MF.train(spark.createDataFrame(rows, "user_id long, item_id long, strength double"), c)
+    vec = {(r["kind"], r["id"]): np.array(r["vec"]) for r in state.collect()}
+    y = np.array([v for (k, _), v in sorted(vec.items()) if k == "i"])
+    for u in {r[0] for r in rows}:
+        own = [(vec["i", i], c.confidence * s) for w, i, s in rows if w == u]
+        a = y.T @ y + sum(s * np.outer(v, v) for v, s in own) + c.reg * len(own) * np.eye(c.dim)
+        b = sum((1 + s) * v for v, s in own)
+        assert vec["u", u] == pytest.approx(np.linalg.solve(a, b), abs=2e-4)
+    top = MF.capacity(state).first()
+    assert top["parameters"] == 4 * len(vec) and top["mean_item_norm"] == pytest.approx(np.mean(np.linalg.norm(y, axis=1) / 2))
+
+
+def test_model_tables_and_lists(spark, tmp_path):
+    state = spark.createDataFrame([("u", 1, [1.0, 0.0]), ("u", 2, [0.0, 1.0])] + [("i", i, [float(i), -float(i)]) for i in range(5)], "kind string, id long, vec array<double>")
+    MF.save(state, str(tmp_path / "m"))
+    back = MF.load(spark, str(tmp_path / "m"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, state.collect()))
+    seen = spark.createDataFrame([(1, 4), (1, 3)], PAIR)
+    candidates = spark.createDataFrame([(i,) for i in range(5)], "item_id int")
+    got = {(r["user_id"], r["position"]): r["item_id"] for r in MF.top_lists(back, candidates, seen, 2).collect()}
+    assert got == {(1, 1): 2, (1, 2): 1, (2, 1): 0, (2, 2): 1}
+
+
+def test_drawn_items_are_different_and_unknown(spark):
+    """A user who knows nearly all items gets the rest, others get their first draws."""
+    items = spark.createDataFrame([(i,) for i in range(60)], "item_id int")
+    positive = spark.createDataFrame([(1, i) for i in range(55)] + [(2, 7), (2, 8)], PAIR)
+    out = M.sample(positive, spark.createDataFrame([], PAIR), items, "unknown").collect()
+    by = {}
+    for r in out:
+        by.setdefault((r["user_id"], r["item_id"]), set()).add(r["sampled"])
+    assert len(out) == 4 * 57 and all(len(v) == 4 for v in by.values())
+    assert all(min(v) >= 55 for (u, _), v in by.items() if u == 1) and not by[2, 7] & {7, 8}
+
+
+def test_hybrid_blends_whole_rows(spark):
+    rng = np.random.default_rng(1)
+    u, v, cart = rng.normal(size=(7, 3)), rng.normal(size=(23, 3)), rng.integers(0, 9, 23).astype(float)
+    users = spark.createDataFrame([(i, x.tolist(), i) for i, x in enumerate(u)], "user_id long, vec array<double>, n_seen long")
+    items = spark.createDataFrame([(i, x.tolist(), c) for i, (x, c) in enumerate(zip(v, cart.tolist(), strict=True))], "item_id int, vec array<double>, cart double")
+    s = np.round(u @ v.T, 9)
+    z = (s - s.mean(1, keepdims=True)) / s.std(1, keepdims=True)
+    want = 0.25 * z + 0.75 * (cart - cart.mean()) / cart.std()
+    got = {(r["user_id"], r["item_id"]): r["score"] for r in V.hybrid(users, items, [0.25], block=5).collect()}
+    assert all(got[i, j] == pytest.approx(want[i, j], abs=1e-8) for i in range(7) for j in range(23))
+    best = V.hybrid(users, items, [0.25], 2, "n_seen", block=100).collect()
+    assert {(r["user_id"], r["item_id"]) for r in best} == {(i, int(j)) for i in range(7) for j in np.argsort(-want[i])[: 2 + i]}
+
+
+def test_future_sessions_across_spans(spark):
+    t = datetime(2024, 1, 3)
+    views = spark.createDataFrame([(1, 1, t), (2, 1, t + timedelta(days=5))], "event_id long, user_id long, ts timestamp_ntz")
+    starts = spark.createDataFrame([(1, i, t + timedelta(days=d)) for i, d in enumerate((-1, 0, 0.5, 6.9, 7, 7.1, 11, 13))], "user_id long, session long, started_at timestamp_ntz")
+    got = {r["event_id"]: (r["future_sessions"], r["next_session"]) for r in Q.future_sessions(views, starts).collect()}
+    assert got == {1: (3, 2), 2: (4, 3)}
+
+
+def test_order_statistics_of_many_ranges(spark):
+    from marlpit.operators import ranking as R
+
+    df = spark.createDataFrame([(float(x * 7 % 101),) for x in range(101)], "v double").repartition(5)
+    assert tuple(Q.quartile_thresholds(df, "v").first()) == (25.0, 75.0)
+    got = {r["v"]: r["b"] for r in R.group_by_position(df, ["v"], 10, "b").collect()}
+    assert got == {float(i): (10 * (i + 1) - 1) // 101 for i in range(101)}

@@ -59,6 +59,59 @@ def test_experiments_keep_each_other(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_packages(spark, tmp_path):
+    """A package can be read as a control of a later experiment, unless it was changed."""
+    df = spark.createDataFrame([("a", 0.5, True, ["x", "y"]), ("b", 0.25, False, [])], "model string, ndcg double, best boolean, tags array<string>")
+    data = sinks.write_dataset({"facts": spark.range(3)}, str(tmp_path / "data"))
+    made = sinks.write_package({"metrics": df}, {"config": {"k": [5, 10]}}, str(tmp_path / "p"), str(tmp_path / "data" / "manifest.json"))
+    assert made["artifacts"]["metrics"]["rows"] == 2 and made["policies"]["source"]["facts"]["digest"] == data["artifacts"]["facts"]["digest"]
+    assert sinks.read_json(spark, str(tmp_path / "p" / "config.json")) == {"k": [5, 10]}
+    back = sinks.read_package(spark, str(tmp_path / "p"), "metrics")
+    assert sorted((r["model"], r["ndcg"], r["best"], r["tags"]) for r in back.collect()) == [("a", 0.5, 1, "x|y"), ("b", 0.25, 0, None)]
+    sinks.csv_ready(df.limit(1)).write.mode("overwrite").option("header", True).csv(str(tmp_path / "p" / "metrics"))
+    with pytest.raises(ValueError):
+        sinks.read_package(spark, str(tmp_path / "p"), "metrics")
+
+
+def test_violations_are_gathered_and_raised(spark):
+    from datetime import datetime, timedelta
+
+    from marlpit.operators import validation as V
+
+    t = datetime(2024, 1, 1)
+    rows = [(1, t, 1, 1, "impression", 1), (2, t + timedelta(hours=1), 1, 1, "view", 1), (3, t + timedelta(hours=1), 1, 1, "impression", 1), (4, t + timedelta(hours=2), 1, 2, "view", 1), (5, t + timedelta(hours=3), 1, 9, "purchase", 1), (5, t + timedelta(hours=4), 8, 1, "strange", 1)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, item_id int, event_type string, session long")
+    users, items = spark.createDataFrame([(1,)], "u long"), spark.createDataFrame([(1,), (2,)], "i int")
+    found = V.together([V.event_violations(df, users, items, ["impression", "view", "purchase"]), V.session_violations(df), V.engagement_violations(df)])
+    assert sorted(map(tuple, found.collect())) == sorted([
+        ("event id repeats", "5"), ("unknown user", "5"), ("unknown item", "5"), ("unknown event type", "5"), ("time does not increase", "3"), ("impression repeats", "1:1:1"),
+        ("view without earlier impression", "4"), ("engagement without earlier view", "5"),
+    ])
+    with pytest.raises(V.InvalidData, match="8 rules broken(.|\n)*and 5 more"):
+        V.check(found, "events", 3)
+    V.check(found.limit(0), "events")
+    labelled = spark.createDataFrame([(1, t, "train"), (2, t, "test"), (3, t, None), (4, None, "train")], "event_id long, ts timestamp_ntz, split string")
+    assert {r["key"] for r in V.split_violations(labelled, [("train", "2024-01-01", "2024-01-02"), ("test", "2024-01-02", "2024-01-03")]).collect()} == {"2", "3", "4"}
+    products = spark.createDataFrame([(1, "a", 2.0, 0.5), (1, "b", 0.0, 1.5), (2, "b", None, None)], "id long, name string, price double, x double")
+    assert V.counts(V.catalog_violations(products, "id", "name", "price", ["x"])).agg({"n": "sum"}).first()[0] == 6
+
+
+def test_late_events_are_dropped_and_counted(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from marlpit.streaming import incremental as T
+
+    t = datetime(2024, 1, 1)
+    for n, days in enumerate(([0, 1, 10], [10], [9.5, 1, 2])):  # the last file's last two come after the watermark that the first one set
+        rows = [(10 * n + i, t + timedelta(days=x), 1, "view", 1.0, '{"k": 1}') for i, x in enumerate(days)]
+        spark.createDataFrame(rows, T.RAW).coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+    (tmp_path / "all").mkdir()
+    for n in range(3):
+        next((tmp_path / f"in{n}").glob("*.parquet")).rename(tmp_path / "all" / f"{n}.parquet")
+    held = T.read_events(spark, str(tmp_path / "all"), "*.parquet", files=1)
+    assert T.late_rows(T.tumbling(held)) == 2
+
+
 def test_command_line(capsys):
     assert cli.main(["list"]) == 0 and "eval_popularity" in capsys.readouterr().out
     assert cli.main(["run", "nothing", "/nowhere"]) == 2

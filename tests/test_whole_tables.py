@@ -26,14 +26,14 @@ def test_neighbors(spark, world):
     score = np.round(unit @ unit.T, 9)
     np.fill_diagonal(score, -np.inf)
     want = {(i, int(j)) for i in range(N) for j in np.argsort(-score[i], kind="stable")[:5]}
-    assert {(r["vec_id"], r["neighbor"]) for r in catalog.nearest_neighbors_all(spark, folder).collect()} == want
+    assert {(r["vec_id"], r["neighbor"]) for r in catalog.nearest_neighbors(spark, folder).collect()} == want
 
 
 def test_matches(spark, world):
     folder, vecs, _ = world
     z, p = np.clip((vecs - vecs.mean(0)) / vecs.std(0), -2.5, 2.5), 1 / (1 + np.exp(-vecs)) - 0.5
     want = 1 / (1 + np.exp(-2.2 * (p @ z.T) / (1 + np.abs(p).sum(1))[:, None]))
-    got = catalog.preference_match_all(spark, folder).collect()
+    got = catalog.preference_match(spark, folder).collect()
     assert len(got) == N * (N - 1)
     assert all(abs(r["match"] - want[r["user_vec"], r["item_vec"]]) < 2e-6 for r in got)
 
@@ -41,12 +41,12 @@ def test_matches(spark, world):
 def test_continuity(spark, world):
     folder, _, parts = world
     want = {(a[0], b[0]): 0.65 * (a[3] == b[3]) + 0.35 * (1 - (abs(a[4] - b[4]) / 50 + abs(a[5] - b[5]) / 5000) / 2) for a in parts for b in parts if a[2] == b[2] and a[0] < b[0]}
-    got = {(r["a"], r["b"]): r["score"] for r in catalog.continuity_score_all(spark, folder).collect()}
+    got = {(r["a"], r["b"]): r["score"] for r in catalog.continuity_score(spark, folder).collect()}
     assert got == pytest.approx(want, abs=1e-8)
 
 
 def test_details(spark, world):
-    got = catalog.catalog_detail_all(spark, world[0]).collect()
+    got = catalog.catalog_detail(spark, world[0]).collect()
     assert sorted(r["product_id"] for r in got) == list(range(1, N + 1)) and all(r["lines"] == 1 and r["flags"] == "A" for r in got)
 
 
