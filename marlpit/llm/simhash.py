@@ -198,14 +198,21 @@ def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(held) >> np.uint64(32)).astype(np.uint32), np.array([len(x) for x in held], np.int64)
 
 
+#: Each permutation of 64-bit hashes: xor with one number, times an odd one.
+_XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+_ODD |= np.uint64(1)
+#: Hashes that are permuted at once.
+_AT_ONCE = 1024
+
+
 def word_bands(hashes: np.ndarray) -> np.ndarray:
     """Band values of a set of shingles: BANDS x ROWS permutations, each band mixes ROWS of their minima."""
-    draw = np.random.default_rng(SEED)
-    xor, odd = draw.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
-    least = np.array([((hashes ^ x) * (a | np.uint64(1))).min() for x, a in zip(xor, odd, strict=True)]).reshape(BANDS, ROWS)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), _AT_ONCE):
+        np.minimum(least, ((hashes[i : i + _AT_ONCE, None] ^ _XOR) * _ODD).min(axis=0), out=least)
     out = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
-        out = lines._mix(out * np.uint64(31) + least[:, r])
+        out = lines._mix(out * np.uint64(31) + least.reshape(BANDS, ROWS)[:, r])
     return out.view(np.int64)
 
 
