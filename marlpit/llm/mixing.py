@@ -8,7 +8,8 @@ cumulative words in front of a document, put through the inverse of that integra
 the time at which it is read. Documents are range-sorted by that time.
 
 Everything is DataFrame expressions. The order of a source is cut by hash into buckets,
-so that a source with a third of all rows is still spread over thousands of groups.
+so that a source with a third of all rows is still spread over thousands of groups. Only the
+shares of sources are worked out in one task, on one row a source.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def mix(docs: DataFrame, cycle: list = CYCLE, budget: float = 1.5, max_repeats:
     to them in some order, which the result doesn't show. Same input, same result.
     """
     kept = F.struct(*(F.col(f"`{c}`") for c in (keep or [id_column])))
-    key = F.xxhash64(id_column)
+    key = F.xxhash64(id_column, text_column)  # rows without an id, or with a common one, are spread by their text
     rows = docs.select(kept.alias("row"), F.col(source_column).alias("source"), words(text_column).alias("size"), key.alias("h"))
     rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS)).withColumn("named", F.coalesce("source", F.lit(""))).withColumn("nameless", F.col("source").isNull())
     group = ["named", "nameless", "bucket"]
