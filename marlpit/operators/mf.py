@@ -26,6 +26,8 @@ class Config:
     reg: float = 0.05
     confidence: float = 4.0
     seed: int = 42
+    #: Blocks of each side. First vectors are drawn by block, so their number is part of a result; a larger world wants more.
+    blocks: int = 16
 
 
 def bce(score: Column, label: Column) -> Column:
@@ -41,7 +43,8 @@ def train(pairs: DataFrame, c: Config = Config()) -> DataFrame:
     """State (kind, id, vec) from positive pairs (user_id, item_id, strength): kind is u or i. Ids may be any numbers; users and items without a pair have no row."""
     users, items = (cut(id_index(pairs, k).withColumnRenamed("idx", n)) for k, n in (("user_id", "u"), ("item_id", "i")))
     coded = pairs.join(users, "user_id").join(items, "item_id").select(F.col("u").cast("int"), F.col("i").cast("int"), F.col("strength").cast("float").alias("r"))
-    model = ALS(rank=c.dim, maxIter=c.iterations, regParam=c.reg, alpha=c.confidence, implicitPrefs=True, seed=c.seed, userCol="u", itemCol="i", ratingCol="r").fit(coded)
+    coded = cut(coded)
+    model = ALS(numUserBlocks=c.blocks, numItemBlocks=c.blocks, rank=c.dim, maxIter=c.iterations, regParam=c.reg, alpha=c.confidence, implicitPrefs=True, seed=c.seed, userCol="u", itemCol="i", ratingCol="r").fit(coded)
     side = lambda factors, ids, key, n, kind: factors.join(ids, factors["id"] == ids[n]).select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.col("features").cast("array<double>").alias("vec"))
     return cut(side(model.userFactors, users, "user_id", "u", "u").unionByName(side(model.itemFactors, items, "item_id", "i", "i")))
 

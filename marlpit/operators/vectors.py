@@ -23,7 +23,7 @@ def _blocks(rows: DataFrame, id: str, vector: str, size: int, name: str, *more:
     return held.select(take("id").alias(f"{name}_id"), F.flatten(take("v")).alias(f"{name}_vec"), *(take(c).alias(f"{name}_{c}") for c in more))
 
 
-def _products(batches: Iterator[pa.RecordBatch], metric: str) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array, np.ndarray]]:
+def _products(batches: Iterator[pa.RecordBatch], metric: str, digits: int | None = 9) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array, np.ndarray]]:
     """Of each pair of blocks: the row, ids of both sides (right ones in order) and their scores."""
     for batch in batches:
         for i in range(batch.num_rows):
@@ -34,7 +34,8 @@ def _products(batches: Iterator[pa.RecordBatch], metric: str) -> Iterator[tuple[
             rs, y = rs.take(order), y[order.to_numpy()]
             if metric == "cosine":
                 x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-            yield row, ls, rs, np.round(x @ y.T, 9)
+            s = x @ y.T
+            yield row, ls, rs, s if digits is None else np.round(s, digits)
 
 
 def _numbers(row: pa.RecordBatch, column: str) -> np.ndarray:
@@ -50,11 +51,12 @@ def _best(s: np.ndarray, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarra
     return i, order[i, j]
 
 
-def score_blocks(left: DataFrame, right: DataFrame, k: int | None, left_id: str, right_id: str, vector: str = "vec", metric: str = "dot", block: int = 2048, skip_same: bool = False, more: str | None = None) -> DataFrame:
+def score_blocks(left: DataFrame, right: DataFrame, k: int | None, left_id: str, right_id: str, vector: str = "vec", metric: str = "dot", block: int = 2048, skip_same: bool = False, more: str | None = None, digits: int | None = 9) -> DataFrame:
     """(left_id, right_id, score): the k best of the right side for each left row, ties to the smaller id. Without k it is all, unranked.
 
     Blocks of both sides meet in pairs and each pair is one matrix product that keeps k rows
     of the right for each left row, so at most k candidates a block go on to the last ranking.
+    Scores are rounded to ``digits``, so that ties don't depend on the order of a sum.
     ``more`` names a column of the left side with a number of further rows to keep, as many as a later filter may take away.
     """
     extra = [more] if more else []
@@ -62,7 +64,7 @@ def score_blocks(left: DataFrame, right: DataFrame, k: int | None, left_id: str,
     kinds = left.schema[left_id].dataType.simpleString(), right.schema[right_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, ls, rs, s in _products(batches, metric):
+        for row, ls, rs, s in _products(batches, metric, digits):
             if skip_same:
                 s[np.array(ls.to_pylist(), object)[:, None] == np.array(rs.to_pylist(), object)[None, :]] = -np.inf
             keep = None if k is None else k + (_numbers(row, f"l_{more}").astype(np.int64) if more else np.zeros(len(ls), np.int64))

@@ -16,6 +16,7 @@ from marlpit.plans.ranking import RANKED, STATS, _STAT, rounded
 from marlpit.plans.registry import query
 from marlpit.sources import adapter as A
 from marlpit.sources.adapter import SQL_WORLD as W
+from marlpit.sources.durable import cut
 
 
 @query("parse_ts", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS utc, false AS naive_accepted FROM events")
@@ -71,6 +72,19 @@ def catalog_nested_json(s, d):
     return C.nested_json(held, "product_id", ["size"], "tags", ["name"])
 
 
+@query("user_nested_json", "SELECT c_custkey AS user_id, '{\"name\":\"' || c_name || '\",\"attributes\":{\"nation\":' || c_nationkey || '},\"tags\":[\"' || c_mktsegment || '\"]}' AS doc FROM customer")
+def user_nested_json(s, d):
+    held = A.read(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.array("c_mktsegment").alias("tags"))
+    return C.nested_json(held, "user_id", ["nation"], "tags", ["name"])
+
+
+@query("referenced_products", "SELECT count(*) AS products, count(*) FILTER (p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')) AS referenced FROM part")
+def referenced_products(s, d):
+    """How many products a guarded delete would have to leave: those that other rows refer to."""
+    used = A.read(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("product_id"), F.lit(True).alias("used")).distinct()
+    return A.catalog(s, d).select("product_id").join(used, "product_id", "left").agg(F.count("*").alias("products"), F.count("used").alias("referenced"))
+
+
 @query("category_tree", "SELECT n.n_name AS category, r.r_name AS parent, count(s_suppkey) AS products FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey LEFT JOIN supplier ON s_nationkey = n.n_nationkey GROUP BY 1, 2")
 def category_tree(s, d):
     n, r, p = A.read(s, d, "nation"), A.read(s, d, "region"), A.read(s, d, "supplier")
@@ -247,7 +261,8 @@ def sides(s, d):
     u, i = model(s, d)
     seen = D.train_seen(train(s, d), "purchase")
     cart = R.popularity_scores(train(s, d), A.items(s, d)).select("item_id", "cart")
-    return R.with_seen_count(u, seen), i.where("status = 'available'").join(cart, "item_id").select("item_id", "vec", "cart"), seen
+    # cut, as each side is counted and read for its moments and again for its scores
+    return cut(R.with_seen_count(u, seen)), cut(i.where("status = 'available'").join(cart, "item_id").select("item_id", "vec", "cart")), seen
 
 
 @query("hybrid_scores", _HYBRID + " SELECT alpha, user_id, item_id, round(score, 6) AS score FROM hy")
@@ -348,9 +363,12 @@ def matches(held, profile, product):
     long = held.select("vec_id", F.posexplode("vec").alias("i", "x"))
     stats = long.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
     z = long.join(stats, "i").groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("i", ((F.col("x") - F.col("m")) / F.col("sd")).alias("z"), S.logistic(F.col("x")).alias("p")))).alias("a"))
-    users = z.where(profile).select(F.col("vec_id").alias("user_vec"), F.transform("a", lambda x: x["p"]).alias("p"))
-    items = z.where(product).select(F.col("vec_id").alias("item_vec"), F.transform("a", lambda x: x["z"]).alias("z"))
-    return users.crossJoin(items).select("user_vec", "item_vec", F.round(S.preference_match(F.col("p"), F.col("z")), 6).alias("match"))
+    # a match is a logistic of a dot product: centred preferences over their weight, with clipped attributes
+    weight = 1 + F.aggregate("a", F.lit(0.0), lambda x, y: x + F.abs(y["p"] - 0.5))
+    users = z.where(profile).withColumn("w", weight).select(F.col("vec_id").alias("user_vec"), F.transform("a", lambda x: (x["p"] - 0.5) / F.col("w")).alias("vec"))
+    items = z.where(product).select(F.col("vec_id").alias("item_vec"), F.transform("a", lambda x: S.clip(x["z"], -2.5, 2.5)).alias("vec"))
+    held = V.score_blocks(cut(users), cut(items), None, "user_vec", "item_vec", digits=None)
+    return held.select("user_vec", "item_vec", F.round(S.logistic(2.2 * F.col("score")), 6).alias("match"))
 
 
 @query("continuity_score", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(0.65 * CAST(a.p_type = b.p_type AS INT) + 0.35 * (1 - (abs(a.p_size - b.p_size) / CAST(50 AS DOUBLE) + abs(a.p_retailprice - b.p_retailprice) / CAST(5000 AS DOUBLE)) / 2), 9) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")

@@ -67,7 +67,7 @@ def assign_ts(s, d):
     return sessionized(s, d).select("event_id", F.round(3600 * F.sum(w).over(upto) / (F.sum(w).over(whole) + 1), 6).alias("offset_seconds"))
 
 
-DIMS = (8, 16, 32)
+DIMS = (8, 16)
 
 
 def positives(s, d):

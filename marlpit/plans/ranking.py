@@ -277,6 +277,18 @@ def grouped(per_user, *by):
     return per_user.groupBy(*by).agg(F.count("*").alias("users"), *(F.round(F.avg(m), 8).alias(m) for m in R.METRICS))
 
 
+@query("evaluation_bundle", W + """ SELECT 'relevance' AS part, split, task, count(*) AS rows, count(DISTINCT user_id) AS users FROM rel WHERE split <> 'train' GROUP BY 2, 3 UNION ALL SELECT 'seen', 'train', task, count(*), count(DISTINCT user_id) FROM seen GROUP BY 3
+ UNION ALL SELECT 'candidates', 'all', task, count(*), 0 FROM cand GROUP BY 3""")
+def evaluation_bundle(s, d):
+    """What an evaluation rests on: relevance of two splits, seen pairs and candidates of each task, with their sizes."""
+    rel = D.relevance(A.events(s, d)).withColumn("part", F.when(F.col("split") == "train", "seen").otherwise("relevance"))
+    pairs = rel.groupBy("part", "split", "task").agg(F.count("*").alias("rows"), F.countDistinct("user_id").alias("users"))
+    items = A.items(s, d)
+    for task in D.TASKS:
+        pairs = pairs.unionByName(D.candidates(items, task).agg(F.count("*").alias("rows")).select(F.lit("candidates").alias("part"), F.lit("all").alias("split"), F.lit(task).alias("task"), "rows", F.lit(0).cast("long").alias("users")))
+    return pairs
+
+
 @query("fallback_groups", _UM10 + f" SELECT CASE WHEN user_id IN (SELECT user_id FROM train WHERE purchase_count > 0) THEN 'learned' ELSE 'fallback' END AS grp, {_GROUP} FROM u10 GROUP BY 1")
 def fallback_groups(s, d):
     known = train(s, d).where("purchase_count > 0").select("user_id", F.lit("learned").alias("g")).distinct()

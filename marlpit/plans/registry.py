@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle_of(name: str) -> str:
+    """The statement of a query that is registered already."""
+    return _ORACLES[name]
+
+
 def queries() -> dict[str, Query]:
     _load()
     return dict(_QUERIES)

@@ -11,7 +11,7 @@ from marlpit.operators import sequences as Q
 from marlpit.operators import validation as V
 from marlpit.plans.dataset import train
 from marlpit.plans.ranking import rounded
-from marlpit.plans.registry import query
+from marlpit.plans.registry import oracle_of, query
 from marlpit.sources import adapter as A
 from marlpit.sources.adapter import SQL_WORLD as W
 
@@ -111,6 +111,14 @@ def session_summary(s, d):
     )
 
 
+@query("session_rows", SESS + """ SELECT user_id, session, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS started_at, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS ended_at, date_sub('second', min(ts), max(ts)) AS duration_seconds, count(*) AS events,
+ count(*) FILTER (event_type = 'impression') AS impressions FROM se GROUP BY 1, 2""")
+def session_rows(s, d):
+    """Sessions as they are exported: times with a Z, duration in whole seconds."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    return Q.sessions(sessionized(s, d)).select("user_id", "session", stamp("started_at"), stamp("ended_at"), "duration_seconds", "events", "impressions")
+
+
 @query("ts_monotonic_audit", SESS + " SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS b FROM se) WHERE ts <= b")
 def ts_monotonic_audit(s, d):
     return Q.not_increasing(sessionized(s, d)).select("event_id")
@@ -315,3 +323,15 @@ def interaction_violations(s, d):
 @query("violation_counts", SESS + _SRC[len(W):] + f", vi AS ({_RULES}) SELECT rule, count(*) AS n FROM vi GROUP BY 1")
 def violation_counts(s, d):
     return V.counts(interaction_violations(s, d))
+
+
+#: Measures of a whole audit: name, query and its column.
+_AUDIT = (("sessions", "session_summary", "sessions"), ("mean_impressions", "session_summary", "mean_impressions"), ("same_category_share", "continuity", "same_share"), ("exposure_gini", "exposure_concentration", "gini"),
+          ("impression_to_view", "funnel_conversion", "impression_to_view"), ("view_to_purchase", "funnel_conversion", "view_to_purchase"), ("auc", "auc_single_feature", "auc"), ("threshold_accuracy", "best_threshold", "accuracy"))
+
+
+@query("interaction_audit", " UNION ALL ".join(f"SELECT '{n}' AS measure, CAST({c} AS DOUBLE) AS value FROM ({oracle_of(q)})" for n, q, c in _AUDIT))
+def interaction_audit(s, d):
+    """Headline measures of sessions, exposure, funnel and separability in one table."""
+    rows = {q: globals()[q](s, d) for q in {q for _, q, _ in _AUDIT}}
+    return V.together([rows[q].select(F.lit(n).alias("measure"), F.col(c).cast("double").alias("value")) for n, q, c in _AUDIT])
