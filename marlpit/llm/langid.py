@@ -30,6 +30,8 @@ _LATIN = re.compile(r"[\x00-ɏ]*")
 _LATIN_WORD = re.compile(r"[^\W\d_²³¹¼½¾]+")
 START, END, UNKNOWN = "\x02", "\x03", "und"
 BUCKETS, CHUNK, SLICE_WORDS, CACHE = 1 << 18, 32, 200_000, 300_000
+#: Rows (language, number) that are broadcast at most; more are joined by shuffle.
+MAX_LANGUAGES = 100_000
 _TERNARY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -263,6 +265,8 @@ def learn(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
     rows = labelled.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), h.alias("h")).where("id is not null and lang is not null")
     counts = cut(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")))
     share = F.col("h") / F.lit(2.0**64) + 0.5  # of all hashes, so many are smaller
+    if counts.limit(MAX_LANGUAGES + 1).count() <= MAX_LANGUAGES:  # without the hint texts would be shuffled by language first
+        counts = F.broadcast(counts)
     near = rows.join(counts, "lang").where(share * F.col("n") <= 3.0 * docs_per_language)
     once = near.groupBy("lang", "h").agg(F.min("id").alias("id"), F.min("text").alias("text"))
     best = Window.partitionBy("lang").orderBy("h")
