@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from marlpit.functions import scalar as S
 
 
-def _blocks(rows: DataFrame, id: str, vector: str, size: int, name: str, *more: str) -> DataFrame:
+def _blocks(rows: DataFrame, id: str, vector: str, size: int, name: str, *more: str, count: int | None = None) -> DataFrame:
     """Rows gathered by hash into about count / size blocks: ids, all vectors in one flat array, and more numbers a row."""
-    n = max(1, -(-rows.count() // size))
+    n = max(1, -(-(rows.count() if count is None else count) // size))
     part = F.pmod(F.xxhash64(id), F.lit(n))
     row = F.struct(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), *(F.col(c).cast("double").alias(c) for c in more))
     held = rows.groupBy(part.alias(f"{name}_block")).agg(F.collect_list(row).alias("x"))
@@ -80,9 +80,9 @@ def score_blocks(left: DataFrame, right: DataFrame, k: int | None, left_id: str,
     return found.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("l").alias(left_id), F.col("r").alias(right_id), "score", "rank")
 
 
-def score_moments(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str = "vec", block: int = 2048) -> DataFrame:
+def score_moments(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str = "vec", block: int = 2048, counts: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """(left_id, n, mean, m2): number, mean and sum of squared deviations of each left row's scores of all right rows; no pair leaves its block."""
-    a, b = _blocks(left, left_id, vector, block, "l"), _blocks(right, right_id, vector, block, "r")
+    a, b = (_blocks(df, key, vector, block, n, count=c) for df, key, n, c in ((left, left_id, "l", counts[0]), (right, right_id, "r", counts[1])))
     kind = left.schema[left_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +150,12 @@ def hybrid(users: DataFrame, items: DataFrame, alphas: Sequence[float], k: int |
             raise ValueError("alpha must be between 0 and 1")
     kinds = users.schema["user_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     sd = F.sqrt(F.col("m2") / F.col("n"))
-    moments = score_moments(users, items, "user_id", "item_id", block=block).select("user_id", F.col("mean"), sd.alias("sd"))
+    counts = users.count(), items.count()
+    moments = score_moments(users, items, "user_id", "item_id", block=block, counts=counts).select("user_id", F.col("mean"), sd.alias("sd"))
     ends = items.agg(F.avg("cart").alias("cart_mean"), F.stddev_pop("cart").alias("cart_sd"))  # one row
     z = F.when(F.col("cart_sd") > 0, (F.col("cart") - F.col("cart_mean")) / F.col("cart_sd")).otherwise(0.0)
-    left = _blocks(users.join(moments, "user_id"), "user_id", "vec", block, "l", "mean", "sd", *([more] if more else []))
-    right = _blocks(items.crossJoin(ends).withColumn("z", z), "item_id", "vec", block, "r", "z")
+    left = _blocks(users.join(moments, "user_id"), "user_id", "vec", block, "l", "mean", "sd", *([more] if more else []), count=counts[0])
+    right = _blocks(items.crossJoin(ends).withColumn("z", z), "item_id", "vec", block, "r", "z", count=counts[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, ls, rs, s in _products(batches, "dot"):
