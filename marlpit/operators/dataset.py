@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.sources.adapter import SPLITS
@@ -147,14 +147,18 @@ def id_index(dimension: DataFrame, key: str) -> DataFrame:
 
 
 def placed(rows: DataFrame, *order) -> tuple[DataFrame, int]:
-    """``rows`` with their ``place`` from 0 in a total order, and their number. No task sorts all: rows are
-    range-partitioned, numbered inside each range, and ranges are offset by the sizes of those before."""
-    from pyspark.sql import Window
+    """``rows`` with their ``place`` from 0 in a total order, and their number."""
+    held, total = running(rows.withColumn("place", F.lit(1)), "place", *order)
+    return held.withColumn("place", (F.col("upto") - 1).cast("long")).drop("upto"), total
 
+
+def running(rows: DataFrame, value: str, *order) -> tuple[DataFrame, int]:
+    """``rows`` with ``upto``, the sum of a whole-numbered ``value`` up to each row in a total order, and the whole sum.
+    No task sorts all: rows are range-partitioned, summed up inside each range, and ranges are offset by those before."""
     held = cut(rows.repartitionByRange(*order).withColumn("range_part", F.spark_partition_id()))
-    sizes = held.groupBy("range_part").agg(F.count("*").alias("range_n"))  # a row a partition
-    ahead = cut(sizes.select("range_part", "range_n", (F.sum("range_n").over(Window.orderBy("range_part")) - F.col("range_n")).alias("range_ahead")))
-    inside = F.row_number().over(Window.partitionBy("range_part").orderBy(*order))
-    out = held.withColumn("range_row", inside).join(ahead.drop("range_n"), "range_part")
-    total = ahead.agg(F.sum("range_n")).first()[0] or 0
-    return out.withColumn("place", (F.col("range_row") - 1 + F.col("range_ahead")).cast("long")).drop("range_part", "range_row", "range_ahead"), total
+    before = Window.orderBy("range_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("range_part").agg(F.sum(value).alias("own"))  # a row a partition
+    ahead = cut(sizes.select("range_part", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("range_ahead")))
+    inside = F.sum(value).over(Window.partitionBy("range_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = held.withColumn("upto", inside).join(ahead.drop("own"), "range_part")
+    return out.withColumn("upto", F.col("upto") + F.col("range_ahead")).drop("range_part", "range_ahead"), ahead.agg(F.sum("own")).first()[0] or 0

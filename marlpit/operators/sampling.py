@@ -93,8 +93,10 @@ def sample(positives: DataFrame, exposed: DataFrame, items: DataFrame, strategy:
 
 def gini(values: DataFrame, value: str) -> DataFrame:
     """Gini coefficient of a column's positive total, 0 for none."""
-    place = F.row_number().over(Window.orderBy(value))
-    held = values.withColumn("i", place).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.sum(F.col("i") * F.col(value)).alias("weighted"))
+    per = values.groupBy(value).agg(F.count("*").alias("m"))  # a row a different value
+    last = F.sum("m").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))  # place of its last one
+    places = F.col("m") * (2 * F.col("last") - F.col("m") + 1) / 2
+    held = per.withColumn("last", last).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col(value)).alias("total"), F.sum(places * F.col(value)).alias("weighted"))
     return held.select(F.when(F.coalesce("total", F.lit(0)) == 0, 0.0).otherwise((2 * F.col("weighted") - (F.col("n") + 1) * F.col("total")) / (F.col("n") * F.col("total"))).alias("gini"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.operators.dataset import placed
+from marlpit.operators.dataset import placed, running
+from marlpit.operators.sampling import gini
 
 ENGAGEMENTS = ("favorite", "add_to_cart", "purchase")
 
@@ -115,26 +116,25 @@ def view_rates(events: DataFrame, *keys: str) -> DataFrame:
 def concentration(events: DataFrame, items: int) -> DataFrame:
     """Gini over items that occur, the ten largest items' share, items without any, smallest, median and largest count."""
     per = events.groupBy("item_id").agg(F.count("*").alias("c"))
-    held = per.withColumns({"i": F.row_number().over(Window.orderBy("c")), "d": F.row_number().over(Window.orderBy(F.col("c").desc(), "item_id"))})
-    n, total = F.count("*"), F.sum("c")
-    return held.agg(
-        (2 * F.sum(F.col("i") * F.col("c")) / (n * total) - (n + 1) / n).alias("gini"), (F.sum(F.when(F.col("d") <= 10, F.col("c"))) / total).alias("top10_share"), (items - n).alias("zero_items"),
-        F.min("c").alias("minimum"), F.expr("percentile(c, 0.5)").alias("median"), F.max("c").alias("maximum"),
+    top = per.orderBy(F.col("c").desc()).limit(10).agg(F.sum("c").alias("top"))
+    held = per.agg(F.count("*").alias("n"), F.sum("c").alias("total"), F.min("c").alias("minimum"), F.expr("percentile(c, 0.5)").alias("median"), F.max("c").alias("maximum"))
+    return held.crossJoin(gini(per, "c")).crossJoin(top).select(  # one row each
+        F.when(F.col("n") > 0, F.col("gini")).alias("gini"), (F.col("top") / F.col("total")).alias("top10_share"), (items - F.col("n")).alias("zero_items"), "minimum", "median", "maximum",
     )
 
 
-def mid_rank(value: str, *by: str) -> Column:
-    """Average rank of ties, from 1."""
-    own = Window.partitionBy(*by)
-    return F.rank().over(own.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+def mid_ranked(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with the rank of a ``value`` that is never null, from 1, averaged over ties."""
+    per, _ = running(rows.groupBy(value).agg(F.count("*").alias("own")), "own", value)
+    return rows.join(per.select(value, (F.col("upto") - (F.col("own") - 1) / 2).alias(name)), value)
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Probability that a positive scores above a negative, ties half; 0.5 if a class is empty."""
-    per = rows.groupBy(score).agg(F.count_if(label).cast("double").alias("p"), F.count("*").cast("double").alias("all"))  # a row a different score
-    upto = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.sum("all").over(upto) - (F.col("all") - 1) / 2
-    held = per.withColumn("s", F.col("p") * rank).agg(F.sum("s").alias("s"), F.sum("p").alias("p"), F.sum(F.col("all") - F.col("p")).alias("n"))
+    per = rows.groupBy(score).agg(F.count_if(label).alias("p"), F.count("*").alias("all"))  # a row a different score
+    ranked, _ = running(per, "all", score)
+    rank = F.col("upto") - (F.col("all") - 1) / 2
+    held = ranked.agg(F.sum(F.col("p") * rank).alias("s"), F.sum("p").cast("double").alias("p"), F.sum(F.col("all") - F.col("p")).cast("double").alias("n"))
     p, n = F.col("p"), F.col("n")
     return held.select(F.when((p == 0) | (n == 0), 0.5).otherwise((F.col("s") - p * (p + 1) / 2) / (p * n)).alias("auc"))
 
@@ -142,9 +142,10 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
 def best_threshold(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Accuracy of predicting positive above the best threshold; calling all positive is the first candidate, earlier ones win ties."""
     per = rows.groupBy(score).agg(F.count_if(label).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    upto, every = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    held = per.select(F.col(score).alias("threshold"), (F.sum("p").over(every) - F.sum("p").over(upto) + F.sum("n").over(upto)).alias("correct"), F.sum("p").over(every).alias("positives"), (F.sum("p").over(every) + F.sum("n").over(every)).alias("total"))
-    ends = held.agg(F.min("threshold").alias("first"), F.first("positives").alias("positives"), F.first("total").alias("total"), F.max_by(F.struct("threshold", "correct"), F.struct("correct", -F.col("threshold"))).alias("best"))
+    held, _ = running(per.withColumn("gain", F.col("n") - F.col("p")), "gain", score)
+    best = F.max_by(F.struct(F.col(score).alias("threshold"), "upto"), F.struct("upto", -F.col(score))).alias("best")
+    sums = held.agg(F.min(score).alias("first"), F.sum("p").alias("positives"), F.sum(F.col("p") + F.col("n")).alias("total"), best)
+    ends = sums.withColumn("best", F.struct("best.threshold", (F.col("positives") + F.col("best.upto")).alias("correct")))
     take = F.col("best.correct") > F.col("positives")
     return ends.select(F.when(take, F.col("best.threshold")).otherwise(F.col("first")).alias("threshold"), (F.when(take, F.col("best.correct")).otherwise(F.col("positives")) / F.col("total")).alias("accuracy"))
 

@@ -146,8 +146,7 @@ def corr_matrix(s, d):
  SELECT round(coalesce(corr(a, b), 0), 6) AS rho FROM r""")
 def spearman(s, d):
     held = train(s, d).groupBy("item_id").agg(F.sum("view_count").alias("v"), F.sum("cart_count").alias("c"))
-    ranks = held.select(Q.mid_rank("v").alias("a"), Q.mid_rank("c").alias("b"))
-    return ranks.agg(F.round(F.coalesce(F.nanvl(F.corr("a", "b"), F.lit(0.0)), F.lit(0.0)), 6).alias("rho"))
+    return Q.mid_ranked(Q.mid_ranked(held, "v", "a"), "c", "b").agg(F.round(F.coalesce(F.nanvl(F.corr("a", "b"), F.lit(0.0)), F.lit(0.0)), 6).alias("rho"))
 
 
 @query("decimal_percentile", """SELECT p_brand AS brand, CAST(round(a + (b - a) * f, 4) AS DECIMAL(38,4)) AS median, digits FROM (SELECT p_brand, min(x) AS a, max(x) AS b, any_value(f) AS f, any_value(digits) AS digits FROM

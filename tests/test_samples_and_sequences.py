@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marlpit.functions import scalar as S
 from marlpit.operators import catalog as C
+from marlpit.operators import dataset as D
 from marlpit.operators import mf as MF
 from marlpit.operators import sampling as M
 from marlpit.operators import sequences as Q
@@ -192,3 +193,20 @@ def test_order_statistics_of_many_ranges(spark):
     assert tuple(Q.quartile_thresholds(df, "v").first()) == (25.0, 75.0)
     got = {r["v"]: r["b"] for r in R.group_by_position(df, ["v"], 10, "b").collect()}
     assert got == {float(i): (10 * (i + 1) - 1) // 101 for i in range(101)}
+
+
+def test_running_sums_over_ranges(spark):
+    df = spark.createDataFrame([(i % 50, i - 20) for i in range(200)], "k long, v long").repartition(7)
+    held, total = D.running(df, "v", "k", "v")
+    got, upto = held.orderBy("k", "v").collect(), 0
+    for r in got:
+        upto += r["v"]
+        assert r["upto"] == upto
+    assert total == upto and len(got) == 200
+    none, nothing = D.running(df.limit(0), "v", "k")
+    assert (none.count(), nothing) == (0, 0)
+
+
+def test_mid_ranks_of_ties(spark):
+    df = spark.createDataFrame([(x,) for x in (3, 1, 3, 7, 3, 1)], "v long")
+    assert sorted((r["v"], r["r"]) for r in Q.mid_ranked(df, "v", "r").collect()) == [(1, 1.5), (1, 1.5), (3, 4.0), (3, 4.0), (3, 4.0), (7, 6.0)]
