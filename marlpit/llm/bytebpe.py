@@ -13,20 +13,21 @@ vocabulary and aggregates bytes by position.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from marlpit.llm.common import arrow_slices, tokenizer_path, worker_state
 
 #: Rows and bytes of a slice of texts; rows of a recursion, and ids, that DuckDB gets at a time.
-SLICE_ROWS, SLICE_BYTES, STEP_ROWS, IDS = 4096, 4 << 20, 1 << 20, 1 << 20
+SLICE_ROWS, SLICE_BYTES, STEP_ROWS, IDS = 1024, 2 << 20, 1 << 19, 1 << 19
 #: Words that a worker remembers at most, half of them new and half from before.
 CACHE = 400_000
 #: Words longer than LONG characters are not remembered; words of up to SHORT bytes are contracted pair by pair.
@@ -64,20 +65,55 @@ SELECT word, pos, tok FROM state WHERE tok IS NOT NULL ORDER BY word, pos"""
 
 
 
-def _rows(size: int) -> int:
-    """Rows of all steps of a word at most, or of its first where only the present ones are kept."""
-    return size * (size + 1) // 2 if size <= SHORT else size
+def _database(**tables: pa.Table) -> duckdb.DuckDBPyConnection:
+    db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+    for name, rows in tables.items():
+        db.register("given", rows)
+        db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+        db.unregister("given")
+    return db
 
 
-class Bpe:
-    """A rank file's vocabulary and merges in a DuckDB of its own, in memory."""
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+class Decoder:
+    """A rank file's vocabulary in a DuckDB of its own, in memory."""
+
+    def __init__(self, path: str):
+        ranks = _ranks(path)
+        self.db = _database(vocabulary=pa.table({"id": list(ranks.values()), "bytes": pa.array(list(ranks), pa.binary())}))
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of each list of ids, which lie one after the other in ``ids``."""
+        out: list[list[bytes]] = [[] for _ in sizes]
+        of, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        for at in range(0, len(ids), IDS):
+            own = of[at : at + IDS]
+            self.db.register("given", pa.table({"text": own, "pos": np.arange(at, at + len(own)) - first[own], "id": ids[at : at + IDS]}))
+            found = self.db.sql("SELECT text, list(v.bytes ORDER BY g.pos) AS bytes FROM given g JOIN vocabulary v ON v.id = g.id GROUP BY text").to_arrow_table().combine_chunks()
+            self.db.unregister("given")
+            if pc.sum(pc.list_value_length(found["bytes"])).as_py() != len(own):
+                raise ValueError("an id is not in the vocabulary")
+            # values lie in the aggregate's order, so a text's bytes are one stretch of them
+            parts = found["bytes"].chunk(0)
+            data, place = parts.values.buffers()[2].to_pybytes(), np.frombuffer(parts.values.buffers()[1], np.int32)
+            ends = place[parts.offsets.to_numpy() + parts.values.offset].tolist()
+            for text, a, b in zip(found["text"].to_pylist(), ends, ends[1:], strict=False):
+                out[text].append(data[a:b])
+        return [b"".join(parts) for parts in out]
+
+
+class Encoder:
+    """A rank file's merges in a DuckDB of its own, in memory, and the words met last."""
 
     def __init__(self, path: str):
         from public_tokenizers import PATTERN
         from tokenizers import Regex, pre_tokenizers
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.ranks = _ranks(path)
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
         # the one library here whose character classes are of the vocabulary's version of Unicode; only its splitting is used
@@ -92,13 +128,7 @@ class Bpe:
                     left.append(a), right.append(b), made.append(rank)
         # a token is contracted alone if it is part of a merge of a smaller rank
         early = {p for a, b, m in zip(left, right, made, strict=True) for p in (a, b) if m < p}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB"})
-        merges = pa.table({"l": left, "r": right, "made": made, "alone": [m in early for m in made]})
-        vocabulary = pa.table({"id": list(self.ranks.values()), "bytes": pa.array(list(self.ranks), pa.binary())})
-        for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
-            self.db.register("given", rows)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
-            self.db.unregister("given")
+        self.db = _database(merges=pa.table({"l": left, "r": right, "made": made, "alone": [m in early for m in made]}))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
 
     def words(self, text: str) -> list[str]:
@@ -106,35 +136,34 @@ class Bpe:
             return _WORD.findall(text)
         return [word for word, _ in self.splitter.pre_tokenize_str(text)]
 
-    def contract(self, words: list[bytes], query: str = _CONTRACT) -> list[np.ndarray]:
-        """Ids of each word by the recursion."""
+    def contract(self, words: list[bytes], query: str = _CONTRACT) -> list[bytes]:
+        """Ids of each word by the recursion, as little-endian unsigned 32-bit numbers."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         self.db.register("start", pa.table({"word": np.repeat(np.arange(len(words)), sizes), "pos": pos, "tok": tok}))
         found = self.db.sql(query).to_arrow_table()
         self.db.unregister("start")
-        return np.split(found["tok"].to_numpy().astype("<u4"), np.flatnonzero(np.diff(found["word"].to_numpy())) + 1)
+        data, ends = found["tok"].to_numpy().astype("<u4").tobytes(), (4 * np.searchsorted(found["word"].to_numpy(), np.arange(len(words) + 1))).tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        held: dict[str, bytes] = {}
-        rest: list[tuple[int, str, bytes]] = []
-        for word in words:
-            raw = word.encode("utf-8", "surrogatepass")
-            if (rank := self.ranks.get(raw)) is not None:
-                held[word] = rank.to_bytes(4, "little")
-            else:
-                rest.append((len(raw), word, raw))
-        rest.sort()
-        at = 0
-        while at < len(rest):
-            end, rows, runs = at, 0, rest[at][0] > SHORT
-            while end < len(rest) and (end == at or rows + _rows(rest[end][0]) <= STEP_ROWS) and (rest[end][0] > SHORT) == runs:
-                rows += _rows(rest[end][0])
-                end += 1
-            for (_, word, _), ids in zip(rest[at:end], self.contract([raw for _, _, raw in rest[at:end]], _CONTRACT_RUNS if runs else _CONTRACT), strict=True):
-                held[word] = ids.tobytes()
-            at = end
+        """Ids of new words: their own if they are tokens, else by the recursion, shorter words first."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        known = list(map(self.ranks.get, raw))
+        held = {w: rank.to_bytes(4, "little") for w, rank in zip(words, known, strict=True) if rank is not None}
+        rest = np.array([i for i, rank in enumerate(known) if rank is None], np.int64)
+        sizes = np.array([len(raw[i]) for i in rest.tolist()], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        rest, sizes = rest[order], sizes[order]
+        # all steps of short words are rows of the recursion, and the present ones of long words
+        for some, rows, query in ((sizes <= SHORT, sizes * (sizes + 1) // 2, _CONTRACT), (sizes > SHORT, sizes, _CONTRACT_RUNS)):
+            own, upto = rest[some].tolist(), np.cumsum(rows[some])
+            at = 0
+            while at < len(own):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP_ROWS, "right")))
+                held.update(zip([words[i] for i in own[at:end]], self.contract([raw[i] for i in own[at:end]], query), strict=True))
+                at = end
         return held
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -144,94 +173,63 @@ class Bpe:
         cut = [self.words(t) for t in texts]
         new: set[str] = set()
         for words in cut:
-            for word in set(words).difference(self.cache):
-                if word in self.older:
-                    self.cache[word] = self.older[word]
-                else:
-                    new.add(word)
-        held = self._learn(list(new))
+            new.update(set(words).difference(self.cache))
+        for word in new.intersection(self.older):
+            self.cache[word] = self.older[word]
+        held = self._learn(list(new.difference(self.older)))
         long = {w: ids for w, ids in held.items() if len(w) > LONG}
         self.cache.update((w, ids) for w, ids in held.items() if len(w) <= LONG)
         look = {**self.cache, **long}.__getitem__ if long else self.cache.__getitem__
         return [b"".join(map(look, words)) for words in cut]
 
-    def decode(self, coded: list[bytes]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        sizes = np.fromiter((len(x) // 4 for x in coded), np.int64, len(coded))
-        out: list[list[bytes]] = [[] for _ in coded]
-        ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
-        of, first = np.repeat(np.arange(len(coded)), sizes), np.cumsum(sizes) - sizes
-        for at in range(0, len(ids), IDS):
-            own = of[at : at + IDS]
-            self.db.register("given", pa.table({"text": own, "pos": np.arange(at, at + len(own)) - first[own], "id": ids[at : at + IDS]}))
-            rows = self.db.sql("SELECT text, list(v.bytes ORDER BY g.pos) AS bytes FROM given g JOIN vocabulary v ON v.id = g.id GROUP BY text").to_arrow_table().combine_chunks().to_batches()
-            self.db.unregister("given")
-            parts = rows[0].column("bytes")
-            if len(parts.flatten()) < len(own):
-                raise ValueError("an id is not in the vocabulary")
-            # values lie in the aggregate's order, so a text's bytes are one stretch of them
-            data, first_byte = parts.values.buffers()[2].to_pybytes(), np.frombuffer(parts.values.buffers()[1], np.int32)
-            for text, a, b in zip(rows[0].column("text").to_pylist(), first_byte[parts.offsets.to_numpy()[:-1]], first_byte[parts.offsets.to_numpy()[1:]], strict=True):
-                out[text].append(data[a:b])
-        return [b"".join(parts) for parts in out]
-
 
 def encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", column: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``column`` in the place of it, as ``into``: little-endian unsigned 32-bit numbers in bytes.
+    """``docs`` with the ids of ``column`` in the place of it, as ``into``, an array of int.
 
     Texts are encoded whole, as ordinary text: there are no special tokens. A null or empty text has
     no ids; rows that repeat are encoded each; an empty table gives no rows; other columns stay, but for one that is named
     like ``into``, which is replaced.
     """
     path = tokenizer_path(ranks)
-    rest = [c for c in docs.columns if c not in (column, into)]
-    held = docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in rest)).alias("rest"), F.col(f"`{column}`").alias("text"))
+    held = _apart(docs, column, {column, into})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_state(Bpe, path)
-        for rows in arrow_slices(batches, "text", SLICE_ROWS, SLICE_BYTES):
-            ids = bpe.encode([t or "" for t in rows.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([rows.column("rest"), pa.array(ids, pa.binary())], names=["rest", "ids"])
+        bpe = worker_state(Encoder, path)
+        for rows in arrow_slices(batches, "value", SLICE_ROWS, SLICE_BYTES):
+            ids = bpe.encode([t or "" for t in rows.column("value").to_pylist()])
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+            yield pa.RecordBatch.from_arrays([rows.column("rest"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))], names=["rest", "value"])
 
-    schema = held.select("rest").schema.add("ids", "binary")
-    return held.mapInArrow(run, schema).select("rest.*", F.col("ids").alias(into))
+    return held.mapInArrow(run, held.select("rest").schema.add("value", ArrayType(IntegerType()))).select("rest.*", F.col("value").alias(into))
 
 
 def decode(coded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", column: str = "ids", into: str = "bytes") -> DataFrame:
     """``coded`` with the bytes of ``column``'s ids as ``into``, which need not be valid UTF-8; ``column`` stays.
 
-    Null ids give null, no ids give no bytes; an id that the vocabulary lacks ends the job. Repeated rows, other columns and empty tables as in ``encode``.
+    Null ids and a null id among others give null, no ids no bytes; an id that the vocabulary lacks ends the job. Repeated
+    rows, other columns and empty tables as in ``encode``.
     """
     path = tokenizer_path(ranks)
-    rest = [c for c in coded.columns if c != into]
-    held = coded.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in rest)).alias("rest"), F.col(f"`{column}`").alias("ids"))
+    held = _apart(coded, column, {into}).withColumn("value", F.when(~F.exists("value", F.isnull), F.col("value").cast("array<int>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_state(Bpe, path)
-        for rows in arrow_slices(batches, "ids", SLICE_ROWS, SLICE_BYTES):
-            ids = rows.column("ids").to_pylist()
-            found = iter(bpe.decode([x for x in ids if x is not None]))
-            yield pa.RecordBatch.from_arrays([rows.column("rest"), pa.array([None if x is None else next(found) for x in ids], pa.binary())], names=["rest", "bytes"])
+        back = worker_state(Decoder, path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(at, SLICE_ROWS)
+                ids = rows.column("value")
+                found = back.decode(ids.flatten().to_numpy().astype(np.int64), pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
+                yield pa.RecordBatch.from_arrays([rows.column("rest"), pa.array([x if ok else None for x, ok in zip(found, ids.is_valid().to_pylist(), strict=True)], pa.binary())], names=["rest", "value"])
+
+    return held.mapInArrow(run, held.select("rest").schema.add("value", "binary")).select("rest.*", F.col("value").alias(into))
+
 
-    schema = held.select("rest").schema.add("bytes", "binary")
-    return held.mapInArrow(run, schema).select("rest.*", F.col("bytes").alias(into))
+def _apart(df: DataFrame, column: str, gone: set[str]) -> DataFrame:
+    """All columns but ``gone`` as ``rest``, and ``column`` as ``value``, so that no name can clash."""
+    return df.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in gone)).alias("rest"), F.col(f"`{column.replace('`', '``')}`").alias("value"))
 
 
 def digests(coded: DataFrame, id_column: str, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of encoded rows; the second digest is that of the bytes decoded again."""
-    back = decode(coded.select(id_column, "ids"), ranks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            told = []
-            for raw in batch.column("ids").to_pylist():
-                ids = np.frombuffer(raw, "<u4")
-                digest = hashlib.sha256()
-                for at in range(0, len(ids), IDS):
-                    digest.update((" " if at else "").encode() + " ".join(map(str, ids[at : at + IDS].tolist())).encode())
-                told.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("n_tokens"), pa.array(told), batch.column("decoded_sha256")], names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = coded.schema[id_column].dataType.simpleString()
-    rows = back.select(id_column, F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("bytes", 256).alias("decoded_sha256"), "ids")
-    return rows.mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    told = coded.select(id_column, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
+    return decode(told, ranks).select(id_column, "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
