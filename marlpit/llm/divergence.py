@@ -116,7 +116,7 @@ def possible_terms(docs: DataFrame, width: int, min_docs: int) -> bytes:
             cells, where = np.unique(np.concatenate([cells, found]), return_inverse=True)
             docs_in = np.minimum(np.bincount(where, np.concatenate([docs_in, np.tile(held, DEPTH)]), len(cells)).astype(np.int64), most)
         starts = np.flatnonzero(np.diff(cells // RANGE, prepend=-1))
-        for a, b in zip(starts, [*starts[1:], len(cells)], strict=True):
+        for a, b in zip(starts, np.append(starts, len(cells))[1:], strict=True):
             yield pa.RecordBatch.from_pydict({"part": pa.array([cells[a] // RANGE], pa.int32()), "cells": [(cells[a:b] % RANGE).astype("<u2").tobytes()], "docs": [docs_in[a:b].astype("<u2").tobytes()]})
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,7 +135,7 @@ def _blocks(rows: DataFrame, n: int, size: int, dim: int, prefix: str, book=None
         for batch in batches:
             places = batch.column("place").to_numpy()
             starts = np.flatnonzero(np.diff(places, prepend=-1))
-            for at, end in zip(starts, [*starts[1:], len(places)], strict=True):
+            for at, end in zip(starts, np.append(starts, len(places))[1:], strict=True):
                 if held and held[0].column("place")[0].as_py() != places[at]:
                     yield block(held)
                     held = []
