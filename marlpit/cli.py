@@ -24,6 +24,10 @@ REPORTS = {
 }
 
 
+#: A result of more rows is stored as a table of its package, not as a document.
+DOCUMENT_ROWS = 100
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="marlpit")
     sub = p.add_subparsers(dest="command", required=True)
@@ -57,8 +61,10 @@ def main(argv: list[str] | None = None) -> int:
         print(sinks.write_dataset({n: queries[n](spark, args.tables) for n in DATASET}, args.out))
     elif args.command == "export":
         names, small = PACKAGES[args.name]
-        documents = {n: {"rows": [r.asDict() for r in queries[n](spark, args.tables).limit(100).collect()]} for n in small}
-        print(sinks.write_package({n: queries[n](spark, args.tables) for n in names}, documents, args.out))
+        frames = {n: queries[n](spark, args.tables) for n in (*names, *small)}
+        heads = {n: frames[n].limit(DOCUMENT_ROWS + 1).collect() for n in small}
+        documents = {n: {"rows": [r.asDict() for r in rows]} for n, rows in heads.items() if len(rows) <= DOCUMENT_ROWS}
+        print(sinks.write_package({n: df for n, df in frames.items() if n not in documents}, documents, args.out))
     else:
         print("\n".join(sinks.markdown(queries[n](spark, args.tables), n) for n in REPORTS[args.name]))
     return 0

@@ -30,6 +30,12 @@ def zscore(x: Column, *by: str) -> Column:
     return F.when(std.isNull() | F.isnan(std) | (std == 0), 0.0).otherwise((x - F.avg(x).over(w)) / std)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation as an aggregate, 0 if a side is constant or there are no rows: the built-in one divides by zero there."""
+    a, b = (F.when(x.isNotNull() & y.isNotNull(), x.cast("double")) for x, y in ((a, b), (b, a)))
+    return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

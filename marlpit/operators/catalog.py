@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlpit.functions import scalar as S
 from marlpit.operators.representations import describe
 
 
@@ -36,7 +37,7 @@ def boundary_shares(rows: DataFrame, ranges: dict[str, tuple[float, float]], mar
 def correlations(rows: DataFrame, axes: Sequence[str]) -> DataFrame:
     """(a, b, r) of all pairs of columns in one pass; 0 where a column is constant."""
     pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i + 1 :]]
-    one = rows.agg(*(F.coalesce(F.nanvl(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0)), F.lit(0.0)).alias(f"{a}|{b}") for a, b in pairs))
+    one = rows.agg(*(S.correlation(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs))
     held = one.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "r")
     names = F.split("pair", r"\|")
     return held.select(names[0].alias("a"), names[1].alias("b"), "r")

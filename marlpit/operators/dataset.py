@@ -116,7 +116,7 @@ def state_distribution(facts: DataFrame, users: int | Column, items: int | Colum
     grid = observed.select("split", "observed", F.explode(F.array(*map(F.lit, TASKS))).alias("task"), F.array(*map(F.lit, ("positive", "observed_non_conversion", "unknown"))).alias("states")).select("split", "observed", "task", F.explode("states").alias("state"))
     total = (users if isinstance(users, Column) else F.lit(users)) * (items if isinstance(items, Column) else F.lit(items))
     pairs = F.coalesce("pairs", F.lit(0)) + F.when(F.col("state") == "unknown", total - F.col("observed")).otherwise(0)
-    return grid.join(seen, ["split", "task", "state"], "left").select("split", "task", "state", pairs.cast("long").alias("pairs"), (pairs / total).alias("share"))
+    return grid.join(seen, ["split", "task", "state"], "left").select("split", "task", "state", pairs.cast("long").alias("pairs"), F.try_divide(pairs, total).alias("share"))
 
 
 def sparsity(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

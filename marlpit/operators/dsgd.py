@@ -5,7 +5,7 @@ item blocks, so that no two of its cells share a row of parameters: all cells st
 time and the result is that of one after the other. Item blocks are paired by the rounds of a
 tournament, in which every two meet once, and each round's pairs rotate over the user blocks; so every
 triple of a user and two items has exactly one cell, and an epoch visits each example
-once. State is a table of blocks, a stratum is one shuffle by cell, and what a task holds is three
+once. State is a table of blocks, cut once an epoch, a stratum is one shuffle by cell, and what a task holds is three
 blocks and their examples: with more blocks it gets smaller at any size. The result depends on the
 configuration, and not on tasks or partitions.
 """
@@ -210,7 +210,8 @@ def epochs(examples: DataFrame, config: Config) -> Iterator[DataFrame]:
                 slot = F.when(F.col("kind") == "u", F.col("block")).otherwise(F.pmod(F.element_at(F.array(*map(F.lit, at)), F.col("block") + 1) - turn, F.lit(b)))
                 own = cells.where((F.col("round") == r) & (F.col("turn") == turn)).select(F.col("k").alias("slot"), F.lit("c").alias("kind"), F.col("k").alias("block"), *none("ids", "params", "squares"), *_CELL)
                 rows = state.select(slot.alias("slot"), "*", *none(*_CELL)).unionByName(own)
-                state = cut(rows.groupBy("slot").applyInArrow(run, _STATE))
+                state = rows.groupBy("slot").applyInArrow(run, _STATE)
+        state = cut(state)  # strata in between feed only the next one, so an epoch is one job
         yield state
 
 

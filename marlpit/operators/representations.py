@@ -69,7 +69,7 @@ def long_values(facts: DataFrame, columns: dict[str, Column], name: str, value:
 def representation_stats(facts: DataFrame, universe: int) -> DataFrame:
     """Statistics of the positive values of each representation; density over all pairs."""
     held = long_values(facts, {n: representation(n) for n in REPRESENTATIONS}, "representation").where("value > 0")
-    return describe(held, "value", "representation").withColumn("density", F.col("n") / universe)
+    return describe(held, "value", "representation").withColumn("density", F.try_divide("n", F.lit(universe)))
 
 
 def activity(facts: DataFrame, users: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def heavy_users(active: DataFrame) -> DataFrame:
     """Shares of the top 1 percent of users, at least one, by raw views."""
     held, n = placed(active, F.col("raw").desc(), F.col("user_id"))
     keep = F.col("place") < max(1, -(-n // 100))
-    share = lambda c: F.sum(F.when(keep, F.col(c))) / F.sum(c)
+    share = lambda c: F.try_divide(F.sum(F.when(keep, F.col(c))), F.sum(c))
     return held.agg(F.count("*").alias("users"), F.count_if(keep).alias("top_users"), share("raw").alias("raw_share"), share("log").alias("log_share"), F.max("raw").alias("max_raw"), F.max("log").alias("max_log"))
 
 
@@ -96,4 +96,4 @@ def signal_overlap(facts: DataFrame) -> DataFrame:
 
 def coverage(positives: DataFrame, users: int, items: int, *by: str) -> DataFrame:
     held = positives.groupBy(*by).agg(F.count("*").alias("positive_pairs"), F.countDistinct("user_id").alias("users"), F.countDistinct("item_id").alias("items"))
-    return held.withColumns({"cold_users": users - F.col("users"), "cold_items": items - F.col("items"), "density": F.col("positive_pairs") / (users * items)})
+    return held.withColumns({"cold_users": users - F.col("users"), "cold_items": items - F.col("items"), "density": F.try_divide("positive_pairs", F.lit(users * items))})

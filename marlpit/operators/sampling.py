@@ -109,8 +109,8 @@ def sampling_stats(samples: DataFrame, items: int, ratio: int = RATIO) -> DataFr
     )
     total = F.col("total")
     return head.crossJoin(gini(per_item, "c")).crossJoin(top).select(
-        "total", "unique_pairs", "random_unknown", "exposed", (F.col("exposed") / total).alias("exposed_share"), "backfill", (F.col("backfill") / total).alias("backfill_rate"), "users", "items",
-        (items - F.col("items")).alias("never_sampled"), "gini", (F.col("top") / total).alias("top10_share"),
+        "total", "unique_pairs", "random_unknown", "exposed", F.try_divide("exposed", total).alias("exposed_share"), "backfill", F.try_divide("backfill", total).alias("backfill_rate"), "users", "items",
+        (items - F.col("items")).alias("never_sampled"), "gini", F.try_divide("top", total).alias("top10_share"),
     )
 
 

@@ -110,7 +110,7 @@ def view_rates(events: DataFrame, *keys: str) -> DataFrame:
     held = events.where(kind("impression", "view")).groupingSets([[k] for k in keys], *keys).agg(F.count_if(kind("impression")).alias("impressions"), F.count_if(kind("view")).alias("views"), *(F.grouping(k).alias(f"g_{k}") for k in keys))
     name = F.coalesce(*(F.when(F.col(f"g_{k}") == 0, k) for k in keys))
     value = F.coalesce(*(F.when(F.col(f"g_{k}") == 0, F.col(k).cast("string")) for k in keys))
-    return held.select(name.alias("key"), value.alias("value"), "impressions", "views", (F.col("views") / F.col("impressions")).alias("view_rate")).where("impressions > 0")
+    return held.select(name.alias("key"), value.alias("value"), "impressions", "views", F.try_divide("views", "impressions").alias("view_rate")).where("impressions > 0")
 
 
 def concentration(events: DataFrame, items: int) -> DataFrame:
@@ -119,7 +119,7 @@ def concentration(events: DataFrame, items: int) -> DataFrame:
     top = per.orderBy(F.col("c").desc()).limit(10).agg(F.sum("c").alias("top"))
     held = per.agg(F.count("*").alias("n"), F.sum("c").alias("total"), F.min("c").alias("minimum"), F.expr("percentile(c, 0.5)").alias("median"), F.max("c").alias("maximum"))
     return held.crossJoin(gini(per, "c")).crossJoin(top).select(  # one row each
-        F.when(F.col("n") > 0, F.col("gini")).alias("gini"), (F.col("top") / F.col("total")).alias("top10_share"), (items - F.col("n")).alias("zero_items"), "minimum", "median", "maximum",
+        F.when(F.col("n") > 0, F.col("gini")).alias("gini"), F.try_divide("top", "total").alias("top10_share"), (items - F.col("n")).alias("zero_items"), "minimum", "median", "maximum",
     )
 
 
@@ -136,7 +136,7 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     rank = F.col("upto") - (F.col("all") - 1) / 2
     held = ranked.agg(F.sum(F.col("p") * rank).alias("s"), F.sum("p").cast("double").alias("p"), F.sum(F.col("all") - F.col("p")).cast("double").alias("n"))
     p, n = F.col("p"), F.col("n")
-    return held.select(F.when((p == 0) | (n == 0), 0.5).otherwise((F.col("s") - p * (p + 1) / 2) / (p * n)).alias("auc"))
+    return held.select(F.when((F.coalesce(p, F.lit(0.0)) == 0) | (F.coalesce(n, F.lit(0.0)) == 0), 0.5).otherwise((F.col("s") - p * (p + 1) / 2) / (p * n)).alias("auc"))
 
 
 def best_threshold(rows: DataFrame, score: str, label: str) -> DataFrame:
@@ -147,7 +147,7 @@ def best_threshold(rows: DataFrame, score: str, label: str) -> DataFrame:
     sums = held.agg(F.min(score).alias("first"), F.sum("p").alias("positives"), F.sum(F.col("p") + F.col("n")).alias("total"), best)
     ends = sums.withColumn("best", F.struct("best.threshold", (F.col("positives") + F.col("best.upto")).alias("correct")))
     take = F.col("best.correct") > F.col("positives")
-    return ends.select(F.when(take, F.col("best.threshold")).otherwise(F.col("first")).alias("threshold"), (F.when(take, F.col("best.correct")).otherwise(F.col("positives")) / F.col("total")).alias("accuracy"))
+    return ends.select(F.when(take, F.col("best.threshold")).otherwise(F.col("first")).alias("threshold"), (F.when(take, F.col("best.correct")).otherwise(F.col("positives")) / F.nullif("total", F.lit(0))).alias("accuracy"))
 
 
 def quartile_thresholds(rows: DataFrame, value: str) -> DataFrame:

@@ -123,19 +123,22 @@ def nearest_prototype(rows: DataFrame, prototypes: DataFrame, id: str, vector: s
 
 def affordability(users: DataFrame, prices: DataFrame, budget: str, price: str) -> DataFrame:
     """``users`` with the number and share of prices within budget. Both sides are merged in price
-    order and counted by a distributed running sum, so no user meets every price."""
-    rows = users.select(F.struct(*users.columns).alias("u"), F.col(budget).cast("double").alias("x"), F.lit(0).alias("n"))
-    marks = prices.select(F.lit(None).cast(rows.schema["u"].dataType).alias("u"), F.col(price).cast("double").alias("x"), F.lit(1).alias("n"))
+    order and counted by a distributed running sum, so no user meets every price. A null or NaN budget affords nothing, such prices
+    are left out of the count but not of the total; without prices the share is null."""
+    known = F.nanvl(F.col(budget).cast("double"), F.lit(None).cast("double"))
+    rows = users.select(F.struct(*users.columns).alias("u"), known.alias("x"), F.lit(0).alias("n"))
+    marks = prices.where(F.col(price).isNotNull() & ~F.isnan(F.col(price).cast("double"))).select(F.lit(None).cast(rows.schema["u"].dataType).alias("u"), F.col(price).cast("double").alias("x"), F.lit(1).alias("n"))
     both = rows.unionByName(marks)
     bucket = F.floor(F.col("x") / 100)
     both = both.withColumn("b", bucket)
-    sums = both.groupBy("b").agg(F.sum("n").alias("s"))
+    sums = both.where("x is not null").groupBy("b").agg(F.sum("n").alias("s"))
     ahead = sums.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("ahead"))
     total = prices.count()
     inside = F.sum("n").over(Window.partitionBy("b").orderBy("x").rangeBetween(Window.unboundedPreceding, 0))
-    held = both.withColumn("inside", inside).where("u is not null").join(ahead, "b")
+    held = both.where("x is not null").withColumn("inside", inside).where("u is not null").join(ahead, "b")
     count = F.col("inside") + F.col("ahead")
-    return held.select("u.*", count.cast("long").alias("affordable"), (count / total).alias("share"))
+    told = held.select("u", count.cast("long").alias("affordable")).unionByName(rows.where("x is null").select("u", F.lit(0).cast("long").alias("affordable")))
+    return told.select("u.*", "affordable", F.try_divide("affordable", F.lit(total)).alias("share"))
 
 
 def hybrid(users: DataFrame, items: DataFrame, alphas: Sequence[float], k: int | None = None, more: str | None = None, block: int = 2048) -> DataFrame:

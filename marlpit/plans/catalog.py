@@ -146,7 +146,7 @@ def corr_matrix(s, d):
  SELECT round(coalesce(corr(a, b), 0), 6) AS rho FROM r""")
 def spearman(s, d):
     held = train(s, d).groupBy("item_id").agg(F.sum("view_count").alias("v"), F.sum("cart_count").alias("c"))
-    return Q.mid_ranked(Q.mid_ranked(held, "v", "a"), "c", "b").agg(F.round(F.coalesce(F.nanvl(F.corr("a", "b"), F.lit(0.0)), F.lit(0.0)), 6).alias("rho"))
+    return Q.mid_ranked(Q.mid_ranked(held, "v", "a"), "c", "b").agg(F.round(S.correlation(F.col("a"), F.col("b")), 6).alias("rho"))
 
 
 @query("decimal_percentile", """SELECT p_brand AS brand, CAST(round(a + (b - a) * f, 4) AS DECIMAL(38,4)) AS median, digits FROM (SELECT p_brand, min(x) AS a, max(x) AS b, any_value(f) AS f, any_value(digits) AS digits FROM
@@ -181,7 +181,7 @@ def affordability_by_tier(s, d):
 def price_signal(s, d):
     held = A.events(s, d).join(A.read(s, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_acctbal"), "user_id").withColumn("over", F.col("item_id") * 20.0 > F.col("c_acctbal"))
     c = held.groupBy(F.when(F.col("over"), "over").otherwise("within").alias("budget")).agg(*(F.count_if(Q.kind(k)).alias(n) for k, n in (("view", "views"), ("add_to_cart", "carts"), ("purchase", "purchases"))))
-    return c.select("*", F.round(F.col("carts") / F.col("views"), 8).alias("cart_rate"), F.round(F.col("purchases") / F.col("views"), 8).alias("purchase_rate"))
+    return c.select("*", F.round(F.try_divide("carts", "views"), 8).alias("cart_rate"), F.round(F.try_divide("purchases", "views"), 8).alias("purchase_rate"))
 
 
 def vectors(s, d):

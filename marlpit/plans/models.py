@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from marlpit.functions import scalar as S
 from marlpit.operators import dataset as D
+from marlpit.operators import dsgd as G
 from marlpit.operators import mf as MF
 from marlpit.operators import ranking as R
+from marlpit.operators import representations as P
+from marlpit.operators import sampling as M
 from marlpit.operators import sequences as Q
 from marlpit.operators.ranking import Weights
 from marlpit.plans.catalog import _MODEL, model
 from marlpit.plans.dataset import train
 from marlpit.plans.ranking import KS, _topk, evaluated
 from marlpit.plans.registry import query
-from marlpit.plans.sequences import SESS, sessionized
+from marlpit.plans.sequences import SESS, samples, sessionized
 from marlpit.sources import adapter as A
 from marlpit.sources.adapter import SQL_WORLD as W
+from marlpit.sources.durable import cut
 from marlpit.streaming import incremental as T
 
 _PAIR = _MODEL + """, pp AS (SELECT t.user_id, t.item_id, (t.item_id + 1) % 100 AS other, 1 + ln(1 + t.purchase_count) AS conf FROM train t WHERE purchase_count > 0),
@@ -75,22 +79,26 @@ def positives(s, d):
     return train(s, d).where("view_count > 0").select("user_id", "item_id", Weights().strength().alias("strength"))
 
 
-def evaluated_mf(s, d, state, split):
-    """Metrics of a state's lists for purchases, with cart popularity for cold users."""
-    rel = D.relevance(A.events(s, d), "purchase")
-    seen = rel.where("split = 'train'").select("user_id", "item_id")
-    lists = MF.top_lists(state, D.candidates(A.items(s, d), "purchase"), seen, max(KS))
-    every = MF.with_fallback(lists, state.where("kind = 'u'").select(F.col("id").alias("user_id")), _topk(s, d, True))
-    return R.listed_positions(every, rel.where(F.col("split") == split).select("user_id", "item_id"))
+def evaluator(s, d):
+    """Purchase positions in a state's lists by split, with cart popularity for cold users. What doesn't depend on a state is stored once."""
+    rel = cut(D.relevance(A.events(s, d), "purchase"))
+    seen, candidates, fallback = (cut(x) for x in (rel.where("split = 'train'").select("user_id", "item_id"), D.candidates(A.items(s, d), "purchase"), _topk(s, d, True)))
+
+    def positions(state, split):
+        lists = MF.top_lists(state, candidates, seen, max(KS))
+        every = MF.with_fallback(lists, state.where("kind = 'u'").select(F.col("id").alias("user_id")), fallback)
+        return R.listed_positions(every, rel.where(F.col("split") == split).select("user_id", "item_id"))
+
+    return positions
 
 
 @query("mf_train")
 def mf_train(s, d):
     """Validation metrics at 10, parameters and normalised norms of each dimension."""
-    out = None
+    out, held = None, evaluator(s, d)
     for dim in DIMS:
         state = MF.train(positives(s, d), MF.Config(dim=dim))
-        row = R.macro(R.user_metrics(evaluated_mf(s, d, state, "validation"), (10,))).crossJoin(MF.capacity(state)).select(F.lit(dim).alias("dim"), "*")
+        row = R.macro(R.user_metrics(held(state, "validation"), (10,))).crossJoin(MF.capacity(state)).select(F.lit(dim).alias("dim"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -99,7 +107,7 @@ def mf_train(s, d):
 def eval_mf(s, d):
     """Test metrics of a model of eight factors."""
     state = MF.train(positives(s, d), MF.Config(dim=8))
-    return R.TestOnce()(evaluated_mf(s, d, state, "test"), KS)
+    return R.TestOnce()(evaluator(s, d)(state, "test"), KS)
 
 
 @query("comparison_table")
@@ -109,6 +117,65 @@ def comparison_table(s, d):
     return control.unionByName(eval_mf(s, d).withColumn("model", F.lit("mf_als_8")))
 
 
+def train_examples(s, d, *names):
+    """Train positives against four exposed or unknown contrasts each: pointwise rows with log-loss labels, and triples of both
+    items with equal weights or the positive's confidence. Contrasts are drawn once."""
+    positive, confidence = P.confidence("log_view")
+    own = cut(train(s, d).where(positive).select("user_id", "item_id", confidence.alias("confidence")))
+    drawn = samples(s, d, "exposed")
+    triples = drawn.join(own, ["user_id", "item_id"])
+    told = lambda df, other, label, weight: cut(df.select("user_id", "item_id", other.cast("long").alias("other_id"), label.cast("double").alias("label"), weight.alias("weight")))
+    make = {
+        "bce": lambda: told(M.bce_examples(own, drawn), F.lit(None), F.col("label"), F.col("confidence")),
+        "bpr": lambda: told(triples, F.col("sampled"), F.lit(1), F.lit(1.0)),
+        "weighted_bpr": lambda: told(triples, F.col("sampled"), F.lit(1), F.col("confidence")),
+    }
+    return {n: make[n]() for n in names}
+
+
+def purchase_metrics(held, params, split):
+    """Metrics at 10 of biased scores for purchases."""
+    return R.macro(R.user_metrics(held(G.folded(params), split), (10,)))
+
+
+def bias_effects(s, d, params, examples):
+    """Correlation of item biases with carts of their item, and what biases and factors share of the scores' variance."""
+    bias = params.where("kind = 'i'").select(F.col("id").alias("item_id"), "bias")
+    carts = train(s, d).groupBy("item_id").agg(F.sum("cart_count").cast("double").alias("carts"))
+    held = cut(bias.join(carts, "item_id"))
+    ranked = Q.mid_ranked(Q.mid_ranked(held, "bias", "bias_rank"), "carts", "cart_rank")
+    near = held.agg(S.correlation(F.col("bias"), F.col("carts")).alias("pearson")).crossJoin(ranked.agg(S.correlation(F.col("bias_rank"), F.col("cart_rank")).alias("spearman")))  # one row each
+    own = G.scored(params, examples).join(bias, "item_id").join(params.where("kind = 'u'").select(F.col("id").alias("user_id"), F.col("bias").alias("user_bias")), "user_id")
+    biases = F.col("bias") + F.col("user_bias")
+    return near.crossJoin(own.agg(F.try_divide(F.var_pop(biases), F.var_pop("score")).alias("bias_share"), F.try_divide(F.var_pop(F.col("score") - biases), F.var_pop("score")).alias("factor_share")))
+
+
+@query("mf_bias")
+def mf_bias(s, d):
+    """Test metrics and bias diagnostics of BCE models without bias, with item and with both biases."""
+    examples, held, out = train_examples(s, d, "bce")["bce"], evaluator(s, d), None
+    for bias in G.BIASES:
+        params = cut(G.fit(examples, G.Config(bias=bias)).params)
+        row = purchase_metrics(held, params, "test").crossJoin(bias_effects(s, d, params, examples)).select(F.lit(bias).alias("bias"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("mf_objective")
+def mf_objective(s, d):
+    """Test metrics, the best epoch by validation and margins of models trained on BCE, BPR and weighted BPR."""
+    every, positions, out = train_examples(s, d, "bce", "bpr", "weighted_bpr"), evaluator(s, d), None
+    for name, examples in every.items():
+        figure = lambda params: purchase_metrics(positions, params, "validation").agg(F.coalesce(F.max("ndcg"), F.lit(0.0))).first()[0]
+        held = G.fit(examples, G.Config(objective=name[-3:]), figure, every=4)
+        params = cut(held.params)
+        margin = F.col("score") - F.col("other_score")
+        margins = G.scored(params, every["bpr"]).agg(F.avg(margin).alias("margin_mean"), F.stddev_pop(margin).alias("margin_std"), F.avg((margin > 0).cast("double")).alias("positive_share"))
+        row = purchase_metrics(positions, params, "test").crossJoin(margins).select(F.lit(name).alias("objective"), F.lit(held.epoch).alias("epoch"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # Streams: each query drains the file and must equal the batch statement.
 def _text(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
@@ -143,4 +210,14 @@ def stream_dedup(s, d):
 
 @query("stream_funnel", W + " SELECT user_id, item_id, CASE max(CASE event_type WHEN 'view' THEN 1 WHEN 'favorite' THEN 2 WHEN 'add_to_cart' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END) WHEN 0 THEN 'none' WHEN 1 THEN 'view' WHEN 2 THEN 'favorite' WHEN 3 THEN 'add_to_cart' ELSE 'purchase' END AS stage FROM ev GROUP BY 1, 2")
 def stream_funnel(s, d):
-    return T.with_session_zone(s, lambda: T.materialized(T.drain(T.funnel_state(T.read_events(s, d)), "update", ["user_id", "item_id"])))
+    settings = T.STATE_STORE | {"spark.sql.session.timeZone": "UTC"}
+    drained = lambda: T.drain(T.funnel_state(T.read_events(s, d)), "update", ["user_id", "item_id"], largest="depth")
+    return T.with_settings(s, settings, lambda: T.materialized(drained().select("user_id", "item_id", "stage")))
+
+
+@query("stream_late_split", W + """ SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, false AS late, count(*) AS n FROM ev GROUP BY 1, 2""")
+def stream_late_split(s, d):
+    """Events by day on time and late. All files of the table are one batch, so none is late."""
+    on_time, late = T.split_late(T.read_events(s, d).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts")))
+    told = lambda df, is_late: df.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).select("day", F.lit(is_late).alias("late"), "n")
+    return told(on_time, False).unionByName(told(late, True))

@@ -257,7 +257,7 @@ def signal_alignment(s, d):
     hit = F.col("overlap") > 0
     return held.agg(
         F.count("*").alias("eligible_users"), F.count_if(F.col("positives") > 0).alias("with_positive"), F.count_if(F.col("positives") == 0).alias("without_positive"), F.count_if(hit).alias("continuing"),
-        F.round(F.count_if(hit) / F.count("*"), 8).alias("continuing_rate"), F.round(F.avg("overlap"), 8).alias("mean_overlap"),
+        F.round(F.try_divide(F.count_if(hit), F.count("*")), 8).alias("continuing_rate"), F.round(F.avg("overlap"), 8).alias("mean_overlap"),
     )
 
 
@@ -334,7 +334,7 @@ def pairwise_overlap(s, d):
     lists = _topk(s, d, True).join(want, "user_id", "left_semi")
     shared = lists.groupBy("item_id").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("shared"))
     users = lists.agg(F.countDistinct("user_id").alias("users"))
-    return users.crossJoin(shared).select("users", F.round(F.col("shared") / 10 / (F.col("users") * (F.col("users") - 1) / 2), 8).alias("mean_overlap"))
+    return users.crossJoin(shared).select("users", F.round(F.try_divide(F.col("shared") / 10, F.col("users") * (F.col("users") - 1) / 2), 8).alias("mean_overlap"))
 
 
 @query("personalization", _TOP + """, l AS (SELECT * FROM t10 WHERE user_id IN (SELECT user_id FROM rel WHERE split = 'test' AND task = 'purchase')),

@@ -202,7 +202,7 @@ def view_rates(s, d):
 def funnel_by_group(s, d):
     held = A.events(s, d).join(A.read(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("grp")), "user_id")
     c = held.groupBy("grp").agg(*(F.count_if(Q.kind(k)).alias(n) for k, n in (("view", "views"), ("favorite", "favorites"), ("add_to_cart", "carts"), ("purchase", "purchases"))))
-    return c.select("*", *(F.round(F.col(n) / F.col("views"), 8).alias(r) for n, r in (("favorites", "favorite_rate"), ("carts", "cart_rate"), ("purchases", "purchase_rate"))))
+    return c.select("*", *(F.round(F.try_divide(n, "views"), 8).alias(r) for n, r in (("favorites", "favorite_rate"), ("carts", "cart_rate"), ("purchases", "purchase_rate"))))
 
 
 @query("exposure_concentration", W + """, c AS (SELECT item_id, count(*) AS c FROM ev WHERE event_type = 'impression' GROUP BY 1), r AS (SELECT c, row_number() OVER (ORDER BY c) AS i, row_number() OVER (ORDER BY c DESC, item_id) AS d FROM c)
@@ -270,7 +270,7 @@ def quartile_rates(s, d):
     flags = Q.prior_state_flags(ev).join(groups, "user_id")
     no = (F.col("had_favorite") == 0, F.col("had_cart") == 0)
     c = flags.groupBy("grp").agg(F.count_if(Q.kind("add_to_cart") & no[0]).alias("dc"), F.count_if(Q.kind("purchase") & no[0] & no[1]).alias("dp"), F.count_if(Q.kind("purchase") & (F.col("views_before") == 1)).alias("lv"))
-    return views.join(c, "grp").select("grp", "views", *(F.round(F.col(x) / F.col("views"), 8).alias(n) for x, n in (("dc", "direct_cart_rate"), ("dp", "direct_purchase_rate"), ("lv", "low_view_purchase_rate"))))
+    return views.join(c, "grp").select("grp", "views", *(F.round(F.try_divide(x, "views"), 8).alias(n) for x, n in (("dc", "direct_cart_rate"), ("dp", "direct_purchase_rate"), ("lv", "low_view_purchase_rate"))))
 
 
 @query("duplicate_audit", W + " SELECT user_id, item_id, event_type, count(*) AS n FROM ev GROUP BY 1, 2, 3 HAVING count(*) > 1")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from marlpit.operators.dataset import interaction_facts
 from marlpit.sources.adapter import EVENT_TYPES
@@ -47,26 +48,52 @@ def deduplicated(events: DataFrame) -> DataFrame:
 STAGES = ("none", "view", "favorite", "add_to_cart", "purchase")
 
 
-def funnel_state(events: DataFrame) -> DataFrame:
-    """Deepest stage each pair has reached, kept as state; a pair idle for 7 days beyond the watermark is dropped."""
+class _Deepest(StatefulProcessor):
+    """A pair's deepest stage as a value, cleared by a timer once the pair is idle."""
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        deepest = state.get[0] if state.exists else 0
-        for part in parts:
-            deepest = max([deepest, *(STAGES.index(k) for k in part["event_type"] if k in STAGES)])
-        state.update((deepest,))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 7 * 86_400_000 + 1)
-        yield pd.DataFrame({"user_id": [key[0]], "item_id": [key[1]], "stage": [STAGES[deepest]]})
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.depth = handle.getValueState("depth", "depth int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        depth = self.depth.get()[0] if self.depth.exists() else 0
+        for part in rows:
+            depth = max([depth, *(STAGES.index(k) for k in part["event_type"] if k in STAGES)])
+        self.depth.update((depth,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.idle_ms)
+        yield pd.DataFrame({"user_id": [key[0]], "item_id": [key[1]], "depth": [depth], "stage": [STAGES[depth]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.depth.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def funnel_state(events: DataFrame, idle_days: int = 7) -> DataFrame:
+    """(user_id, item_id, depth, stage): the deepest stage of each pair that a batch touches, so far as its state remembers.
+
+    A pair idle for ``idle_days`` beyond the watermark leaves the state, which bounds it; if it comes back it starts
+    anew, so a sink keeps each pair's largest ``depth`` (``drain`` with ``largest``) and equals the batch form
+    whatever the gaps. Pairs with a null user or item are pairs like others. Needs ``STATE_STORE``.
+    """
     held = events.select("user_id", "item_id", "event_type", "ts").groupBy("user_id", "item_id")
-    return held.applyInPandasWithState(run, "user_id long, item_id int, stage string", "deepest int", "update", GroupStateTimeout.EventTimeTimeout)
+    return held.transformWithStateInPandas(_Deepest(idle_days * 86_400_000 + 1), "user_id long, item_id int, depth int, stage string", "Update", "EventTime")
+
+
+#: The store that states with timers need.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
-    """Process what is there and return the sink's table. Update mode keeps the last row of each ``key``.
+def drain(stream: DataFrame, mode: str, key: list[str] | None = None, largest: str | None = None) -> DataFrame:
+    """Process what is there and return the sink's table. Update mode keeps the last row of each ``key``, or with
+    ``largest`` that with the largest value of this column. A stream without files gives an empty table.
 
     A batch overwrites the folder of its own number, so one that is retried is not there twice."""
     spark, path = stream.sparkSession, f"{folder(stream.sparkSession)}/stream-{uuid4().hex}"
@@ -76,30 +103,103 @@ def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFra
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
+    if not stored(spark, f"{path}/rows"):
+        return spark.createDataFrame([], stream.schema)
     rows = spark.read.parquet(f"{path}/rows")
     if mode == "update":
         others = [c for c in rows.columns if c not in (*(key or []), "batch")]
-        last = rows.groupBy(*(key or [])).agg(F.max_by(F.struct(*others), "batch").alias("x"))
+        order = F.struct(*([largest] if largest else []), "batch")
+        last = rows.groupBy(*(key or [])).agg(F.max_by(F.struct(*others), order).alias("x"))
         return last.select(*(key or []), "x.*")
     return rows.drop("batch")
 
 
-def late_rows(stream: DataFrame, mode: str = "append") -> int:
-    """Rows that a stream's state operators dropped because they came after the watermark, as its progress reports count them."""
-    spark, path = stream.sparkSession, f"{folder(stream.sparkSession)}/stream-{uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("noop").start()
+def stored(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+class _Drops(StreamingQueryListener):
+    """Adds up what state operators drop, over all progress reports of a query."""
+
+    def __init__(self) -> None:
+        self.total: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.total[str(p.id)] = self.total.get(str(p.id), 0) + sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+
+def late_rows(stream: DataFrame, mode: str = "append", wait_seconds: float = 60) -> int:
+    """Rows that a stream's state operators dropped because they came after the watermark, of all batches, however many."""
+    spark, path, heard = stream.sparkSession, f"{folder(stream.sparkSession)}/stream-{uuid4().hex}", _Drops()
+    spark.streams.addListener(heard)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("noop").start()
+        query.awaitTermination()
+        end = time.monotonic() + wait_seconds  # reports come a little after the query's end
+        while str(query.id) not in heard.ended:
+            if time.monotonic() > end:
+                raise TimeoutError("the stream's last reports did not come")
+            time.sleep(0.05)
+    finally:
+        spark.streams.removeListener(heard)
+    return heard.total.get(str(query.id), 0)
+
+
+def split_late(events: DataFrame, delay: str = "1 day", at: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """(on time, late) rows of a stream: late ones came in a batch after the largest time of earlier batches less ``delay``.
+
+    Nothing is dropped: each batch is cut in two before any stateful step, rows without a time are on time, and the two tables add
+    up to the input. Each batch stores its largest time under its number and reads that of the ones before, so a
+    batch that is repeated after a restart is cut the same.
+    """
+    spark, path = events.sparkSession, f"{folder(events.sparkSession)}/stream-{uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            limit = None
+            if stored(spark, f"{path}/marks"):
+                limit = spark.read.schema("top timestamp, batch long").parquet(f"{path}/marks").where(F.col("batch") < number).agg((F.max("top") - F.expr(f"INTERVAL {delay}")).alias("t")).first().t
+            late = F.lit(False) if limit is None else F.coalesce(F.col(at) < F.lit(limit), F.lit(False))
+            for name, rows in (("on_time", batch.where(~late)), ("late", batch.where(late)), ("marks", batch.agg(F.max(at).cast("timestamp").alias("top")))):
+                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    query = events.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+    if not stored(spark, f"{path}/marks"):
+        return (spark.createDataFrame([], events.schema),) * 2
+    return tuple(spark.read.schema(events.schema).parquet(f"{path}/{name}") for name in ("on_time", "late"))
 
 
-def with_session_zone(spark: SparkSession, fn: Callable[[], DataFrame]) -> DataFrame:
-    """Run ``fn`` with the session's time zone set to UTC, which wall-clock event times are in."""
-    before = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def with_settings(spark: SparkSession, settings: dict[str, str], fn: Callable[[], DataFrame]) -> DataFrame:
+    """Run ``fn`` with settings of the session that are put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         return fn()
     finally:
-        spark.conf.set("spark.sql.session.timeZone", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def with_session_zone(spark: SparkSession, fn: Callable[[], DataFrame]) -> DataFrame:
+    """Run ``fn`` with the session's time zone set to UTC, which wall-clock event times are in."""
+    return with_settings(spark, {"spark.sql.session.timeZone": "UTC"}, fn)
 
 
 def materialized(df: DataFrame) -> DataFrame:
