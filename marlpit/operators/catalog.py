@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.functions import scalar as S
 from marlpit.operators.representations import describe
+from marlpit.operators.selection import decimal_quantile as decimal_percentile  # noqa: F401  a catalog operator by this name
 
 
 def page(products: DataFrame, order: str, number: int, size: int = 24) -> DataFrame:
@@ -43,17 +44,14 @@ def correlations(rows: DataFrame, axes: Sequence[str]) -> DataFrame:
     return held.select(names[0].alias("a"), names[1].alias("b"), "r")
 
 
-def decimal_percentile(rows: DataFrame, value: str, q: str, *by: str) -> DataFrame:
-    """Linear percentile of exact decimals without a detour by double: two order statistics and decimal interpolation."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
-    n = F.count("*").over(Window.partitionBy(*by))
-    at = (n - 1) * F.lit(q).cast("decimal(3,2)")
-    held = rows.where(F.col(value).isNotNull()).withColumns({"i": place, "at": at})
-    low, high = F.floor("at"), F.ceil("at")
-    frac = (F.col("at") - low).cast("decimal(3,2)")
-    held = held.withColumns({"low": low, "high": high, "frac": frac}).where("i = low or i = high")
-    ends = held.groupBy(*by).agg(F.min(value).alias("a"), F.max(value).alias("b"), F.first("frac").alias("f"))
-    return ends.select(*by, (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("percentile"))
+def standardized(rows: DataFrame, value: str, name: str, *by: str) -> DataFrame:
+    """``rows`` with the population z-score of ``value`` in its group, 0 where the deviation is 0 or unknown: sums by group, ahead of the shuffle, joined back."""
+    stats = rows.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    z = F.coalesce(F.try_divide(F.col(value) - F.col("_mean"), F.nullif(F.nanvl(F.col("_std"), F.lit(0.0)), F.lit(0.0))), F.lit(0.0))
+    return rows.join(stats, same).select(*rows.columns, z.alias(name))
 
 
 def tag_counts(rows: DataFrame, tags: Column, vocabulary: DataFrame | None = None) -> DataFrame:

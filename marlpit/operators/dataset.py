@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.sources.adapter import SPLITS
+from marlpit.operators.selection import with_quantiles
 from marlpit.sources.durable import cut
 
 #: Event type and the name of its columns.
@@ -125,11 +126,12 @@ def sparsity(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     per = facts.select(key, tasks.alias("s")).groupBy(key, "s.task").agg(F.sum("s.hit").alias("n"))
     grid = dimension.select(key, F.explode(F.array(*map(F.lit, TASKS))).alias("task"))
     n = F.coalesce("n", F.lit(0)).cast("double")
-    held = grid.join(per, [key, "task"], "left").withColumn("n", n)
-    return held.groupBy("task").agg(
-        F.count("*").alias("members"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.min("n").alias("min"), F.expr("percentile(n, 0.5)").alias("median"), F.max("n").alias("max"),
+    held = cut(grid.join(per, [key, "task"], "left").select("task", n.alias("n")))
+    stats = held.groupBy("task").agg(
+        F.count("*").alias("members"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.min("n").alias("min"), F.max("n").alias("max"),
         F.count_if(F.col("n") == 0).alias("zero"), F.count_if(F.col("n").between(1, 2)).alias("cold_ish"),
     )
+    return with_quantiles(stats, held, "n", {"median": 0.5}, "task")
 
 
 def leakage_audit(facts: DataFrame) -> DataFrame:

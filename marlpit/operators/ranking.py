@@ -47,8 +47,13 @@ def long_scores(scores: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame, *by: str) -> DataFrame:
-    """Rank by score, largest first, then by item."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "item_id")))
+    """Rank by score, largest first, then by item, within ``by``. Places come from range partitions of all rows and
+    start anew where a group does, so no task has a group's items."""
+    held, _ = placed(scores, *by, F.col("score").desc(), F.col("item_id"))
+    if not by:
+        return held.withColumn("rank", (F.col("place") + 1).cast("int")).drop("place")
+    starts = held.groupBy(*by).agg(F.min("place").alias("start"))
+    return held.join(starts, list(by)).withColumn("rank", (F.col("place") - F.col("start") + 1).cast("int")).drop("place", "start")
 
 
 def positions(ranking: DataFrame, relevance: DataFrame, seen: DataFrame | None, *by: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marlpit.operators.dataset import favoriteplus, placed
 from marlpit.operators.ranking import Weights
+from marlpit.operators.selection import with_quantiles
+from marlpit.sources.durable import cut
 
 REPRESENTATIONS = ("binary_viewplus", "view_count", "log_view", "favoriteplus", "binary_purchase", "weighted")
 CONFIDENCES = ("binary_view", "log_view", "weighted", "favoriteplus", "purchase_only")
@@ -56,9 +58,10 @@ def signal_state(positive: Column, exposed_def: str = "impression_no_view") -> C
 
 def describe(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Count, mean, population deviation and linear quantiles."""
-    q = F.expr(f"percentile({value}, array(0.25, 0.5, 0.75))")
-    held = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
-    return held.select(*by, "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "max")
+    rows = cut(rows.select(*by, value))  # read again by each pass of the selection
+    held = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    told = with_quantiles(held, rows, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}, *by)
+    return told.select(*by, "n", "mean", "std", "min", "p25", "median", "p75", "max")
 
 
 def long_values(facts: DataFrame, columns: dict[str, Column], name: str, value: str = "value") -> DataFrame:

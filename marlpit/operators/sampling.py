@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.operators.dataset import id_index
+from marlpit.operators.selection import with_quantiles
 from marlpit.sources.durable import cut
 
 RATIO = 4
@@ -115,13 +116,14 @@ def sampling_stats(samples: DataFrame, items: int, ratio: int = RATIO) -> DataFr
 
 
 def hardness(samples: DataFrame, item_counts: DataFrame) -> DataFrame:
-    """Popularity and exposure of sampled items by source and over all, in one pass of grouping sets."""
+    """Popularity and exposure of sampled items by source and over all."""
     held = samples.join(item_counts.withColumnRenamed("item_id", "sampled"), "sampled")
-    out = held.rollup("source").agg(
-        F.count("*").alias("n"), F.avg("carts").alias("mean_cart"), F.expr("percentile(carts, 0.5)").alias("median_cart"), F.stddev_pop("carts").alias("std_cart"),
-        F.avg("exposures").alias("mean_exposure"), F.expr("percentile(exposures, 0.5)").alias("median_exposure"), F.stddev_pop("exposures").alias("std_exposure"),
+    both = cut(held.select(F.explode(F.array("source", F.lit("all"))).alias("source"), "carts", "exposures"))
+    out = both.groupBy("source").agg(
+        F.count("*").alias("n"), F.avg("carts").alias("mean_cart"), F.stddev_pop("carts").alias("std_cart"), F.avg("exposures").alias("mean_exposure"), F.stddev_pop("exposures").alias("std_exposure"),
     )
-    return out.withColumn("source", F.coalesce("source", F.lit("all")))
+    out = with_quantiles(out, both, "carts", {"median_cart": 0.5}, "source")
+    return with_quantiles(out, both, "exposures", {"median_exposure": 0.5}, "source")
 
 
 def bce_examples(positives: DataFrame, samples: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.operators.dataset import placed, running
+from marlpit.operators.dataset import running
 from marlpit.operators.sampling import gini
+from marlpit.operators.selection import select, with_quantiles
+from marlpit.sources.durable import cut
 
 ENGAGEMENTS = ("favorite", "add_to_cart", "purchase")
 
@@ -115,9 +117,10 @@ def view_rates(events: DataFrame, *keys: str) -> DataFrame:
 
 def concentration(events: DataFrame, items: int) -> DataFrame:
     """Gini over items that occur, the ten largest items' share, items without any, smallest, median and largest count."""
-    per = events.groupBy("item_id").agg(F.count("*").alias("c"))
+    per = cut(events.groupBy("item_id").agg(F.count("*").alias("c")))
     top = per.orderBy(F.col("c").desc()).limit(10).agg(F.sum("c").alias("top"))
-    held = per.agg(F.count("*").alias("n"), F.sum("c").alias("total"), F.min("c").alias("minimum"), F.expr("percentile(c, 0.5)").alias("median"), F.max("c").alias("maximum"))
+    held = per.agg(F.count("*").alias("n"), F.sum("c").alias("total"), F.min("c").alias("minimum"), F.max("c").alias("maximum"))
+    held = with_quantiles(held, per, "c", {"median": 0.5})
     return held.crossJoin(gini(per, "c")).crossJoin(top).select(  # one row each
         F.when(F.col("n") > 0, F.col("gini")).alias("gini"), F.try_divide("top", "total").alias("top10_share"), (items - F.col("n")).alias("zero_items"), "minimum", "median", "maximum",
     )
@@ -152,6 +155,8 @@ def best_threshold(rows: DataFrame, score: str, label: str) -> DataFrame:
 
 def quartile_thresholds(rows: DataFrame, value: str) -> DataFrame:
     """Order statistics at n // 4 and 3n // 4 of the sorted values, not interpolated."""
-    held, n = placed(rows.select(F.col(value).alias("v")), "v")
-    at = lambda k: F.max(F.when(F.col("place") == k * n // 4, F.col("v")))
-    return held.agg(at(1).alias("low"), at(3).alias("high"))
+    held = cut(rows.select(F.struct(F.lit(0).alias("all")).alias("key"), F.col(value).alias("v")).where("v is not null"))
+    wanted = held.groupBy("key").agg(F.count("*").alias("n")).select("key", F.explode(F.array(F.expr("n div 4"), F.expr("3 * n div 4"))).alias("rank"), "n")
+    found = select(held, wanted).join(wanted, ["key", "rank"])
+    at = lambda k: F.max(F.when(F.col("rank") == F.expr(f"{k} * n div 4"), F.col("v")))
+    return found.agg(at(1).alias("low"), at(3).alias("high"))

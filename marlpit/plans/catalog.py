@@ -11,6 +11,7 @@ from marlpit.operators import dataset as D
 from marlpit.operators import ranking as R
 from marlpit.operators import sequences as Q
 from marlpit.operators import vectors as V
+from marlpit.operators.selection import with_quantiles
 from marlpit.plans.dataset import train
 from marlpit.plans.ranking import RANKED, STATS, _STAT, rounded
 from marlpit.plans.registry import query
@@ -160,7 +161,9 @@ def decimal_percentile(s, d):
 
 @query("user_summary", "SELECT c_mktsegment AS segment, count(*) AS users, round(avg(c_acctbal), 6) AS mean_balance, round(stddev_pop(c_acctbal), 6) AS std_balance, round(quantile_cont(c_acctbal, 0.5), 6) AS median_balance FROM customer GROUP BY 1")
 def user_summary(s, d):
-    return A.read(s, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("users"), F.round(F.avg("c_acctbal"), 6).alias("mean_balance"), F.round(F.stddev_pop("c_acctbal"), 6).alias("std_balance"), F.round(F.expr("percentile(c_acctbal, 0.5)"), 6).alias("median_balance"))
+    held = A.read(s, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    stats = held.groupBy("segment").agg(F.count("*").alias("users"), F.avg("c_acctbal").alias("mean_balance"), F.stddev_pop("c_acctbal").alias("std_balance"))
+    return rounded(with_quantiles(stats, held, "c_acctbal", {"median_balance": 0.5}, "segment"), "mean_balance", "std_balance", "median_balance", places=6)
 
 
 @query("affordability", "SELECT c_custkey AS user_id, count(p_partkey) AS affordable, round(count(p_partkey) / (SELECT count(*) FROM part), 8) AS share FROM customer LEFT JOIN part ON p_retailprice <= c_acctbal GROUP BY 1")
@@ -299,7 +302,7 @@ def score_decomposition(s, d):
 
 @query("zscore_safe", "SELECT p_partkey AS product_id, round(coalesce((p_size - avg(p_size) OVER w) / nullif(stddev_pop(p_size) OVER w, 0), 0), 6) AS z FROM part WINDOW w AS (PARTITION BY p_brand)")
 def zscore_safe(s, d):
-    return A.catalog(s, d).select("product_id", F.round(S.zscore(F.col("size"), "brand"), 6).alias("z"))
+    return C.standardized(A.catalog(s, d).select("product_id", "brand", "size"), "size", "z", "brand").select("product_id", F.round("z", 6).alias("z"))
 
 
 @query("math_signals", "SELECT event_id, round(ln(1 + value), 6) AS log1p, round(log10(1 + value), 6) AS log10, round(ln(2 + value) / ln(2), 6) AS log2, round(1 / (1 + exp(-(value - 50) / 10)), 6) AS logistic, round(sqrt(value), 6) AS sqrt, CAST(ceil(value) AS BIGINT) AS ceil, CAST(floor(value) AS BIGINT) AS floor FROM events WHERE value >= 0")
