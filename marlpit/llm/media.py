@@ -168,6 +168,7 @@ class Blob(bytes):
     def __init__(self, *_: object):
         self.found: dict[bytes, list[int]] = {}
         self.archives: dict[int, int] | None = None
+        self.chains: dict[int, int | None] = {}
 
     def where(self, mark: bytes) -> list[int]:
         if mark not in self.found:
@@ -203,15 +204,24 @@ def _zip(b: Blob, at: int) -> int | None:
     return b.archives.get(at)
 
 
-def _ogg(b: bytes, at: int) -> int | None:
-    pos, last = at, 0
+def _ogg(b: Blob, at: int) -> int | None:
+    """Pages up to where they stop, the last of them an end page. A page's end of stream holds for all pages of its chain, so it is kept."""
+    chain, pos, last, end = [], at, 0, None
     while b[pos : pos + 4] == b"OggS" and len(b) >= pos + 27 and b[pos + 4] == 0:
+        if pos in b.chains:
+            end = b.chains[pos]
+            break
+        chain.append(pos)
         n = b[pos + 26]
         body = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
         if body > len(b):
-            return None
+            last = 0
+            break
         last, pos = b[pos + 5] & 4, body
-    return pos if last else None
+    else:
+        end = pos if last else None
+    b.chains.update(dict.fromkeys(chain, end))
+    return end
 
 
 def _flac(b: bytes, at: int) -> int | None:

@@ -199,8 +199,9 @@ def fit(labelled: DataFrame, max_fit_rows: int = 4096, max_false_reject: float =
 
 
 def labelled_stats(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics with their label; ids that are null or without a label go, an id's repeated labels count once."""
-    once = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
+    """Statistics with their label; ids that are null or without a label go, an id's repeated labels count once,
+    and an id with both labels counts as bad."""
+    once = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     return stats.select("doc_id", "features", "base_failed").join(once, "doc_id")
 
 
@@ -210,7 +211,11 @@ def judge(stats: DataFrame, model: Forest) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are kept, with the same columns; labels are looked up by id."""
+    """The rows of ``docs`` that are kept, with the same columns whatever their names; labels are looked up by id.
+
+    A null text has no words, so it goes; rows that repeat are judged each; an empty table stays empty; without labelled rows
+    the fixed rules decide alone.
+    """
     known = labels.select(F.col("doc_id").alias("l")).dropDuplicates()
     stats = rule_stats(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(known, F.col("doc_id") == F.col("l"), "left_semi"))
     model = fit(cut(labelled_stats(stats, labels)))

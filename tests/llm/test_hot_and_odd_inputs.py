@@ -132,3 +132,29 @@ def test_crowded_keys_are_split(spark):
         assert all(near(r["a"], r["b"]) for r in edges.collect())
         got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
         assert {x: got.get(x, x) for x in fps} == want
+
+
+def test_an_id_with_both_labels_counts_as_bad_in_any_order(spark):
+    from marlpit.llm import quality
+
+    stats = spark.createDataFrame([(i, [float(i)], False) for i in range(40)], "doc_id long, features array<double>, base_failed boolean")
+    pairs = [(i, q) for i in range(40) for q in (0, 1)] + [(None, 1), (3, None)]
+    for rows in (pairs, pairs[::-1]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int").repartition(3)
+        got = quality.labelled_stats(stats, labels).select("doc_id", "quality").collect()
+        assert len(got) == 40 and {r.quality for r in got} == {0}
+
+
+def test_long_chains_of_pages_are_walked_once():
+    import time
+
+    from marlpit.llm import media
+
+    page = b"OggS\0\0" + b"\0" * 20 + b"\1\1x"
+    end = b"OggS\0\4" + b"\0" * 20 + b"\1\1x"
+    began = time.process_time()
+    blob = media.Blob(page * 20_000)
+    assert {media._ogg(blob, i * len(page)) for i in range(20_000)} == {None}
+    assert time.process_time() - began < 2
+    blob = media.Blob(b"ab" + page * 3 + end + b"tail")
+    assert [media._ogg(blob, 2 + i * len(page)) for i in range(4)] == [2 + 4 * len(page)] * 4 and media._ogg(media.Blob(page + end[:-1]), 0) is None
