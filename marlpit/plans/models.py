@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ from marlpit.plans.registry import query
 from marlpit.plans.sequences import SESS, samples, sessionized
 from marlpit.sources import adapter as A
 from marlpit.sources.adapter import SQL_WORLD as W
-from marlpit.sources.durable import cut
+from marlpit.sources.durable import cut, folder
+from marlpit.sources.snapshots import SnapshotTable
 from marlpit.streaming import incremental as T
 
 _PAIR = _MODEL + """, pp AS (SELECT t.user_id, t.item_id, (t.item_id + 1) % 100 AS other, 1 + ln(1 + t.purchase_count) AS conf FROM train t WHERE purchase_count > 0),
@@ -202,6 +205,16 @@ def stream_facts(s, d):
     return T.with_session_zone(s, lambda: T.materialized(T.drain(T.facts(T.read_events(s, d)), "update", ["user_id", "item_id"]).select("user_id", "item_id", "view_count", "purchase_count", _text("first_interaction_at"))))
 
 
+@query("stream_upsert", W + " SELECT user_id, item_id, count(*) FILTER (event_type = 'view') AS view_count, count(*) FILTER (event_type = 'purchase') AS purchase_count FROM ev GROUP BY 1, 2")
+def stream_upsert(s, d):
+    """Facts that a stream keeps up to date in a snapshot table, as the table says after the last batch."""
+    path = f"{folder(s)}/facts-{uuid4().hex}"
+    table = SnapshotTable(s, f"{path}/table", ["user_id", "item_id"], buckets=16)
+    kept = T.facts(T.read_events(s, d)).select("user_id", "item_id", "view_count", "purchase_count")
+    T.with_session_zone(s, lambda: T.drain_into(kept, table, f"{path}/state"))
+    return table.read()
+
+
 @query("stream_dedup", W + " SELECT event_id, user_id, item_id, event_type FROM ev")
 def stream_dedup(s, d):
     twice = lambda: T.read_events(s, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")

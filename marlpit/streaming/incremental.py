@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from marlpit.operators.dataset import interaction_facts
 from marlpit.sources.adapter import EVENT_TYPES
 from marlpit.sources.durable import folder
+from marlpit.sources.snapshots import SnapshotTable
 
 RAW = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -114,6 +115,16 @@ def drain(stream: DataFrame, mode: str, key: list[str] | None = None, largest: s
     return rows.drop("batch")
 
 
+def drain_into(stream: DataFrame, table: SnapshotTable, checkpoint: str, mode: str = "update") -> None:
+    """Upsert each batch of an update-mode stream into a snapshot table. A batch is known by its number, so one that is
+    repeated after a failure changes nothing, and readers see whole batches only."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, f"{checkpoint}#{number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
 def stored(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marlpit.operators import sampling, sequences, vectors
 from marlpit.plans import registry
+from marlpit.sources.snapshots import SnapshotTable
 from marlpit.streaming import incremental as T
 
 DAY = dt.datetime(2024, 1, 1)
@@ -57,6 +58,22 @@ def test_late_rows_are_kept_apart_and_all_reports_are_added_up(spark, tmp_path):
     assert T.with_settings(spark, settings, lambda: T.late_rows(T.tumbling(stream()))) == 4
 
 
+def test_facts_in_a_snapshot_table_follow_the_stream_and_survive_a_repeat(spark, tmp_path):
+    batches = [[(1, 0, 1, "view", 5), (2, 0, 2, "view", 5)], [(3, 1, 1, "view", 5), (4, 1, 1, "purchase", 5)], [(5, 1, 3, "purchase", 6)]]
+    where = files(spark, str(tmp_path), batches)
+    table = SnapshotTable(spark, str(tmp_path / "table"), ["user_id", "item_id"], buckets=4)
+    kept = lambda: T.facts(T.read_events(spark, where, "*.parquet", files=1)).select("user_id", "item_id", "view_count", "purchase_count")
+    T.with_session_zone(spark, lambda: T.drain_into(kept(), table, str(tmp_path / "state")))
+    want = {(1, 5): (2, 1), (2, 5): (1, 0), (3, 6): (0, 1)}
+    assert {(r.user_id, r.item_id): (r.view_count, r.purchase_count) for r in table.read().collect()} == want
+    number = table.latest().number
+    last = max(int(x) for x in os.listdir(tmp_path / "state" / "commits") if x.isdigit())
+    for name in (f"{last}", f".{last}.crc"):  # as if the driver was lost after the upsert
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    T.with_session_zone(spark, lambda: T.drain_into(kept(), table, str(tmp_path / "state")))
+    assert table.latest().number == number
+
+
 def test_a_stream_without_files_is_an_empty_table(spark, tmp_path):
     (tmp_path / "none").mkdir()
     held = T.drain(T.tumbling(T.read_events(spark, str(tmp_path / "none"))), "complete")
