@@ -120,7 +120,12 @@ def drain_into(stream: DataFrame, table: SnapshotTable, checkpoint: str, mode: s
     repeated after a failure changes nothing, and readers see whole batches only."""
 
     def write(batch: DataFrame, number: int) -> None:
-        table.upsert(batch, f"{checkpoint}#{number}")
+        batch.persist()  # an upsert reads it more than once, and its state must be computed once
+        try:
+            if not table.upsert(batch, f"{checkpoint}#{number}"):
+                batch.write.format("noop").mode("overwrite").save()  # a repeated batch is still due to the state store
+        finally:
+            batch.unpersist()
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
