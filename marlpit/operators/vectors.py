@@ -42,7 +42,7 @@ def _numbers(row: pa.RecordBatch, column: str) -> np.ndarray:
     return row.column(column).flatten().to_numpy(zero_copy_only=False)
 
 
-def _best(s: np.ndarray, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def best(s: np.ndarray, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Places (row, column) of each row's ``keep`` largest scores, the first of equal ones first; all without it."""
     if keep is None:
         return tuple(x.ravel() for x in np.indices(s.shape))
@@ -68,7 +68,7 @@ def score_blocks(left: DataFrame, right: DataFrame, k: int | None, left_id: str,
             if skip_same:
                 s[np.array(ls.to_pylist(), object)[:, None] == np.array(rs.to_pylist(), object)[None, :]] = -np.inf
             keep = None if k is None else k + (_numbers(row, f"l_{more}").astype(np.int64) if more else np.zeros(len(ls), np.int64))
-            i, j = _best(s, keep)
+            i, j = best(s, keep)
             score = s[i, j]
             real = np.flatnonzero(np.isfinite(score))
             yield pa.RecordBatch.from_arrays([ls.take(pa.array(i[real])), rs.take(pa.array(j[real])), pa.array(score[real])], names=["l", "r", "score"])
@@ -168,7 +168,7 @@ def hybrid(users: DataFrame, items: DataFrame, alphas: Sequence[float], k: int |
             keep = None if k is None else k + (_numbers(row, f"l_{more}").astype(np.int64) if more else np.zeros(len(ls), np.int64))
             for alpha in alphas:
                 blend = np.round(alpha * m + (1 - alpha) * c, 9)
-                i, j = _best(blend, keep)
+                i, j = best(blend, keep)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), alpha)), ls.take(pa.array(i)), rs.take(pa.array(j)), pa.array(blend[i, j])], names=["alpha", "user_id", "item_id", "score"])
 
     return left.crossJoin(right).mapInArrow(run, f"alpha double, user_id {kinds[0]}, item_id {kinds[1]}, score double")

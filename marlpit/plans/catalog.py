@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from marlpit.functions import scalar as S
 from marlpit.operators import catalog as C
 from marlpit.operators import dataset as D
+from marlpit.operators import nearest as N
 from marlpit.operators import ranking as R
 from marlpit.operators import sequences as Q
 from marlpit.operators import vectors as V
 from marlpit.operators.selection import with_quantiles
 from marlpit.plans.dataset import train
 from marlpit.plans.ranking import RANKED, STATS, _STAT, rounded
-from marlpit.plans.registry import query
+from marlpit.plans.registry import oracle_of, query
 from marlpit.sources import adapter as A
 from marlpit.sources.adapter import SQL_WORLD as W
 from marlpit.sources.durable import cut
@@ -204,6 +205,17 @@ def neighbors(held):
     return rounded(V.score_blocks(held, held.withColumnRenamed("vec_id", "neighbor"), 5, "vec_id", "neighbor", metric="cosine", skip_same=True), "score", places=6)
 
 
+def neighbor_index(s, d):
+    held = vectors(s, d)
+    return N.search(held, held.withColumnRenamed("vec_id", "neighbor"), 5, "vec_id", "neighbor", metric="cosine", skip_same=True)
+
+
+@query("neighbor_search", oracle_of("nearest_neighbors"))
+def neighbor_search(s, d):
+    """Five nearest by cosine, found through lists around centroids; exact."""
+    return rounded(neighbor_index(s, d).rows, "score", places=6)
+
+
 _CENT = f"{_VEC}, x AS (SELECT label, generate_subscripts(vec, 1) AS i, unnest(vec) AS e FROM v), m AS (SELECT label, i, avg(e) AS e FROM x GROUP BY 1, 2), c AS (SELECT label, list(e ORDER BY i) AS centroid FROM m GROUP BY 1)"
 
 
@@ -250,6 +262,27 @@ def topk_scored(s, d):
     return R.top_k_scored(scores.join(seen, ["user_id", "item_id"], "left_anti"), 10).select("user_id", "item_id", "position")
 
 
+def item_index(s, d):
+    u, i = model(s, d)
+    seen = D.train_seen(train(s, d), "purchase")
+    return N.search(R.with_seen_count(u, seen), i.where("status = 'available'").select("item_id", "vec"), 10, "user_id", "item_id", more="n_seen"), seen
+
+
+@query("topk_search", oracle_of("topk_scored"))
+def topk_search(s, d):
+    """Ten best unseen items by inner product, with cells of items left out by norm and angle; exact."""
+    found, seen = item_index(s, d)
+    return R.top_k_scored(found.rows.join(seen, ["user_id", "item_id"], "left_anti"), 10).select("user_id", "item_id", "position")
+
+
+@query("search_work")
+def search_work(s, d):
+    """What the bounds of both searches skip: pairs of cells that met, pairs of rows met in part and computed in full."""
+    both = {"neighbors": neighbor_index(s, d), "items": item_index(s, d)[0]}
+    parts = [found.work.withColumn("search", F.lit(name)) for name, found in both.items()]
+    return parts[0].unionByName(parts[1])
+
+
 ALPHAS = (0.0, 0.25, 0.5, 0.75, 1.0)
 _HYBRID = _SCORED + """, z AS (SELECT user_id, item_id, coalesce((mf - avg(mf) OVER w) / nullif(stddev_pop(mf) OVER w, 0), 0) AS m, coalesce((cart - avg(cart) OVER w) / nullif(stddev_pop(cart) OVER w, 0), 0) AS c FROM sx WINDOW w AS (PARTITION BY user_id)),
  hy AS MATERIALIZED (SELECT alpha, user_id, item_id, round(alpha * m + (1 - alpha) * c, 9) AS score FROM z CROSS JOIN (VALUES (CAST(0.0 AS DOUBLE)), (0.25), (0.5), (0.75), (1.0)) t(alpha)),
