@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.operators.dataset import running
 from marlpit.operators.sampling import gini
+from marlpit.operators.scans import MOST, largest, last, scan, total
 from marlpit.operators.selection import select, with_quantiles
 from marlpit.sources.durable import cut
 
@@ -17,12 +18,12 @@ def kind(*names: str) -> Column:
     return F.col("event_type").isin(*names)
 
 
-def sessionize(events: DataFrame, gap_minutes: int = 24 * 60) -> DataFrame:
-    """``events`` with the ordinal of the user's session: a new one starts after a gap."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts") > F.lag("ts").over(order) + F.expr(f"INTERVAL {gap_minutes} MINUTES")
-    new = F.when(F.lag("ts").over(order).isNull() | gap, 1).otherwise(0)
-    return events.withColumn("new", new).withColumn("session", F.sum("new").over(order)).drop("new")
+def sessionize(events: DataFrame, gap_minutes: int = 24 * 60, most: int = MOST) -> DataFrame:
+    """``events`` with the ordinal of the user's session: a new one starts after a gap. Users of more than ``most`` events are scanned in ranges."""
+    held = scan(events, ["user_id"], ["ts", "event_id"], most).fold(before=last(F.struct("ts")))
+    gap = F.col("ts") > F.col("before.ts") + F.expr(f"INTERVAL {gap_minutes} MINUTES")
+    new = F.when(F.col("before.ts").isNull() | gap, 1).otherwise(0)
+    return held.add(new=new).fold(session=total(F.col("new"), itself=True)).rows().drop("new", "before")
 
 
 def sessions(events: DataFrame) -> DataFrame:
@@ -31,36 +32,34 @@ def sessions(events: DataFrame) -> DataFrame:
     return held.withColumn("duration_seconds", F.timestamp_diff("SECOND", F.col("started_at"), F.col("ended_at")))
 
 
-def running_view_count(events: DataFrame) -> DataFrame:
-    order = Window.partitionBy("user_id", "item_id").orderBy("ts", "event_id")
-    return events.where(kind("view")).select("event_id", "user_id", "item_id", F.row_number().over(order).alias("view_count"))
+def running_view_count(events: DataFrame, most: int = MOST) -> DataFrame:
+    held = scan(events.where(kind("view")), ["user_id", "item_id"], ["ts", "event_id"], most).fold(views=total(F.lit(1), itself=True)).rows()
+    return held.select("event_id", "user_id", "item_id", F.col("views").cast("int").alias("view_count"))
 
 
-def prior_state_flags(events: DataFrame) -> DataFrame:
+def prior_state_flags(events: DataFrame, most: int = MOST) -> DataFrame:
     """Whether the pair had a favorite or a cart before each engagement."""
-    before = Window.partitionBy("user_id", "item_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    had = lambda name: F.coalesce(F.max(kind(name).cast("int")).over(before), F.lit(0))
-    held = events.withColumns({"had_favorite": had("favorite"), "had_cart": had("add_to_cart"), "views_before": F.count_if(kind("view")).over(before)})
-    return held.where(kind(*ENGAGEMENTS))
+    had = lambda name: largest(kind(name).cast("int"))
+    held = scan(events, ["user_id", "item_id"], ["ts", "event_id"], most).fold(had_favorite=had("favorite"), had_cart=had("add_to_cart"), views_before=total(kind("view").cast("int")))
+    return held.rows().where(kind(*ENGAGEMENTS)).withColumns({n: F.coalesce(n, F.lit(0)) for n in ("had_favorite", "had_cart")})
 
 
-def not_increasing(events: DataFrame) -> DataFrame:
+def not_increasing(events: DataFrame, most: int = MOST) -> DataFrame:
     """Events of a session whose time isn't after the one before."""
-    order = Window.partitionBy("user_id", "session").orderBy("ts", "event_id")
-    return events.withColumn("before", F.lag("ts").over(order)).where("ts <= before")
+    held = scan(events, ["user_id", "session"], ["ts", "event_id"], most).fold(before=last(F.struct("ts"))).rows()
+    return held.withColumn("before", F.col("before.ts")).where("ts <= before")
 
 
-def views_without_impression(events: DataFrame) -> DataFrame:
+def views_without_impression(events: DataFrame, most: int = MOST) -> DataFrame:
     """Views whose item was not shown before in the same session."""
-    upto = Window.partitionBy("user_id", "session", "item_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("shown", F.max(kind("impression").cast("int")).over(upto)).where(kind("view") & (F.col("shown") == 0))
+    shown = largest(kind("impression").cast("int"), itself=True)
+    return scan(events, ["user_id", "session", "item_id"], ["ts", "event_id"], most).fold(shown=shown).rows().where(kind("view") & (F.col("shown") == 0))
 
 
-def continuity(events: DataFrame, category: str = "category") -> DataFrame:
+def continuity(events: DataFrame, category: str = "category", most: int = MOST) -> DataFrame:
     """Impressions after a view of the session, and the share that shows the last viewed category."""
-    before = Window.partitionBy("user_id", "session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(kind("view"), F.col(category)), ignorenulls=True).over(before)
-    held = events.where(kind("impression", "view")).withColumn("last", last).where(kind("impression") & F.col("last").isNotNull())
+    held = scan(events, ["user_id", "session"], ["ts", "event_id"], most).fold(last=last(F.when(kind("view"), F.col(category)))).rows()
+    held = held.where(kind("impression") & F.col("last").isNotNull())
     return held.agg(F.count("*").alias("eligible"), F.avg((F.col(category) == F.col("last")).cast("double")).alias("same_share"))
 
 
@@ -75,12 +74,12 @@ def future_sessions(views: DataFrame, starts: DataFrame, days: int = 7) -> DataF
     return met.where(near).groupBy("v.event_id").agg(F.count("*").alias("future_sessions"), F.min("s.session").alias("next_session"))
 
 
-def source_views(events: DataFrame) -> DataFrame:
-    """As-of form: the last strictly earlier view of the pair for each engagement, in one window pass."""
-    # peers at the same time are no earlier views, so the frame ends before the current time
-    order = Window.partitionBy("user_id", "item_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(kind("view"), F.struct("ts", "event_id"))).over(order)
-    return events.withColumn("v", last).where(kind(*ENGAGEMENTS)).select("event_id", "event_type", "user_id", "item_id", F.col("v.event_id").alias("source_view"))
+def source_views(events: DataFrame, most: int = MOST) -> DataFrame:
+    """As-of form: the last strictly earlier view of the pair for each engagement, in one scan."""
+    # at one time views come last, so what is before an engagement is earlier
+    held = scan(events.withColumn("is_view", kind("view").cast("int")), ["user_id", "item_id"], ["ts", "is_view", "event_id"], most)
+    held = held.fold(v=last(F.when(kind("view"), F.col("event_id")))).rows()
+    return held.where(kind(*ENGAGEMENTS)).select("event_id", "event_type", "user_id", "item_id", F.col("v").alias("source_view"))
 
 
 def funnel(events: DataFrame) -> DataFrame:
