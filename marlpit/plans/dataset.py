@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlpit.operators import dataset as D
+from marlpit.operators import sketches as K
 from marlpit.plans.registry import query
 from marlpit.sources import adapter as A
 from marlpit.sources.adapter import SQL_WORLD as W
@@ -184,3 +185,28 @@ def manifest_counts(s, d):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@query("distinct_weeks", W + """ SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type, count(*) AS events, count(DISTINCT user_id) AS users, count(DISTINCT (user_id, item_id)) AS pairs, true AS users_fit, true AS pairs_fit FROM ev GROUP BY 1, 2""")
+def distinct_weeks(s, d):
+    """Distinct users and pairs of a week by kind, and whether sketches kept by day and merged by week agree within their bound."""
+    events = A.events(s, d)
+    week = lambda c: F.date_format(F.date_trunc("week", c), "yyyy-MM-dd").alias("week")
+    exact = events.groupBy(week("ts"), "event_type").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.countDistinct("user_id", "item_id").alias("pairs"))
+    told = K.estimates(K.merged(K.daily(events, "event_type"), week("day"), "event_type")).select("week", "event_type", F.col("users").alias("u"), F.col("pairs").alias("p"))
+    return exact.join(told, ["week", "event_type"]).select(*exact.columns, K.fits(F.col("u"), F.col("users")).alias("users_fit"), K.fits(F.col("p"), F.col("pairs")).alias("pairs_fit"))
+
+
+@query("fresh_pairs", W + """, f AS (SELECT user_id, item_id, min(CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END) AS first FROM ev WHERE split IS NOT NULL GROUP BY 1, 2)
+ SELECT CASE first WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split, count(*) AS pairs, true AS fit FROM f GROUP BY 1""")
+def fresh_pairs(s, d):
+    """Pairs that a split is the first to have, and whether differences of merged sketches agree within their bound."""
+    events = D.with_split(A.events(s, d)).where("split is not null")
+    names = [n for n, *_ in A.SPLITS]
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("split")) - 1
+    first = events.groupBy("user_id", "item_id").agg(F.min(number).alias("i")).groupBy("i").agg(F.count("*").alias("pairs"))
+    upto = K.merged(K.daily(events, "split"), number.alias("i")).select("i", "pairs")
+    spans = upto.select(F.explode(F.sequence(F.col("i").cast("int"), F.lit(len(names) - 1))).alias("to"), "i", "pairs")
+    sums = spans.groupBy("to").agg(F.theta_union_agg("pairs", F.lit(K.LOG_K)).alias("all"), F.theta_union_agg(F.when(F.col("i") < F.col("to"), F.col("pairs")), F.lit(K.LOG_K)).alias("before"))
+    told = sums.select(F.col("to").cast("long").alias("i"), K.beyond(F.col("all"), F.col("before")).alias("new"), F.theta_sketch_estimate("all").alias("union"))
+    return first.join(told, "i").select(F.array(*map(F.lit, names))[F.col("i").cast("int")].alias("split"), "pairs", K.fits(F.col("new"), F.col("pairs"), F.col("union")).alias("fit"))

@@ -4,26 +4,52 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+def _digest(df: DataFrame) -> Column:
+    """A sum of row digests, which doesn't depend on the order of rows or files."""
+    return F.sum(F.conv(F.substring(F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))), 256), 1, 15), 16, 10).cast("decimal(38,0)"))
+
+
 def write_dataset(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet", policies: dict | None = None) -> dict:
-    """Write each table and a manifest with its rows, bytes and a digest that doesn't depend on the order of rows or files."""
+    """Write each table and a manifest with its rows, bytes and a digest that doesn't depend on the order of rows or files.
+
+    Rows and digest are observed while the rows are written, so a table is computed once and not read back; ``check_dataset``
+    reads it when its files are in doubt. CSV files hold text, so their digest is that of the rows as text.
+    """
     spark = next(iter(tables.values())).sparkSession
     manifest: dict = {"policies": policies or {}, "artifacts": {}}
     for name, df in tables.items():
         path = f"{folder}/{name}"
-        writer = df.write.mode("overwrite")
+        ready = csv_ready(df) if fmt == "csv" else df
+        ready = ready.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in ready.columns)) if fmt == "csv" else ready
+        seen = Observation()
+        writer = ready.observe(seen, F.count("*").alias("rows"), _digest(ready).alias("digest")).write.mode("overwrite")
         (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
-        back = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
-        digest = F.sum(F.conv(F.substring(F.sha2(F.to_json(F.struct(*back.columns)), 256), 1, 15), 16, 10).cast("decimal(38,0)"))
-        rows, total = back.agg(F.count("*"), digest).first()
-        manifest["artifacts"][name] = {"rows": rows, "digest": str(total or 0), "bytes": folder_bytes(spark, path)}
+        manifest["artifacts"][name] = {"rows": seen.get.get("rows") or 0, "digest": str(seen.get.get("digest") or 0), "bytes": folder_bytes(spark, path), "format": fmt}
     write_json(spark, manifest, f"{folder}/manifest.json")
     return manifest
 
 
+def check_dataset(spark: SparkSession, folder: str) -> dict[str, bool]:
+    """Whether the files of each table still hold the rows of the manifest; a table without files doesn't."""
+    told = {}
+    for name, entry in read_json(spark, f"{folder}/manifest.json")["artifacts"].items():
+        if "digest" not in entry:
+            continue
+        try:
+            back = spark.read.option("header", True).csv(f"{folder}/{name}") if entry["format"] == "csv" else spark.read.format(entry["format"]).load(f"{folder}/{name}")
+        except AnalysisException:  # no folder, or no file that has a schema
+            told[name] = entry["rows"] == 0 and entry["bytes"] == folder_bytes(spark, f"{folder}/{name}")
+            continue
+        rows, digest = back.agg(F.count("*"), _digest(back)).first()
+        told[name] = (rows, str(digest or 0)) == (entry["rows"], entry["digest"])
+    return told
+
+
 def folder_bytes(spark: SparkSession, path: str) -> int:
     """Bytes under a path of any store that Spark reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -43,8 +69,7 @@ def write_json(spark: SparkSession, value: dict, path: str) -> None:
 def write_package(tables: dict[str, DataFrame], documents: dict[str, dict], folder: str, source_manifest: str | None = None) -> dict:
     """An experiment's package: CSV tables, JSON documents and a manifest of all of them, which names the data set it rests on by digest."""
     spark = next(iter(tables.values())).sparkSession
-    ready = {name: csv_ready(df) for name, df in tables.items()}
-    manifest = write_dataset(ready, folder, "csv", {"source": read_json(spark, source_manifest)["artifacts"] if source_manifest else None})
+    manifest = write_dataset(tables, folder, "csv", {"source": read_json(spark, source_manifest)["artifacts"] if source_manifest else None})
     for name, value in documents.items():
         write_json(spark, value, f"{folder}/{name}.json")
         manifest["artifacts"][f"{name}.json"] = {"bytes": folder_bytes(spark, f"{folder}/{name}.json")}
