@@ -62,8 +62,9 @@ def test_a_table_is_computed_once_and_its_manifest_holds(spark, tmp_path):
             reads.add(b.num_rows)
             yield b
 
-    df = spark.range(1000).select("id", (F.col("id") % 7 == 0).alias("flag"), F.when(F.col("id") % 3 > 0, F.concat(F.lit('a "b",\n'), F.col("id"))).alias("text"), F.lit("").alias("a.b"))
-    once = df.repartition(3).mapInArrow(seen, df.schema)
+    df = spark.range(1000).select("id", (F.col("id") % 7 == 0).alias("flag"), F.when(F.col("id") % 3 > 0, F.concat(F.lit('a "b",\n'), F.col("id"))).alias("text"))
+    once = df.repartition(3).mapInArrow(seen, df.schema).withColumn("a.b", F.lit(""))
+    df = df.withColumn("a.b", F.lit(""))
     made = sinks.write_dataset({"t": once, "none": df.limit(0)}, str(tmp_path / "p"))["artifacts"]
     assert reads.value == 1000 and made["t"]["rows"] == 1000 and made["none"]["rows"] == 0
     same = sinks.write_dataset({"t": df.coalesce(1)}, str(tmp_path / "q"))["artifacts"]["t"]
