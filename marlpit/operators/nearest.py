@@ -31,6 +31,8 @@ SAMPLE, LISTS, CELLS = 4096, 1024, 1 << 16
 #: A left cell's first look covers this many rows, or 8 times what a row keeps.
 FIRST_LOOK = 64
 _SLACK = 1e-8
+#: Numbers of a zone's vectors, which lie in one row.
+ZONE = 1 << 20
 #: Columns of a product and pairs of a batch that a task holds at once.
 CHUNK, PAIRS = 1024, 1 << 18
 _MET = ["l", "r", "score", "part", "full"]
@@ -69,6 +71,13 @@ class Directory:
     near: np.ndarray
     far: np.ndarray
 
+    def zones(self, rows: int) -> np.ndarray:
+        """Zone of each cell: about that many rows of cells of neighbouring lists, which meet a left cell in one step."""
+        order = np.lexsort((self.cell, self.list))
+        out = np.empty(len(order), np.int64)
+        out[order] = (np.cumsum(self.rows[order]) - self.rows[order]) // rows
+        return out
+
     def parts(self) -> Iterator[slice]:
         return (slice(at, at + CHUNK) for at in range(0, len(self.cell), CHUNK))
 
@@ -202,8 +211,9 @@ def search(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: st
     rights = cells.select(F.col("cell").alias("r_cell"), F.col("vec").alias("r_vec"), F.col("id").alias("r_id"))
 
     looks = cut(_looked(lefts, rights, told, frame, k, more, skip_same))
-    pairs = cut(_promising(lefts, looks, told, frame))
-    held = pairs.join(lefts, "l_cell").join(rights, "r_cell").join(looks.select("l_cell", "floor"), "l_cell")
+    zone = told.zones(max(size, ZONE // len(frame.turn)))
+    pairs = cut(_promising(lefts, looks, told, frame, zone))
+    held = pairs.join(lefts, "l_cell").join(looks.select("l_cell", "floor"), "l_cell").join(_zoned(rights, told, zone), "zone")
     met = cut(held.mapInArrow(_meet(told, frame, k, more, skip_same, digits), f"l {kinds[0]}, r {kinds[1]}, score double, part long, full long"))
 
     sums = met.agg(F.count("part").alias("met_cell_pairs"), F.coalesce(F.sum("part"), F.lit(0)).alias("part"), F.coalesce(F.sum("full"), F.lit(0)).alias("full"))
@@ -264,8 +274,16 @@ def _within(norm: np.ndarray, floor: np.ndarray, bound: np.ndarray, most: np.nda
     return bound >= floor[:, None] - room
 
 
-def _promising(lefts: DataFrame, looks: DataFrame, told: Directory, frame: Frame) -> DataFrame:
-    """(l_cell, r_cell) that may hold a row of the result."""
+def _zoned(rights: DataFrame, told: Directory, zone: np.ndarray) -> DataFrame:
+    """(zone, r_cell, r_rows, r_id, r_vec): a row a zone, in which its cells lie one after the other."""
+    spark = rights.sparkSession
+    places = spark.createDataFrame(pa.table({"r_cell": told.cell, "zone": zone}))  # bounded as the directory is
+    held = rights.join(F.broadcast(places), "r_cell").groupBy("zone").agg(F.collect_list(F.struct("r_cell", "r_id", "r_vec")).alias("x"))
+    return held.select("zone", F.col("x.r_cell").alias("r_cell"), F.transform("x", lambda c: F.size(c["r_id"])).alias("r_rows"), F.flatten("x.r_id").alias("r_id"), F.flatten("x.r_vec").alias("r_vec"))
+
+
+def _promising(lefts: DataFrame, looks: DataFrame, told: Directory, frame: Frame, zone: np.ndarray) -> DataFrame:
+    """(l_cell, zone, hits): the zone's cells that may hold a row of the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for get in _each(batches):
@@ -273,25 +291,33 @@ def _promising(lefts: DataFrame, looks: DataFrame, told: Directory, frame: Frame
             x = _matrix_of(get("l_vec"), len(floor))
             norm = np.linalg.norm(x, axis=1)
             angles = _angles(x, norm, frame.centers)
-            for part in told.parts():
-                hit = told.cell[part][_within(norm, floor, told.bounds(norm, angles, part), told.most[part]).any(axis=0)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), get("l_cell"))), pa.array(hit)], names=["l_cell", "r_cell"])
+            hit = np.concatenate([_within(norm, floor, told.bounds(norm, angles, part), told.most[part]).any(axis=0) for part in told.parts()])
+            zones = np.unique(zone[hit])
+            hits = [told.cell[hit & (zone == z)].tolist() for z in zones]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(zones), get("l_cell"))), pa.array(zones), pa.array(hits, pa.list_(pa.int64()))], names=["l_cell", "zone", "hits"])
 
-    return lefts.join(looks, "l_cell").mapInArrow(run, "l_cell long, r_cell long")
+    return lefts.join(looks, "l_cell").mapInArrow(run, "l_cell long, zone long, hits array<long>")
 
 
 def _meet(told: Directory, frame: Frame, k: int, more: str | None, skip_same: bool, digits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each pair of cells the best rows above the thresholds, and one row that counts its pairs."""
+    """Of each left cell with a zone's cells the best rows above the thresholds, and one row a pair of cells that counts its pairs of rows."""
     spot, head = {int(c): i for i, c in enumerate(told.cell)}, frame.head
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for get in _each(batches):
             ls, rs, floor = get("l_id"), get("r_id"), get("floor").to_numpy()
-            x, y, keep = _matrix_of(get("l_vec"), len(ls)), _matrix_of(get("r_vec"), len(rs)), _keep(get, k, more, len(ls))
-            i = spot[get("r_cell")]
-            at = slice(i, i + 1)
+            x, y = _matrix_of(get("l_vec"), len(ls)), _matrix_of(get("r_vec"), len(rs))
             norm = np.linalg.norm(x, axis=1)
-            alive = np.flatnonzero(_within(norm, floor, told.bounds(norm, _angles(x, norm, frame.centers), at), told.most[at]).ravel())
+            angles, keep, hits = _angles(x, norm, frame.centers), _keep(get, k, more, len(ls)), set(get("hits").to_pylist())
+            ends = np.cumsum(get("r_rows").to_numpy())
+            for cell, end, rows in zip(get("r_cell").to_pylist(), ends, get("r_rows").to_numpy(), strict=True):
+                if cell in hits:
+                    yield cell, ls, rs.slice(end - rows, rows), floor, x, y[end - rows : end], keep, norm, angles
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, ls, rs, floor, x, y, keep, norm, angles in each_pair(batches):
+            at = slice(spot[cell], spot[cell] + 1)
+            alive = np.flatnonzero(_within(norm, floor, told.bounds(norm, angles, at), told.most[at]).ravel())
             order = pc.sort_indices(rs)  # of equal scores the smaller id comes first
             rs, y = rs.take(order), y[order.to_numpy()]
             same = _codes(ls, rs) if skip_same else None
