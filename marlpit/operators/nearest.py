@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.operators.dataset import placed
-from marlpit.operators.vectors import best
 from marlpit.sources.durable import cut
 
 SAMPLE, LISTS, CELLS = 4096, 1024, 1 << 16
@@ -329,15 +328,20 @@ def _meet(told: Directory, frame: Frame, k: int, more: str | None, skip_same: bo
                 able = _within(norm[alive], floor[alive], first + rest, told.most[at])
                 u, v = np.nonzero(able)
                 part, full = part + first.size, full + len(u)
+                score = first[u, v]
                 for lo in range(0, len(u), PAIRS):  # whole scores of what is left
-                    first[u[lo : lo + PAIRS], v[lo : lo + PAIRS]] += np.einsum("ij,ij->i", x[alive[u[lo : lo + PAIRS]], head:], z[v[lo : lo + PAIRS], head:])
-                s = np.where(able, np.round(first, digits), -np.inf)
+                    some = slice(lo, lo + PAIRS)
+                    score[some] += np.einsum("ij,ij->i", x[alive[u[some]], head:], z[v[some], head:])
+                score = np.round(score, digits)
                 if same:
-                    s[same[0][alive][:, None] == same[1][start : start + CHUNK][None, :]] = -np.inf
-                u, v = best(s, keep[alive])
-                u, v = u[real := np.isfinite(s[u, v])], v[real]
+                    other = same[0][alive[u]] != same[1][v + start]
+                    u, v, score = u[other], v[other], score[other]
+                order = np.lexsort((v, -score, u))
+                u, v, score = u[order], v[order], score[order]
+                ahead = np.arange(len(u)) - np.searchsorted(u, u)
+                u, v, score = (c[ahead < keep[alive[u]]] for c in (u, v, score))
                 none = pa.nulls(len(u), pa.int64())
-                yield pa.RecordBatch.from_arrays([ls.take(pa.array(alive[u])), rs.take(pa.array(v + start)), pa.array(s[u, v]), none, none], names=_MET)
+                yield pa.RecordBatch.from_arrays([ls.take(pa.array(alive[u])), rs.take(pa.array(v + start)), pa.array(score), none, none], names=_MET)
             yield pa.RecordBatch.from_arrays([pa.nulls(1, ls.type), pa.nulls(1, rs.type), pa.nulls(1, pa.float64()), pa.array([part]), pa.array([full])], names=_MET)
 
     return run
