@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from marlpit.plans.dataset import train
 from marlpit.plans.ranking import RANKED, STATS, _STAT, rounded
 from marlpit.plans.registry import oracle_of, query
 from marlpit.sources import adapter as A
+from marlpit.sources import relational as T
 from marlpit.sources.adapter import SQL_WORLD as W
-from marlpit.sources.durable import cut
+from marlpit.sources.durable import cut, folder
 
 
 @query("parse_ts", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS utc, false AS naive_accepted FROM events")
@@ -40,8 +43,37 @@ def json_sets_roundtrip(s, d):
 
 @query("catalog_list", "SELECT s_suppkey AS product_id, s_name AS name, n_name AS category, r_name AS parent FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
 def catalog_list(s, d):
-    tree = A.read(s, d, "nation").join(A.read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return A.read(s, d, "supplier").join(tree, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(F.col("s_suppkey").alias("product_id"), F.col("s_name").alias("name"), F.col("n_name").alias("category"), F.col("r_name").alias("parent"))
+    return listed(*(A.read(s, d, t) for t in ("supplier", "nation", "region")))
+
+
+def listed(products, categories, parents):
+    tree = categories.join(parents, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return products.join(tree, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(F.col("s_suppkey").alias("product_id"), F.col("s_name").alias("name"), F.col("n_name").alias("category"), F.col("r_name").alias("parent"))
+
+
+def stored_in(s):
+    return f"{folder(s)}/relational-{uuid4().hex}"
+
+
+@query("catalog_stored", oracle_of("catalog_list"))
+def catalog_stored(s, d):
+    """The catalog list from relational tables that hold categories and products."""
+    at = stored_in(s)
+    for table, key in (("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("region", "r_regionkey")):
+        T.write_table(A.read(s, d, table), at, table, key)
+    return listed(*(T.read_table(s, at, t) for t in ("supplier", "nation", "region")))
+
+
+@query("catalog_seeded", "SELECT p_partkey AS product_id, p_name AS name, p_brand AS brand, CASE WHEN p_size > 25 THEN p_size + 100 ELSE p_size END AS size, CASE WHEN p_size > 10 THEN 'real' ELSE 'speculative' END AS reality_type, CASE WHEN p_size > 10 THEN 'seed_v1' END AS catalog_version FROM part")
+def catalog_seeded(s, d):
+    """A stored catalog of small and middle products gets provenance columns, then middle and large ones are upserted twice."""
+    at, own = stored_in(s), A.catalog(s, d).select("product_id", "name", "brand", F.col("size").cast("int").alias("size"))
+    T.write_table(own.where("size <= 25"), at, "products", "product_id")
+    T.add_columns(at, "products", "reality_type string, catalog_version string", {"reality_type": "speculative"})
+    seeds = own.where("size > 10").withColumns({"size": F.when(F.col("size") > 25, F.col("size") + 100).otherwise(F.col("size")), "reality_type": F.lit("real"), "catalog_version": F.lit("seed_v1")})
+    for _ in range(2):  # the second changes nothing
+        T.upsert(seeds, at, "products")
+    return T.read_table(s, at, "products")
 
 
 @query("catalog_page", "SELECT p_partkey AS product_id, p_name AS name FROM part ORDER BY p_partkey LIMIT 24 OFFSET 48")
