@@ -13,6 +13,13 @@ DATASET = ("master_interactions", "task_states_viewplus", "task_states_favoritep
 #: Export packages: tables and documents of one experiment.
 PACKAGES = {
     "popularity": (("eval_multi_k", "eval_popularity", "representation_stats", "signal_richness", "stability"), ("heavy_user", "signal_overlap", "best_baseline")),
+    "mf_baseline": (("mf_train", "eval_mf", "comparison_table"), ("coverage", "confidence_stats")),
+    "mf_bias": (("mf_bias", "item_train_counts", "comparison_table"), ("coverage",)),
+    "mf_objective": (("mf_objective", "loss_values", "comparison_table"), ("coverage", "sampling_stats")),
+    "mf_sampling": (("mf_sampling", "sampling_stats", "hardness"), ("coverage",)),
+    "mf_latent_dim": (("mf_latent_dim",), ("coverage",)),
+    "mf_representation": (("mf_representation", "representation_stats", "confidence_stats"), ("coverage",)),
+    "mf_signal": (("mf_signal", "cart_signal_states", "signal_alignment"), ("coverage",)),
     "hybrid": (("eval_hybrid", "select_alpha", "score_decomposition", "fallback_groups", "backfill_groups", "history_groups", "popularity_groups", "comparison_table"), ("personalization",)),
 }
 REPORTS = {

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("dataset", "ranking", "sequences", "catalog", "models")
+MODULES = ("dataset", "ranking", "sequences", "catalog", "models", "experiments")
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
