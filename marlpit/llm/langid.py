@@ -30,8 +30,10 @@ _LATIN = re.compile(r"[\x00-ɏ]*")
 _LATIN_WORD = re.compile(r"[^\W\d_²³¹¼½¾]+")
 START, END, UNKNOWN = "\x02", "\x03", "und"
 BUCKETS, CHUNK, SLICE_WORDS, CACHE = 1 << 18, 32, 200_000, 300_000
-#: Rows (language, number) that are broadcast at most; more are joined by shuffle.
-MAX_LANGUAGES = 100_000
+#: Languages that still get all buckets; beyond, every doubling halves them, so that weights stay bounded.
+WIDE_LANGUAGES = 16
+#: Numbers of one block of transition products in training, and of chunk matrices in prediction.
+BLOCK_NUMBERS = 1 << 22
 _TERNARY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,13 +80,14 @@ class Crf:
     weight: np.ndarray  # (BUCKETS + lexicon, languages)
     transition: np.ndarray
     lexicon: np.ndarray  # sorted hashes of known words
+    buckets: int = BUCKETS  # a power of two
 
     def index(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Feature, word and value: a word's features share the weight 1 by their root."""
         found, owner, whole = features(words)
         place = np.searchsorted(self.lexicon, whole)
         known = np.flatnonzero((place < len(self.lexicon)) & (self.lexicon[np.minimum(place, max(0, len(self.lexicon) - 1))] == whole)) if len(self.lexicon) else np.zeros(0, np.int64)
-        found, owner = np.concatenate([found, BUCKETS + place[known]]), np.concatenate([owner, known])
+        found, owner = np.concatenate([found % self.buckets, self.buckets + place[known]]), np.concatenate([owner, known])
         order = np.argsort(owner, kind="stable")
         found, owner = found[order], owner[order]
         return found, owner, (1 / np.sqrt(np.bincount(owner, minlength=len(words))))[owner]
@@ -114,7 +117,8 @@ def train(sequences: list[tuple[list[str], list[str]]], steps: int = 60, rate: f
     vocabulary = vocabulary.tolist()
     counts = np.bincount(ids, minlength=len(vocabulary))
     lexicon = np.unique(features(vocabulary)[2][counts >= min_lexicon])
-    model = Crf(languages, np.zeros((BUCKETS + len(lexicon), k), np.float32), np.zeros((k, k)), lexicon)
+    buckets = BUCKETS >> max(0, (-(-k // WIDE_LANGUAGES) - 1).bit_length())
+    model = Crf(languages, np.zeros((buckets + len(lexicon), k), np.float32), np.zeros((k, k)), lexicon, buckets)
     found, owner, value = model.index(vocabulary)
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     used, found = np.unique(found, return_inverse=True)  # only weights that the sample touches move
@@ -156,13 +160,14 @@ def expectations(e: np.ndarray, transition: np.ndarray, gold: np.ndarray) -> tup
         norm = x.sum(-1, keepdims=True)
         alpha[:, i] = x / norm
         partition += np.log(norm).sum()
-    pairs = np.zeros((k, k))
+    pairs, rows = np.zeros((k, k)), max(1, BLOCK_NUMBERS // (k * k))
     for i in range(length - 2, -1, -1):
         nxt = b[:, i + 1] * beta[:, i + 1]
         x = nxt @ a.T
         beta[:, i] = x / x.sum(-1, keepdims=True)
-        joint = alpha[:, i, :, None] * a * nxt[:, None, :]
-        pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+        for at in range(0, n, rows):
+            joint = alpha[at : at + rows, i, :, None] * a * nxt[at : at + rows, None, :]
+            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
     post = alpha * beta
     post /= post.sum(-1, keepdims=True)
     score = np.take_along_axis(e, gold[:, :, None], 2).sum() + transition[gold[:, :-1], gold[:, 1:]].sum()
@@ -236,12 +241,13 @@ class Tagger:
     def tag(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(place of the text, posteriors of its words) for the texts that have words."""
         at, words, sizes, places = 0, [], [], []
+        slice_words = min(SLICE_WORDS, max(CHUNK, BLOCK_NUMBERS * CHUNK // len(self.model.languages) ** 2))
         for at, text in enumerate(texts):
             if found := letters(text or ""):
                 words += found
                 sizes.append(len(found))
                 places.append(at)
-            if len(words) >= SLICE_WORDS or (at == len(texts) - 1 and words):
+            if len(words) >= slice_words or (at == len(texts) - 1 and words):
                 post = posteriors(self.emissions(words), np.array(sizes), self.model.transition)
                 yield from zip(places, np.split(post, np.cumsum(sizes)[:-1]), strict=True)
                 words, sizes, places = [], [], []
@@ -252,10 +258,14 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs_per_language: int = 500, windows_per_doc: int = 6, seed: int = 11) -> Crf | None:
+def learn(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs_per_language: int = 500, windows_per_doc: int = 6, max_languages: int = 64, max_windows: int = 12_000, seed: int = 11) -> Crf | None:
     """Fit on labelled rows: at most ``docs_per_language`` different documents (id and text) of each
     language, those of the smallest hashes, and ``windows_per_doc`` windows of ``CHUNK`` words spread over
-    each whole text; so the driver gets at most that many windows a language. None if no labelled row has a word.
+    each whole text. None if no labelled row has a word.
+
+    The driver gets ``max_windows`` windows at most, so with many languages each has fewer documents. Only the ``max_languages``
+    labels with most documents (by approximate number, then name) are learned, so a label column full of
+    stray values can't grow the model; texts of other labels are predicted as one of these.
 
     A threshold on the hash, from the language's approximate number of different documents, leaves some
     thousand rows before any are ordered, and rows that repeat are one before that: no language and no
@@ -265,9 +275,11 @@ def learn(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
     rows = labelled.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), h.alias("h")).where("id is not null and lang is not null")
     counts = cut(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")))
     share = F.col("h") / F.lit(2.0**64) + 0.5  # of all hashes, so many are smaller
-    if counts.limit(MAX_LANGUAGES + 1).count() <= MAX_LANGUAGES:  # without the hint texts would be shuffled by language first
-        counts = F.broadcast(counts)
-    near = rows.join(counts, "lang").where(share * F.col("n") <= 3.0 * docs_per_language)
+    found = counts.limit(max_languages + 1).count()
+    if found > max_languages:
+        counts, found = cut(counts.orderBy(F.desc("n"), "lang").limit(max_languages)), max_languages
+    docs_per_language = max(1, min(docs_per_language, max_windows // (windows_per_doc * max(1, found))))
+    near = rows.join(F.broadcast(counts), "lang").where(share * F.col("n") <= 3.0 * docs_per_language + 20)
     once = near.groupBy("lang", "h").agg(F.min("id").alias("id"), F.min("text").alias("text"))
     best = Window.partitionBy("lang").orderBy("h")
     chosen = once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= docs_per_language)
