@@ -27,6 +27,8 @@ from marlpit.llm.common import WORD, cut, modest_batches, nothing, worker_state
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Characters from which on a text's words are handled as numbers.
+LONG_TEXT = 1 << 18
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 #: Rates that the forest sees: none depends on a text's length or language by itself. Repeated lines
 #: are left out, as labelled rows of both qualities have them alike.
@@ -43,9 +45,8 @@ _IS_LETTER = _IS_CAPITAL | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 0xC2)
 _IS_CHAR = (_BYTE < 0x80) | (_BYTE >= 0xC2)
 
 
-def text_stats(text: str | None) -> tuple:
-    """The values of STATS for one text; null counts as empty."""
-    text = text or ""
+def word_stats(text: str) -> tuple[int, int, int, int, int]:
+    """(words, their characters, words in repeated windows, words that equal the one before, words without letter or digit)."""
     words = WORD.findall(text)
     n, repeated = len(words), 0
     if n > WINDOW:
@@ -58,11 +59,36 @@ def text_stats(text: str | None) -> tuple:
             np.add.at(held, at + WINDOW, -1)
             repeated = int((np.cumsum(held) > 0).sum())
     bare = sum(1 for w in words if not w[0].isalnum() and not any(map(str.isalnum, w)))
-    echoes = sum(map(eq, words, words[1:]))
+    return n, sum(map(len, words)), repeated, sum(map(eq, words, words[1:])), bare
+
+
+def long_word_stats(text: str) -> tuple[int, int, int, int, int]:
+    """``word_stats`` of a long text by numbers in place of words: some 20 bytes a word at a time, and its different words once."""
+    index: dict[str, int] = {}
+    ids = np.fromiter((index.setdefault(m[0], len(index)) for m in WORD.finditer(text)), np.int64)
+    n, times = len(ids), np.bincount(ids, minlength=len(index))
+    sizes = np.fromiter(map(len, index), np.int64, len(index))
+    bare = np.fromiter((not any(map(str.isalnum, w)) for w in index), bool, len(index))
+    repeated = 0
+    if n > WINDOW:
+        paired = lambda a, b: np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]  # noqa: E731  a number for each different pair
+        two = paired(ids[:-1], ids[1:])
+        window = paired(paired(two[:-2], two[2:])[:-1], ids[WINDOW - 1 :])
+        at = np.flatnonzero((np.bincount(window) > 1)[window])
+        held = np.bincount(at, minlength=n + 1) - np.bincount(at + WINDOW, minlength=n + 1)
+        repeated = int((np.cumsum(held) > 0).sum())
+    return n, int((times * sizes).sum()), repeated, int((ids[1:] == ids[:-1]).sum()), int(times[bare].sum())
+
+
+def text_stats(text: str | None) -> tuple:
+    """The values of STATS for one text; null counts as empty. Memory beside a long text is a small multiple of it."""
+    text = text or ""
+    n, chars, repeated, echoes, bare = (long_word_stats if len(text) > LONG_TEXT else word_stats)(text)
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
     dup_lines = len(lines) - len(set(lines))
-    found = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-    symbols, chars = int(found[_IS_SYMBOL].sum()), sum(map(len, words))
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    found = sum((np.bincount(data[i : i + LONG_TEXT], minlength=256) for i in range(0, len(data), LONG_TEXT)), np.zeros(256, np.int64))
+    symbols = int(found[_IS_SYMBOL].sum())
     visible = max(1, int(found[_IS_CHAR & ~_IS_BLANK].sum()))
     letters = int(found[_IS_LETTER].sum())
     rates = [
