@@ -13,8 +13,9 @@ pairs by
 * position: after the first shared word at place i of the template and j of the block,
   at most min(n - i, size - j) - 1 more can follow.
 
-What passes is verified. Templates and their frequency table are short parameters, so the
-index is joined by broadcast and no word is hot. Everything is DataFrame expressions.
+What passes is verified against the template's words, which lie in a table of their own: an index row
+has only numbers. Both tables are parameters; up to ``BROADCAST_CHARS`` characters they are broadcast, beyond that
+Spark chooses the join. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from marlpit.llm.common import LOWER, UPPER
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _PLACES, _BLOCKS = "array<struct<at:bigint,label:string>>", "array<struct<at:bigint,stride:int,tokens:array<string>>>"
 STRIDE, THRESHOLD = 32, 0.8
+BROADCAST_CHARS = 1 << 25
 
 #: Phrases that count wherever their words stand consecutively.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -89,13 +91,15 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     rank = {w: i for i, w in enumerate(frequency_order(rows, sorted({w for _, ws, _ in sets for w in ws} | {w for p, _ in phrases for w in p.split()})))}
     order = [w for w in rank if any(w in ws for _, ws, _ in sets)]
     index, rare = [], set()
-    for label, own, stride in sets:
+    owns = []
+    for t, (label, own, stride) in enumerate(sets):
         own = sorted(own, key=rank.__getitem__)
         need = math.ceil(threshold * len(own) - 1e-9)
         for i, word in enumerate(own[: len(own) - need + 1]):
-            index.append((word, label, i, need, own, stride))
+            index.append((word, stride, t, i, need, len(own)))
             rare.add(word)
-    least = {stride: min(x[3] for x in index if x[5] == stride) for _, _, stride in sets}
+        owns.append((t, label, own))
+    least = {stride: min(x[4] for x in index if x[1] == stride) for _, _, stride in sets}
 
     exact = words(F.translate("text", UPPER, LOWER))
     marks = sorted({min(p.split(), key=rank.__getitem__) for p, _ in phrases})
@@ -117,12 +121,15 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     none = F.array().cast(_PLACES)
     held = held.select("row", "id", "n_words", F.concat(*(F.coalesce(p, none) for p in places)).alias("base") if places else none.alias("base"), F.explode_outer("blocks").alias("b"))
     shared = held.select("row", "id", "n_words", "base", "b.at", "b.stride", "b.tokens", F.explode_outer(F.array_intersect("b.tokens", _strings(sorted(rare)))).alias("word"))
-    table = docs.sparkSession.createDataFrame(index, "word string, label string, i int, need int, own array<string>, stride int")
-    met = shared.join(F.broadcast(table), ["word", "stride"], "left")
+    small = sum(len(w) + 24 for w, *_ in index) + sum(len(w) + 8 for _, _, own in owns for w in own) <= BROADCAST_CHARS
+    near = F.broadcast if small else lambda df: df
+    spark = docs.sparkSession
+    met = shared.join(near(spark.createDataFrame(index, "word string, stride int, t int, i int, need int, n int")), ["word", "stride"], "left")
     j = F.array_position("tokens", F.col("word")) - 1
-    possible = (F.size("tokens") >= F.col("need")) & (F.col("i") + F.least(F.size("own") - F.col("i"), F.size("tokens") - j) >= F.col("need"))
+    possible = (F.size("tokens") >= F.col("need")) & (F.col("i") + F.least(F.col("n") - F.col("i"), F.size("tokens") - j) >= F.col("need"))
+    met = met.withColumn("t", F.when(possible, F.col("t"))).join(near(spark.createDataFrame(owns, "t int, label string, own array<string>")), "t", "left")
     both = F.size(F.array_intersect("tokens", "own"))
-    hit = F.when(possible, F.when(both >= F.col("need"), F.struct("label", F.col("at").alias("block"), (both / F.size("own")).alias("containment"))))
+    hit = F.when(both >= F.col("need"), F.struct("label", F.col("at").alias("block"), (both / F.col("n")).alias("containment")))
     found = met.select("row", "id", "n_words", "base", hit.alias("hit")).groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("base").alias("base"), F.array_sort(F.collect_set("hit")).alias("found"))
     at = F.transform("base", lambda p: p["at"])
     return found.select(
