@@ -67,6 +67,13 @@ def modest_batches(spark: SparkSession) -> None:
 
 
 _HELD: dict[tuple, object] = {}
+#: What else a worker remembers, as functions that forget it.
+_FORGET: list[Callable[[], None]] = []
+
+
+def forgotten_with_state(forget: Callable[[], None]) -> None:
+    """Have ``forget`` called when a worker goes on to another operator."""
+    _FORGET.append(forget)
 
 
 def worker_state(make: Callable[..., T], *key) -> T:
@@ -75,7 +82,10 @@ def worker_state(make: Callable[..., T], *key) -> T:
     name = (make.__module__, make.__qualname__, *key)
     if name not in _HELD:
         _HELD.clear()
+        for forget in _FORGET:
+            forget()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _HELD[name] = make(*key)
     return _HELD[name]
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import arrow_slices, cut, modest_batches, nothing, row_of, stored, worker_state
+from marlpit.llm.common import arrow_slices, cut, forgotten_with_state, modest_batches, nothing, row_of, stored, worker_state
 from marlpit.llm.graph import components
 
 SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS = 7, 9, 4, 0.8, 6
@@ -256,13 +256,18 @@ class Remembered:
     """What ``make`` gives for texts, as long as it has no more than ``limit`` parts in all."""
 
     def __init__(self, make: Callable[[str], frozenset | np.ndarray], limit: int):
-        self.make, self.limit, self.held, self.total = make, limit, {}, 0
+        self.make, self.limit = make, limit
+        self.forget()
+        forgotten_with_state(self.forget)
+
+    def forget(self) -> None:
+        self.held, self.total = {}, 0
 
     def __call__(self, text: str):
         if (found := self.held.get(text)) is None:
             found = self.make(text)
             if self.total + len(found) > self.limit:
-                self.held, self.total = {}, 0
+                self.forget()
             if len(found) <= self.limit // 4:
                 self.held[text] = found
                 self.total += len(found)

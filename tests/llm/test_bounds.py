@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from marlpit.llm import langid, licenses, quality
+from marlpit.llm import common, langid, licenses, lines, quality
 
 
 def test_words_by_numbers_equal_words(monkeypatch):
@@ -63,3 +63,13 @@ def test_many_long_templates(spark, monkeypatch, limit):
     rows = [(n, f"{'before it ' * 30}{t} after") for n, (_, t) in enumerate(templates)] + [(100, None), (101, ""), (102, " ".join(templates[0][1].split()[:200]))]
     got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
     assert all(f"t{n}" in got[n] for n in range(8)) and len(got) == len(rows) and got[100] == [""] and "t0" not in got[102]
+
+
+def test_workers_forget_with_their_operator():
+    held = lines.Remembered(lambda text: frozenset(text), 100)
+    common.worker_state(common.nothing, "one")
+    assert held("abc") == {"a", "b", "c"} and held.total == 3
+    common.worker_state(common.nothing, "one")
+    assert held.total == 3
+    common.worker_state(common.nothing, "other")
+    assert held.total == 0 and not held.held and held("ab") == {"a", "b"}
