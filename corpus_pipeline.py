@@ -35,7 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates, by 5-word Jaccard similarity of 0.8 or more."""
+    """The document with the smallest id of each group of near-duplicates: candidates by SimHash with
+    pigeonring filtering and by MinHash bands, verified by 5-word Jaccard similarity of 0.8 or more."""
     return simhash.keep_first(docs)
 
 

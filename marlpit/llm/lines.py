@@ -523,13 +523,15 @@ def _one_named(rows: DataFrame, double: DataFrame | None) -> DataFrame:
     return met.withColumn("k", F.when(F.col("twice"), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("k1", "k2", "twice")
 
 
-def linked(lines: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, measure: Measure = OF_LINES) -> DataFrame:
+def linked(lines: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, measure: Measure = OF_LINES, more: DataFrame | None = None) -> DataFrame:
     """(k1, k2, component) of the texts that link to another, for any texts with a 128-bit key (k1, k2) and bands;
-    ``texts_of`` gives (k1, k2, line) of at least the keys (k1, k2) it is handed.
+    ``texts_of`` gives (k1, k2, line) of at least the keys (k1, k2) it is handed. ``more`` are further
+    buckets (band, k1, k2), treated as bands are.
 
     Inside, a key goes by one long, which is unique among the keys that share a band.
     """
     banded = lines.where("bands is not null").select(F.explode("bands").alias("band"), "k1", "k2")
+    banded = banded.unionByName(more) if more is not None else banded
     met = stored(_shared_bands(banded))
     sizes = cut(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     met = stored(met.join(sizes, "band"))

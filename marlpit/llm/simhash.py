@@ -18,8 +18,9 @@ both within 1 bit of some 64-bit value, and all that are within 1 bit of one val
 within 2 of each other. A value has at most 65 such neighbours, each fingerprint names 65
 values, and those at one value link to the smallest. That is exact, whatever the group's size.
 
-``keep_first`` does not use fingerprints: documents are near-duplicates there by the exact
-Jaccard similarity of their word shingles, for which 2 bits of 64 are far too few.
+``keep_first`` finds near-duplicates by the exact Jaccard similarity of their word shingles. Its
+first candidates are the documents whose fingerprints meet in the same way; as 2 bits of 64
+are too few for a similarity of 0.8, MinHash bands add those whose fingerprints lie further apart.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from marlpit.llm.common import arrow_slices, cut, modest_batches, nothing, row_o
 from marlpit.llm.graph import components
 
 RADIUS, SEGMENTS, SHINGLE, SEED = 2, 5, 3, 42
-#: ``keep_first``: words of a shingle, least Jaccard similarity, MinHash bands and their rows. Bands miss 3 of 100,000 pairs at the threshold.
+#: ``keep_first``: words of a shingle, least Jaccard similarity, MinHash bands and their rows beside fingerprints. Bands miss 3 of 100,000 pairs at the threshold.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: A key of more fingerprints than this is split, and goes the way of half-way points if that does not help.
 CROWD = 128
@@ -179,6 +180,14 @@ def word_sets(texts: list[str | None], shingle: int = WORDS) -> list[np.ndarray]
     return [np.unique(x) for x in np.split(np.frombuffer(parts, ">u8").astype(np.uint64), ends[:-1])] if len(texts) else []
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Fingerprint of a set of shingles as a signed number."""
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _VOTES):
+        votes += np.unpackbits(hashes[i : i + _VOTES].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint16)
+    return int(np.packbits(2 * votes > len(hashes)).view(">i8")[0])
+
+
 _word_set = lines.Remembered(lambda text: word_sets([text])[0], lines.HELD_SHINGLES)
 
 
@@ -203,6 +212,8 @@ _XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS),
 _ODD |= np.uint64(1)
 #: Hashes that are permuted at once.
 _AT_ONCE = 1024
+#: Hashes whose bits are counted at once; their number fits 16 bits.
+_VOTES = 1 << 15
 
 
 def word_bands(hashes: np.ndarray) -> np.ndarray:
@@ -217,7 +228,8 @@ def word_bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """(id, mark, k1, k2, bands) of the rows (id, mark, text); k1 and k2 are the halves of a 128-bit hash of a text's set of shingles."""
+    """(id, mark, k1, k2, fp, bands) of the rows (id, mark, text); k1 and k2 are the halves of a 128-bit hash of a text's set of
+    shingles, fp its fingerprint. A text without a word has neither fp nor bands."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,16 +240,20 @@ def _banded(docs: DataFrame) -> DataFrame:
             sets = word_sets(part.column("text").to_pylist())
             keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             own = pa.array([word_bands(x) if len(x) else None for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *map(pa.array, lines._halves(keys)), own], names=["id", "mark", "k1", "k2", "bands"])
+            fps = pa.array([set_fingerprint(x) if len(x) else None for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *map(pa.array, lines._halves(keys)), fps, own], names=["id", "mark", "k1", "k2", "fp", "bands"])
 
-    return docs.mapInArrow(run, f"id {kind}, mark binary, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, mark binary, k1 long, k2 long, fp long, bands array<long>")
 
 
 def similar_sets(rows: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(k1, k2, component) of the sets in ``rows`` that are similar enough to another; ``docs`` has (mark, text).
 
-    Links and their buckets are handled as those of lines are, and only texts with a candidate are read again."""
-    classes = cut(rows.where("bands is not null").groupBy("k1", "k2").agg(F.first("bands").alias("bands"), F.min("mark").alias("mark")))
+    Candidates are those whose fingerprints links of pigeonring filtering connect, which make one bucket, and those that
+    share a MinHash band. Buckets are handled as those of lines are, and only texts with a candidate are read again."""
+    classes = cut(rows.where("fp is not null").groupBy("k1", "k2").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("mark").alias("mark")))
+    groups = cut(components(links(cut(classes.select("fp").distinct()))))
+    near = classes.join(groups, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("band"), "k1", "k2")
 
     def texts_of(keys: DataFrame) -> DataFrame:
         wanted = cut(classes.join(keys, ["k1", "k2"], "left_semi").select("k1", "k2", "mark"))
@@ -251,13 +267,14 @@ def similar_sets(rows: DataFrame, docs: DataFrame, threshold: float = SIMILARITY
 
         return docs.mapInArrow(run, "mark binary, text string").join(wanted, "mark").select("k1", "k2", F.col("text").alias("line"))
 
-    return lines.linked(classes.select("k1", "k2", "bands"), texts_of, threshold, (_word_hashes, word_similar))
+    return lines.linked(classes.select("k1", "k2", "bands"), texts_of, threshold, (_word_hashes, word_similar), near)
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row of each group of near-duplicates, that of the smallest id (null ids last), with the columns of ``docs``.
 
-    Two texts link if their sets of WORDS-word shingles have a Jaccard similarity of ``threshold`` or more;
+    Two texts link if their sets of WORDS-word shingles have a Jaccard similarity of ``threshold`` or more, verified
+    exactly for all whose fingerprints are within RADIUS bits and all that share a MinHash band;
     null and wordless texts link to each other. Whole texts count, whatever their length. Other columns
     stay as they are, whatever their names; of rows that repeat an id and text one stays. An empty table
     stays empty. Texts are shuffled once, to meet the row that stays; the rows before know them by hash.

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from marlpit.llm import simhash
 from tests.llm.test_near_duplicates import plain_fingerprint, union
 
@@ -39,3 +41,28 @@ def test_stage_equals_all_pairs(spark):
     want = sorted(set(union(edges, range(len(texts))).values()))
     kept = simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_fingerprints_are_candidates_without_bands(spark):
+    rng = random.Random(9)
+    source = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    crowd = [" ".join([*source[:150], f"x{i}", *source[150:]]) for i in range(150)]  # more than a key holds
+    texts = sorted({*variants(rng, 30, 6, [3, 12, 40, 150, 600]), *crowd, *(t.upper() + " end" for t in crowd[:20])})
+    held = spark.createDataFrame([(i, t, f"{i:032x}") for i, t in enumerate(texts)], "id long, text string, m string").select("id", "text", F.unhex("m").alias("mark"))
+    rows = simhash._banded(held.select("id", "mark", "text")).withColumn("bands", F.lit(None).cast("array<bigint>")).localCheckpoint()
+    fp = {r["id"]: r["fp"] for r in rows.select("id", "fp").collect()}
+    sets = [shingles(t) for t in texts]
+    for i in (0, 50, 150):  # a fingerprint is the vote of the set's hashes
+        hashes = simhash.word_sets([texts[i]])[0].tolist()
+        assert fp[i] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    edges = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if similarity(a, b) >= 0.8 and bin((fp[i] ^ fp[j]) % 2**64).count("1") <= 2]
+    assert len(edges) > 1000
+    groups = simhash.similar_sets(rows, held.select("mark", "text"))
+    found = {r["id"]: r["component"] for r in rows.join(groups, ["k1", "k2"]).select("id", "component").collect()}
+    want, linked = union(edges, range(len(texts))), {i for e in edges for i in e}
+    named = {}
+    for i in linked:
+        named.setdefault(want[i], set()).add(found[i])
+    assert set(found) >= linked and all(len(c) == 1 for c in named.values())
+    whole = union([(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if similarity(a, b) >= 0.8], range(len(texts)))
+    assert all(whole[min(i for i in found if found[i] == c)] == whole[i] for i, c in found.items())
