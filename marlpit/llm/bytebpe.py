@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from marlpit.llm.common import arrow_slices, tokenizer_path, worker_state
+from marlpit.llm.common import arrow_slices, modest_batches, tokenizer_path, worker_state
 
 #: Rows and bytes of a slice of texts; rows of a recursion, and ids, that DuckDB gets at a time.
-SLICE_ROWS, SLICE_BYTES, STEP_ROWS, IDS = 1024, 2 << 20, 1 << 19, 1 << 19
+SLICE_ROWS, SLICE_BYTES, STEP_ROWS, IDS = 1024, 2 << 20, 1 << 19, 1 << 18
 #: Words that a worker remembers at most, half of them new and half from before.
 CACHE = 400_000
 #: Words longer than LONG characters are not remembered; words of up to SHORT bytes are contracted pair by pair.
@@ -191,6 +191,7 @@ def encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", column: str =
     like ``into``, which is replaced.
     """
     path = tokenizer_path(ranks)
+    modest_batches(docs.sparkSession)
     held = _apart(docs, column, {column, into})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +211,7 @@ def decode(coded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", column: str =
     rows, other columns and empty tables as in ``encode``.
     """
     path = tokenizer_path(ranks)
+    modest_batches(coded.sparkSession)
     held = _apart(coded, column, {into}).withColumn("value", F.when(~F.exists("value", F.isnull), F.col("value").cast("array<int>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,17 @@ def test_digests_of_whole_documents(spark, library):
         ids = library.encode_ordinary(r.text or "")
         want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
         assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256, got[r.doc_id].decoded_sha256) == want
+
+
+def test_bpe_workers_get_modest_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches if b.num_rows)
+    try:
+        for step in (bytebpe.encode, lambda docs: bytebpe.decode(docs.selectExpr("array(1) AS ids"))):
+            spark.conf.set(name, "10000")
+            docs = spark.range(3000).selectExpr("id", "'some text' AS text").coalesce(1)
+            assert step(docs).count() == 3000
+            assert max(r["n"] for r in docs.mapInArrow(rows, "n long").collect()) <= 1000
+    finally:
+        spark.conf.set(name, before)
