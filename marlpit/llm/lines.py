@@ -34,6 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS = 7, 9, 4, 0.8, 6
 BLOCK, BLOCK_CHARS = 256, 1 << 19
 #: A bucket with more lines outside its largest component than so many blocks hold is parted by rare shingles.
 OUTSIDE = 16
+#: Common shingles, and pairs of lines, that are counted at once.
+COMMON = 1 << 19
 #: Edges that a task of the union-find takes at least.
 EDGES = 50_000
 #: Lines that a task remembers to ship the bands of equal ones once.
@@ -95,6 +98,12 @@ def bands(lines: list[str], shingle: int = SHINGLE, count: int = BANDS, rows: in
     return np.concatenate(parts) if parts else np.zeros((0, count), np.int64)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, ascending. Sorting numbers takes a part of the time of numpy's unique, which hashes them."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def _shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the shingles of all lines in order, and how many each line has."""
     h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -303,6 +312,18 @@ def _line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _shingle_hashes(lines, SHINGLE)
 
 
+def _common_start(a: str, b: str) -> int:
+    """How many characters the two begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def similar(a: str, b: str, threshold: float) -> bool:
     """Whether the similarity of two normal lines reaches the threshold, often without the second one's set: it
     has as many shingles as common ones at least and as places for them at most."""
@@ -311,6 +332,11 @@ def similar(a: str, b: str, threshold: float) -> bool:
     x, places = _shingles(a), len(b) - SHINGLE + 1
     if places < threshold * len(x):
         return False
+    # only shingles that reach out of the common start and end can be in one of the two alone
+    start = _common_start(a, b)
+    same = start + _common_start(a[start:][::-1], b[start:][::-1])
+    if len(x) - (len(a) - same + SHINGLE - 1) >= threshold * (len(x) + len(b) - same + SHINGLE - 1):
+        return True
     own = [b[i : i + SHINGLE] for i in range(places)]
     both = len(x.intersection(own))
     if both < threshold * len(x):
@@ -363,30 +389,44 @@ def candidate_pairs(shared: DataFrame) -> DataFrame:
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each (band, i, j) of sorted batches."""
-    held, last = [], None
+    """The rows of one (band, i, j) of sorted batches, or of several while they are small, which column ``block`` numbers."""
+    held, last, block, rows, size = [], None, 0, 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         key = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")], axis=1)
+        length = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("line")).to_numpy())])
         at = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
         for a, b in zip(at, at[1:], strict=False):
             if held and (key[a] != last).any():
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key[a]
+                block += 1
+                if rows >= 2 * BLOCK or size >= BLOCK_CHARS:
+                    yield pa.Table.from_batches(held)
+                    held, rows, size = [], 0, 0
+            part = batch.slice(a, b - a)
+            held.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in ("left", "line", "c")), pa.array(np.full(b - a, block))], names=["left", "line", "c", "block"]))
+            rows, size, last = rows + b - a, size + int(length[b] - length[a]), key[a]
     if held:
         yield pa.Table.from_batches(held)
 
 
-def block_links(left: list[str], right: list[str], left_groups: list, right_groups: list, threshold: float, measure: Measure = OF_LINES) -> list[tuple]:
+def _indexed(lines: list[str], measure: Measure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes of each line's shingles: the lines' places, the hashes, and how many each line has."""
+    h, n = measure[0](lines)
+    own = distinct(np.repeat(np.arange(len(lines), dtype=np.uint64), n) << np.uint64(32) | h)
+    owner = (own >> np.uint64(32)).astype(np.int64)
+    return owner, (own & np.uint64(0xFFFFFFFF)).astype(np.int64), np.bincount(owner, minlength=len(lines))
+
+
+def block_links(left: list[str], right: list[str], left_groups: list, right_groups: list, threshold: float, measure: Measure = OF_LINES, left_blocks=None, right_blocks=None) -> list[tuple]:
     """Links between groups of lines: for all similar pairs of a left and a right line they connect the two lines' groups.
 
-    An index of the right lines' shingles gives a left line's common ones with all of them at
-    once, by hash; what is near the threshold or above it is compared exactly.
+    An index of the right lines' shingles gives many left lines' common ones with all of them at
+    once, by hash; what is near the threshold or above it is compared exactly. Only lines of one
+    block meet: blocks are given as ascending numbers, or all is one.
     """
-    hashes, alike = measure
+    if not left or not right:
+        return []
     parent: dict = {}
 
     def root(c):
@@ -394,28 +434,36 @@ def block_links(left: list[str], right: list[str], left_groups: list, right_grou
             c = up
         return c
 
-    h, n = hashes(right)
-    own = np.unique(np.repeat(np.arange(len(right), dtype=np.uint64), n) << np.uint64(32) | h)
-    owner, h = (own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    sizes, order = np.bincount(owner, minlength=len(right)), np.argsort(h, kind="stable")
-    owner, h = owner[order], h[order]
-    found, kinds = [], set(right_groups)
-    every, n = hashes(left)
-    ends = np.cumsum(n)
-    for line, c, a, b in zip(left, left_groups, (ends - n).tolist(), ends.tolist(), strict=True):
-        kinds = {root(x) for x in kinds}
-        if kinds == {root(c)}:
-            continue
-        mine = np.unique(every[a:b])
-        first, n = np.searchsorted(h, mine), np.searchsorted(h, mine, "right")
-        n -= first
-        places = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        both = np.bincount(owner[places], minlength=len(right))
-        for y in np.flatnonzero(both >= (threshold - 0.02) * (len(mine) + sizes - both)).tolist():
-            a, b = root(c), root(right_groups[y])
-            if a != b and alike(line, right[y], threshold):
+    of_left, of_right = (np.zeros(len(x), np.int64) if blocks is None else np.asarray(blocks, np.int64) for x, blocks in ((left, left_blocks), (right, right_blocks)))
+    owner, h, sizes = _indexed(right, measure)
+    key = of_right[owner] << 32 | h
+    order = np.argsort(key, kind="stable")
+    owner, key = owner[order], key[order]
+    mine, h, left_sizes = _indexed(left, measure)
+    h |= of_left[mine] << 32
+    first = np.searchsorted(key, h)
+    n = np.searchsorted(key, h, "right") - first
+    upto, ends = np.concatenate([[0], np.cumsum(n)]), np.searchsorted(mine, np.arange(len(left) + 1))
+    base = np.searchsorted(of_right, of_left)
+    width = int((np.searchsorted(of_right, of_left, "right") - base).max())
+    groups, found, at = (np.asarray(left_groups), np.asarray(right_groups)), [], 0
+    while at < len(left) and width:
+        end = int(np.searchsorted(upto[ends], upto[ends[at]] + COMMON, "right")) - 1
+        end = min(max(end, at + 1), at + max(1, COMMON // width), len(left))
+        a, b = ends[at], ends[end]
+        places = np.repeat(first[a:b] - (upto[a:b] - upto[a]), n[a:b]) + np.arange(upto[b] - upto[a])
+        line = np.repeat(mine[a:b], n[a:b])
+        both = np.bincount((line - at) * width + owner[places] - base[line])
+        met = np.flatnonzero(both)
+        both, x = both[met], met // width + at
+        y = met % width + base[x]
+        near = (both >= (threshold - 0.02) * (left_sizes[x] + sizes[y] - both)) & (groups[0][x] != groups[1][y])
+        for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+            a, b = root(left_groups[i]), root(right_groups[j])
+            if a != b and measure[1](left[i], right[j], threshold):
                 parent[max(a, b)] = min(a, b)
-                found.append((c, right_groups[y]))
+                found.append((left_groups[i], right_groups[j]))
+        at = end
     return found
 
 
@@ -438,7 +486,7 @@ def _by_rare_shingles(named: DataFrame, texts: DataFrame, threshold: float, meas
         for part in arrow_slices(batches, "line", 1000, 1 << 20):
             h, n = measure[0](part.column("line").to_pylist())
             owner = np.repeat(np.arange(part.num_rows, dtype=np.uint64), n)
-            own = np.unique(owner << np.uint64(32) | h)
+            own = distinct(owner << np.uint64(32) | h)
             ends = np.searchsorted(own, np.arange(part.num_rows + 1, dtype=np.uint64) << np.uint64(32))
             values = pa.array((own & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("band", "k", "c", "size")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], names=["band", "k", "c", "size", "hashes"])
@@ -476,9 +524,9 @@ def remaining_links(shared: DataFrame, groups: DataFrame, texts: DataFrame, thre
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(nothing, "lines")
         for block in _whole_blocks(batches):
-            isleft, lines, c = (block.column(x).to_pylist() for x in ("left", "line", "c"))
-            pick = lambda values, side: [v for v, s in zip(values, isleft, strict=True) if s is side]  # noqa: B023, E731
-            if found := block_links(pick(lines, True), pick(lines, False), pick(c, True), pick(c, False), threshold, measure):
+            isleft = block.column("left")
+            (left, left_c, left_of), (right, right_c, right_of) = ([side.column(x).to_pylist() for x in ("line", "c", "block")] for side in (block.filter(isleft), block.filter(pc.invert(isleft))))
+            if found := block_links(left, right, left_c, right_c, threshold, measure, left_of, right_of):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     met = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")

@@ -177,7 +177,7 @@ def word_sets(texts: list[str | None], shingle: int = WORDS) -> list[np.ndarray]
     """The different shingles of each text as sorted 64-bit hashes; a text of fewer words is one shingle."""
     parts, sizes = _hashed(texts, shingle, SEED)
     ends = np.cumsum(sizes)
-    return [np.unique(x) for x in np.split(np.frombuffer(parts, ">u8").astype(np.uint64), ends[:-1])] if len(texts) else []
+    return [lines.distinct(x) for x in np.split(np.frombuffer(parts, ">u8").astype(np.uint64), ends[:-1])] if len(texts) else []
 
 
 def set_fingerprint(hashes: np.ndarray) -> int:

@@ -252,3 +252,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert firsts.count() == before.count() and firsts.agg({"doc_tokens": "sum"}).first()[0] == total
     assert np.all([len(r["ids"]) == 4 * r["length"] for r in after.select("ids", "length").collect()])
     assert corpus_pipeline.run(spark, SF).count() == after.count()
+
+
+def test_block_links_of_many_blocks_at_once():
+    rng = random.Random(12)
+    left, right, left_groups, right_groups, left_blocks, right_blocks, want = [], [], [], [], [], [], {}
+    source = "".join(rng.choice("abcdefgh ") for _ in range(60))  # all blocks have variants of it, but only lines of one block may meet
+    for block in range(40):
+        size = rng.randrange(0, 9)
+        own = [lines.normal(source[:i] + "xyz"[: rng.randrange(4)] + source[i + rng.randrange(8) :]) for i in (rng.randrange(40) for _ in range(size))]
+        groups = list(range(100 * block, 100 * block + size))
+        edges = [(groups[i], groups[j]) for i in range(0, size, 2) for j in range(size) if i != j and lines.jaccard(own[i], own[j]) >= 0.8]
+        want |= union(edges, groups)
+        left += own[::2]
+        left_groups += groups[::2]
+        left_blocks += [block] * len(own[::2])
+        right += own
+        right_groups += groups
+        right_blocks += [block] * size
+    found = lines.block_links(left, right, left_groups, right_groups, 0.8, left_blocks=left_blocks, right_blocks=right_blocks)
+    assert union(found, right_groups) == want and all(a // 100 == b // 100 for a, b in found)
+
+
+def test_similar_lines_with_common_ends():
+    rng = random.Random(13)
+    for _ in range(3000):
+        a = "".join(rng.choice("ab c") for _ in range(rng.randrange(7, 90))) * rng.choice([1, 1, 3])
+        i, j = sorted(rng.randrange(len(a) + 1) for _ in range(2))
+        b = a[:i] + "".join(rng.choice("ab c") for _ in range(rng.randrange(6))) + (a[j:] if rng.random() < 0.3 else a[i:])
+        if len(b) >= 7:
+            assert lines.similar(a, b, 0.8) == (lines.jaccard(a, b) >= 0.8)
+    assert lines._common_start("", "a") == 0 and lines._common_start("abc", "abc") == 3 and lines._common_start("abd", "abcd") == 2
