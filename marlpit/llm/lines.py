@@ -22,9 +22,10 @@ each other make, is first parted by an exact prefix filter: its shingles are ord
 their frequency in it, and two lines can only be similar if they share one of the rarest
 fifth of their shingles. So components are those of all candidate pairs, whatever a bucket's size.
 
-No step takes a bucket into one task: shared bands are found in a range-partitioned order
-of (band, line), in which only neighbours are compared, and what is summed up by bucket
-meets its lines in joins that adaptive execution splits. Lines are known by 128 bits.
+No step takes a bucket into one task: shared bands are found among rows dealt by band, but
+for the lines of a band that many of some ten thousand lines share, which are dealt by line,
+and what is summed up by bucket meets its lines in joins that adaptive execution splits.
+Lines are known by 128 bits.
 """
 
 from __future__ import annotations
@@ -56,8 +57,10 @@ REMEMBERED = 300_000
 FILTER_BITS = (23, 27)
 #: Shingles that a worker remembers, and characters from which a text's are not sets of strings and a pair is compared by itself.
 HELD_SHINGLES, LONG = 1 << 20, 1 << 16
-#: Characters whose signatures are made at once.
+#: Characters whose signatures are made, or whose pairs are compared, at once.
 RUN = 1 << 16
+#: Band values that a task deals out at once, and how many of these may be one band's that are dealt by band.
+DEALT, HOT = 1 << 18, 64
 _EMPTY = np.uint32(0xFFFFFFFF)
 #: White space besides the blank and the end of line.
 _BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -82,14 +85,19 @@ def _borrowed(bins: int) -> np.ndarray:
 
 def _runs(lines: list[str]) -> Iterator[list[str]]:
     """``lines`` in order, in lists of about RUN characters: so much work stays in a processor's cache."""
+    for first, end in _run_ends(list(map(len, lines))):
+        yield lines[first:end]
+
+
+def _run_ends(sizes: list[int]) -> Iterator[tuple[int, int]]:
     first = total = 0
-    for i, line in enumerate(lines):
-        total += len(line)
+    for i, size in enumerate(sizes):
+        total += size
         if total >= RUN:
-            yield lines[first : i + 1]
+            yield first, i + 1
             first, total = i + 1, 0
-    if first < len(lines):
-        yield lines[first:]
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def bands(lines: list[str], shingle: int = SHINGLE, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -117,12 +125,15 @@ def _shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndar
         longer *= np.uint32(0x85EBCA6B)
         longer ^= longer >> np.uint32(13)
         h, span = longer, span + step
-    first = np.cumsum(sizes) - sizes
-    inside = np.ones(len(h), bool)
-    if shingle > 1:  # starts whose shingle would run into the next line
-        ends = (first + sizes)[:-1]
-        inside[(ends[:, None] - np.arange(1, shingle)).ravel()] = False
-    return h[inside], sizes - shingle + 1
+    return h[_inside(len(h), sizes, shingle)], sizes - shingle + 1
+
+
+def _inside(n: int, sizes: np.ndarray, shingle: int) -> np.ndarray:
+    """Whether the shingle at each of n starts lies in one line, not in two."""
+    inside = np.ones(n, bool)
+    if shingle > 1:
+        inside[(np.cumsum(sizes)[:-1, None] - np.arange(1, shingle)).ravel()] = False
+    return inside
 
 
 def _bands(lines: list[str], shingle: int, count: int, rows: int) -> np.ndarray:
@@ -196,12 +207,12 @@ def _taking_part(text: str) -> Iterator[tuple[int, str]]:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, mark, line, n_lines, k1, k2, bands): a row with line -1 for each row of ``docs`` and one for
-    each line that takes part, with bands for the first of equal ones in a task."""
+    each line that takes part, with bands, as the bytes of longs, for the first of equal ones in a task."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(nothing, "lines")
-        once, lists = _Once(), pa.list_(pa.int64())
+        once = _Once()
         for part in arrow_slices(batches, "text", 2000, 2 << 20):
             doc, place, held, heads = [], [], [], []
             for i, text in enumerate(part.column("text").to_pylist()):
@@ -209,7 +220,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 for j, line in _taking_part(text):
                     doc.append(i), place.append(j), held.append(line)
             none = pa.nulls(len(heads), pa.int64())
-            own = [part.column("id"), part.column("mark"), pa.array(np.full(len(heads), -1)), pa.array(heads, pa.int64()), none, none, pa.nulls(len(heads), lists)]
+            own = [part.column("id"), part.column("mark"), pa.array(np.full(len(heads), -1)), pa.array(heads, pa.int64()), none, none, pa.nulls(len(heads), pa.binary())]
             yield pa.RecordBatch.from_arrays(own, names=["id", "mark", "line", "n_lines", "k1", "k2", "bands"])
             if held:
                 at, keys = pa.array(doc, pa.int64()), _keys(held)
@@ -217,12 +228,13 @@ def _lines(docs: DataFrame) -> DataFrame:
                 has = np.zeros(len(held), bool)
                 has[new] = True
                 values = bands([held[i] for i in new.tolist()]).ravel() if len(new) else np.zeros(0, np.int64)
-                ends = pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32), mask=np.concatenate([~has, [False]]))
+                ends = np.concatenate([[0], np.cumsum(has * (8 * BANDS))]).astype(np.int32)
+                coded = pa.Array.from_buffers(pa.binary(), len(held), [pa.array(has).buffers()[1], pa.py_buffer(ends), pa.py_buffer(values)])
                 k1, k2 = _halves(keys)
-                cols = [part.column("id").take(at), part.column("mark").take(at), pa.array(place, pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(ends, pa.array(values))]
+                cols = [part.column("id").take(at), part.column("mark").take(at), pa.array(place, pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(k1), pa.array(k2), coded]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "mark", "line", "n_lines", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(run, f"id {kind}, mark long, line long, n_lines long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, mark long, line long, n_lines long, k1 long, k2 long, bands binary")
 
 
 def key_filter(keys: DataFrame, name: str = "k1"):
@@ -346,9 +358,47 @@ def similar(a: str, b: str, threshold: float) -> bool:
     return both / (len(x) + len(set(own)) - both) >= threshold
 
 
-#: How texts are compared: 32-bit hashes of their shingles with the number of each, and whether two are similar, exactly.
-Measure = tuple[Callable[[list[str]], tuple[np.ndarray, np.ndarray]], Callable[[str, str, float], bool]]
-OF_LINES: Measure = (_line_hashes, similar)
+def _similar(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    both_of = [line for pair in zip(a, b, strict=True) for line in pair]
+    codes = np.frombuffer("".join(both_of).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = np.zeros(int(codes.max()) + 1, bool)
+    letters[codes] = True
+    rank = np.cumsum(letters).astype(np.uint64) - np.uint64(1)
+    bits = max(1, int(rank[-1]).bit_length())
+    if SHINGLE * bits + (2 * len(a) - 1).bit_length() > 64:  # fewer pairs have fewer letters
+        half = len(a) // 2
+        return np.concatenate([_similar(a[:half], b[:half], threshold), _similar(a[half:], b[half:], threshold)]) if half else np.array([similar(a[0], b[0], threshold)])
+    h, span = rank[codes], 1
+    while span < SHINGLE:  # the letters of a shingle, bit by bit: different shingles have different numbers
+        step = min(span, SHINGLE - span)
+        h, span = h[:-step] << np.uint64(bits * step) | h[step:] & np.uint64((1 << bits * step) - 1), span + step
+    sizes = np.fromiter(map(len, both_of), np.int64, len(both_of))
+    side = np.repeat(np.arange(len(both_of), dtype=np.uint64), sizes - SHINGLE + 1)
+    above = np.uint64(SHINGLE * bits + 1)
+    own = distinct(side >> np.uint64(1) << above | h[_inside(len(h), sizes, SHINGLE)] << np.uint64(1) | side & np.uint64(1))
+    pair = (own >> above).astype(np.int64)
+    own >>= np.uint64(1)
+    both = np.bincount(pair[1:][own[1:] == own[:-1]], minlength=len(a))
+    return both / (np.bincount(pair, minlength=len(a)) - both) >= threshold
+
+
+def similar_pairs(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    """Whether the similarity of each two normal lines reaches the threshold, exactly. The shingles of many pairs are
+    numbers that one sort brings together; texts that are long are compared by themselves."""
+    out = np.zeros(len(a), bool)
+    short = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if len(x) <= LONG and len(y) <= LONG]
+    if len(short) < len(a):
+        for i in set(range(len(a))).difference(short):
+            out[i] = similar(a[i], b[i], threshold)
+    for first, end in _run_ends([len(a[i]) + len(b[i]) for i in short]):
+        at = short[first:end]
+        out[at] = _similar([a[i] for i in at], [b[i] for i in at], threshold)
+    return out
+
+
+#: How texts are compared: 32-bit hashes of their shingles with the number of each, and which of many pairs are similar, exactly.
+Measure = tuple[Callable[[list[str]], tuple[np.ndarray, np.ndarray]], Callable[[list[str], list[str], float], np.ndarray]]
+OF_LINES: Measure = (_line_hashes, similar_pairs)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, measure: Measure = OF_LINES) -> DataFrame:
@@ -357,11 +407,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, measure: Mea
     @F.pandas_udf("boolean")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
         worker_state(nothing, "lines")
-        return pd.Series([measure[1](x, y, threshold) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series(measure[1](a.tolist(), b.tolist(), threshold), dtype=bool)
 
     def one(pair: pd.DataFrame) -> pd.DataFrame:
         first = pair.iloc[:1]
-        return first[["a", "b"]] if measure[1](first["a_line"].iloc[0], first["b_line"].iloc[0], threshold) else first[["a", "b"]].iloc[:0]
+        return first[["a", "b"]][measure[1](first["a_line"].tolist(), first["b_line"].tolist(), threshold)]
 
     left, right = (texts.select(F.col("k").alias(c), F.col("line").alias(f"{c}_line"), F.col("size").alias(f"{c}_size")) for c in ("a", "b"))
     sized = stored(pairs.join(right.select("b", "b_size"), "b").join(left.select("a", "a_size"), "a")) if texts.where(F.col("size") > LONG).limit(1).count() else None
@@ -458,11 +508,18 @@ def block_links(left: list[str], right: list[str], left_groups: list, right_grou
         both, x = both[met], met // width + at
         y = met % width + base[x]
         near = (both >= (threshold - 0.02) * (left_sizes[x] + sizes[y] - both)) & (groups[0][x] != groups[1][y])
-        for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
-            a, b = root(left_groups[i]), root(right_groups[j])
-            if a != b and measure[1](left[i], right[j], threshold):
-                parent[max(a, b)] = min(a, b)
-                found.append((left_groups[i], right_groups[j]))
+        rest = list(zip(x[near].tolist(), y[near].tolist(), strict=True))
+        while rest:  # one pair of each left group at a time: what it links need not be compared any more
+            now, later = {}, []
+            for i, j in rest:
+                if (a := root(left_groups[i])) != root(right_groups[j]) and now.setdefault(a, (i, j)) != (i, j):
+                    later.append((i, j))
+            fits = measure[1]([left[i] for i, _ in now.values()], [right[j] for _, j in now.values()], threshold)
+            for (i, j), fit in zip(now.values(), fits, strict=True):
+                if fit and (a := root(left_groups[i])) != (b := root(right_groups[j])):
+                    parent[max(a, b)] = min(a, b)
+                    found.append((left_groups[i], right_groups[j]))
+            rest = later
         at = end
     return found
 
@@ -533,34 +590,107 @@ def remaining_links(shared: DataFrame, groups: DataFrame, texts: DataFrame, thre
     return met.mapInArrow(run, "a long, b long")
 
 
+def _band_rows(batch: pa.RecordBatch) -> np.ndarray:
+    """(band, k1, k2) of the bands, a list or its bytes, in each row of the batch."""
+    bands = batch.column("bands")
+    if pa.types.is_list(bands.type):
+        values, n = bands.flatten().to_numpy(), pc.list_value_length(bands).to_numpy()
+    else:
+        values, n = np.frombuffer(b"".join(bands.to_pylist()), np.int64), pc.binary_length(bands).to_numpy() // 8
+    return np.stack([values, *(np.repeat(batch.column(c).to_numpy(), n) for c in ("k1", "k2"))], axis=1)
+
+
+def _runs_of(band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin, and how long they are."""
+    first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]]) if len(band) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(band)))
+
+
+_PLAIN, _HOT_ROWS, _HOT_BANDS = range(3)
+
+
+def _dealt(rows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, kind, rows) of the rows (band, k1, k2) that go to each part: by band, and those of a band with more than
+    HOT of them by band and key. For a hot band, one row tells the others of the band."""
+    place = _mix(rows[:, 0].view(np.uint64))
+    order = np.argsort(place)
+    rows, place = rows[order], place[order]
+    first, n = _runs_of(place)
+    hot = n > HOT
+    kinds = [(_PLAIN, rows, place)]
+    if hot.any():
+        own = np.repeat(hot, n)
+        many, told = rows[own], first[hot]
+        by_key = _mix(place[own] ^ _mix(many[:, 1].view(np.uint64)))
+        order = np.argsort(by_key)
+        kinds = [(_PLAIN, rows[~own], place[~own]), (_HOT_ROWS, many[order], by_key[order]), (_HOT_BANDS, rows[told], place[told])]
+    for kind, held, at in kinds:
+        first, n = _runs_of((at >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32))
+        if len(first):
+            part = (at[first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            coded = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((24 * np.append(first, len(at))).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(held))])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), coded], names=["part", "kind", "rows"])
+
+
+def _met(parts: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """(band, k1, k2, n) of one part: the bands with n keys, more than one; n is null for those of hot bands, which may repeat."""
+    rows, many, told = (np.frombuffer(b"".join(parts.get(kind, [])), np.int64).reshape(-1, 3) for kind in (_PLAIN, _HOT_ROWS, _HOT_BANDS))
+    order = np.argsort(rows[:, 0])
+    band = rows[order, 0]
+    same = band[1:] == band[:-1]
+    met = np.r_[False, same] | np.r_[same, False] if len(band) else np.zeros(0, bool)
+    rows = rows[order[met | np.isin(band, told[:, 0])]]
+    rows = rows[np.lexsort(rows.T[::-1])]
+    rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]] if len(rows) else rows
+    n = np.repeat(x := _runs_of(rows[:, 0])[1], x)
+    hot = np.isin(rows[:, 0], told[:, 0])
+    plain = ~hot & (n > 1)
+    for held, count in ((rows[plain], pa.array(n[plain])), (np.concatenate([rows[hot], many]), None)):
+        if len(held):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(held.T)), count if count is not None else pa.nulls(len(held), pa.int64())], names=["band", "k1", "k2", "n"])
+
+
 def _shared_bands(banded: DataFrame) -> DataFrame:
-    """The rows (band, k1, k2) of the bands with several keys, each once; and of some others with one.
+    """The rows (band, k1, k2) of the bands with several keys, each once, with their number n; ``banded`` has
+    (band, k1, k2), or several in a row as ``bands``, a list or the bytes of its longs.
 
-    Rows are range-partitioned by band and key, so a band of many keys lies in many partitions
-    and equal rows in one. A band that a partition begins or ends with may go on in another.
+    Many rows travel as one: a task sorts what it deals out at once, and a part is sorted by one task. Parts
+    are several times the shuffle partitions, so that a task's memory is a fraction of one.
     """
-    names = ["band", "k1", "k2"]
+    if "bands" not in banded.columns:
+        banded = banded.select(F.array("band").alias("bands"), "k1", "k2")
+    parts = 4 * int(banded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row so far and whether its band has had another key here
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(_band_rows(batch))
+                n += len(held[-1])
+            if n >= DEALT:
+                yield from _dealt(np.concatenate(held), parts)
+                held, n = [], 0
+        if n:
+            yield from _dealt(np.concatenate(held), parts)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
-            first = held is None
-            if not first:
-                rows = np.concatenate([held[0], rows])
-            rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
-            same = rows[1:, 0] == rows[:-1, 0]
-            met = np.r_[first or held[1], same] | np.r_[same, False]
-            held = rows[-1:], bool(met[-1])
-            if met[:-1].any():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(rows[:-1][met[:-1]].T)], names=names)
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(held[0].T)], names=names)
-
-    order = banded.repartitionByRange("band", "k1").sortWithinPartitions("band", "k1", "k2")
-    return order.mapInArrow(run, "band long, k1 long, k2 long")
+            for part, kind, rows in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "rows")), strict=True):
+                if part != last:
+                    yield from _met(held)
+                    last, held = part, {}
+                held.setdefault(kind, []).append(rows)
+        yield from _met(held)
+
+    dealt = banded.mapInArrow(deal, "part int, kind int, rows binary").repartition("part").sortWithinPartitions("part")
+    met = stored(dealt.mapInArrow(meet, "band long, k1 long, k2 long, n long"))
+    many = met.where("n is null").select("band", "k1", "k2")
+    if not many.limit(1).count():
+        return met
+    many = stored(many.distinct())
+    sizes = cut(many.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    return stored(met.where("n is not null").unionByName(many.join(sizes, "band").select("band", "k1", "k2", "n")))
 
 
 def _one_named(rows: DataFrame, double: DataFrame | None) -> DataFrame:
@@ -572,17 +702,15 @@ def _one_named(rows: DataFrame, double: DataFrame | None) -> DataFrame:
 
 
 def linked(lines: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, measure: Measure = OF_LINES, more: DataFrame | None = None) -> DataFrame:
-    """(k1, k2, component) of the texts that link to another, for any texts with a 128-bit key (k1, k2) and bands;
+    """(k1, k2, component) of the texts that link to another, for any texts with a 128-bit key (k1, k2) and bands, a list or its bytes;
     ``texts_of`` gives (k1, k2, line) of at least the keys (k1, k2) it is handed. ``more`` are further
     buckets (band, k1, k2), treated as bands are.
 
     Inside, a key goes by one long, which is unique among the keys that share a band.
     """
-    banded = lines.where("bands is not null").select(F.explode("bands").alias("band"), "k1", "k2")
-    banded = banded.unionByName(more) if more is not None else banded
-    met = stored(_shared_bands(banded))
-    sizes = cut(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    met = stored(met.join(sizes, "band"))
+    banded = lines.where("bands is not null").select("bands", "k1", "k2")
+    banded = banded.unionByName(more.select(F.array("band").alias("bands"), "k1", "k2")) if more is not None else banded
+    met = _shared_bands(banded)
     keys = cut(met.select("k1", "k2").distinct())
     double = cut(keys.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1"))
     double = double if double.limit(1).count() else None

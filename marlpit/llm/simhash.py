@@ -202,6 +202,10 @@ def word_similar(a: str, b: str, threshold: float) -> bool:
     return word_jaccard(a, b) >= threshold
 
 
+def word_similar_pairs(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    return np.array([word_similar(x, y, threshold) for x, y in zip(a, b, strict=True)], bool)
+
+
 def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     held = word_sets(texts)
     return (np.concatenate(held) >> np.uint64(32)).astype(np.uint32), np.array([len(x) for x in held], np.int64)
@@ -267,7 +271,7 @@ def similar_sets(rows: DataFrame, docs: DataFrame, threshold: float = SIMILARITY
 
         return docs.mapInArrow(run, "mark binary, text string").join(wanted, "mark").select("k1", "k2", F.col("text").alias("line"))
 
-    return lines.linked(classes.select("k1", "k2", "bands"), texts_of, threshold, (_word_hashes, word_similar), near)
+    return lines.linked(classes.select("k1", "k2", "bands"), texts_of, threshold, (_word_hashes, word_similar_pairs), near)
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = SIMILARITY) -> DataFrame:
