@@ -186,6 +186,7 @@ def epochs(examples: DataFrame, config: Config) -> Iterator[DataFrame]:
     rounds = tournament(2 * b) if config.objective == "bpr" else tournament(2 * b)[:1]
     cells, state = cut(_cells(examples, config)), cut(_first_state(examples, config))
     none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    names = [c for c in _CELL if c != "others" or config.objective == "bpr"]  # the only one that BCE doesn't read
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -196,7 +197,7 @@ def epochs(examples: DataFrame, config: Config) -> Iterator[DataFrame]:
             both = {c: np.concatenate([x[c] for _, x in held]) for c in ("ids", "params", "squares")}
             order = np.argsort(both["ids"])
             both = {c: x[order] for c, x in both.items()}
-            step(config, users, both, {c: np.frombuffer(cell[c], "<f8" if c in _CELL[3:] else "<i8") for c in _CELL})
+            step(config, users, both, {c: np.frombuffer(cell[c], "<f8" if c in _CELL[3:] else "<i8") for c in names})
             for _, x in held:
                 at = np.searchsorted(both["ids"], x["ids"])
                 x["params"], x["squares"] = both["params"][at], both["squares"][at]
@@ -208,8 +209,8 @@ def epochs(examples: DataFrame, config: Config) -> Iterator[DataFrame]:
             at = [next(p for p, pair in enumerate(pairs) if x in pair) for x in range(2 * b)]
             for turn in range(b):
                 slot = F.when(F.col("kind") == "u", F.col("block")).otherwise(F.pmod(F.element_at(F.array(*map(F.lit, at)), F.col("block") + 1) - turn, F.lit(b)))
-                own = cells.where((F.col("round") == r) & (F.col("turn") == turn)).select(F.col("k").alias("slot"), F.lit("c").alias("kind"), F.col("k").alias("block"), *none("ids", "params", "squares"), *_CELL)
-                rows = state.select(slot.alias("slot"), "*", *none(*_CELL)).unionByName(own)
+                own = cells.where((F.col("round") == r) & (F.col("turn") == turn)).select(F.col("k").alias("slot"), F.lit("c").alias("kind"), F.col("k").alias("block"), *none("ids", "params", "squares"), *names)
+                rows = state.select(slot.alias("slot"), "*", *none(*names)).unionByName(own)
                 state = rows.groupBy("slot").applyInArrow(run, _STATE)
         state = cut(state)  # strata in between feed only the next one, so an epoch is one job
         yield state

@@ -55,11 +55,13 @@ def capacity(state: DataFrame) -> DataFrame:
     return state.agg(F.sum(F.size("vec")).alias("parameters"), *(F.avg(F.when(F.col("kind") == k, norm)).alias(n) for k, n in (("u", "mean_user_norm"), ("i", "mean_item_norm"))))
 
 
-def top_lists(state: DataFrame, candidates: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-    """Each user's best k candidates without seen items. A user keeps as many more of each block as the user has seen."""
+def top_lists(state: DataFrame, candidates: DataFrame, seen: DataFrame, k: int, counts: DataFrame | None = None) -> DataFrame:
+    """Each user's best k candidates without seen items. A user keeps as many more of each block as the user has seen;
+    ``counts`` are these numbers (user_id, n_seen), if they are there already."""
     users = state.where("kind = 'u'").select(F.col("id").alias("user_id"), "vec")
     items = state.where("kind = 'i'").select(F.col("id").cast(candidates.schema["item_id"].dataType).alias("item_id"), "vec").join(candidates, "item_id", "left_semi")
-    held = score_blocks(R.with_seen_count(users, seen), items, k, "user_id", "item_id", more="n_seen").join(seen, ["user_id", "item_id"], "left_anti")
+    users = R.with_seen_count(users, seen) if counts is None else users.join(counts, "user_id", "left").fillna(0, ["n_seen"])
+    held = score_blocks(users, items, k, "user_id", "item_id", more="n_seen").join(seen, ["user_id", "item_id"], "left_anti")
     return R.top_k_scored(held, k)
 
 

@@ -22,6 +22,8 @@ from marlpit.sources.durable import cut
 RATIO = 4
 #: Draws from the universe for each positive.
 ATTEMPTS = 16
+#: Draws that are enough for most positives; the others draw all.
+FIRST_ATTEMPTS = 7
 
 
 def hashed(*parts) -> Column:
@@ -41,6 +43,14 @@ def _places(positives: DataFrame, pool: DataFrame, seed: int, n: int) -> DataFra
     return wanted.join(numbered, ["user_id", "slot"]).select("user_id", "item_id", "sampled", "t")
 
 
+def _first_unknown(positives: DataFrame, known: DataFrame, numbered: DataFrame, total: int, seed: int, n: int, attempts: int) -> DataFrame:
+    """(user_id, item_id, found): the first ``n`` different unknown items in ``attempts`` draws of each positive that has any."""
+    tries = positives.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    drawn = tries.withColumn("idx", F.pmod(hashed(F.lit(seed), "user_id", "item_id", "t"), F.lit(total))).join(numbered, "idx")
+    left = drawn.join(known, ["user_id", "sampled"], "left_anti").groupBy("user_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("t", "sampled"))).alias("draws"))
+    return left.select("user_id", "item_id", F.slice(F.array_distinct("draws.sampled"), 1, n).alias("found"))
+
+
 def _unknown(positives: DataFrame, known: DataFrame, items: DataFrame, seed: int, n: int) -> DataFrame:
     """(user_id, item_id, sampled, r): the first ``n`` different unknown items of each positive, in the order of draws."""
     numbered = cut(id_index(items, "item_id").select("idx", F.col("item_id").alias("sampled")))
@@ -48,12 +58,12 @@ def _unknown(positives: DataFrame, known: DataFrame, items: DataFrame, seed: int
     known = known.select("user_id", F.col("item_id").alias("sampled")).distinct()
     if not total:
         return positives.select("user_id", "item_id", F.col("item_id").alias("sampled"), F.lit(0).alias("r")).limit(0)
-    tries = positives.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))))
-    drawn = tries.withColumn("idx", F.pmod(hashed(F.lit(seed), "user_id", "item_id", "t"), F.lit(total))).join(numbered, "idx")
-    first = drawn.join(known, ["user_id", "sampled"], "left_anti").groupBy("user_id", "item_id", "sampled").agg(F.min("t").alias("t"))
-    place = F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy("t"))
-    got = cut(first.withColumn("r", place).where(F.col("r") <= n))
-    counts = got.groupBy("user_id", "item_id").agg(F.count("*").alias("got"))
+    few = cut(_first_unknown(positives, known, numbered, total, seed, n, min(FIRST_ATTEMPTS, ATTEMPTS)))
+    done = few.where((F.size("found") >= n) & F.col("user_id").isNotNull() & F.col("item_id").isNotNull())  # null ids meet nothing below
+    # the others draw all of theirs, which leaves the first ones where they are
+    held = done.unionByName(cut(_first_unknown(positives.join(done, ["user_id", "item_id"], "left_anti"), known, numbered, total, seed, n, ATTEMPTS)))
+    got = held.select("user_id", "item_id", F.posexplode("found").alias("r", "sampled")).withColumn("r", F.col("r") + 1)
+    counts = held.select("user_id", "item_id", F.size("found").alias("got"))
     short = cut(positives.join(counts, ["user_id", "item_id"], "left").withColumn("got", F.coalesce("got", F.lit(0))).where(F.col("got") < n))
     if not short.limit(1).count():
         return got.select("user_id", "item_id", "sampled", "r")
@@ -73,12 +83,15 @@ def sample(positives: DataFrame, exposed: DataFrame, items: DataFrame, strategy:
     """
     wanted = {"unknown": 0, "exposed": ratio, "mixed": ratio // 2}[strategy]
     positives = cut(positives.select("user_id", "item_id"))
-    rest = _unknown(positives, positives.unionByName(exposed.select("user_id", "item_id")), items, seed, ratio)
+    known = positives.unionByName(exposed.select("user_id", "item_id"))
     if not wanted:
+        rest = _unknown(positives, known, items, seed, ratio)
         out = rest.select("user_id", "item_id", "sampled", F.lit("random_unknown").alias("source"), F.lit(False).alias("is_backfill"))
     else:
         shown = cut(_places(positives, exposed, seed, wanted))
         got = shown.groupBy("user_id", "item_id").agg(F.count("*").alias("got"))
+        lacking = cut(positives.join(got, ["user_id", "item_id"], "left").fillna(0, ["got"]).where(F.col("got") < ratio))
+        rest = _unknown(lacking.select("user_id", "item_id"), known, items, seed, ratio)  # a draw depends on no other positive
         held = rest.join(got, ["user_id", "item_id"], "left").fillna(0, ["got"]).where(F.col("r") <= ratio - F.col("got"))
         backfill = F.col("r") > ratio - wanted
         out = shown.select("user_id", "item_id", "sampled", F.lit("exposed_non_conversion").alias("source"), F.lit(False).alias("is_backfill")).unionByName(

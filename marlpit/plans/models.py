@@ -18,7 +18,7 @@ from marlpit.operators import sequences as Q
 from marlpit.operators.ranking import Weights
 from marlpit.plans.catalog import _MODEL, model
 from marlpit.plans.dataset import train
-from marlpit.plans.ranking import KS, _topk, evaluated
+from marlpit.plans.ranking import KS, evaluated, topk_of
 from marlpit.plans.registry import query
 from marlpit.plans.sequences import SESS, samples, sessionized
 from marlpit.sources import adapter as A
@@ -82,13 +82,20 @@ def positives(s, d):
     return train(s, d).where("view_count > 0").select("user_id", "item_id", Weights().strength().alias("strength"))
 
 
-def evaluator(s, d):
+def stored_world(s, d):
+    """Train facts without times, items and users, read from the events once for all that rests on them."""
+    return tuple(cut(x) for x in (train(s, d).select("user_id", "item_id", *D.COUNTS), A.items(s, d), A.users(s, d)))
+
+
+def evaluator(s, d, world=None):
     """Purchase positions in a state's lists by split, with cart popularity for cold users. What doesn't depend on a state is stored once."""
-    rel = cut(D.relevance(A.events(s, d), "purchase"))
-    seen, candidates, fallback = (cut(x) for x in (rel.where("split = 'train'").select("user_id", "item_id"), D.candidates(A.items(s, d), "purchase"), _topk(s, d, True)))
+    facts, items, users = world or stored_world(s, d)
+    rel = cut(D.relevance(A.events(s, d), "purchase").select("split", "user_id", "item_id"))
+    seen, candidates, fallback = (cut(x) for x in (rel.where("split = 'train'").select("user_id", "item_id"), D.candidates(items, "purchase"), topk_of(facts, items, users)))
+    counts = cut(seen.groupBy("user_id").agg(F.countDistinct("item_id").alias("n_seen")))
 
-    def positions(state, split):
-        lists = MF.top_lists(state, candidates, seen, max(KS))
+    def positions(state, split, k=max(KS)):
+        lists = MF.top_lists(state, candidates, seen, k, counts)
         every = MF.with_fallback(lists, state.where("kind = 'u'").select(F.col("id").alias("user_id")), fallback)
         return R.listed_positions(every, rel.where(F.col("split") == split).select("user_id", "item_id"))
 
@@ -138,13 +145,13 @@ def train_examples(s, d, *names):
 
 def purchase_metrics(held, params, split):
     """Metrics at 10 of biased scores for purchases."""
-    return R.macro(R.user_metrics(held(G.folded(params), split), (10,)))
+    return R.macro(R.user_metrics(held(G.folded(params), split, 10), (10,)))  # longer lists have the same first 10
 
 
-def bias_effects(s, d, params, examples):
+def bias_effects(s, d, params, examples, facts=None):
     """Correlation of item biases with carts of their item, and what biases and factors share of the scores' variance."""
     bias = params.where("kind = 'i'").select(F.col("id").alias("item_id"), "bias")
-    carts = train(s, d).groupBy("item_id").agg(F.sum("cart_count").cast("double").alias("carts"))
+    carts = (train(s, d) if facts is None else facts).groupBy("item_id").agg(F.sum("cart_count").cast("double").alias("carts"))
     held = cut(bias.join(carts, "item_id"))
     ranked = Q.mid_ranked(Q.mid_ranked(held, "bias", "bias_rank"), "carts", "cart_rank")
     near = held.agg(S.correlation(F.col("bias"), F.col("carts")).alias("pearson")).crossJoin(ranked.agg(S.correlation(F.col("bias_rank"), F.col("cart_rank")).alias("spearman")))  # one row each

@@ -79,6 +79,12 @@ def _topk(s, d, seen: bool):
     return R.top_k(ranking, A.users(s, d), D.train_seen(train(s, d), "purchase") if seen else None, 10)
 
 
+def topk_of(facts, items, users):
+    """``_topk`` without seen items from tables that are there already, by the one ranking that it takes."""
+    held = R.popularity_scores(facts, items).select("item_id", F.col("cart").alias("score")).join(D.candidates(items, "purchase"), "item_id", "left_semi")
+    return R.top_k(R.ranked(held), users, D.train_seen(facts, "purchase"), 10)
+
+
 _TOP = RANKED + """, t10 AS (SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY rank) AS INT) AS position FROM us CROSS JOIN (SELECT * FROM rk WHERE task = 'purchase' AND signal = 'cart') x
  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.task = 'purchase' AND s.user_id = us.user_id AND s.item_id = x.item_id) QUALIFY position <= 10)"""
 
