@@ -57,6 +57,25 @@ def test_equal_ids_are_found_with_repeats():
 
 
 def test_all_pairs_leave_in_small_batches():
-    parts = list(V._all_pairs(pa.array(range(10)), pa.array(range(100)), np.arange(1000.0).reshape(10, 100), most=250))
+    parts = list(V._all_pairs(pa.array(range(10)), pa.array(range(100)), np.arange(1000.0).reshape(10, 100), most=200))
     assert [p.num_rows for p in parts] == [200] * 5
     assert [(r["l"], r["r"], r["score"]) for p in parts for r in p.to_pylist()] == [(i, j, i * 100.0 + j) for i in range(10) for j in range(100)]
+
+
+def test_all_pairs_in_the_order_of_scores():
+    s = np.random.default_rng(7).normal(size=(10, 100))
+    s[3, 4] = np.nan
+    parts = list(V._all_pairs(pa.array(range(10)), pa.array(range(100)), s, most=200, in_order=True))
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert len(rows) == 999 and {(i, j): x for i, j, x in rows} == {(i, j): s[i, j] for i in range(10) for j in range(100) if (i, j) != (3, 4)}
+    assert [x for _, _, x in rows] == sorted(x for _, _, x in rows)
+
+
+def test_stored_matches_take_few_bytes_a_pair(spark, tmp_path):
+    from marlpit.plans import catalog
+
+    rng, n = np.random.default_rng(8), 1500
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(n, 16)))], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    catalog.preference_match(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == n * (n - 1)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6 * n * n
