@@ -161,6 +161,24 @@ def _cells(examples: DataFrame, config: Config) -> DataFrame:
     return ordered.select("round", "turn", "k", *_CELL).mapInArrow(pack, f"round int, turn int, k int, {kinds}")
 
 
+def _small(x: np.ndarray) -> bytes:
+    """A column of a cell in few bytes: codes of up to 256 different floats, or whole numbers of 4 bytes, where that is exact."""
+    if x.dtype.kind == "f":
+        table, codes = np.unique(x, return_inverse=True)
+        if len(table) <= 256:
+            return b"t" + len(table).to_bytes(2, "little") + table.astype("<f8").tobytes() + codes.astype("u1").tobytes()
+    elif len(x) and -(2**31) <= x.min() and x.max() < 2**31:
+        return b"i" + x.astype("<i4").tobytes()
+    return b"p" + x.tobytes()
+
+
+def _whole(blob: bytes, kind: str) -> np.ndarray:
+    if blob[:1] == b"t":
+        n = int.from_bytes(blob[1:3], "little")
+        return np.frombuffer(blob, "<f8", n, 3)[np.frombuffer(blob, "u1", offset=3 + 8 * n)]
+    return np.frombuffer(blob, "<i4", offset=1).astype("<i8") if blob[:1] == b"i" else np.frombuffer(blob, kind, offset=1)
+
+
 def _first_state(examples: DataFrame, config: Config) -> DataFrame:
     """Blocks of users and items with first parameters."""
     items = examples.select(F.col("item_id").alias("id")).unionByName(examples.select(F.col("other_id").alias("id")))
@@ -184,9 +202,20 @@ def epochs(examples: DataFrame, config: Config) -> Iterator[DataFrame]:
     user, item or weight take no part, repeated rows count each, no rows give an empty state."""
     b, width = config.blocks, config.dim + 1
     rounds = tournament(2 * b) if config.objective == "bpr" else tournament(2 * b)[:1]
-    cells, state = cut(_cells(examples, config)), cut(_first_state(examples, config))
     none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
     names = [c for c in _CELL if c != "others" or config.objective == "bpr"]  # the only one that BCE doesn't read
+    kinds = {c: "<f8" if c in _CELL[3:] else "<i8" for c in names}
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1)
+                small = {c: pa.array([_small(np.frombuffer(row.column(c)[0].as_buffer(), kinds[c]))], pa.binary()) for c in names}
+                yield pa.RecordBatch.from_pydict({c: row.column(c) for c in ("round", "turn", "k")} | small)
+
+    # every stratum of every epoch moves cells, so they are stored as small as they get
+    small = _cells(examples, config).select("round", "turn", "k", *names).mapInArrow(shrink, "round int, turn int, k int, " + ", ".join(f"{c} binary" for c in names))
+    cells, state = cut(small), cut(_first_state(examples, config))
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -197,7 +226,7 @@ def epochs(examples: DataFrame, config: Config) -> Iterator[DataFrame]:
             both = {c: np.concatenate([x[c] for _, x in held]) for c in ("ids", "params", "squares")}
             order = np.argsort(both["ids"])
             both = {c: x[order] for c, x in both.items()}
-            step(config, users, both, {c: np.frombuffer(cell[c], "<f8" if c in _CELL[3:] else "<i8") for c in names})
+            step(config, users, both, {c: _whole(cell[c], kinds[c]) for c in names})
             for _, x in held:
                 at = np.searchsorted(both["ids"], x["ids"])
                 x["params"], x["squares"] = both["params"][at], both["squares"][at]

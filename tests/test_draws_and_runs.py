@@ -54,3 +54,14 @@ def test_cart_lists_of_the_evaluation_are_those_of_the_query(spark):
     from marlpit.plans.ranking import topk_of, topk_popularity
 
     assert {tuple(r) for r in topk_of(*models.stored_world(spark, SF)).collect()} == {tuple(r) for r in topk_popularity(spark, SF).collect()}
+
+
+def test_columns_of_cells_are_small_and_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    few, many = rng.integers(0, 200, 5000) / 7, rng.normal(size=5000)
+    ids, big = rng.integers(-(2**31), 2**31, 5000), rng.integers(-(2**62), 2**62, 5000)
+    for x, most in ((few, 7000), (many, 40001), (ids, 20001), (big, 40001), (ids[:0], 1)):
+        blob = G._small(x)
+        assert len(blob) <= most and (G._whole(blob, "<f8" if x.dtype.kind == "f" else "<i8") == x).all()
